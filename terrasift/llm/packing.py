@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -14,31 +17,87 @@ from pyspark.sql import functions as F
 from .common import cut_lineage
 
 #: Words whose ids a Python worker remembers; the memory is emptied when it is full.
-WORDS_KEPT = 200_000
+WORDS_KEPT = 1_000_000
+#: Bytes of text that are tokenized together.
+TOGETHER = 4_000_000
 #: Pieces of one length that are numbered together.
 NUMBERED_TOGETHER = 8192
 
+_MARKS = re.compile(rb"(?<=[a-z0-9])[!-&(-/:-@\[-`{}~]+(?=[ \n])")
+
+
+def _byte_characters() -> dict[int, str]:
+    """Byte-level vocabularies write a visible Latin-1 byte as itself and the n-th other one as character 256 + n."""
+    seen = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    other = [b for b in range(256) if b not in set(seen)]
+    return {b: chr(b) for b in seen} | {b: chr(256 + n) for n, b in enumerate(other)}
+
+
+_BYTE_CHARACTERS = _byte_characters()
+
+
+def _latin_unit(word: bytes) -> str | None:
+    """A word of composed Latin letters as the model reads it, else None."""
+    if word.isalpha():
+        return word.decode()
+    text = word.decode()
+    if text.isalpha() and max(text) < "İ" and unicodedata.is_normalized("NFC", text):
+        return text.lower().encode().decode("latin-1").translate(_BYTE_CHARACTERS)
+    return None
+
+
 _encoders: dict[str, "_WordEncoder"] = {}
 
 
-class _WordEncoder(dict):
-    """Token ids of a word as bytes; the vocabulary's pre-tokenizer never joins what white space parts."""
+class _WordEncoder:
+    """Token ids of words as bytes, remembered.
 
-    def __init__(self, path: str):
+    The vocabulary's tokenizer lowers case, drops white space and joins nothing across it, so a text's ids are those of its
+    lower-cased words; ASCII marks other than ' and | after an ASCII letter or digit and before white space are a word of
+    their own. A new word of Latin letters is one unit of the model, written with one character for each byte; others are
+    encoded many at a time with a special token between them that marks where each ends.
+    """
+
+    def __init__(self, path: str, mark: str = "<|endoftext|>"):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-        out = self[word] = np.array(ids, "<u4").tobytes()
-        return out
-
-    def ids(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.encode().split()))
+        self.mark, self.mark_id = mark, self.tokenizer.token_to_id(mark)
+        self.known: dict[bytes, bytes] = {}
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _learn(self, words: set[bytes]) -> None:
+        if len(self.known) + len(words) > WORDS_KEPT:
+            self.known.clear()
+        plain, model = [], self.tokenizer.model
+        for word in words:
+            unit = _latin_unit(word)
+            if unit is not None:
+                self.known[word] = array("I", [t.id for t in model.tokenize(unit)]).tobytes()
+            elif b"<|" in word or self.mark_id is None:
+                self.known[word] = self._encode(word.decode()).tobytes()
+            else:
+                plain.append(word)
+        for at in range(0, len(plain), 1000):
+            part = plain[at:at + 1000]
+            ids = self._encode(self.mark.join(w.decode() for w in part))
+            data, start = ids.tobytes(), 0
+            for word, end in zip(part, [*(4 * np.flatnonzero(ids == self.mark_id)).tolist(), len(data)]):
+                self.known[word] = data[start:end]
+                start = end + 4
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        words = [_MARKS.sub(rb" \g<0>", text.encode().lower()).split() for text in texts]
+        every = set().union(*words)
+        new = every.difference(self.known)
+        if new:
+            if len(self.known) + len(new) > WORDS_KEPT:
+                new = every
+            self._learn(new)
+        get = self.known.__getitem__
+        return [b"".join(map(get, w)) for w in words]
 
 
 def _encoder(path: str) -> _WordEncoder:
@@ -47,6 +106,20 @@ def _encoder(path: str) -> _WordEncoder:
     return _encoders[path]
 
 
+def _grouped(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
+    """Ids and texts of a batch, about TOGETHER characters at a time."""
+    docs, texts, size = [], [], 0
+    for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+        docs.append(doc)
+        texts.append(text.as_py() or "")
+        size += len(texts[-1])
+        if size >= TOGETHER:
+            yield docs, texts
+            docs, texts, size = [], [], 0
+    if docs:
+        yield docs, texts
+
+
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -64,10 +137,10 @@ def tokenize_pieces(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, last = _encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
         step = 4 * max_tokens
-        for batch in batches:
+        for docs, texts in (group for batch in batches for group in _grouped(batch)):
             out: list[list] = [[] for _ in range(6)]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = encoder.ids(text.as_py() or "") + last
+            for doc, data in zip(docs, encoder.ids(texts)):
+                data += last
                 for at in range(0, len(data), step):
                     piece = data[at:at + step]
                     for column, value in zip(out, (doc, at // 4, len(piece) // 4, zlib.crc32(piece), len(data) // 4, piece)):

@@ -162,7 +162,7 @@ def _overlap(page: str, weights: Weights) -> tuple[int, int, int]:
 def learn_weights(
     pages: DataFrame, *, html_col: str = "html", sample: int = 4000, tags_kept: int = 2000, scales: tuple[float, ...] = (1, 2, 4, 8, 16, 32),
 ) -> Weights:
-    """Weights from at most `sample` labelled pages (those with an article or main element), the ones of least hash.
+    """Weights from about `sample` labelled pages (those with an article or main element), chosen by hash; all if fewer.
 
     A tag weighs the logarithm of how much more often it stands outside the labelled content than inside, and next to
     nothing if it stands inside more often; the scale is that of `scales` whose runs match the labelled words best (F1),
@@ -170,7 +170,8 @@ def learn_weights(
     """
     raw = F.col(html_col)
     labelled = pages.where(raw.rlike("(?i)<(article|main)[ >]")).select(raw.alias("h"))
-    chosen = labelled.orderBy(F.xxhash64("h")).limit(sample)
+    share = min(1.0, sample / max(1, labelled.count()))
+    chosen = labelled.where(F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inside: Counter = Counter()

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, html_text, mixing, neighbours, packing, quality_rules, sharding, simhash
+from . import classifier, html_text, line_dedup, mixing, neighbours, packing, quality_rules, sharding, simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,6 +24,13 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(_read(spark, sf_dir, "documents")).drop("text", "lang", "source", "n_chars")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.line_decisions(_read(spark, sf_dir, "documents"), most=2)
+    return found.select(
+        F.col("id").alias("doc_id"), "n_lines", F.size("repeats").alias("n_repeats"), F.size("nears").alias("n_nears"), "n_links",
+        F.lower(F.lpad(F.hex("kept_hash"), 16, "0")).alias("kept_hash"))
+
+
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_read(spark, sf_dir, "pages"))
 
@@ -58,6 +65,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_quality_rules": op2_quality_rules,
+    "op3_line_dedup": op3_line_dedup,
     "op4_html_text": op4_html_text,
     "op5_sharding": op5_sharding,
     "op7_mixing": op7_mixing,

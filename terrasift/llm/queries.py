@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, html_text, line_dedup, mixing, neighbours, packing, quality_rules, sharding, simhash
+from . import classifier, html_text, line_dedup, mixing, neighbours, packing, quality_rules, sharding, simhash, substring_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(docs, n_shards=64)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"), 400, digest=True)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.allocate(_read(spark, sf_dir, "documents"), keep=False)
     return mixed.selectExpr("id AS doc_id", "size", "source_size", "target", "copies * size AS taken")
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op4_html_text": op4_html_text,
     "op5_sharding": op5_sharding,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_mixing": op7_mixing,
     "op8_packing": op8_packing,
     "op9_neighbours": op9_neighbours,

@@ -12,7 +12,10 @@ from .common import cut_lineage, text_hash
 
 def normal_line(line: Column) -> Column:
     """Lower case, runs of white space as one space, trimmed."""
-    return F.lower(F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")))
+    uneven = line.contains("  ")
+    for space in "\t\x0b\x0c\r":
+        uneven |= line.contains(space)
+    return F.lower(F.trim(F.when(uneven, F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")).otherwise(line)))
 
 
 def _segment(n: Column, i: int, most: int) -> tuple[Column, Column]:
@@ -26,7 +29,7 @@ def _segment(n: Column, i: int, most: int) -> tuple[Column, Column]:
 
 
 def segment_keys(line: Column, n: Column, most: int) -> Column:
-    """array<struct<key, own>>: hashes of the substrings under which a line is found or looks for others.
+    """array<struct<key, own>>: hashes of the substrings under which a line is found or looks for others, null if outside.
 
     own: the line's own segments, by its length and the segment's number. Besides, for each length from n - most to n and each
     segment of such lines, the substrings of this line that can equal that segment if the lines are at most `most`
@@ -43,7 +46,7 @@ def segment_keys(line: Column, n: Column, most: int) -> Column:
                 inside = (at >= 1) & (at + length - 1 <= n)
                 key = F.xxhash64(other.cast("int"), F.lit(i), line.substr(at, length))
                 keys.append(F.when(inside, F.struct(key.alias("key"), F.lit(less == 0 and shift == 0).alias("own"))))
-    return F.filter(F.array(*keys), lambda k: k.isNotNull())
+    return F.array(*keys)
 
 
 def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -149,7 +152,7 @@ def lines_of(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
 def near_links(lines: DataFrame, most: int = 2) -> DataFrame:
     """(a1, a2, b1, b2): every pair of different lines at most `most` edits apart, once, from rows (h1, h2, line, n)."""
     keyed = lines.select("h1", "h2", "n", F.explode(segment_keys(F.col("line"), F.col("n"), most)).alias("k"))
-    keyed = keyed.select("h1", "h2", "n", F.col("k.key").alias("key"), F.col("k.own").alias("own"))
+    keyed = keyed.where("k IS NOT NULL").select("h1", "h2", "n", F.col("k.key").alias("key"), F.col("k.own").alias("own"))
     by_key = Window.partitionBy("key")
     # a key that only one line has, or that no line owns, pairs nothing
     shared = keyed.withColumn("_lo", F.min("h1").over(by_key)).withColumn("_hi", F.max("h1").over(by_key)).withColumn("_own", F.max("own").over(by_key))
@@ -183,9 +186,9 @@ def line_decisions(docs: DataFrame, most: int = 2, min_chars: int = 24, *, id_co
         raise ValueError("lines must be long enough for their segments")
     lines = lines_of(docs, id_col=id_col, text_col=text_col)
     hashed = lines.select("id", "hash", "pos", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(3), "line").alias("h2"))
-    long = F.length("line") >= min_chars
-    different = hashed.where(long).groupBy("h1", "h2").agg(F.first("line").alias("line"))
-    links = cut_lineage(near_links(different.withColumn("n", F.length("line")), most))
+    long = lines.where(F.length("line") >= min_chars).select("line").distinct()
+    different = long.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(3), "line").alias("h2"), "line", F.length("line").alias("n"))
+    links = cut_lineage(near_links(cut_lineage(different), most))
     places = cut_lineage(hashed.drop("line"))
     firsts = places.groupBy("h1", "h2").agg(F.min(F.struct("id", "hash", "pos")).alias("first"), F.count("*").alias("times"))
     both = links.union(links.select("b1", "b2", "a1", "a2")).toDF("h1", "h2", "o1", "o2")

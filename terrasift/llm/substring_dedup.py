@@ -18,6 +18,8 @@ GRAM = 64
 CHUNK = 1 << 20
 #: Windows whose anchors lie in the same step of so many offsets are compared together.
 OFFSETS = 64
+#: Bits of the map of documents that have work to do.
+MARK_BITS = 1 << 24
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -123,7 +125,8 @@ def _window_hashes(rows: DataFrame, length: int) -> DataFrame:
     """(unit, id, hash, start, settled, windows) from rows (id, hash, text, spans): the windows' hashes of each span.
 
     A span is cut where the offset of its anchor enters another step of OFFSETS. The windows of a unit share the bytes
-    around the anchor that all windows of such a step share; the hash of those is the unit's key.
+    around the anchor that all windows of such a step share; the 64-bit hash of those is the unit's key. So 48 bits of a
+    window's hash are enough to tell apart the windows of one unit, few as they are.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,7 +151,8 @@ def _window_hashes(rows: DataFrame, length: int) -> DataFrame:
                             anchor = start + lead
                             core = hashes.both(np.array([anchor - step * OFFSETS]), np.array([anchor - step * OFFSETS - OFFSETS + 1 + length]))
                             places = np.arange(start, start + n)
-                            values = (int(core.view(np.int64)[0]) ^ step, doc, mark, start + low, s["settled"], hashes.both(places, places + length).tobytes())
+                            short = hashes.both(places, places + length).view(np.uint8).reshape(-1, 8)[:, :6]
+                            values = (int(core.view(np.int64)[0]) ^ step, doc, mark, start + low, s["settled"], short.tobytes())
                             for column, value in zip(out, values):
                                 column.append(value)
                             start, left, lead = start + n, left - n, lead - n
@@ -161,10 +165,12 @@ def _window_hashes(rows: DataFrame, length: int) -> DataFrame:
 def _repeated_windows(units: DataFrame) -> DataFrame:
     """(id, hash, first, last): runs of windows that occur in more than one place, of rows sorted by unit that are not settled."""
     def found(columns: list) -> pa.RecordBatch:
-        ids, marks, starts, settled, windows = columns
-        sizes = np.array([len(w) // 8 for w in windows])
-        values = np.frombuffer(b"".join(windows), np.uint64)
-        _, place, times = np.unique(values, return_inverse=True, return_counts=True)
+        number, ids, marks, starts, settled, windows = columns
+        sizes = np.array([len(w) // 6 for w in windows])
+        values = np.zeros((int(sizes.sum()), 8), np.uint8)
+        values[:, :6] = np.frombuffer(b"".join(windows), np.uint8).reshape(-1, 6)
+        values[:, 6:] = np.repeat(np.array(number, np.uint16), sizes)[:, None].view(np.uint8).reshape(-1, 2)
+        _, place, times = np.unique(values.view(np.uint64).ravel(), return_inverse=True, return_counts=True)
         again = times[place] > 1
         out: list[list] = [[], [], [], []]
         at = 0
@@ -180,16 +186,17 @@ def _repeated_windows(units: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["id", "hash", "first", "last"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = [[], [], [], [], []]
-        unit, size = None, 0
+        held: list = [[] for _ in range(6)]
+        unit, size, number = None, 0, -1
         for batch in batches:
             for key, *values in zip(*(c.to_pylist() for c in batch.columns)):
-                if key != unit and size > 8_000_000:
-                    yield found(held)
-                    held, size = [[], [], [], [], []], 0
-                unit = key
+                if key != unit:
+                    if size > 6_000_000 or number >= 65_000:
+                        yield found(held)
+                        held, size, number = [[] for _ in range(6)], 0, -1
+                    unit, number = key, number + 1
                 size += len(values[4])
-                for column, value in zip(held, values):
+                for column, value in zip(held, (number, *values)):
                     column.append(value)
         if held[0]:
             yield found(held)
@@ -197,6 +204,32 @@ def _repeated_windows(units: DataFrame) -> DataFrame:
     return units.mapInArrow(run, "id long, hash long, first long, last long")
 
 
+def _marked(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents that keys (id, hash) may hold, the others for certain), split without a shuffle of their texts.
+
+    A bitmap of MARK_BITS bits, whatever the data, holds the hashes of all keys. At sizes that fill it, fewer documents are spared
+    the join that follows; the result is the same.
+    """
+    place = F.pmod(F.xxhash64("id", "hash"), F.lit(MARK_BITS))
+    bits = keys.select((place + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m"))
+    table = np.zeros((MARK_BITS // 32_768 + 2, 4096), np.uint8)
+    for r in bits.collect():
+        table[r["b"]] = np.frombuffer(r["m"], np.uint8)
+
+    def part(wanted: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                places = batch.column(batch.num_columns - 1).to_numpy()
+                # bucket 1 holds the numbers 1 to 32,768, the least bit of each byte first
+                own = table[1 + places // 32_768, places % 32_768 // 8] >> (places % 8).astype(np.uint8) & 1
+                yield batch.filter(pa.array((own == 1) == wanted)).select(batch.schema.names[:-1])
+
+        schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
+        return docs.withColumn("_place", place).mapInArrow(run, schema)
+
+    return part(True), part(False)
+
+
 def repeated_ranges(docs: DataFrame, length: int = 400) -> DataFrame:
     """(id, hash, first, last): starts of the strings of `length` bytes that start in another place too, from (id, hash, text).
 
@@ -215,9 +248,10 @@ def repeated_ranges(docs: DataFrame, length: int = 400) -> DataFrame:
     settled = again.join(kinds.where("times > 1").select(*same), same).select("id", "hash", F.col("start").alias("first"), (F.col("start") + F.col("size") - 1).alias("last"))
     open_ = kinds.where("mixed").select("one.*", "size", "lead", (F.col("times") > 1).alias("settled"))
     by_doc = open_.groupBy("id", "hash").agg(F.collect_list(F.struct("start", "size", "lead", "settled")).alias("spans"))
+    by_doc = cut_lineage(by_doc)
     wanted = by_doc.withColumnsRenamed({"id": "_id", "hash": "_hash"})
     on = F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))
-    texts = docs.join(wanted, on).dropDuplicates(["id", "hash"]).select("id", "hash", "text", "spans")
+    texts = _marked(docs, by_doc.select("id", "hash"))[0].join(wanted, on).dropDuplicates(["id", "hash"]).select("id", "hash", "text", "spans")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     units = _window_hashes(texts, length).repartition(n, "unit").sortWithinPartitions("unit")
     return settled.unionByName(_repeated_windows(units))
@@ -253,15 +287,18 @@ def remove_repeats(docs: DataFrame, length: int = 400, *, id_col: str = "doc_id"
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_hash(text_col), F.lit(0)).alias("hash"), F.col(text_col).alias("text"))
     ranges = repeated_ranges(rows, length)
-    ranges = ranges.groupBy("id", "hash").agg(F.collect_list(F.struct("first", "last")).alias("_ranges"))
-    ranges = ranges.withColumnsRenamed({"id": "_id", "hash": "_hash"})
+    ranges = cut_lineage(ranges.groupBy("id", "hash").agg(F.collect_list(F.struct("first", "last")).alias("_ranges")))
     made = ["n_bytes", "n_removed", "n_spans"]
-    own = docs.select(*[c for c in docs.columns if c not in made]).withColumn("_own_hash", F.coalesce(text_hash(text_col), F.lit(0)))
+    own = docs.select(*[c for c in docs.columns if c not in made])
     if digest:
-        own = own.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), "_own_hash")
+        own = own.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
         id_col, text_col = "doc_id", "text"
-    on = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_own_hash") == F.col("_hash"))
-    joined = own.join(ranges, on, "left").drop("_id", "_hash", "_own_hash")
+    columns = own.columns
+    own = own.select(F.struct(*columns).alias("_row"), F.col(id_col).cast("long").alias("id"), F.coalesce(text_hash(text_col), F.lit(0)).alias("hash"))
+    some, none = _marked(own, ranges.select("id", "hash"))
+    some = some.join(ranges.withColumnsRenamed({"id": "_id", "hash": "_hash"}), F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")), "left")
+    none = none.withColumn("_ranges", F.lit(None).cast("array<struct<first:bigint,last:bigint>>"))
+    joined = some.select("_row.*", "_ranges").unionByName(none.select("_row.*", "_ranges"))
     kept = [c for c in joined.columns if c != "_ranges"]
     types = dict(joined.dtypes)
     last = "kept_sha256" if digest else text_col

@@ -42,6 +42,13 @@ def drop_scratch(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Pass at most so many rows to Python at once from now on: whole texts make batches of the default 10,000 rows large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > rows:
+        spark.conf.set(key, str(rows))
+
+
 def text_hash(text: str | Column) -> Column:
     """Tells apart documents that share an id; equal ids with equal texts are one document."""
     return F.xxhash64(F.col(text) if isinstance(text, str) else text)

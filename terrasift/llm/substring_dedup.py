@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, text_hash
+from .common import bound_batches, cut_lineage, text_hash
 
 #: Bytes of the strings among which the anchor of a window is chosen.
 GRAM = 64
@@ -237,6 +237,7 @@ def repeated_ranges(docs: DataFrame, length: int = 400) -> DataFrame:
     other, so copies cost a row for each run; the windows of runs that differ are compared one by one with one
     copy of every other run of that gram. Groups of equal windows are counted, never listed pair by pair.
     """
+    bound_batches(docs.sparkSession)
     every = cut_lineage(spans(docs, length))
     kind = F.xxhash64("size", "lead", "content")
     grams = every.groupBy("gram").agg(F.count("*").alias("n"), F.min(kind).alias("lo"), F.max(kind).alias("hi")).where("n > 1")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, text_hash
@@ -151,18 +151,18 @@ def lines_of(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
 
 def near_links(lines: DataFrame, most: int = 2) -> DataFrame:
     """(a1, a2, b1, b2): every pair of different lines at most `most` edits apart, once, from rows (h1, h2, line, n)."""
-    keyed = lines.select("h1", "h2", "n", F.explode(segment_keys(F.col("line"), F.col("n"), most)).alias("k"))
-    keyed = keyed.where("k IS NOT NULL").select("h1", "h2", "n", F.col("k.key").alias("key"), F.col("k.own").alias("own"))
-    by_key = Window.partitionBy("key")
-    # a key that only one line has, or that no line owns, pairs nothing
-    shared = keyed.withColumn("_lo", F.min("h1").over(by_key)).withColumn("_hi", F.max("h1").over(by_key)).withColumn("_own", F.max("own").over(by_key))
-    shared = cut_lineage(shared.where("_lo <> _hi AND _own").select("h1", "h2", "n", "key", "own"))
-    signs = lines.join(shared.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").select("h1", "h2", "line", signatures(F.col("line")).alias("s"))
-    signs = cut_lineage(signs.select("h1", "h2", "line", F.col("s.one").alias("one"), F.col("s.two").alias("two")))
-    signed = shared.join(signs.drop("line"), ["h1", "h2"])
+    keyed = lines.select("h1", F.explode(segment_keys(F.col("line"), F.col("n"), most)).alias("k")).where("k IS NOT NULL")
+    keyed = keyed.select("h1", F.col("k.key").alias("key"), F.col("k.own").alias("own"))
+    owned = keyed.where("own").select(F.col("h1").alias("o1"), F.col("key").alias("o_key"))
+    # lines that share a key that another line owns, then the owners of such keys; few of either
+    asks = cut_lineage(keyed.join(owned, (F.col("key") == F.col("o_key")) & (F.col("h1") != F.col("o1")), "left_semi").select("h1", "key"))
+    owns = cut_lineage(owned.join(asks, (F.col("key") == F.col("o_key")) & (F.col("h1") != F.col("o1")), "left_semi").toDF("h1", "key"))
+    ids = asks.select("h1").union(owns.select("h1")).distinct()
+    signs = lines.join(ids, "h1", "left_semi").select("h1", "h2", "line", "n", signatures(F.col("line")).alias("s"))
+    signs = cut_lineage(signs.select("h1", "h2", "line", "n", F.col("s.one").alias("one"), F.col("s.two").alias("two")))
     columns = ("h1", "h2", "n", "key", "one", "two")
-    a = signed.select(*[F.col(c).alias(f"a_{c}") for c in columns])
-    b = signed.where("own").select(*[F.col(c).alias(f"b_{c}") for c in columns])
+    a = asks.join(signs.drop("line"), "h1").select(*[F.col(c).alias(f"a_{c}") for c in columns])
+    b = owns.join(signs.drop("line"), "h1").select(*[F.col(c).alias(f"b_{c}") for c in columns])
     less = F.col("a_n") - F.col("b_n")  # so many edits at least delete a character
     close = (less >= 0) & (F.bit_count(F.col("a_one").bitwiseXOR(F.col("b_one"))) <= 2 * most - less)
     close &= F.bit_count(F.col("a_two").bitwiseXOR(F.col("b_two"))) <= 4 * most - less

@@ -28,12 +28,12 @@ def _segment(n: Column, i: int, most: int) -> tuple[Column, Column]:
     return start, length
 
 
-def segment_keys(line: Column, n: Column, most: int) -> Column:
+def segment_keys(line: Column, n: Column, most: int, own_only: bool = False) -> Column:
     """array<struct<key, own>>: hashes of the substrings under which a line is found or looks for others, null if outside.
 
     own: the line's own segments, by its length and the segment's number. Besides, for each length from n - most to n and each
     segment of such lines, the substrings of this line that can equal that segment if the lines are at most `most`
-    edits apart: before the segment at most i edits have happened and after it at most most - i.
+    edits apart: before the segment at most i edits have happened and after it at most most - i. own_only: the former alone.
     """
     keys = []
     for less in range(most + 1):
@@ -42,6 +42,8 @@ def segment_keys(line: Column, n: Column, most: int) -> Column:
             start, length = _segment(other, i, most)
             low, high = max(-i, less - (most - i)), min(i, less + (most - i))
             for shift in range(low, high + 1):
+                if own_only and (less or shift):
+                    continue
                 at = start + shift
                 inside = (at >= 1) & (at + length - 1 <= n)
                 key = F.xxhash64(other.cast("int"), F.lit(i), line.substr(at, length))
@@ -152,8 +154,8 @@ def lines_of(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
 def near_links(lines: DataFrame, most: int = 2) -> DataFrame:
     """(a1, a2, b1, b2): every pair of different lines at most `most` edits apart, once, from rows (h1, h2, line, n)."""
     keyed = lines.select("h1", F.explode(segment_keys(F.col("line"), F.col("n"), most)).alias("k")).where("k IS NOT NULL")
-    keyed = keyed.select("h1", F.col("k.key").alias("key"), F.col("k.own").alias("own"))
-    owned = keyed.where("own").select(F.col("h1").alias("o1"), F.col("key").alias("o_key"))
+    keyed = keyed.select("h1", F.col("k.key").alias("key"))
+    owned = lines.select(F.col("h1").alias("o1"), F.explode(segment_keys(F.col("line"), F.col("n"), most, own_only=True)).alias("k")).select("o1", F.col("k.key").alias("o_key"))
     # lines that share a key that another line owns, then the owners of such keys; few of either
     asks = cut_lineage(keyed.join(owned, (F.col("key") == F.col("o_key")) & (F.col("h1") != F.col("o1")), "left_semi").select("h1", "key"))
     owns = cut_lineage(owned.join(asks, (F.col("key") == F.col("o_key")) & (F.col("h1") != F.col("o1")), "left_semi").toDF("h1", "key"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import zlib
 from collections import Counter
@@ -179,9 +180,9 @@ def common_words(docs: DataFrame, limits: Limits, **columns) -> dict[str, list[s
 def references(docs: DataFrame, limits: Limits = Limits(), *, text_col: str = "text", lang_col: str = "lang") -> dict[str, Reference]:
     """Language key -> (place of each common word, word histogram, class histogram), and ALL -> that of all languages.
 
-    Every document counts. A reference is the mean of its documents' histograms, but near copies count once, or
-    one text with thousands of copies would pull its language towards itself: of the documents whose long word of least
-    hash is the same, one stands for all. At most (max_languages + 1) * (common_words + 9) rows come to the driver.
+    A reference is the mean of the histograms of all documents that have a word. Only texts of the same words in the same
+    order (see plain_words) count once, or one text with thousands of copies would pull its language towards itself;
+    near copies that differ in a word count each. At most (max_languages + 1) * (common_words + 9) rows come to the driver.
     """
     lists = common_words(docs, limits, text_col=text_col, lang_col=lang_col)
     places = {lang: {w.encode(): k for k, w in enumerate(words)} for lang, words in lists.items()}
@@ -192,9 +193,9 @@ def references(docs: DataFrame, limits: Limits = Limits(), *, text_col: str = "t
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if not (text := text.as_py()):
                     continue
-                found = set(plain_words(text))
+                found = plain_words(text)
                 own = zlib.crc32(text.encode("utf-8", "replace"))
-                sign = min((zlib.crc32(w) for w in found if len(w) > limits.max_word_chars), default=own)
+                sign = int.from_bytes(hashlib.blake2b(b" ".join(found), digest_size=8).digest(), "big", signed=True)
                 classes = class_counts(text)
                 for key in (_key(lang), ALL):
                     if found and key in places:

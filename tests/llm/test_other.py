@@ -52,6 +52,16 @@ def test_quality_rules_edge_cases(docs, empty):
     assert quality_rules.apply_rules(empty).count() == 0
 
 
+def test_references_are_means_over_all_texts(spark):
+    # different texts that share their long words, and copies of one of them that differ in case and punctuation
+    texts = [f"extraordinary circumstances of item{k} " + "and so on " * (k + 1) for k in range(30)]
+    rows = [(k, t, "en") for k, t in enumerate([*texts, texts[3], texts[3].upper(), texts[3].replace(" of ", ", of ")])]
+    found = quality_rules.references(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    places, by_words, by_classes = found[quality_rules.ALL]
+    want = sum(h / h.sum() for h in (quality_rules.word_histogram(t, places) for t in texts))
+    assert np.allclose(by_words, want, atol=1e-5) and round(by_words.sum(), 4) == round(by_classes.sum(), 4) == 30
+
+
 def test_quality_rules_follow_the_labels(spark):
     found = QUERIES["op2_quality_rules"](spark, "/root/testdata/sf0.01").where("NOT base_failed")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")

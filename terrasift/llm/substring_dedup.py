@@ -125,8 +125,8 @@ def _window_hashes(rows: DataFrame, length: int) -> DataFrame:
     """(unit, id, hash, start, settled, windows) from rows (id, hash, text, spans): the windows' hashes of each span.
 
     A span is cut where the offset of its anchor enters another step of OFFSETS. The windows of a unit share the bytes
-    around the anchor that all windows of such a step share; the 64-bit hash of those is the unit's key. So 48 bits of a
-    window's hash are enough to tell apart the windows of one unit, few as they are.
+    around the anchor that all windows of such a step share; the 64-bit hash of those is the unit's key. Windows are equal
+    if their unit and all 64 bits of their own hash are.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,8 +151,8 @@ def _window_hashes(rows: DataFrame, length: int) -> DataFrame:
                             anchor = start + lead
                             core = hashes.both(np.array([anchor - step * OFFSETS]), np.array([anchor - step * OFFSETS - OFFSETS + 1 + length]))
                             places = np.arange(start, start + n)
-                            short = hashes.both(places, places + length).view(np.uint8).reshape(-1, 8)[:, :6]
-                            values = (int(core.view(np.int64)[0]) ^ step, doc, mark, start + low, s["settled"], short.tobytes())
+                            own = hashes.both(places, places + length)
+                            values = (int(core.view(np.int64)[0]) ^ step, doc, mark, start + low, s["settled"], own.tobytes())
                             for column, value in zip(out, values):
                                 column.append(value)
                             start, left, lead = start + n, left - n, lead - n
@@ -162,16 +162,23 @@ def _window_hashes(rows: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(run, "unit long, id long, hash long, start long, settled boolean, windows binary")
 
 
+def _again(number: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values occur more than once under their number; numbers are ascending."""
+    order = np.argsort(values, kind="stable")  # equal values stay in order of their numbers
+    values, number = values[order], number[order]
+    same = (values[1:] == values[:-1]) & (number[1:] == number[:-1])
+    out = np.zeros(len(values), bool)
+    out[order[1:][same]] = True
+    out[order[:-1][same]] = True
+    return out
+
+
 def _repeated_windows(units: DataFrame) -> DataFrame:
     """(id, hash, first, last): runs of windows that occur in more than one place, of rows sorted by unit that are not settled."""
     def found(columns: list) -> pa.RecordBatch:
         number, ids, marks, starts, settled, windows = columns
-        sizes = np.array([len(w) // 6 for w in windows])
-        values = np.zeros((int(sizes.sum()), 8), np.uint8)
-        values[:, :6] = np.frombuffer(b"".join(windows), np.uint8).reshape(-1, 6)
-        values[:, 6:] = np.repeat(np.array(number, np.uint16), sizes)[:, None].view(np.uint8).reshape(-1, 2)
-        _, place, times = np.unique(values.view(np.uint64).ravel(), return_inverse=True, return_counts=True)
-        again = times[place] > 1
+        sizes = np.array([len(w) // 8 for w in windows])
+        again = _again(np.repeat(np.array(number), sizes), np.frombuffer(b"".join(windows), np.uint64))
         out: list[list] = [[], [], [], []]
         at = 0
         for doc, mark, start, done, n in zip(ids, marks, starts, settled, sizes.tolist()):
@@ -191,7 +198,7 @@ def _repeated_windows(units: DataFrame) -> DataFrame:
         for batch in batches:
             for key, *values in zip(*(c.to_pylist() for c in batch.columns)):
                 if key != unit:
-                    if size > 6_000_000 or number >= 65_000:
+                    if size > 8_000_000:
                         yield found(held)
                         held, size, number = [[] for _ in range(6)], 0, -1
                     unit, number = key, number + 1

@@ -152,5 +152,13 @@ def test_substring_removal(spark):
     assert texts.columns == ["doc_id", "text", "n_bytes", "n_removed", "n_spans"] and texts.count() == len(rows)
 
 
+def test_windows_are_compared_by_all_bits_of_their_hash(spark):
+    values = [b"abcdef\x01\x00", b"abcdef\x02\x00", b"abcdef\x00\x01", b"abcdef\x00\x01"]
+    rows = [(7, i, 0, 100 * i, False, bytearray(v)) for i, v in enumerate(values)] + [(8, 9, 0, 0, False, bytearray(values[0]))]
+    units = spark.createDataFrame(rows, "unit long, id long, hash long, start long, settled boolean, windows binary").coalesce(1)
+    found = {tuple(r) for r in substring_dedup._repeated_windows(units).collect()}
+    assert found == {(2, 0, 200, 200), (3, 0, 300, 300)}
+
+
 def test_substring_removal_of_an_empty_table(spark):
     assert substring_dedup.remove_repeats(spark.createDataFrame([], "doc_id long, text string"), 400, digest=True).count() == 0

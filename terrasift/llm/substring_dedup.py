@@ -18,6 +18,8 @@ GRAM = 64
 CHUNK = 1 << 20
 #: Windows whose anchors lie in the same step of so many offsets are compared together.
 OFFSETS = 64
+#: Rows of a unit that one task compares; the units of a gram with more runs are dealt in blocks of about so many rows.
+UNIT_ROWS = 4096
 #: Bits of the map of documents that have work to do.
 MARK_BITS = 1 << 24
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -122,7 +124,7 @@ def spans(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _window_hashes(rows: DataFrame, length: int) -> DataFrame:
-    """(unit, id, hash, start, settled, windows) from rows (id, hash, text, spans): the windows' hashes of each span.
+    """(unit, id, hash, start, settled, blocks, windows) from rows (id, hash, text, spans): the windows' hashes of each span.
 
     A span is cut where the offset of its anchor enters another step of OFFSETS. The windows of a unit share the bytes
     around the anchor that all windows of such a step share; the 64-bit hash of those is the unit's key. Windows are equal
@@ -130,7 +132,7 @@ def _window_hashes(rows: DataFrame, length: int) -> DataFrame:
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(7)]
             for doc, mark, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
                 data = np.frombuffer(text.as_py().encode("utf-8", "surrogatepass"), np.uint8)
                 wanted.sort(key=lambda s: s["start"])
@@ -152,14 +154,14 @@ def _window_hashes(rows: DataFrame, length: int) -> DataFrame:
                             core = hashes.both(np.array([anchor - step * OFFSETS]), np.array([anchor - step * OFFSETS - OFFSETS + 1 + length]))
                             places = np.arange(start, start + n)
                             own = hashes.both(places, places + length)
-                            values = (int(core.view(np.int64)[0]) ^ step, doc, mark, start + low, s["settled"], own.tobytes())
+                            values = (int(core.view(np.int64)[0]) ^ step, doc, mark, start + low, s["settled"], s["blocks"], own.tobytes())
                             for column, value in zip(out, values):
                                 column.append(value)
                             start, left, lead = start + n, left - n, lead - n
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["unit", "id", "hash", "start", "settled", "windows"])
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["unit", "id", "hash", "start", "settled", "blocks", "windows"])
 
-    return rows.mapInArrow(run, "unit long, id long, hash long, start long, settled boolean, windows binary")
+    return rows.mapInArrow(run, "unit long, id long, hash long, start long, settled boolean, blocks int, windows binary")
 
 
 def _again(number: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -173,6 +175,11 @@ def _again(number: np.ndarray, values: np.ndarray) -> np.ndarray:
     return out
 
 
+def _runs(own: np.ndarray) -> list[list[int]]:
+    """(first, end) of the runs of true values."""
+    return np.flatnonzero(np.diff(np.r_[False, own, False].astype(np.int8))).reshape(-1, 2).tolist()
+
+
 def _repeated_windows(units: DataFrame) -> DataFrame:
     """(id, hash, first, last): runs of windows that occur in more than one place, of rows sorted by unit that are not settled."""
     def found(columns: list) -> pa.RecordBatch:
@@ -186,8 +193,7 @@ def _repeated_windows(units: DataFrame) -> DataFrame:
             at += n
             if done or not own.any():
                 continue
-            edges = np.flatnonzero(np.diff(np.r_[False, own, False].astype(np.int8)))
-            for first, end in edges.reshape(-1, 2).tolist():
+            for first, end in _runs(own):
                 for column, value in zip(out, (doc, mark, start + first, start + end - 1)):
                     column.append(value)
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["id", "hash", "first", "last"])
@@ -211,6 +217,66 @@ def _repeated_windows(units: DataFrame) -> DataFrame:
     return units.mapInArrow(run, "id long, hash long, first long, last long")
 
 
+def _repeated_in_blocks(units: DataFrame) -> DataFrame:
+    """What _repeated_windows finds, for units of any number of rows: no task holds more than a block of a unit.
+
+    A row's block follows from its place. Each block names its different windows once, these are counted over all blocks
+    of the unit, and the repeated ones go back to the blocks that named them.
+    """
+    n = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = units.withColumn("block", F.pmod(F.xxhash64("id", "hash", "start"), F.col("blocks")).cast("int"))
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        key = None
+
+        def emit() -> pa.RecordBatch:
+            values, times = np.unique(np.frombuffer(b"".join(held), np.int64), return_counts=True)
+            columns = [pa.array(np.full(len(values), key[0])), pa.array(np.full(len(values), key[1], np.int32)), pa.array(values), pa.array(times > 1)]
+            return pa.RecordBatch.from_arrays(columns, ["unit", "block", "window", "again"])
+
+        for batch in batches:
+            for unit, block, windows in zip(*(c.to_pylist() for c in batch.columns)):
+                if (unit, block) != key:
+                    if held:
+                        yield emit()
+                    held, key = [], (unit, block)
+                held.append(windows)
+        if held:
+            yield emit()
+
+    blocks = rows.select("unit", "block", "windows").repartition(n, "unit", "block").sortWithinPartitions("unit", "block")
+    names = blocks.mapInArrow(named, "unit long, block int, window long, again boolean")
+    counts = names.groupBy("unit", "window").agg(F.count("*").alias("n"), F.max("again").alias("again"), F.collect_list("block").alias("blocks"))
+    found = counts.where(F.col("again") | (F.col("n") > 1)).select("unit", F.explode("blocks").alias("block"), "window")
+    known = found.groupBy("unit", "block").agg(F.collect_list("window").alias("known"))
+    columns = ["unit", "block", "id", "hash", "start", "windows", "known"]
+    nothing = {"id": "long", "hash": "long", "start": "long", "windows": "binary"}
+    known = known.select("unit", "block", *[F.lit(None).cast(t).alias(c) for c, t in nothing.items()], "known")
+    own = rows.where(~F.col("settled")).withColumn("known", F.lit(None).cast("array<bigint>"))
+    both = own.select(*columns).unionByName(known.select(*columns)).repartition(n, "unit", "block")
+
+    def located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, again = None, np.empty(0, np.int64)
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+            lists = batch.column(6)
+            for at, (unit, block, doc, mark, start, windows) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(6)))):
+                if windows is None:
+                    key, again = (unit, block), np.sort(lists[at].values.to_numpy())
+                elif (unit, block) == key:
+                    values = np.frombuffer(windows, np.int64)
+                    places = np.minimum(np.searchsorted(again, values), len(again) - 1)
+                    for first, end in _runs(again[places] == values):
+                        for column, value in zip(out, (doc, mark, start + first, start + end - 1)):
+                            column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["id", "hash", "first", "last"])
+
+    # a block's repeated windows come before its rows
+    ordered = both.sortWithinPartitions("unit", "block", F.col("windows").isNotNull())
+    return ordered.mapInArrow(located, "id long, hash long, first long, last long")
+
+
 def _marked(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(documents that keys (id, hash) may hold, the others for certain), split without a shuffle of their texts.
 
@@ -242,27 +308,39 @@ def repeated_ranges(docs: DataFrame, length: int = 400) -> DataFrame:
 
     Runs of windows whose anchor's gram occurs once are new. Of the others, runs that are equal as a whole settle each
     other, so copies cost a row for each run; the windows of runs that differ are compared one by one with one
-    copy of every other run of that gram. Groups of equal windows are counted, never listed pair by pair.
+    copy of every other run of that gram. Groups of equal windows are counted, never listed pair by pair, and
+    the runs of a gram with more than UNIT_ROWS are compared in blocks.
     """
     bound_batches(docs.sparkSession)
     every = cut_lineage(spans(docs, length))
     kind = F.xxhash64("size", "lead", "content")
     grams = every.groupBy("gram").agg(F.count("*").alias("n"), F.min(kind).alias("lo"), F.max(kind).alias("hi")).where("n > 1")
-    again = every.join(grams.select("gram", (F.col("lo") != F.col("hi")).alias("mixed")), "gram")
+    blocks = F.ceil(F.col("n") / UNIT_ROWS).cast("int").alias("blocks")
+    again = every.join(grams.select("gram", (F.col("lo") != F.col("hi")).alias("mixed"), blocks), "gram")
     again = cut_lineage(again)
     same = ["gram", "size", "lead", "content"]
-    kinds = again.groupBy(*same).agg(F.count("*").alias("times"), F.first("mixed").alias("mixed"), F.min(F.struct("id", "hash", "start")).alias("one"))
+    kinds = again.groupBy(*same).agg(F.count("*").alias("times"), F.first("mixed").alias("mixed"), F.first("blocks").alias("blocks"), F.min(F.struct("id", "hash", "start")).alias("one"))
     kinds = cut_lineage(kinds)
     settled = again.join(kinds.where("times > 1").select(*same), same).select("id", "hash", F.col("start").alias("first"), (F.col("start") + F.col("size") - 1).alias("last"))
-    open_ = kinds.where("mixed").select("one.*", "size", "lead", (F.col("times") > 1).alias("settled"))
-    by_doc = open_.groupBy("id", "hash").agg(F.collect_list(F.struct("start", "size", "lead", "settled")).alias("spans"))
+    open_ = kinds.where("mixed").select("one.*", "size", "lead", (F.col("times") > 1).alias("settled"), "blocks")
+    few = _repeated_windows(_units(docs, open_.where("blocks = 1"), length).drop("blocks"))
+    found = settled.unionByName(few)
+    many = open_.where("blocks > 1")
+    if many.isEmpty():
+        return found
+    return found.unionByName(_repeated_in_blocks(cut_lineage(_units(docs, many, length, dealt=False))))
+
+
+def _units(docs: DataFrame, open_: DataFrame, length: int, dealt: bool = True) -> DataFrame:
+    """The rows of _window_hashes of the runs in open_, sorted by unit within partitions if dealt."""
+    by_doc = open_.groupBy("id", "hash").agg(F.collect_list(F.struct("start", "size", "lead", "settled", "blocks")).alias("spans"))
     by_doc = cut_lineage(by_doc)
     wanted = by_doc.withColumnsRenamed({"id": "_id", "hash": "_hash"})
     on = F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))
     texts = _marked(docs, by_doc.select("id", "hash"))[0].join(wanted, on).dropDuplicates(["id", "hash"]).select("id", "hash", "text", "spans")
+    rows = _window_hashes(texts, length)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    units = _window_hashes(texts, length).repartition(n, "unit").sortWithinPartitions("unit")
-    return settled.unionByName(_repeated_windows(units))
+    return rows.repartition(n, "unit").sortWithinPartitions("unit") if dealt else rows
 
 
 def _cut(data: bytes, ranges: list[tuple[int, int]], length: int) -> tuple[bytes, int, int]:

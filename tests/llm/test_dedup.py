@@ -160,5 +160,25 @@ def test_windows_are_compared_by_all_bits_of_their_hash(spark):
     assert found == {(2, 0, 200, 200), (3, 0, 300, 300)}
 
 
+def test_large_units_are_compared_in_blocks(spark, monkeypatch):
+    # one passage in differing surroundings, some runs of which are equal as a whole
+    rng = random.Random(8)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(900))
+    other = ["".join(rng.choice("ijklmnop ") for _ in range(300)) for _ in range(40)]
+    rows = [(i, other[i % 30] + passage[i % 7:850 + i % 11] + other[39 - i % 37]) for i in range(40)] + [(50, None), (51, other[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(substring_dedup, "UNIT_ROWS", 5)
+    blocks, held = [], substring_dedup._repeated_in_blocks
+    monkeypatch.setattr(substring_dedup, "_repeated_in_blocks", lambda units: blocks.append(units) or held(units))
+    found = {r.doc_id: r.kept_sha256 for r in substring_dedup.remove_repeats(docs, 400, digest=True).collect()}
+    times = collections.Counter((t or "")[p:p + 400] for _, t in rows for p in range(len(t or "") - 399))
+    for d, t in rows:
+        gone = {q for p in range(len(t or "") - 399) if times[t[p:p + 400]] > 1 for q in range(p, p + 400)}
+        assert found[d] == hashlib.sha256("".join(c for q, c in enumerate(t or "") if q not in gone).encode()).hexdigest()
+    sizes = [r["n"] for r in blocks[0].groupBy("unit", F.pmod(F.xxhash64("id", "hash", "start"), F.col("blocks"))).agg(F.count("*").alias("n")).collect()]
+    whole = [r["n"] for r in blocks[0].groupBy("unit").agg(F.count("*").alias("n")).collect()]
+    assert max(whole) > 20 and max(sizes) <= 15
+
+
 def test_substring_removal_of_an_empty_table(spark):
     assert substring_dedup.remove_repeats(spark.createDataFrame([], "doc_id long, text string"), 400, digest=True).count() == 0

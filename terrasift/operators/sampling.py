@@ -49,7 +49,7 @@ def sample_numbering(df: DataFrame, groups: list[str], order: list[str]) -> Data
 
 
 def holdout_search(
-    counts: DataFrame, trials: int = 200, val_share: float = 0.2, min_per_class: int = 30, seed: int = 42,
+    counts: DataFrame, trials: int = 5000, val_share: float = 0.2, min_per_class: int = 3, seed: int = 42,
 ) -> DataFrame:
     """(trial, score, val_n, regions) of the best of random region orders, from counts (region_id, class_name, n).
 
@@ -83,15 +83,15 @@ def inverse_frequency_weights(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count("*").alias("n")).withColumn("weight", 1 / F.col("n"))
 
 
-def weighted_resample(df: DataFrame, column: str, key: str, draws: int, seed: int = 42) -> DataFrame:
+def weighted_resample(df: DataFrame, column: str, key: str, draws: int | None = None, seed: int = 42) -> DataFrame:
     """(draw, key): draws with replacement where each value of column is equally likely and each of its rows, too.
 
-    The draw picks a value, then a place among the value's rows; rows are ranked within their value, so the join is on
+    There are as many draws as df has rows unless draws says otherwise. The draw picks a value, then a place among the value's rows; rows are ranked within their value, so the join is on
     (value, place) and needs no running sum over all rows.
     """
     values = df.groupBy(column).agg(F.count("*").alias("n"))
     values = values.withColumn("v", F.row_number().over(Window.orderBy(column)) - 1).withColumn("k", F.count("*").over(Window.partitionBy()))
-    picks = df.sparkSession.range(draws).withColumnRenamed("id", "draw")
+    picks = df.sparkSession.range(df.count() if draws is None else draws).withColumnRenamed("id", "draw")
     picks = picks.withColumn("u", draw(F.col("draw"), seed)).withColumn("w", draw(F.col("draw"), seed + 1))
     picked = picks.join(values, F.floor(F.col("u") * F.col("k")) == F.col("v"))
     picked = picked.withColumn("place", F.floor(F.col("w") * F.col("n")) + 1)

@@ -566,7 +566,7 @@ def leakage_audit(samples: DataFrame, regions: DataFrame) -> DataFrame:
 
 @query("fx_objects")
 def holdout_search(objects: DataFrame) -> DataFrame:
-    return sampling.holdout_search(objects.groupBy("region_id", "class_name").agg(F.count("*").alias("n")))
+    return sampling.holdout_search(objects.groupBy("region_id", "class_name").agg(F.count("*").alias("n")), trials=200, min_per_class=30)  # as its SQL
 
 
 @query("fx_samples")

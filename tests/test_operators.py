@@ -81,3 +81,17 @@ def test_results_do_not_depend_on_partitions(spark):
         return sorted(kept.collect()), sorted((r.sample_id, r.sample_no) for r in numbered.collect())
 
     assert run(1) == run(17)
+
+
+def test_holdout_search_tries_5000_orders(spark):
+    counts = spark.createDataFrame([(r, c, 1 + (r * r * 37 + r * c * 11 + c) % 97) for r in range(40) for c in range(4)], "region_id long, class_name long, n long")
+    found = sampling.holdout_search(counts).first()
+    assert found == sampling.holdout_search(counts, trials=5000).first()
+    # a later order is better than the best of the first 200
+    assert found.trial >= 200 and found.score < sampling.holdout_search(counts, trials=200).first().score
+
+
+def test_weighted_resample_draws_as_many_rows_as_the_table_has(spark):
+    for n in (0, 7, 3000):
+        table = spark.range(n).select(F.col("id").alias("key"), (F.col("id") % 3).alias("kind"))
+        assert sampling.weighted_resample(table, "kind", "key").count() == n

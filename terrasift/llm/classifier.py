@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 #: A token is a run of letters and digits (any non-ASCII character counts as a letter) or of other visible characters.
 _TOKEN = re.compile(rb"[0-9A-Za-z_\x80-\xff]+|[^\s0-9A-Za-z_\x80-\xff]+")
 
@@ -85,6 +87,7 @@ def train(
     used, those whose ids have the least hash, so that the choice does not depend on partitions; their documents are
     split among settings.shards learners by hash, and the learners' weights are averaged.
     """
+    bound_batches(docs.sparkSession)
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     known = known.groupBy(F.col(id_col).cast("long").alias("_id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("_label"))
     known = known.withColumn("_hash", F.xxhash64("_id")).orderBy("_hash", "_id").limit(settings.train_docs)
@@ -121,6 +124,7 @@ def score(
 
     Whole texts are scored. A null or empty text gets the score of the bias alone; an empty table gives an empty result.
     """
+    bound_batches(docs.sparkSession)
     weights, bias = model
     own = docs.drop(*[c for c in (score_col, predicted_col) if c != text_col])
 

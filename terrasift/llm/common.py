@@ -42,11 +42,15 @@ def drop_scratch(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Pass at most so many rows to Python at once from now on: whole texts make batches of the default 10,000 rows large."""
+def bound_batches(spark: SparkSession, rows: int = 1000, size: str = "4m") -> None:
+    """Pass at most so many rows and bytes to Python at once: whole texts make batches of the default 10,000 rows large.
+
+    Every operator that passes whole texts calls it with the same bounds, so none depends on which ran before.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows:
         spark.conf.set(key, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def text_hash(text: str | Column) -> Column:

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
     r"|<(script|style|template|noscript|textarea|iframe|svg|title|select)\b[^>]*>.*?(?:</\1\s*>|\Z)"
@@ -168,6 +170,7 @@ def learn_weights(
     nothing if it stands inside more often; the scale is that of `scales` whose runs match the labelled words best (F1),
     the smallest of equals. Without labelled pages every tag weighs the same.
     """
+    bound_batches(pages.sparkSession)
     raw = F.col(html_col)
     labelled = pages.where(raw.rlike("(?i)<(article|main)[ >]")).select(raw.alias("h"))
     share = min(1.0, sample / max(1, labelled.count()))
@@ -213,6 +216,7 @@ def extract(pages: DataFrame, weights: Weights | None = None, *, html_col: str =
     an empty text. Repeated rows and ids play no part; an empty table gives an empty result.
     """
     weights = learn_weights(pages, html_col=html_col) if weights is None else weights
+    bound_batches(pages.sparkSession)
     others = [c for c in pages.columns if c not in (html_col, text_col, chars_col)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

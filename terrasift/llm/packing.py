@@ -14,12 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import bound_batches, cut_lineage
 
-#: Words whose ids a Python worker remembers; the memory is emptied when it is full.
-WORDS_KEPT = 1_000_000
-#: Bytes of text that are tokenized together.
-TOGETHER = 4_000_000
+#: Words whose ids a Python worker remembers, twice: those met since the memory was last full, and those met before it.
+WORDS_KEPT = 60_000
+#: Characters of text that are tokenized together.
+TOGETHER = 500_000
 #: Pieces of one length that are numbered together.
 NUMBERED_TOGETHER = 8192
 
@@ -64,13 +64,12 @@ class _WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.mark, self.mark_id = mark, self.tokenizer.token_to_id(mark)
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def _learn(self, words: set[bytes]) -> None:
-        if len(self.known) + len(words) > WORDS_KEPT:
-            self.known.clear()
         plain, model = [], self.tokenizer.model
         for word in words:
             unit = _latin_unit(word)
@@ -91,11 +90,11 @@ class _WordEncoder:
     def ids(self, texts: list[str]) -> list[bytes]:
         words = [_MARKS.sub(rb" \g<0>", text.encode().lower()).split() for text in texts]
         every = set().union(*words)
-        new = every.difference(self.known)
-        if new:
-            if len(self.known) + len(new) > WORDS_KEPT:
-                new = every
-            self._learn(new)
+        if len(self.known) > WORDS_KEPT:
+            self.known, self.before = {}, self.known
+        for word in (new := every.difference(self.known)).intersection(self.before):
+            self.known[word] = self.before[word]
+        self._learn(new.difference(self.known))
         get = self.known.__getitem__
         return [b"".join(map(get, w)) for w in words]
 
@@ -151,6 +150,7 @@ def tokenize_pieces(
                 arrays, names = [*arrays, pa.array(out[5], pa.binary())], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(arrays, names)
 
+    bound_batches(docs.sparkSession)
     schema = _PIECES + (", ids binary" if with_ids else "")
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, schema)
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import bound_batches, cut_lineage
 
 #: Character classes: white space, upper case, other ASCII letter, other letter, digit, punctuation, anything else.
 N_CLASSES = 7
@@ -135,7 +135,7 @@ def word_histogram(text: str, places: dict[bytes, int]) -> np.ndarray:
 def word_counts(docs: DataFrame, limits: Limits, *, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(lang, word, n): how often each short word occurs in all documents of a language key; the empty word counts all.
 
-    Each task adds up its documents before anything is shuffled and empties its counter when that holds a million words.
+    Each task adds up its documents before anything is shuffled and empties its counter when that holds 200,000 words.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[str, Counter] = {}
@@ -154,7 +154,7 @@ def word_counts(docs: DataFrame, limits: Limits, *, text_col: str = "text", lang
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 words.setdefault(_key(lang), Counter()).update(plain_words(text.as_py() or ""))
-            if sum(map(len, words.values())) > 1_000_000:
+            if sum(map(len, words.values())) > 200_000:
                 yield emit()
         yield emit()
 
@@ -252,6 +252,7 @@ def apply_rules(
     as empty: all counts 0, base_failed, distances 1. Ties, repeated rows and ids play no part; an empty table gives an
     empty result. Whole texts are read, one at a time.
     """
+    bound_batches(docs.sparkSession)
     made = [*MEASURES, "base_failed", "kept", "class_distance", "word_distance"]
     known = references(docs, limits, text_col=text_col, lang_col=lang_col) if reference is None else reference
     nothing: Reference = ({}, np.zeros(2), np.zeros(N_CLASSES))

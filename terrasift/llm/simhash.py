@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import bound_batches, cut_lineage
 from .components import connected_components, spanning_stars
 
 #: Segments are 2 bits wide: 32 bit counts, 16 for each half of the fingerprint.
@@ -53,6 +53,7 @@ def with_fingerprint(docs: DataFrame, *, text_col: str = "text", shingle: int =
             table = table.remove_column(at) if at >= 0 else table
             yield from table.append_column(out_col, pa.array(prints, pa.int64())).to_batches()
 
+    bound_batches(docs.sparkSession)
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes if n != out_col)
     return docs.mapInArrow(run, f"{schema}, `{out_col}` long")
 

@@ -12,11 +12,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut_lineage
+from .common import bound_batches, cut_lineage, lookup_join
 
+#: References that a Python worker remembers.
+LANGUAGES_HELD = 1000
 #: Character classes: white space, upper case, other ASCII letter, other letter, digit, punctuation, anything else.
 N_CLASSES = 7
 _SYMBOLS = "#*$%&|<>"
@@ -38,8 +40,7 @@ class Limits:
     min_words: int = 50  # texts of fewer words are not judged by common words
     common_words: int = 50  # words in a language's reference
     max_word_chars: int = 8  # longer words are not common words
-    min_reference_words: int = 5000  # a language with fewer words in all is judged by the reference of all languages
-    max_languages: int = 1000  # languages with a reference of their own, those with most words first
+    prior_docs: float = 5.0  # documents of all languages that a language's character classes are mixed with
 
 
 @lru_cache(1)
@@ -108,12 +109,12 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
 
 
 Reference = tuple[dict[bytes, int], np.ndarray, np.ndarray]
-#: Key of the reference of all languages; languages have theirs, see _key.
-ALL = "all"
+NOTHING: Reference = ({}, np.zeros(2), np.zeros(N_CLASSES))
 
 
-def _key(lang: str | None) -> str:
-    return "null" if lang is None else f"={lang}"
+def _key(lang_col: str) -> Column:
+    """Key of a language; documents without one are a language of their own."""
+    return F.coalesce(F.concat(F.lit("="), F.col(lang_col).cast("string")), F.lit("null"))
 
 
 def _is_symbol(word: bytes) -> bool:
@@ -122,7 +123,10 @@ def _is_symbol(word: bytes) -> bool:
 
 def word_histogram(text: str, places: dict[bytes, int]) -> np.ndarray:
     """Counts of the common words at their places, then of all other words and of words without a letter or digit."""
-    found = plain_words(text)
+    return histogram(plain_words(text), places)
+
+
+def histogram(found: list[bytes], places: dict[bytes, int]) -> np.ndarray:
     counts = Counter(found)
     out = np.zeros(len(places) + 2)
     for w, k in places.items():
@@ -133,7 +137,7 @@ def word_histogram(text: str, places: dict[bytes, int]) -> np.ndarray:
 
 
 def word_counts(docs: DataFrame, limits: Limits, *, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(lang, word, n): how often each short word occurs in all documents of a language key; the empty word counts all.
+    """(lang, word, n): how often each short word occurs in all documents of a language key.
 
     Each task adds up its documents before anything is shuffled and empties its counter when that holds 200,000 words.
     """
@@ -143,7 +147,6 @@ def word_counts(docs: DataFrame, limits: Limits, *, text_col: str = "text", lang
         def emit() -> pa.RecordBatch:
             rows = []
             for lang, counts in words.items():
-                rows.append((lang, "", sum(counts.values())))
                 for w, n in counts.items():
                     if len(w) <= 4 * limits.max_word_chars and len(s := w.decode()) <= limits.max_word_chars and s.isalpha():
                         rows.append((lang, s, n))
@@ -153,78 +156,85 @@ def word_counts(docs: DataFrame, limits: Limits, *, text_col: str = "text", lang
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                words.setdefault(_key(lang), Counter()).update(plain_words(text.as_py() or ""))
+                words.setdefault(lang, Counter()).update(plain_words(text.as_py() or ""))
             if sum(map(len, words.values())) > 200_000:
                 yield emit()
         yield emit()
 
-    rows = docs.select(F.col(lang_col).cast("string"), F.col(text_col)).mapInArrow(run, "lang string, word string, n long")
+    rows = docs.select(_key(lang_col), F.col(text_col)).mapInArrow(run, "lang string, word string, n long")
     return rows.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def common_words(docs: DataFrame, limits: Limits, **columns) -> dict[str, list[str]]:
-    """The most frequent short words of each language that has enough words, and of all; a bounded number of rows."""
-    counts = cut_lineage(word_counts(docs, limits, **columns))
-    large = counts.where("word = ''").where(F.col("n") >= limits.min_reference_words).orderBy(F.desc("n"), "lang").limit(limits.max_languages)
-    langs = [r["lang"] for r in large.collect()]
-    every = counts.groupBy("word").agg(F.sum("n").alias("n")).select(F.lit(ALL).alias("lang"), "word", "n")
-    both = counts.where(F.col("lang").isin(langs)).unionByName(every).where("word <> ''")
+def common_words(docs: DataFrame, limits: Limits, **columns) -> DataFrame:
+    """(lang, words): the most frequent short words of each language key, ties by the word; at most one row a language."""
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    top = both.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= limits.common_words)
-    out: dict[str, list[str]] = {lang: [] for lang in [*langs, ALL]}
-    for r in sorted(top.collect(), key=lambda r: r["_r"]):
-        out[r["lang"]].append(r["word"])
-    return out
+    top = word_counts(docs, limits, **columns).withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= limits.common_words)
+    return top.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("_r", "word"))).alias("w")).select("lang", F.col("w.word").alias("words"))
+
 
+def _with_row_of(docs: DataFrame, table: DataFrame, lang_col: str, id_col: str | None) -> DataFrame:
+    """docs with the columns of the table's row of their language: broadcast if that has few rows, else by a salted join."""
+    salt = [id_col] if id_col else [lang_col]
+    return lookup_join(docs.withColumn("_lang", _key(lang_col)), table.withColumnRenamed("lang", "_lang"), table.count(), "_lang", salt)
 
-def references(docs: DataFrame, limits: Limits = Limits(), *, text_col: str = "text", lang_col: str = "lang") -> dict[str, Reference]:
-    """Language key -> (place of each common word, word histogram, class histogram), and ALL -> that of all languages.
 
-    A reference is the mean of the histograms of all documents that have a word. Only texts of the same words in the same
-    order (see plain_words) count once, or one text with thousands of copies would pull its language towards itself;
-    near copies that differ in a word count each. At most (max_languages + 1) * (common_words + 9) rows come to the driver.
+def references(docs: DataFrame, limits: Limits = Limits(), *, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(lang, words, by_words, by_classes) for every language key that has a word: the sums of its documents' histograms.
+
+    Every document with a word counts alike. Only texts of the same words in the same order (see plain_words) count
+    once, or one text with thousands of copies would pull its language towards itself; near copies that differ in a word
+    count each. To the classes of a language those of limits.prior_docs average documents of all languages are added, so
+    that they matter less the more documents it has. Languages are a joined table: their number has no bound.
     """
-    lists = common_words(docs, limits, text_col=text_col, lang_col=lang_col)
-    places = {lang: {w.encode(): k for k, w in enumerate(words)} for lang, words in lists.items()}
+    lists = cut_lineage(common_words(docs, limits, text_col=text_col, lang_col=lang_col))
+    texts = docs.select(F.col(lang_col), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("_salt_by"))
+    texts = _with_row_of(texts, lists, lang_col, "_salt_by").select("_lang", "words", "text")
 
     def histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places: dict[str, dict[bytes, int]] = {}
         for batch in batches:
             rows = []
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if not (text := text.as_py()):
+            for at, (lang, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2))):
+                found = plain_words(text := text.as_py() or "")
+                if not found:
                     continue
-                found = plain_words(text)
+                if lang not in places:
+                    places[lang] = {w.encode(): k for k, w in enumerate(batch.column(1)[at].as_py() or ())}
                 own = zlib.crc32(text.encode("utf-8", "replace"))
                 sign = int.from_bytes(hashlib.blake2b(b" ".join(found), digest_size=8).digest(), "big", signed=True)
-                classes = class_counts(text)
-                for key in (_key(lang), ALL):
-                    if found and key in places:
-                        words = word_histogram(text, places[key])
-                        rows.append((key, sign, own, [*(words / words.sum()), *(classes / classes.sum())]))
+                words, classes = histogram(found, places[lang]), class_counts(text)
+                rows.append((lang, sign, own, [*(classes / classes.sum()), *(words / words.sum())]))
             columns = list(zip(*rows)) or [[], [], [], []]
             types = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["lang", "sign", "own", "h"])
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
+
+        def emit() -> pa.RecordBatch:
+            rows = [(lang, k, v) for lang, h in total.items() for k, v in enumerate(h.tolist())]
+            total.clear()
+            columns = list(zip(*rows)) or [[], [], []]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.float64()))], ["lang", "k", "v"])
+
         for batch in batches:
             for lang, h in zip(batch.column(0).to_pylist(), batch.column(1)):
                 total[lang] = total.get(lang, 0) + h.values.to_numpy().astype(float)
-        rows = [(lang, k, v) for lang, h in total.items() for k, v in enumerate(h.tolist())]
-        columns = list(zip(*rows)) or [[], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.float64()))], ["lang", "k", "v"])
+            if len(total) > 10_000:
+                yield emit()
+        yield emit()
 
-    rows = docs.select(F.col(lang_col).cast("string"), F.col(text_col)).mapInArrow(histograms, "lang string, sign long, own long, h array<float>")
+    rows = texts.mapInArrow(histograms, "lang string, sign long, own long, h array<float>")
     one = rows.groupBy("lang", "sign").agg(F.min_by("h", "own").alias("h")).select("lang", "h")
-    total = one.mapInArrow(sums, "lang string, k long, v double").groupBy("lang", "k").agg(F.sum("v").alias("v")).collect()
-    found: dict[str, dict[int, float]] = {}
-    for r in total:
-        found.setdefault(r["lang"], {})[r["k"]] = r["v"]
-    out = {}
-    for lang, values in found.items():
-        h = np.array([values[k] for k in sorted(values)])
-        out[lang] = (places[lang], h[:-N_CLASSES], h[-N_CLASSES:])
-    return out
+    total = cut_lineage(one.mapInArrow(sums, "lang string, k long, v double").groupBy("lang", "k").agg(F.sum("v").alias("v")))
+    every = np.zeros(N_CLASSES)
+    for r in total.where(F.col("k") < N_CLASSES).groupBy("k").agg(F.sum("v").alias("v")).collect():
+        every[r["k"]] = r["v"]
+    prior = F.array(*[F.lit(float(x)) for x in limits.prior_docs * every / max(1.0, every.sum())])
+    arrays = total.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("h")).select("lang", F.col("h.v").alias("h"))
+    classes = F.zip_with(F.slice("h", 1, N_CLASSES), prior, lambda a, b: a + b)
+    arrays = arrays.select("lang", F.slice("h", N_CLASSES + 1, limits.common_words + 2).alias("by_words"), classes.alias("by_classes"))
+    return arrays.join(lists.withColumnRenamed("lang", "_lang"), F.col("lang") == F.col("_lang"), "left").select("lang", "words", "by_words", "by_classes")
 
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -243,34 +253,47 @@ def judge(text: str | None, reference: Reference, limits: Limits) -> tuple:
 
 
 def apply_rules(
-    docs: DataFrame, limits: Limits = Limits(), *, text_col: str = "text", lang_col: str = "lang", reference: dict | None = None,
+    docs: DataFrame, limits: Limits = Limits(), *, text_col: str = "text", lang_col: str = "lang", reference: DataFrame | None = None,
 ) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, class_distance and word_distance.
 
     Columns of these names are replaced. The references are taken from docs itself unless given. A document is judged by
-    its language's reference; a null or rare language by that of all texts if it has none of its own. A null text counts
-    as empty: all counts 0, base_failed, distances 1. Ties, repeated rows and ids play no part; an empty table gives an
-    empty result. Whole texts are read, one at a time.
+    its language's reference, which the document itself is part of, so a language of few documents is judged leniently;
+    documents without a language are judged by all of their like. A null text counts as empty: all counts 0,
+    base_failed, distances 1. Ties, repeated rows and ids play no part; an empty table gives an empty result. Whole
+    texts are read, one at a time.
     """
     bound_batches(docs.sparkSession)
     made = [*MEASURES, "base_failed", "kept", "class_distance", "word_distance"]
-    known = references(docs, limits, text_col=text_col, lang_col=lang_col) if reference is None else reference
-    nothing: Reference = ({}, np.zeros(2), np.zeros(N_CLASSES))
-    own = docs.drop(*[c for c in made if c not in (text_col, lang_col)])
+    known = cut_lineage(references(docs, limits, text_col=text_col, lang_col=lang_col)) if reference is None else reference
+    columns = [c for c in docs.columns if c not in made or c in (text_col, lang_col)]
+    packed = docs.select(F.struct(*columns).alias("_row"), F.col(lang_col).alias("_language"), F.xxhash64(text_col).alias("_salt_by"))
+    own = _with_row_of(packed, known, "_language", "_salt_by").select("_row.*", F.col("_lang").alias("_key"), F.struct("words", "by_words", "by_classes").alias("_ref"))
     types = [*[pa.int64()] * 5, pa.bool_(), pa.bool_(), pa.float64(), pa.float64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, Reference] = {}
+
+        def reference_of(key: str, row: pa.StructScalar) -> Reference:
+            if key not in held:
+                if len(held) >= LANGUAGES_HELD:
+                    held.clear()
+                r = row.as_py()
+                held[key] = NOTHING if r["by_words"] is None else (
+                    {w.encode(): k for k, w in enumerate(r["words"] or ())}, np.array(r["by_words"]), np.array(r["by_classes"]))
+            return held[key]
+
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            rows = [
-                judge(text.as_py(), known.get(_key(lang)) or known.get(ALL) or nothing, limits)
-                for text, lang in zip(batch.column(text_col), batch.column(lang_col).to_pylist())
-            ]
+            table = pa.Table.from_batches([batch]).select(columns)
+            refs = batch.column(batch.num_columns - 1)
+            keys = batch.column(batch.num_columns - 2).to_pylist()
+            rows = [judge(text.as_py(), reference_of(key, refs[at]), limits) for at, (text, key) in enumerate(zip(batch.column(text_col), keys))]
             for name, kind, values in zip(made, types, zip(*rows) if rows else [[]] * len(made)):
                 table = table.append_column(name, pa.array(values, kind))
             yield from table.to_batches()
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in own.dtypes)
+    kinds = dict(docs.dtypes)
+    schema = ", ".join(f"`{n}` {kinds[n]}" for n in columns)
     added = ", ".join([*(f"{m} long" for m in MEASURES), "base_failed boolean, kept boolean, class_distance double, word_distance double"])
     return own.mapInArrow(run, f"{schema}, {added}")
 

@@ -1,5 +1,7 @@
 """Quality rules, extraction, sharding, mixing, packing, search and classifier: edge cases and brute force."""
 
+import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -56,10 +58,74 @@ def test_references_are_means_over_all_texts(spark):
     # different texts that share their long words, and copies of one of them that differ in case and punctuation
     texts = [f"extraordinary circumstances of item{k} " + "and so on " * (k + 1) for k in range(30)]
     rows = [(k, t, "en") for k, t in enumerate([*texts, texts[3], texts[3].upper(), texts[3].replace(" of ", ", of ")])]
-    found = quality_rules.references(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    places, by_words, by_classes = found[quality_rules.ALL]
+    found, = quality_rules.references(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    places = {w.encode(): k for k, w in enumerate(found.words)}
     want = sum(h / h.sum() for h in (quality_rules.word_histogram(t, places) for t in texts))
-    assert np.allclose(by_words, want, atol=1e-5) and round(by_words.sum(), 4) == round(by_classes.sum(), 4) == 30
+    assert found.lang == "=en" and np.allclose(found.by_words, want, atol=1e-5)
+    assert round(sum(found.by_classes), 4) == 30 + quality_rules.Limits().prior_docs
+
+
+def plain_distance(a, b):
+    """Jensen-Shannon distance of two dicts of counts, term by term."""
+    if not sum(a.values()) or not sum(b.values()):
+        return 1.0
+    p, q = ({k: v / sum(x.values()) for k, v in x.items()} for x in (a, b))
+    m = {k: (p.get(k, 0) + q.get(k, 0)) / 2 for k in {*p, *q}}
+    return math.sqrt(max(0.0, sum(x[k] * math.log2(x[k] / m[k]) / 2 for x in (p, q) for k in x if x[k])))
+
+
+def plain_class(c):
+    if c.isspace():
+        return "space"
+    if c.isupper():
+        return "upper"
+    if c.isalpha():
+        return "letter" if c.isascii() else "other letter"
+    return "digit" if c.isdigit() else "mark" if c in ".,;:'\"!?-()" else "rest"
+
+
+def plain_histogram(text, common):
+    out = Counter()
+    for w in re.sub(r'[.,;:!?"()]', " ", text.lower()).split():
+        out[w if w in common else "-symbol" if not any(c.isalnum() or ord(c) > 127 for c in w) else "-other"] += 1
+    return out
+
+
+def test_distances_and_verdicts_against_brute_force(spark):
+    rng = random.Random(4)
+    vocabulary = {lang: ["".join(rng.choice("abcdeéñ") for _ in range(rng.randint(2, 10))) for _ in range(90)] for lang in ("en", "fr", None)}
+    rows = []
+    for i in range(60):
+        lang = rng.choice([*vocabulary, "rare"] if i == 7 else list(vocabulary))
+        words = rng.choices(vocabulary.get(lang, ["only"]), [1 / (k + 1) for k in range(len(vocabulary.get(lang, ["only"])))], k=rng.randint(40, 120))
+        text = " ".join(rng.choice([w, w.title(), w + ","]) for w in words)
+        rows.append((i, text if i % 9 else "".join(rng.choice("#$%^ 0123456789~") for _ in range(400)), lang))
+    rows += [(90, rows[1][1].upper(), rows[1][2]), (91, None, "en"), (92, "", None), (93, "!!!", "new")]
+    limits = quality_rules.Limits(class_distance=0.2, word_distance=0.3)
+    found = {r.doc_id: r for r in quality_rules.apply_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string"), limits).collect()}
+    common, words, classes = {}, {}, {}
+    for lang in {r[2] for r in rows}:
+        texts = [t for _, t, x in rows if x == lang and t]
+        counts = Counter(w for t in texts for w in re.sub(r'[.,;:!?"()]', " ", t.lower()).split() if len(w) <= 8 and w.isalpha())
+        common[lang] = {w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0].encode()))[:50]}
+        once = {tuple(re.sub(r'[.,;:!?"()]', " ", t.lower()).split()): t for t in sorted(texts, key=lambda t: -zlib.crc32(t.encode()))}
+        words[lang], classes[lang] = Counter(), Counter()
+        for key, t in once.items():
+            if key:
+                for total, h in ((words[lang], plain_histogram(t, common[lang])), (classes[lang], Counter(map(plain_class, t)))):
+                    total.update({k: v / sum(h.values()) for k, v in h.items()})
+    every = sum(classes.values(), Counter())
+    for doc, text, lang in rows:
+        r, text = found[doc], text or ""
+        prior = {k: limits.prior_docs * v / sum(every.values()) for k, v in every.items()}
+        mixed = Counter(classes[lang])
+        mixed.update(prior)
+        by_class = plain_distance(Counter(map(plain_class, text)), mixed if words[lang] else {})
+        by_word = plain_distance(plain_histogram(text, common[lang]), words[lang])
+        assert abs(r.class_distance - by_class) < 1e-4 and abs(r.word_distance - by_word) < 1e-4, (doc, r, by_class, by_word)
+        bad = (len(text) >= limits.min_chars and by_class > limits.class_distance) or (r.n_words >= limits.min_words and by_word > limits.word_distance)
+        assert r.kept == (not r.base_failed and not bad)
+    assert {r.kept for r in found.values() if not r.base_failed} == {True, False}
 
 
 def test_quality_rules_follow_the_labels(spark):

@@ -7,48 +7,47 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, text_hash
+from .common import cut_lineage, drop_scratch, text_hash
 
-
-def normal_line(line: Column) -> Column:
-    """Lower case, runs of white space as one space, trimmed."""
-    uneven = line.contains("  ")
-    for space in "\t\x0b\x0c\r":
-        uneven |= line.contains(space)
-    return F.lower(F.trim(F.when(uneven, F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")).otherwise(line)))
+#: Short hashes of the lines whose texts are fetched; they are broadcast, so their number is bounded.
+PLACES = 1 << 18
 
 
-def _segment(n: Column, i: int, most: int) -> tuple[Column, Column]:
-    """Start (from 1) and length of segment i of a line of n characters cut into most + 1 nearly equal segments."""
-    parts = most + 1
-    short = F.floor(n / parts).cast("int")
-    longer = n - short * parts  # so many last segments have one character more
-    length = short + F.when(i >= F.lit(parts) - longer, 1).otherwise(0)
-    start = short * i + F.greatest(F.lit(0), longer - (parts - i)) + 1
-    return start, length
+def normal_lines(text: Column) -> Column:
+    """The lines of a text in lower case, runs of white space as one space, trimmed; \\n parts lines."""
+    uneven = text.contains("  ")
+    for space in "\t\x0b\x0c\r":
+        uneven |= text.contains(space)
+    even = F.when(uneven, F.regexp_replace(text, r"[\x20\x09\x0B-\x0D]+", " ")).otherwise(text)
+    return F.transform(F.split(F.lower(even), "\n", -1), lambda line: F.trim(line))
 
 
-def segment_keys(line: Column, n: Column, most: int, own_only: bool = False) -> Column:
-    """array<struct<key, own>>: hashes of the substrings under which a line is found or looks for others, null if outside.
+def segment_keys(lines: DataFrame, most: int, own_only: bool = False) -> DataFrame:
+    """(h1, key) from rows (h1, line, n): hashes of the substrings under which a line is found or looks for others.
 
-    own: the line's own segments, by its length and the segment's number. Besides, for each length from n - most to n and each
-    segment of such lines, the substrings of this line that can equal that segment if the lines are at most `most`
-    edits apart: before the segment at most i edits have happened and after it at most most - i. own_only: the former alone.
+    A line is found under its own most + 1 nearly equal segments, hashed with its length and the segment's number
+    (own_only). It looks under these and, for each length from n - most to n and each segment of such lines, under those of
+    its substrings that can equal that segment if the lines are at most `most` edits apart: at most i edits before
+    the segment and at most most - i after it. Characters are cut from a form of four bytes each, so that no cut walks
+    through the line; the substrings of a line are rows of a loop over a constant array.
     """
-    keys = []
+    parts, tries = most + 1, []
     for less in range(most + 1):
-        other = n - less
-        for i in range(most + 1):
-            start, length = _segment(other, i, most)
+        for i in range(parts):
             low, high = max(-i, less - (most - i)), min(i, less + (most - i))
-            for shift in range(low, high + 1):
-                if own_only and (less or shift):
-                    continue
-                at = start + shift
-                inside = (at >= 1) & (at + length - 1 <= n)
-                key = F.xxhash64(other.cast("int"), F.lit(i), line.substr(at, length))
-                keys.append(F.when(inside, F.struct(key.alias("key"), F.lit(less == 0 and shift == 0).alias("own"))))
-    return F.array(*keys)
+            tries += [(less, i, shift) for shift in range(low, high + 1) if not own_only or not (less or shift)]
+    tried = F.array(*[F.struct(F.lit(a).alias("less"), F.lit(i).alias("i"), F.lit(s).alias("shift")) for a, i, s in tries])
+    wide = lines.select("h1", "n", F.encode("line", "UTF-32").alias("letters"))  # once a line, below the loop
+    cut = wide.select("h1", "n", "letters", F.explode(tried).alias("t"))
+    other = F.col("n") - F.col("t.less")
+    short = F.floor(other / parts).cast("int")
+    longer = other - short * parts  # so many last segments have one character more
+    length = short + F.when(F.col("t.i") >= F.lit(parts) - longer, 1).otherwise(0)
+    start = short * F.col("t.i") + F.greatest(F.lit(0), longer - (F.lit(parts) - F.col("t.i"))) + F.col("t.shift")
+    cut = cut.select("h1", "n", "letters", other.alias("other"), F.col("t.i").alias("i"), start.alias("start"), length.alias("length"))
+    cut = cut.where((F.col("start") >= 0) & (F.col("start") + F.col("length") <= F.col("n")))
+    piece = F.substring(F.col("letters"), F.col("start") * 4 + 1, F.col("length") * 4)
+    return cut.select("h1", F.xxhash64("other", "i", piece).alias("key"))
 
 
 def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -145,22 +144,21 @@ def within_edits(a: Column, b: Column, most: int) -> Column:
     return (F.abs(F.length(a) - F.length(b)) <= most) & (_bind(F.split(a, ""), distance) <= most)
 
 
-def lines_of(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, hash, pos, line): the normalised lines of every text that are not blank; \\n parts lines."""
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_hash(text_col), F.lit(0)).alias("hash"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("pos", "raw"))
-    return rows.select("id", "hash", "pos", normal_line(F.col("raw")).alias("line")).where("line <> ''")
-
-
 def near_links(lines: DataFrame, most: int = 2) -> DataFrame:
-    """(a1, a2, b1, b2): every pair of different lines at most `most` edits apart, once, from rows (h1, h2, line, n)."""
-    keyed = lines.select("h1", F.explode(segment_keys(F.col("line"), F.col("n"), most)).alias("k")).where("k IS NOT NULL")
-    keyed = keyed.select("h1", F.col("k.key").alias("key"))
-    owned = lines.select(F.col("h1").alias("o1"), F.explode(segment_keys(F.col("line"), F.col("n"), most, own_only=True)).alias("k")).select("o1", F.col("k.key").alias("o_key"))
-    # lines that share a key that another line owns, then the owners of such keys; few of either
-    asks = cut_lineage(keyed.join(owned, (F.col("key") == F.col("o_key")) & (F.col("h1") != F.col("o1")), "left_semi").select("h1", "key"))
-    owns = cut_lineage(owned.join(asks, (F.col("key") == F.col("o_key")) & (F.col("h1") != F.col("o1")), "left_semi").toDF("h1", "key"))
-    ids = asks.select("h1").union(owns.select("h1")).distinct()
-    signs = lines.join(ids, "h1", "left_semi").select("h1", "h2", "line", "n", signatures(F.col("line")).alias("s"))
+    """(a1, a2, b1, b2): every pair of different lines at most `most` edits apart, once, from rows (h1, h2, line, n).
+
+    Only narrow rows (line hash, key) meet in the search; texts are fetched for the lines that share a key that another owns.
+    The fetch is narrowed by a broadcast of at most PLACES short hashes, whatever the data.
+    """
+    keyed = segment_keys(lines, most)
+    owned = segment_keys(lines, most, own_only=True).toDF("o1", "o_key")
+    meets = (F.col("key") == F.col("o_key")) & (F.col("h1") != F.col("o1"))
+    asks = cut_lineage(keyed.join(owned, meets, "left_semi"))
+    owns = cut_lineage(owned.join(asks, meets, "left_semi").toDF("h1", "key"))
+    ids = cut_lineage(asks.select("h1").union(owns.select("h1")).distinct())
+    place = F.pmod(F.col("h1"), F.lit(PLACES))
+    some = lines.withColumn("_place", place).join(F.broadcast(ids.select(place.alias("_place")).distinct()), "_place", "left_semi")
+    signs = some.join(ids, "h1", "left_semi").select("h1", "h2", "line", "n", signatures(F.col("line")).alias("s"))
     signs = cut_lineage(signs.select("h1", "h2", "line", "n", F.col("s.one").alias("one"), F.col("s.two").alias("two")))
     columns = ("h1", "h2", "n", "key", "one", "two")
     a = asks.join(signs.drop("line"), "h1").select(*[F.col(c).alias(f"a_{c}") for c in columns])
@@ -173,46 +171,60 @@ def near_links(lines: DataFrame, most: int = 2) -> DataFrame:
     texts = signs.select("h1", "h2", "line")
     pairs = pairs.join(texts.toDF("a1", "a2", "a"), ["a1", "a2"]).join(texts.toDF("b1", "b2", "b"), ["b1", "b2"])
     ends = pairs.select("a1", "a2", "b1", "b2", trimmed(F.col("a"), F.col("b"), most).alias("_t"))
-    return ends.where(within_edits(F.col("_t.a"), F.col("_t.b"), most)).select("a1", "a2", "b1", "b2")
+    links = cut_lineage(ends.where(within_edits(F.col("_t.a"), F.col("_t.b"), most)).select("a1", "a2", "b1", "b2"))
+    for table in (asks, owns, ids, signs):
+        drop_scratch(table)
+    return links
 
 
-def line_decisions(docs: DataFrame, most: int = 2, min_chars: int = 24, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, hash, n_lines, repeats, nears, n_links, kept_hash) for every document that has a line.
+def line_decisions(docs: DataFrame, most: int = 2, min_chars: int = 10, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, hash, n_lines, repeats, nears, n_links, kept_hash) for every document.
 
     repeats: places (from 0) of lines equal, once normalised, to an earlier line; nears: of other lines at most `most` edits
-    from a different line that comes first at an earlier place, both of min_chars characters at least. Places are ordered
-    by document id, text hash and line number. n_links: links of the document's different lines. A line that goes always has
-    an earlier line that it repeats or nearly repeats. Documents equal in id and text are one.
+    from a different line that comes first at an earlier place, both of min_chars characters at least (2 edits in 10
+    characters are a similarity of 0.8). Places are ordered by document id (null first), text hash and line number.
+    n_links: links of the document's different lines. kept_hash: exclusive or of the hashes of the lines that stay. A line
+    that goes always has an earlier line that it repeats or nearly repeats. Blank lines play no part; a null or blank
+    text has no line and counts of 0. Documents equal in id and text are one row; an empty table gives an empty result.
     """
     if min_chars <= 3 * (most + 1):
         raise ValueError("lines must be long enough for their segments")
-    lines = lines_of(docs, id_col=id_col, text_col=text_col)
-    hashed = lines.select("id", "hash", "pos", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(3), "line").alias("h2"))
-    long = lines.where(F.length("line") >= min_chars).select("line").distinct()
-    different = long.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(3), "line").alias("h2"), "line", F.length("line").alias("n"))
-    links = cut_lineage(near_links(cut_lineage(different), most))
-    places = cut_lineage(hashed.drop("line"))
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(text_hash(text_col), F.lit(0)).alias("hash"), normal_lines(F.col(text_col)).alias("lines"))
+    hashed = F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("h1"), F.xxhash64(F.lit(3), x).alias("h2"), F.length(x).alias("n")))
+    narrow = cut_lineage(texts.select("id", "hash", F.coalesce(hashed, F.array()).alias("lines")))
+    own = F.transform("lines", lambda x, i: F.when(x["n"] > 0, F.xxhash64(i, x["h1"], x["h2"])).otherwise(0))
+    every = narrow.select(
+        "id", "hash", F.size(F.filter("lines", lambda x: x["n"] > 0)).cast("long").alias("n_lines"),
+        F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x)).alias("all_hash")).distinct()
+    long = texts.select(F.explode("lines").alias("line")).where(F.length("line") >= min_chars).distinct()
+    different = cut_lineage(long.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(3), "line").alias("h2"), "line", F.length("line").alias("n")))
+    links = near_links(different, most)
+    drop_scratch(different)
+    places = narrow.select("id", "hash", F.posexplode("lines").alias("pos", "l")).where("l.n > 0").select("id", "hash", "pos", "l.h1", "l.h2")
     firsts = places.groupBy("h1", "h2").agg(F.min(F.struct("id", "hash", "pos")).alias("first"), F.count("*").alias("times"))
     both = links.union(links.select("b1", "b2", "a1", "a2")).toDF("h1", "h2", "o1", "o2")
     where_first = firsts.select("h1", "h2", "first")
     linked = both.join(where_first.toDF("o1", "o2", "other"), ["o1", "o2"]).groupBy("h1", "h2").agg(F.min("other").alias("other"), F.count("*").alias("links"))
     known = firsts.join(linked, ["h1", "h2"], "left").where("times > 1 OR links IS NOT NULL")
     known = known.select("h1", "h2", "first", F.coalesce(F.col("other") < F.col("first"), F.lit(False)).alias("near"), F.coalesce("links", F.lit(0)).alias("links"))
-    found = places.join(known, ["h1", "h2"], "left")
-    here = F.struct("id", "hash", "pos")
-    found = found.withColumn("repeat", F.col("first").isNotNull() & ~here.eqNullSafe(F.col("first")))
-    found = found.withColumn("gone_near", ~F.col("repeat") & F.coalesce("near", F.lit(False)))
-    stays = ~F.col("repeat") & ~F.col("gone_near")
-    return found.groupBy("id", "hash").agg(
-        F.countDistinct("pos").alias("n_lines"),
-        F.collect_set(F.when(F.col("repeat"), F.col("pos"))).alias("repeats"),
-        F.collect_set(F.when(F.col("gone_near"), F.col("pos"))).alias("nears"),
-        F.sum(F.when(~F.col("repeat"), F.coalesce("links", F.lit(0))).otherwise(0)).alias("n_links"),
-        F.bit_xor(F.when(stays, F.xxhash64("pos", "h1", "h2")).otherwise(0)).alias("kept_hash"),
-    )
-
-
-def dedup_lines(docs: DataFrame, most: int = 2, min_chars: int = 24, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    found = places.join(known, ["h1", "h2"])
+    repeat = ~F.struct("id", "hash", "pos").eqNullSafe(F.col("first"))
+    found = found.select("id", "hash", "pos", repeat.alias("repeat"), (~repeat & F.col("near")).alias("gone_near"), "links", F.xxhash64("pos", "h1", "h2").alias("own"))
+    # one shuffle for both: repeated documents count once, then each document's lines
+    found = found.repartition("id", "hash").distinct().groupBy("id", "hash").agg(
+        F.collect_list(F.when(F.col("repeat"), F.col("pos"))).alias("repeats"),
+        F.collect_list(F.when(F.col("gone_near"), F.col("pos"))).alias("nears"),
+        F.sum(F.when(~F.col("repeat"), F.col("links")).otherwise(0)).alias("n_links"),
+        F.bit_xor(F.when(F.col("repeat") | F.col("gone_near"), F.col("own")).otherwise(0)).alias("gone_hash"),
+    ).withColumnsRenamed({"id": "_id", "hash": "_hash"})
+    on = F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))
+    none = F.array().cast("array<int>")
+    return every.join(found, on, "left").select(
+        "id", "hash", "n_lines", F.coalesce("repeats", none).alias("repeats"), F.coalesce("nears", none).alias("nears"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("all_hash").bitwiseXOR(F.coalesce("gone_hash", F.lit(0))).alias("kept_hash"))
+
+
+def dedup_lines(docs: DataFrame, most: int = 2, min_chars: int = 10, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the lines taken out of text_col that repeat or nearly repeat an earlier line; see line_decisions.
 
     Blank lines stay; texts that are null or blank stay as they are; a document that loses its last line that is not

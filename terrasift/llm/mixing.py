@@ -26,7 +26,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, m
 
     The targets share `share` times all sizes by weight; one that would pass max_copies times its source's size
     stops there and the rest is shared again. In order of capacity over weight the stopped sources come first, so
-    one pass of running sums finds the common level. The frame has one row per source.
+    one pass of running sums finds the common level. The frame has one row per source, and one task orders
+    these rows (some 40 bytes each): the order of all sources decides on their weights.
     """
     by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     ordered = by_source.withColumn("_rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
@@ -45,13 +46,44 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, m
     return leveled.select("source", "source_size", target.alias("target"))
 
 
-def _ranked(rows: DataFrame, sources: DataFrame, n_sources: int, seed: int) -> DataFrame:
+def preference(size: Column) -> Column:
+    """Weight of a document inside its source: the binary digits of its size, so longer documents are likelier to be taken."""
+    return F.length(F.bin(size)).cast("long")
+
+
+def inclusion_levels(sizes: DataFrame, sources: DataFrame, n_sources: int, max_copies: int) -> DataFrame:
+    """sources with _level and _want: a document's expected copies are the lesser of max_copies and _level times its weight.
+
+    The level is such that the expected words of a source are its target. Documents of one weight are handled together:
+    at most 64 rows a source. In falling order of weight those that reach max_copies come first, so one pass of
+    running sums finds the level; null if all reach it. _want: words still wanted after the whole copies.
+    """
+    kinds = sizes.groupBy("source", preference(F.col("size")).alias("_w")).agg(F.sum("size").alias("_words"))
+    kinds = lookup_join(kinds, sources, n_sources, "source", ["_w"])
+    own = Window.partitionBy("source")
+    before = own.orderBy(F.desc("_w")).rowsBetween(Window.unboundedPreceding, -1)
+    rest = F.col("target") - F.lit(max_copies) * F.coalesce(F.sum("_words").over(before), F.lit(0))
+    weight = F.sum(F.col("_words") * F.col("_w")).over(own) - F.coalesce(F.sum(F.col("_words") * F.col("_w")).over(before), F.lit(0))
+    leveled = kinds.withColumn("_at", F.when(weight > 0, rest / weight))
+    level = F.max(F.when(F.col("_at") * F.col("_w") <= max_copies, F.struct("_w", "_at"))).over(own)["_at"]
+    leveled = leveled.withColumn("_level", level)
+    whole = F.floor(_copies(F.col("_level"), F.col("_w"), max_copies))
+    return leveled.groupBy("source").agg(
+        F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.first("_level").alias("_level"),
+        (F.first("target") - F.sum(whole * F.col("_words"))).alias("_want"))
+
+
+def _copies(level: Column, weight: Column, max_copies: int) -> Column:
+    return F.least(F.lit(float(max_copies)), F.coalesce(level * weight, F.lit(float(max_copies))))
+
+
+def _ranked(rows: DataFrame, sources: DataFrame, n_sources: int, seed: int, max_copies: int) -> DataFrame:
     """Rows with their whole copies, inclusion probability and ranking value _x in (0, 1), small values first.
 
     _x is q / (1 + q) for q = odds of a uniform number / odds of inclusion, so it orders rows as q does.
     """
     joined = lookup_join(rows, sources, n_sources, "source", ["id", "hash"])
-    copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    copies = F.when(F.col("source_size") > 0, _copies(F.col("_level"), preference(F.col("size")), max_copies)).otherwise(F.lit(0.0))
     joined = joined.withColumn("_copies", copies).withColumn("_whole", F.floor("_copies"))
     joined = joined.withColumn("_p", F.col("_copies") - F.col("_whole"))
     u = _uniform(F.col("id"), seed)
@@ -68,7 +100,7 @@ def _cuts(ranked: DataFrame) -> DataFrame:
     step that holds the cut, and only the rows of one of those finer steps are put in order, so that no task ever
     sorts a source.
     """
-    rows = ranked.where(F.col("_x").isNotNull()).withColumn("_want", F.col("target") - F.col("_whole") * F.col("source_size"))
+    rows = ranked.where(F.col("_x").isNotNull())
     fine = F.least(F.floor(F.col("_x") * (STEPS * STEPS)), F.lit(STEPS * STEPS - 1)).cast("long")
     rows = rows.select("source", "_want", "id", "size", "hash", "_x", fine.alias("_fine"))
     rows = rows.withColumn("_coarse", F.floor(F.col("_fine") / STEPS))
@@ -101,10 +133,10 @@ def allocate(
     """The mix: every row of docs with its size, source_size, target and number of copies.
 
     Size: words of the text. Sources in code point order (null last) take the weights in turn, see source_targets.
-    With r = target / source size, each document gets floor(r) certain copies; one more goes to a Pareto sample of the
-    documents: ranked by the odds of a uniform number over the odds of r's fraction, and taken in that order until
-    the source's words are nearest to its target, so the sample's size is fixed and misses it by half a document at
-    most. A null text has size 0; a null source is a source of its own; rows that share an id share the random number
+    A document's expected copies grow with its weight (see preference) up to max_copies and sum up to the target (see
+    inclusion_levels). It gets their whole part for certain; one more copy goes to a Pareto sample of the documents: ranked by
+    the odds of a uniform number over the odds of the fraction that is left, and taken in that order until the source's
+    words are nearest to its target, so the sample's size is fixed and misses it by half a document at most. A null text has size 0; a null source is a source of its own; rows that share an id share the random number
     and are ordered by size and text; rows equal in all three get the same copies. An empty table gives an empty one.
 
     With keep, the rows keep their own columns (apart from clashing ones); else the result has the columns
@@ -117,7 +149,8 @@ def allocate(
     rows = cut_lineage(narrow)
     sources = cut_lineage(source_targets(rows, weights, share, max_copies))
     n_sources = sources.count()
-    cuts = _cuts(_ranked(rows, sources, n_sources, seed))
+    sources = cut_lineage(inclusion_levels(rows, sources, n_sources, max_copies))
+    cuts = _cuts(_ranked(rows, sources, n_sources, seed, max_copies))
     table = sources.join(cuts.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
     table = cut_lineage(table)
     if keep:
@@ -126,7 +159,7 @@ def allocate(
         rows = docs.select(
             F.struct(*own).alias("_row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"),
             word_count(F.col(text_col)).alias("size"), F.coalesce(text_hash(text_col), F.lit(0)).alias("hash"))
-    ranked = _ranked(rows, table, n_sources, seed)
+    ranked = _ranked(rows, table, n_sources, seed, max_copies)
     step = F.least(F.floor(F.col("_x") * (STEPS * STEPS)), F.lit(STEPS * STEPS - 1)).cast("long")
     order = F.struct("_x", "id", "size", "hash")
     # no cut although words are wanted: every document of the source gets its further copy

@@ -14,9 +14,20 @@ l as (select *, (1.5::double * (sum(source_size) over ())::double
       / (sum(w) over () - coalesce(sum(w) over (order by f, rk rows between unbounded preceding and 1 preceding), 0)) as level from f),
 t as (select source, source_size, cap, w, (select arg_min(level, (f, rk)) from l where f >= level) as level from l),
 g as (select source, source_size, case when level is null then cap else least(cap, level * w) end as target from t),
-c as (select d.*, g.source_size, g.target, case when g.source_size > 0 then g.target / g.source_size else 0 end as r
-  from d join g on d.source is not distinct from g.source),
-p as (select *, floor(r) as whole, r - floor(r) as p, target - floor(r) * source_size as want from c),
+k as (select d.source, length(bin(d.size)) as b, sum(d.size)::bigint as words, any_value(g.source_size) as source_size, any_value(g.target) as target
+  from d join g on d.source is not distinct from g.source group by all),
+ka as (select *, sum(words * b) over (partition by source)::double
+      - coalesce(sum(words * b) over (partition by source order by b desc rows between unbounded preceding and 1 preceding), 0)::double as weight,
+    target - 2 * coalesce(sum(words) over (partition by source order by b desc rows between unbounded preceding and 1 preceding), 0)::double as rest from k),
+kb as (select *, case when weight > 0 then rest / weight end as lev from ka),
+kc as (select *, arg_max(lev, b) filter (lev * b <= 2) over (partition by source) as lv from kb),
+kd as (select *, least(2.0::double, coalesce(lv * b, 2.0::double)) as copies from kc),
+n as (select source, any_value(source_size) as source_size, any_value(target) as target, any_value(lv) as lv,
+    any_value(target) - sum(floor(copies) * words)::double as want from kd group by source),
+c as (select d.*, n.source_size, n.target, n.want,
+    case when n.source_size > 0 then least(2.0::double, coalesce(lv * length(bin(d.size)), 2.0::double)) else 0 end as r
+  from d join n on d.source is not distinct from n.source),
+p as (select *, floor(r) as whole, r - floor(r) as p from c),
 q as (select *, case when p > 0 then (u / (1 - u)) / (p / (1 - p)) end as q from p),
 o as (select *, q / (1 + q) as x from q),
 e as (select *, case when x is not null then sum(size) over (partition by source, x is null order by x, doc_id, size

@@ -209,6 +209,21 @@ def test_mixing_against_sql_and_targets(spark):
     assert sorted((r.doc_id, r.size, r.source_size, round(r.target, 6), r.taken) for r in got) == want
 
 
+def test_inclusion_follows_the_odds(spark):
+    # one source of many documents beside a small one, so that the first is taken in part and the second as a whole
+    rng = random.Random(1)
+    sizes = [rng.choice([1, 3, 12, 50, 200]) for _ in range(40_000)]
+    rows = [(i, "w " * n, "a") for i, n in enumerate(sizes)] + [(-1, "w " * 900_000, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = mixing.allocate(docs, (1.0, 3.0), 0.5, keep=False).where("id >= 0").collect()
+    target, words = found[0].target, sum(sizes)
+    level = target / sum(n * n.bit_length() for n in sizes)
+    assert abs(sum(r.copies * r.size for r in found) - target) <= 100 and target < 0.5 * words
+    for n in sorted(set(sizes)):
+        rate, want = np.mean([r.copies for r in found if r.size == n]), level * n.bit_length()
+        assert 0 < want < 1 and abs(rate - want) < 5 * math.sqrt(want * (1 - want) / sizes.count(n)), (n, rate, want)
+
+
 def test_shortest_pack_first():
     rng = np.random.default_rng(2)
     counts = Counter(int(x) for x in rng.integers(1, 101, 3000))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,8 @@ class Settings:
     projected: int = 12  # dimensions of the projected space
     chance: float = 0.97  # a neighbour at the k-th distance is inside the searched radius with this chance
     leaf: int = 64  # vectors in a leaf of a cell's tree
-    cell_rows: int = 8192  # vectors in a cell of the whole index, about
+    cell_rows: int = 8192  # vectors in a cell of the whole index, about; also the most, about, that one group holds
+    cell_queries: int = 8192  # queries, about, that one group holds
     fit_rows: int = 20_000  # vectors from which the cells are fitted, those whose ids have the least hash
     block: int = 128  # queries that walk through the leaves together
     seed: int = 9
@@ -174,41 +176,54 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_list()).astype(np.float64) if len(column) else np.empty((0, 1))
 
 
+def _rows(column: pa.ChunkedArray, dimension: int) -> np.ndarray:
+    """A column of vectors of one length as a matrix."""
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dimension)
+
+
+def _usable(frame: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    v = F.col("v")
+    rows = frame.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
+    return rows.where(finite & F.exists(v, lambda x: x != 0))
+
+
+_OUT = "query_id long, rank int, vec_id long, score double"
+
+
 def nearest(
     vectors: DataFrame, queries: DataFrame, k: int = 20, settings: Settings = Settings(), *, id_col: str = "vec_id", vector_col: str = "embedding",
 ) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each query its k vectors of largest inner product found, without its own id.
+    """(query_id, rank, vec_id, score): for each query its k vectors of largest inner product found, without its own row.
 
-    Both frames hold id_col and vector_col. Vectors that are null, empty, zero or hold a null or non-finite component
-    take no part, nor do rows with a null id, nor vectors of another length than the most frequent one. Of repeated
-    query ids the smallest vector is searched. Equal vectors are one point of the index with the k + 1 smallest ids,
-    which are all that a result can name. Ties go to the smaller id.
+    Both frames hold id_col and vector_col; other columns are not looked at. Vectors that are null, empty, zero or hold a
+    null or non-finite component take no part, nor do rows with a null id. Vectors are searched among those of their own
+    length, each length by an index of its own, as others have no inner product with them. Of rows that repeat an id each
+    is a candidate; each different vector of a query id is a query of its own, whose own row alone is left out, and
+    rows repeated as a whole are one query. Equal vectors are one point of the index with the k + 1 smallest ids, which are
+    all that a result can name. Ties go to the smaller id. An empty table gives an empty result.
 
     Each query first searches the cell that its projection lies in, then every cell that the stopping test does not
-    rule out at the k-th score reached there. An empty table gives an empty result.
+    rule out at the k-th score reached there. Cells are at most 1,024; a larger cell is dealt in parts, and its queries in
+    blocks, so that a group holds about cell_rows vectors and cell_queries queries whatever the sizes of both tables.
     """
-    spark = vectors.sparkSession
-    out = "query_id long, rank int, vec_id long, score double"
-
-    def usable(frame: DataFrame) -> DataFrame:
-        v = F.col("v")
-        rows = frame.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
-        finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
-        return rows.where(finite & F.exists(v, lambda x: x != 0))
-
-    rows = usable(vectors)
-    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("m"))
-    size = sizes.orderBy(F.desc("n"), "d").first()
-    if size is None:
-        return spark.createDataFrame([], out)
-    dimension, count = size["d"], size["n"]
-    rows = rows.where(F.size("v") == dimension)
+    rows = _usable(vectors, id_col, vector_col)
+    size = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    lengths = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(size).alias("m")).orderBy("d").collect()
+    asked = _usable(queries, id_col, vector_col).distinct()
+    found = [
+        _nearest(rows.where(F.size("v") == r["d"]), asked.where(F.size("v") == r["d"]), k, settings, r["d"], r["n"], math.sqrt(r["m"]) * (1 + 1e-12))
+        for r in lengths]
+    return reduce(DataFrame.unionByName, found) if found else vectors.sparkSession.createDataFrame([], _OUT)
+
+
+def _nearest(rows: DataFrame, asked: DataFrame, k: int, settings: Settings, dimension: int, count: int, norm: float) -> DataFrame:
+    """nearest for vectors of one length."""
     smallest = F.row_number().over(Window.partitionBy("v").orderBy("id"))
-    points = rows.distinct().withColumn("_r", smallest).where(F.col("_r") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    matrix = np.random.default_rng(settings.seed).standard_normal((dimension + 1, settings.projected))
-    projection = Projection(matrix, math.sqrt(size["m"]) * (1 + 1e-12))
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(settings.fit_rows).select("v").toPandas()
-    depth = max(0, min(math.ceil(math.log2(max(1, count / settings.cell_rows))), int(math.log2(max(1, len(sample) / 16)))))
+    points = rows.withColumn("_r", smallest).where(F.col("_r") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    projection = Projection(np.random.default_rng(settings.seed).standard_normal((dimension + 1, settings.projected)), norm)
+    sample = rows.orderBy(F.xxhash64("id"), "id", "v").limit(settings.fit_rows).select("v").toPandas()
+    depth = max(0, min(10, math.ceil(math.log2(max(1, count / settings.cell_rows))), int(math.log2(max(1, len(sample) / 16)))))
     cells = fit_cells(projection.rows(_matrix(sample["v"])), depth)
     limit = chi_square_quantile(settings.chance, settings.projected)
 
@@ -218,7 +233,8 @@ def nearest(
                 yield batch.assign(cell=cells.place(projection.rows(_matrix(batch["v"]))))
 
     index = cut_lineage(points.mapInPandas(place, "v array<double>, ids array<long>, cell long"))
-    asked = usable(queries).where(F.size("v") == dimension).groupBy("id").agg(F.min("v").alias("v"))
+    parts = index.groupBy("cell").agg(F.ceil(F.count("*") / settings.cell_rows).cast("int").alias("_parts"))
+    parts = cut_lineage(parts.withColumnRenamed("cell", "_cell"))
 
     def home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -226,27 +242,41 @@ def nearest(
                 yield batch.assign(cell=cells.place(projection.queries(_matrix(batch["v"]))), kth=-np.inf)
 
     def search(key: tuple, data: pa.Table, wanted: pa.Table) -> pa.Table:
-        data, wanted = data.to_pandas(), wanted.to_pandas()
-        parts: list[tuple] = []
+        score, row = np.empty((0, k + 1)), np.empty((0, k + 1), np.int64)
+        kth = wanted["kth"].to_numpy()
         if len(data) and len(wanted):
-            vectors, asked_for = _matrix(data["v"]), _matrix(wanted["v"])
-            ids = data["ids"].to_list()
-            score, row = search_cell(vectors, np.array([x[0] for x in ids]), asked_for, wanted["kth"].to_numpy(), projection, k + 1, settings)
-            for query, scores, found in zip(wanted["id"].to_list(), score.tolist(), row.tolist()):
-                parts += [(query, ids[r], s) for s, r in zip(scores, found) if r >= 0]
-        query, found, scores = zip(*parts) if parts else ((), (), ())
-        return pa.table({"query_id": pa.array(query, pa.int64()), "ids": pa.array(found, pa.list_(pa.int64())), "score": pa.array(scores, pa.float64())})
-
-    found = "query_id long, ids array<long>, score double"
+            own, asked_for = _rows(data["v"], dimension), _rows(wanted["v"], dimension)
+            ids = data["ids"].combine_chunks()
+            least = ids.values.to_numpy()[ids.offsets.to_numpy()[:-1]]
+            score, row = search_cell(own, least, asked_for, kth, projection, k + 1, settings)
+        query, place = np.nonzero((row >= 0) & (score >= kth[:len(row), None]))
+        hit = row[query, place]
+        same = np.zeros(len(hit), bool)
+        for at in range(0, len(hit), 65_536):
+            part = slice(at, at + 65_536)
+            same[part] = (own[hit[part]] == asked_for[query[part]]).all(axis=1)
+        return pa.table({
+            "query_id": wanted["id"].combine_chunks().take(pa.array(query)), "q": wanted["q"].combine_chunks().take(pa.array(query)),
+            "ids": data["ids"].combine_chunks().take(pa.array(hit)), "own": pa.array(same), "score": pa.array(score[query, place], pa.float64())})
 
     def run(wanted: DataFrame) -> DataFrame:
-        return index.groupBy("cell").cogroup(wanted.groupBy("cell")).applyInArrow(search, found)
-
-    at_home = cut_lineage(asked.mapInPandas(home, "id long, v array<double>, cell long, kth double"))
+        asks = wanted.groupBy("cell").agg(F.ceil(F.count("*") / settings.cell_queries).cast("int").alias("_blocks"))
+        # one row a cell, so 1,024 at most
+        table = F.broadcast(parts.join(asks, F.col("_cell") == F.col("cell")).select("_cell", "_parts", "_blocks"))
+        part, block = F.pmod(F.xxhash64("v"), F.col("_parts")).cast("int"), F.pmod(F.xxhash64("q"), F.col("_blocks")).cast("int")
+        data = index.join(table, F.col("cell") == F.col("_cell"))
+        data = data.select("v", "ids", "cell", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("block"))
+        dealt = wanted.join(table, F.col("cell") == F.col("_cell"))
+        dealt = dealt.select("id", "q", "v", "kth", "cell", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("part"), block.alias("block"))
+        group = ("cell", "part", "block")
+        return data.groupBy(*group).cogroup(dealt.groupBy(*group)).applyInArrow(search, "query_id long, q long, ids array<long>, own boolean, score double")
+
+    columns = "id long, q long, v array<double>, cell long, kth double"
+    at_home = cut_lineage(asked.select("id", F.xxhash64("v", "id").alias("q"), "v").mapInPandas(home, columns))
     first = cut_lineage(run(at_home))
-    reached = Window.partitionBy("query_id").orderBy(F.desc("score"))
-    kth = first.withColumn("_r", F.row_number().over(reached)).where(F.col("_r") == k + 1).select(F.col("query_id").alias("_q"), F.col("score").alias("_s"))
-    again = at_home.join(kth, F.col("id") == F.col("_q"), "left").select("id", "v", "cell", F.coalesce("_s", F.lit(float("-inf"))).alias("kth"))
+    reached = Window.partitionBy("query_id", "q").orderBy(F.desc("score"))
+    kth = first.withColumn("_r", F.row_number().over(reached)).where(F.col("_r") == k + 1).select(F.col("query_id").alias("_id"), F.col("q").alias("_q"), F.col("score").alias("_s"))
+    again = at_home.join(kth, (F.col("id") == F.col("_id")) & (F.col("q") == F.col("_q")), "left").select("id", "q", "v", "cell", F.coalesce("_s", F.lit(float("-inf"))).alias("kth"))
 
     def others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -260,8 +290,10 @@ def nearest(
                 keep = cell != part["cell"].to_numpy()[row]
                 yield part.iloc[row[keep]].assign(cell=cell[keep])
 
-    more = run(again.mapInPandas(others, "id long, v array<double>, cell long, kth double"))
-    every = first.unionByName(more).select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    ranked = every.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    more = run(cut_lineage(again.mapInPandas(others, columns)))
+    # of the point that equals the query one occurrence of its id is its own row
+    at = F.array_position("ids", F.col("query_id")).cast("int")
+    rest = F.when(F.col("own") & (at > 0), F.concat(F.slice("ids", F.lit(1), at - 1), F.slice("ids", at + 1, F.size("ids")))).otherwise(F.col("ids"))
+    every = first.unionByName(more).select("query_id", "q", "score", F.explode(rest).alias("vec_id"))
+    rank = F.row_number().over(Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id"))
+    return every.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

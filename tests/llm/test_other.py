@@ -271,7 +271,7 @@ def test_neighbours_against_brute_force(spark):
     vectors += [(2000 + i, vectors[20][1]) for i in range(60)]
     bad = [(3000, None), (3001, [0.0] * 16), (3002, [float("nan")] * 16), (3003, [None] * 16), (None, [1.0] * 16), (3004, [1.0] * 3), (3005, [])]
     frame = spark.createDataFrame(vectors + bad, "vec_id long, embedding array<float>")
-    settings = neighbours.Settings(cell_rows=200, leaf=16)
+    settings = neighbours.Settings(cell_rows=200, leaf=16, cell_queries=16)
     found = neighbours.nearest(frame, frame.where("vec_id % 20 = 0"), 10, settings).collect()
     ids, x = np.array([v[0] for v in vectors]), np.array([v[1] for v in vectors], np.float32).astype(float)
     hits = total = 0
@@ -289,6 +289,35 @@ def test_neighbours_against_brute_force(spark):
     assert len(few) == 4
 
 
+def test_neighbours_of_unclustered_vectors_in_bounded_groups(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((1200, 24))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    held = neighbours.search_cell
+
+    def bounded(vectors, least_ids, queries, *rest):
+        assert len(vectors) <= 2 * 64 and len(queries) <= 3 * 8, (len(vectors), len(queries))
+        return held(vectors, least_ids, queries, *rest)
+
+    monkeypatch.setattr(neighbours, "search_cell", bounded)
+    found = neighbours.nearest(frame, frame.where("vec_id % 20 = 0"), 10, neighbours.Settings(cell_rows=64, fit_rows=100, leaf=8, cell_queries=8)).collect()
+    got = {q: {r.vec_id for r in found if r.query_id == q} for q in range(0, 1200, 20)}
+    hits = sum(len(got[q] & set([k for k in np.argsort(-(x @ x[q])) if k != q][:10])) for q in got)
+    assert hits / (10 * len(got)) >= 0.9
+
+
+def test_neighbours_with_repeated_ids_and_lengths(spark):
+    a, b, c = [1.0, 0.0, 2.0], [0.5, 0.5, 0.5], [3.0, 4.0]
+    rows = [(20, a, 0), (20, a, 0), (20, b, 0), (3, a, 1), (4, b, 1), (40, c, 1), (5, [1.0, 1.0], 1), (6, [2.0], 1), (60, [5.0], 1), (80, [1.0] * 7, 1)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int")
+    found = neighbours.nearest(frame, frame.where("vec_id % 20 = 0"), 10).collect()
+    got = Counter((r.query_id, r.rank, r.vec_id, r.score) for r in found)
+    # query 20 with vector a: its own row is left out, the repeated one and those of another vector are not
+    want = [(20, 1, 3, 5.0), (20, 2, 20, 5.0), (20, 3, 4, 1.5), (20, 4, 20, 1.5)]
+    want += [(20, 1, 3, 1.5), (20, 2, 20, 1.5), (20, 3, 20, 1.5), (20, 4, 4, 0.75)]
+    assert got == Counter([*want, (40, 1, 5, 7.0), (60, 1, 6, 10.0)])
+
+
 def test_classifier_accuracy_on_held_out_rows(spark):
     folder = "/root/testdata/sf0.01"
     found = QUERIES["op10_quality_classifier"](spark, folder)

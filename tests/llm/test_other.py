@@ -147,6 +147,41 @@ def test_main_text():
     assert html_text.main_text(None, weights) == html_text.main_text("", weights) == html_text.main_text("<p></p>", weights) == ""
 
 
+LEARNED = html_text.Weights(
+    {"p": 0.001, "/p": 0.001, "h1": 0.001, "/h1": 0.001, "article": 5.0, "/article": 5.0, "nav": 5.0, "footer": 5.0, "div.ad": 5.0}, 2.0, 1.0,
+    {"ad": math.log(400), "<nav": math.log(400), "<footer": math.log(400)})
+STORY = " ".join(f"word{k}" for k in range(60))
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    # end tags that HTML implies end what is apart, too
+    (f"<article><h1>Head</h1><p class=notice>Hear this<p>{STORY}<p>{STORY}</p></article>", ["Head", STORY, STORY]),
+    (f"<article><ul><li class=share>Share me<li>{STORY}</ul><p>{STORY}</article>", [STORY, STORY]),
+    # a part of a name is a weak hint
+    (f"<article><h1>Head</h1><section id='related-work'><p>{STORY}</section><p>{STORY}</article>", ["Head", STORY, STORY]),
+    (f"<body><div class='content has-sidebar'><h1>Head</h1><p>{STORY}</div><div class=sidebar>x y</div></body>", ["Head", STORY]),
+    # no article element; an element apart without its end tag; one that wraps the page
+    (f"<body><div class=ad>Buy now<h1>Head</h1><p>{STORY}<p>{STORY}</body>", ["Buy now", "Head", STORY, STORY]),
+    (f"<body><nav>a b c</nav><div><div class=ad>Buy now</div><h1>Head</h1><p>{STORY}</div><div class='comments'>{STORY}</div><footer>x</footer>", ["Head", STORY]),
+    (f"<form id=page><nav>a b</nav><h1>Head</h1><p>{STORY}</form>", ["Head", STORY]),
+    (f"<nav>a</nav><table><tr><td>{STORY}<td>{STORY}<tr><td class=ad>buy</table>", [STORY, STORY]),
+    ("</p></b></div>" + "<b>" * 50 + STORY, [STORY]),
+])
+def test_main_text_of_careless_pages(page, want):
+    assert html_text.main_text(page, LEARNED) == "\n\n".join(want)
+
+
+def test_what_is_apart_is_learned(spark):
+    page = "<body><div class='teaser'>see {0} too</div><article><h1>T</h1><p>{1}</p><div class='promo'>{1}</div></article><div class='x-rail'>other {0}</div></body>"
+    pages = spark.createDataFrame([(i, "u", page.format(i, STORY)) for i in range(200)], "page_id long, url string, html string")
+    weights = html_text.learn_weights(pages)
+    assert weights.apart("div", ("teaser",)) >= html_text.APART_FROM and weights.apart("div", ("x-rail",)) >= html_text.APART_FROM
+    # a fixed name that the pages use inside their articles loses its weight
+    assert weights.apart("div", ("promo",)) < html_text.APART_FROM
+    plain = f"<body><div class='teaser'>see this</div><div><h1>T</h1><p>{STORY}</p><div class='promo'>{STORY}</div></div><div class='x-rail'>b</div></body>"
+    assert html_text.main_text(plain, weights) == f"T\n\n{STORY}\n\n{STORY}"
+
+
 def test_best_run_against_all_runs():
     rng = np.random.default_rng(0)
     for _ in range(200):

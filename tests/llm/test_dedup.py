@@ -149,15 +149,35 @@ def test_substring_removal(spark):
         want[d, len(x), sum(gone), sum(g and (q == 0 or not gone[q - 1]) for q, g in enumerate(gone)), hashlib.sha256(left).hexdigest()] += 1
     assert collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found) == want
     texts = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 400)
-    assert texts.columns == ["doc_id", "text", "n_bytes", "n_removed", "n_spans"] and texts.count() == len(rows)
+    assert texts.columns == ["doc_id", "text", "n_bytes", "n_removed", "n_spans", "n_passage"] and texts.count() == len(rows)
+    passages_are_between(rows, found)
+
+
+def passages_are_between(rows, found):
+    """n_passage covers 237 bytes of every repeated string of 300 and nothing that is not in a repeated string of 237."""
+    def covered(width):
+        times = collections.Counter(x[p:p + width] for x in texts for p in range(len(x) - width + 1))
+        out = []
+        for x in texts:
+            gone = {q for p in range(len(x) - width + 1) if times[x[p:p + width]] > 1 for q in range(p, p + width)}
+            out.append(len(gone))
+        return out
+
+    texts = [(t or "").encode() for _, t in rows]
+    got = collections.defaultdict(set)
+    for r in found:
+        got[r.doc_id, r.n_bytes].add(r.n_passage)
+    for (doc, _), x, least, most in zip(rows, texts, covered(300), covered(237)):
+        assert any(min(least, 237) <= n <= most for n in got[doc, len(x)]), (doc, least, most, got[doc, len(x)])
 
 
 def test_windows_are_compared_by_all_bits_of_their_hash(spark):
     values = [b"abcdef\x01\x00", b"abcdef\x02\x00", b"abcdef\x00\x01", b"abcdef\x00\x01"]
-    rows = [(7, i, 0, 100 * i, False, bytearray(v)) for i, v in enumerate(values)] + [(8, 9, 0, 0, False, bytearray(values[0]))]
-    units = spark.createDataFrame(rows, "unit long, id long, hash long, start long, settled boolean, windows binary").coalesce(1)
-    found = {tuple(r) for r in substring_dedup._repeated_windows(units).collect()}
-    assert found == {(2, 0, 200, 200), (3, 0, 300, 300)}
+    rows = [(7, i, 0, 100 * i, 50, False, bytearray(substring_dedup.MARK + v)) for i, v in enumerate(values)]
+    rows.append((8, 9, 0, 0, 50, False, bytearray(substring_dedup.MARK + values[0])))
+    units = spark.createDataFrame(rows, "unit long, id long, hash long, start long, core long, settled boolean, windows binary").coalesce(1)
+    found = {tuple(r) for r in substring_dedup._repeated_windows(units, 10).collect()}
+    assert found == {(2, 0, 0, 200, 200), (3, 0, 0, 300, 300), *((i, 0, 1, 50, 59) for i in range(4))}
 
 
 def test_large_units_are_compared_in_blocks(spark, monkeypatch):
@@ -169,7 +189,7 @@ def test_large_units_are_compared_in_blocks(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     monkeypatch.setattr(substring_dedup, "UNIT_ROWS", 5)
     blocks, held = [], substring_dedup._repeated_in_blocks
-    monkeypatch.setattr(substring_dedup, "_repeated_in_blocks", lambda units: blocks.append(units) or held(units))
+    monkeypatch.setattr(substring_dedup, "_repeated_in_blocks", lambda units, core: blocks.append(units) or held(units, core))
     found = {r.doc_id: r.kept_sha256 for r in substring_dedup.remove_repeats(docs, 400, digest=True).collect()}
     times = collections.Counter((t or "")[p:p + 400] for _, t in rows for p in range(len(t or "") - 399))
     for d, t in rows:
@@ -180,5 +200,17 @@ def test_large_units_are_compared_in_blocks(spark, monkeypatch):
     assert max(whole) > 20 and max(sizes) <= 15
 
 
+def test_substring_removal_of_a_very_long_text_and_clashing_columns(spark):
+    rng = random.Random(9)
+    long = "".join(rng.choices("abcdefghijkl mnop", k=substring_dedup.CHUNK + 60_000))
+    low = substring_dedup.CHUNK - 700  # the repeat lies on both sides of the place where the text is cut
+    rows = [(1, long, 7, "a", 1), (2, "x" + long[low:low + 1300] + "yz", 7, "b", 2), (3, long[:390], 7, "c", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_bytes long, n_spans string, n_passage int")
+    found = {r.doc_id: r for r in substring_dedup.remove_repeats(docs).collect()}
+    assert found[1].text == long[:low] + long[low + 1300:] and found[2].text == "xyz" and found[3].text == long[:390]
+    assert [(found[d].n_bytes, found[d].n_removed, found[d].n_spans) for d in (1, 2, 3)] == [(len(long), 1300, 1), (1303, 1300, 1), (390, 0, 0)]
+    assert found[3].n_passage > 0 and found[1].n_passage >= 1000
+
+
 def test_substring_removal_of_an_empty_table(spark):
     assert substring_dedup.remove_repeats(spark.createDataFrame([], "doc_id long, text string"), 400, digest=True).count() == 0

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -118,3 +119,87 @@ def from_utm(easting: Column, northing: Column, zone: Column, south: Column) ->
     for j, k in enumerate(_DELTA, 1):
         lat = lat + F.lit(k) * F.sin(2 * j * chi)
     return F.degrees(F.atan2(F.sinh(b), F.cos(a))) + (6 * zone - 183), F.degrees(lat)
+
+
+def inside_ring(r: Column, x: Column, y: Column) -> Column:
+    """Even-odd test of a point."""
+    hits = F.filter(edges(r), lambda e: ((e["y"] <= y) != (e["v"] <= y)) & (x < e["x"] + (y - e["y"]) * (e["u"] - e["x"]) / (e["v"] - e["y"])))
+    return F.size(hits) % 2 == 1
+
+
+def meets_rectangle(r: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """Whether a polygon and a rectangle share a point: an edge meets the rectangle, or a corner of it lies in the ring."""
+    def met(e: Column) -> Column:
+        def side(x: Column, y: Column) -> Column:
+            return (e["u"] - e["x"]) * (y - e["y"]) - (e["v"] - e["y"]) * (x - e["x"])
+
+        corners = [side(x, y) for x in (x0, x1) for y in (y0, y1)]
+        apart = (F.greatest(e["x"], e["u"]) < x0) | (F.least(e["x"], e["u"]) > x1) | (F.greatest(e["y"], e["v"]) < y0) | (F.least(e["y"], e["v"]) > y1)
+        return ~apart & (F.least(*corners) <= 0) & (F.greatest(*corners) >= 0)
+
+    return F.exists(edges(r), met) | inside_ring(r, x0, y0)
+
+
+def _zone(epsg: Column) -> Column:
+    return F.when(epsg.between(32601, 32660), epsg - 32600).when(epsg.between(32701, 32760), epsg - 32700)
+
+
+def known_crs(epsg: Column) -> Column:
+    """Geographic WGS 84 or one of its UTM zones."""
+    return F.coalesce((epsg == 4326) | _zone(epsg).isNotNull(), F.lit(False))
+
+
+def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, as the variable of a lambda function; formulas put into each other would grow out of hand."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _pair(a: Column, b: Column) -> Column:
+    return F.struct(a.alias("x"), b.alias("y"))
+
+
+def _geographic(point: Column, zone: Column, south: Column) -> Column:
+    """from_utm in bound steps: struct<x, y> of degrees."""
+    scale = F.lit(_K0 * _RADIUS)
+
+    def series(q: Column) -> Column:
+        a, b = q["x"], q["y"]
+        for j, k in enumerate(_BETA, 1):
+            a = a - F.lit(k) * F.sin(2 * j * q["x"]) * F.cosh(2 * j * q["y"])
+            b = b - F.lit(k) * F.cos(2 * j * q["x"]) * F.sinh(2 * j * q["y"])
+        return _pair(a, b)
+
+    def latitude(q: Column) -> Column:
+        lat = q["y"]
+        for j, k in enumerate(_DELTA, 1):
+            lat = lat + F.lit(k) * F.sin(2 * j * q["y"])
+        return _pair(q["x"] + (6 * zone - 183), F.degrees(lat))
+
+    start = _pair((point["y"] - F.when(south, F.lit(10_000_000.0)).otherwise(F.lit(0.0))) / scale, (point["x"] - 500000.0) / scale)
+    angles = _bind(_bind(start, series), lambda q: _pair(F.degrees(F.atan2(F.sinh(q["y"]), F.cos(q["x"]))), F.asin(F.sin(q["x"]) / F.cosh(q["y"]))))
+    return _bind(angles, latitude)
+
+
+def _projected(degrees: Column, zone: Column, south: Column) -> Column:
+    """to_utm in bound steps: struct<x, y> of easting and northing."""
+    def conformal(q: Column) -> Column:
+        return _pair(F.sinh(_atanh(q["x"]) - F.lit(_C) * _atanh(F.lit(_C) * q["x"])), q["y"])
+
+    def series(q: Column) -> Column:
+        e, n = q["y"], q["x"]
+        for j, a in enumerate(_ALPHA, 1):
+            e = e + F.lit(a) * F.cos(2 * j * q["x"]) * F.sinh(2 * j * q["y"])
+            n = n + F.lit(a) * F.sin(2 * j * q["x"]) * F.cosh(2 * j * q["y"])
+        scale = F.lit(_K0 * _RADIUS)
+        return _pair(F.lit(500000.0) + scale * e, scale * n + F.when(south, F.lit(10_000_000.0)).otherwise(F.lit(0.0)))
+
+    start = _pair(F.sin(F.radians(degrees["y"])), F.radians(degrees["x"] - (6 * zone - 183)))
+    angles = _bind(_bind(start, conformal), lambda q: _pair(F.atan2(q["x"], F.cos(q["y"])), _atanh(F.sin(q["y"]) / F.sqrt(1 + q["x"] * q["x"]))))
+    return _bind(angles, series)
+
+
+def reproject_ring(r: Column, source: Column, target: Column) -> Column:
+    """The ring in another system; as it is if the systems are equal or one is null, null if one is not known."""
+    degrees = F.when(source == 4326, r).otherwise(F.transform(r, lambda p: _geographic(p, _zone(source), source > 32700)))
+    moved = F.when(target == 4326, degrees).otherwise(F.transform(degrees, lambda p: _projected(p, _zone(target), target > 32700)))
+    return F.when(F.coalesce(source == target, F.lit(True)), r).when(known_crs(source) & known_crs(target), moved)

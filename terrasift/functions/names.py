@@ -77,6 +77,18 @@ def layer_modality(stem: Column) -> Column:
         (folded.contains("_spor_"), "SpOr"), (folded.contains("_or_"), "Or")], F.lit("Unknown"))
 
 
+def folder_modality(name: Column) -> Column:
+    """Modality of a folder by its infix or suffix, lidar by its infix or prefix; null if none."""
+    folded, low = fold(name), F.lower(name)
+
+    def part(text: Column, word: str) -> Column:
+        return text.contains(f"_{word}_") | text.endswith(f"_{word}")
+
+    return first_match([
+        (folded.contains("_li_") | folded.startswith("li_"), "Li"), (part(low, "ae") | part(low, "ае"), "Ae"),
+        (part(folded, "spor"), "SpOr"), (part(folded, "or"), "Or")], F.lit(None).cast("string"))
+
+
 def _known(tokens: Column) -> Column:
     return F.transform(tokens, lambda t: lookup(t, MODALITY_OF_TOKEN))
 
@@ -128,7 +140,6 @@ def epsg(crs_urn: Column) -> Column:
 
 
 def draw(key: Column, seed: int) -> Column:
-    """A number in [0, 1) that depends on the key and seed alone, the same in any partitioning."""
-    mixed = F.pmod(key.cast("long") * 7919 + F.lit(seed) * 104729, F.lit(1_000_003))
-    mixed = F.pmod(mixed * mixed + mixed * 31 + F.lit(seed), F.lit(1_000_003))
-    return F.pmod(mixed * 48271, F.lit(1_000_003)) / F.lit(1_000_003.0)
+    """One of 2**52 numbers in [0, 1) that depends on the key's text and the seed alone, the same in any partitioning."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("null"))))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(2**52))

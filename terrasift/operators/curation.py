@@ -42,10 +42,23 @@ def curate(
 
 
 def edge_policy(boxes: DataFrame, policy: str) -> DataFrame:
-    """boxes: drop edge boxes; tiles: drop tiles that have one; keep: all."""
+    """boxes: drop edge boxes; tiles: drop tiles that have one; keep: all. Tiles without boxes are those of tile_policy."""
     if policy == "boxes":
         return boxes.where(~F.col("edge"))
     if policy == "tiles":
         bad = boxes.where("edge").select("raster_id", "x0", "y0").distinct()
         return boxes.join(bad, ["raster_id", "x0", "y0"], "left_anti")
     return boxes
+
+
+def tile_policy(tiles: DataFrame, boxes: DataFrame, policy: str, positives_only: bool = False) -> DataFrame:
+    """Tiles (raster_id, x0, y0) with n_boxes after edge_policy: with boxes, and unless positives_only those without any.
+
+    A tile that the policy tiles drops is none of either; one whose boxes all go by the policy boxes is without.
+    """
+    key = ["raster_id", "x0", "y0"]
+    if policy == "tiles":
+        tiles = tiles.join(boxes.where("edge").select(*key).distinct(), key, "left_anti")
+    per = edge_policy(boxes, policy).groupBy(*key).agg(F.count("*").alias("n_boxes"))
+    rows = tiles.select(*key).join(per, key, "left").withColumn("n_boxes", F.coalesce("n_boxes", F.lit(0)))
+    return rows.where("n_boxes > 0") if positives_only else rows

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrasift.sources.scratch import cut_lineage
+from terrasift.sources.scratch import cut_lineage, drop_scratch
 
 from .masks import components, mask_runs
 
@@ -164,49 +166,74 @@ def multiclass_dice_loss(scores: DataFrame, columns: list[str], label: Column) -
 
 def eval_objects(mask: DataFrame, min_pixels: int = 2) -> DataFrame:
     """Components of truth and prediction with side and confidence 1, as runs: (side, sample_id, class_id, comp, row, c0, c1)."""
-    both = None
-    for side, value in (("truth", "gt"), ("pred", "pred")):
-        c = components(mask_runs(mask, value)).withColumn("side", F.lit(side))
-        both = c if both is None else both.unionByName(c)
+    truth, pred = mask_runs(mask, "gt").withColumn("side", F.lit("truth")), mask_runs(mask, "pred").withColumn("side", F.lit("pred"))
+    both = components(truth.unionByName(pred), ("side", "class_id"))
     size = F.sum(F.col("c1") - F.col("c0")).over(Window.partitionBy("side", "sample_id", "class_id", "comp"))
     return both.withColumn("pixels", size).where(F.col("pixels") >= min_pixels).withColumn("confidence", F.lit(1.0))
 
 
 def object_iou(objects: DataFrame) -> DataFrame:
-    """(sample_id, class_id, p, t, iou, hit) of predicted and true objects that share a pixel, or whose predicted centroid hits."""
+    """(sample_id, class_id, p, t, iou, hit, confidence) of predicted and true objects that share a pixel, or whose predicted centroid hits.
+
+    Objects without a column confidence have 1.
+    """
     key = ["sample_id", "class_id"]
+    if "confidence" not in objects.columns:
+        objects = objects.withColumn("confidence", F.lit(1.0))
     t = objects.where("side = 'truth'").select(*key, F.col("comp").alias("t"), "row", F.col("c0").alias("t0"), F.col("c1").alias("t1"), F.col("pixels").alias("nt"))
-    p = objects.where("side = 'pred'").select(*key, F.col("comp").alias("p"), "row", "c0", "c1", F.col("pixels").alias("np"))
+    p = objects.where("side = 'pred'").select(*key, F.col("comp").alias("p"), "row", "c0", "c1", F.col("pixels").alias("np"), "confidence")
     share = t.join(p, [*key, "row"]).where("t0 < c1 AND c0 < t1")
-    share = share.groupBy(*key, "p", "t").agg(F.sum(F.least("c1", "t1") - F.greatest("c0", "t0")).alias("inter"), F.first("np").alias("np"), F.first("nt").alias("nt"))
+    share = share.groupBy(*key, "p", "t").agg(
+        F.sum(F.least("c1", "t1") - F.greatest("c0", "t0")).alias("inter"), F.first("np").alias("np"), F.first("nt").alias("nt"), F.first("confidence").alias("confidence"))
     n = F.col("c1") - F.col("c0")
-    centre = p.groupBy(*key, "p").agg(F.floor(F.sum(F.col("row") * n) / F.sum(n) + 0.5).cast("int").alias("row"), F.floor(F.sum((F.col("c0") + F.col("c1") - 1) * n / 2) / F.sum(n) + 0.5).alias("x"))
-    hits = centre.join(t, [*key, "row"]).where("x >= t0 AND x < t1").select(*key, "p", "t").distinct().withColumn("hit", F.lit(True))
+    centre = p.groupBy(*key, "p").agg(
+        F.floor(F.sum(F.col("row") * n) / F.sum(n) + 0.5).cast("int").alias("row"), F.floor(F.sum((F.col("c0") + F.col("c1") - 1) * n / 2) / F.sum(n) + 0.5).alias("x"),
+        F.first("confidence").alias("_c"))
+    hits = centre.join(t, [*key, "row"]).where("x >= t0 AND x < t1").select(*key, "p", "t", "_c").distinct().withColumn("hit", F.lit(True))
     both = share.join(hits, [*key, "p", "t"], "full")
     value = F.coalesce(F.col("inter") / (F.col("np") + F.col("nt") - F.col("inter")), F.lit(0.0))
-    return both.select(*key, "p", "t", value.alias("iou"), F.coalesce("hit", F.lit(False)).alias("hit"))
+    return both.select(*key, "p", "t", value.alias("iou"), F.coalesce("hit", F.lit(False)).alias("hit"), F.coalesce("confidence", "_c").alias("confidence"))
+
+
+def _serial(table: pa.Table) -> pa.Table:
+    """The serial matching of one sample: predictions of each class by confidence, then number, each with its best free truth."""
+    order = np.lexsort((table["t"].to_numpy(), -table["iou"].to_numpy(), table["p"].to_numpy(), -table["confidence"].to_numpy(), table["class_id"].to_numpy()))
+    used: set[tuple] = set()
+    taken = []
+    for at, c, p, t in zip(order.tolist(), *(table[x].take(pa.array(order)).to_pylist() for x in ("class_id", "p", "t"))):
+        if (c, "p", p) not in used and (c, "t", t) not in used:
+            used |= {(c, "p", p), (c, "t", t)}
+            taken.append(at)
+    return table.take(pa.array(taken, pa.int64())).select(["sample_id", "class_id", "p", "t", "iou"])
 
 
 def soft_match(objects: DataFrame, least_iou: float = 0.3, pool: bool = False) -> DataFrame:
     """(sample_id, class_id, p, t, iou): predictions in order take their best free truth with IoU above least_iou or a hit.
 
-    The serial order (confidence, then number) is kept by rounds: a pair is final when the truth is the prediction's best free
-    one and no earlier free prediction still has that truth as a candidate. Rounds end when nothing is free. Objects match within their
-    sample; pool gives all samples one key, as if they were one image.
+    The order is by confidence, the greatest first, then by number; of equal truths the first is taken. Objects match within their
+    sample, the work of one group. pool gives all samples one key, as if they lay on one image: there is no bounded group
+    then, and the same order is kept by rounds: a pair is final when the truth is the prediction's best free one and no
+    earlier free prediction still has that truth as a candidate. Rounds end when nothing is free.
     """
-    c = object_iou(objects).where((F.col("iou") > least_iou) | F.col("hit"))
-    if pool:
-        c = c.withColumn("sample_id", F.lit(0).cast(dict(c.dtypes)["sample_id"]))
     key = ["sample_id", "class_id"]
-    left = cut_lineage(c.select(*key, "p", "t", "iou"))
-    done = None
+    if pool:
+        kind = dict(objects.dtypes)["sample_id"]
+        objects = objects.withColumn("comp", F.col("sample_id").cast("long") * (1 << 24) + F.col("comp")).withColumn("sample_id", F.lit(0).cast(kind))
+    c = object_iou(objects).where((F.col("iou") > least_iou) | F.col("hit")).select(*key, "p", "t", "iou", "confidence")
+    if not pool:
+        kinds = dict(c.dtypes)
+        return c.groupBy("sample_id").applyInArrow(_serial, ", ".join(f"{n} {kinds[n]}" for n in (*key, "p", "t", "iou")))
+    turn = F.struct(-F.col("confidence"), F.col("p"))
+    left, done = cut_lineage(c.withColumn("turn", turn)), None
     while not left.isEmpty():
         best = F.row_number().over(Window.partitionBy(*key, "p").orderBy(F.desc("iou"), "t")) == 1
-        first = F.min("p").over(Window.partitionBy(*key, "t")) == F.col("p")
+        first = F.min("turn").over(Window.partitionBy(*key, "t")) == F.col("turn")
         final = cut_lineage(left.withColumn("_b", best).withColumn("_f", first).where("_b AND _f").select(*key, "p", "t", "iou"))
         done = final if done is None else done.unionByName(final)
-        left = cut_lineage(left.join(final.select(*key, "p"), [*key, "p"], "left_anti").join(final.select(*key, "t"), [*key, "t"], "left_anti").select(*key, "p", "t", "iou"))
-    return done if done is not None else left
+        rest = cut_lineage(left.join(final.select(*key, "p"), [*key, "p"], "left_anti").join(final.select(*key, "t"), [*key, "t"], "left_anti").select(left.columns))
+        drop_scratch(left)
+        left = rest
+    return done if done is not None else left.select(*key, "p", "t", "iou")
 
 
 def match_counts(objects: DataFrame, pairs: DataFrame) -> DataFrame:

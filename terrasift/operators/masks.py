@@ -2,51 +2,77 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrasift.functions.geometry import edges
-from terrasift.sources.scratch import cut_lineage
 
 
 def polygon_runs(polygons: DataFrame, size: int) -> DataFrame:
     """Runs of polygons (sample_id, ord, class_id, area, ring in pixels of the window) whose pixel centres lie inside.
 
     Each row is cut at the crossings of the edges with its centre line; pairs of sorted crossings bound the runs (even-odd).
+    Edges of a batch of polygons are crossed together, and nothing is shuffled.
     """
-    y = lambda f: f(F.transform("ring", lambda p: p["y"]))
-    rows = polygons.withColumn("row", F.explode(F.sequence(
-        F.greatest(F.lit(0), F.floor(y(F.array_min)).cast("int")), F.least(F.lit(size - 1), F.floor(y(F.array_max)).cast("int")))))
-    rows = rows.where((F.col("row") >= 0) & (F.col("row") < size))
-    centre = F.col("row") + F.lit(0.5)
-    crossing = F.filter(edges(F.col("ring")), lambda e: ((e["y"] <= centre) & (e["v"] > centre)) | ((e["v"] <= centre) & (e["y"] > centre)))
-    xs = F.array_sort(F.transform(crossing, lambda e: e["x"] + (centre - e["y"]) * (e["u"] - e["x"]) / (e["v"] - e["y"])))
-    rows = rows.withColumn("xs", xs).withColumn("k", F.explode(F.sequence(F.lit(0), F.floor(F.size("xs") / 2).cast("int"))))
-    rows = rows.where(2 * F.col("k") + 1 < F.size("xs"))
-
-    def pixel(x: Column) -> Column:
-        return F.least(F.greatest(F.ceil(x - F.lit(0.5)), F.lit(0)), F.lit(size)).cast("int")
-
-    runs = rows.select("sample_id", "ord", "class_id", "area", "row", pixel(F.get("xs", 2 * F.col("k"))).alias("c0"), pixel(F.get("xs", 2 * F.col("k") + 1)).alias("c1"))
-    return runs.where("c1 > c0")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rings = batch.column(batch.num_columns - 1)
+            ends = rings.offsets.to_numpy()
+            points = rings.values
+            x, y = (points.field(k).to_numpy(zero_copy_only=False)[:ends[-1]] for k in (0, 1))
+            after = np.arange(1, ends[-1] + 1)
+            after[ends[1:][np.diff(ends) > 0] - 1] = ends[:-1][np.diff(ends) > 0]
+            owner = np.repeat(np.arange(len(rings)), np.diff(ends))
+            x, y, u, v = (c[ends[0]:] for c in (x, y, x[after], y[after]))
+            low, high = np.minimum(y, v), np.maximum(y, v)
+            first = np.maximum(np.ceil(low - 0.5), 0).astype(np.int64)  # rows whose centres lie in [low, high)
+            last = np.minimum(np.ceil(high - 0.5) - 1, size - 1).astype(np.int64)
+            n = np.maximum(last - first + 1, 0)
+            edge = np.repeat(np.arange(len(n)), n)
+            row = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+            at = x[edge] + (row + 0.5 - y[edge]) * (u[edge] - x[edge]) / (v[edge] - y[edge])
+            order = np.lexsort((at, row, owner[edge]))
+            poly, row, at = owner[edge][order], row[order], at[order]
+            # every row of a polygon is crossed an even number of times
+            c0, c1 = (np.clip(np.ceil(at[k::2] - 0.5), 0, size).astype(np.int32) for k in (0, 1))
+            own, poly = c1 > c0, poly[::2]
+            out = batch.select(batch.schema.names[:-1]).take(pa.array(poly[own]))
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(row[::2][own].astype(np.int32)), pa.array(c0[own]), pa.array(c1[own])], [*out.schema.names, "row", "c0", "c1"])
+
+    kinds = dict(polygons.dtypes)
+    kept = ("sample_id", "ord", "class_id", "area")
+    ring = F.transform("ring", lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y"))).alias("ring")
+    rows = polygons.where("ring IS NOT NULL").select(*kept, ring)
+    return rows.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in kept) + ", row int, c0 int, c1 int")
 
 
 def paint(runs: DataFrame, rule: str = "small") -> DataFrame:
     """Runs without overlap. small: the polygon of least area wins, of equals the later; last: the later wins.
 
-    Rows are split at every end point; each elementary interval takes its winner, and equal neighbours are merged again.
+    One shuffle by sample; the runs of a sample are laid over each other, the winner last, on its rows and columns, and read off again.
     """
-    key = ["sample_id", "row"]
-    ends = runs.select(*key, F.explode(F.array("c0", "c1")).alias("a")).distinct()
-    ends = ends.withColumn("b", F.lead("a").over(Window.partitionBy(*key).orderBy("a"))).where("b IS NOT NULL")
-    cover = ends.join(runs, key).where("c0 <= a AND c1 >= b")
-    winner = F.struct(-F.col("area"), F.col("ord")) if rule == "small" else F.struct("ord")
-    best = cover.groupBy(*key, "a", "b").agg(F.max_by("class_id", winner).alias("class_id"))
-    run = Window.partitionBy(*key).orderBy("a")
-    joined = (F.lag("b").over(run) == F.col("a")) & (F.lag("class_id").over(run) == F.col("class_id"))
-    best = best.withColumn("_new", F.when(joined, 0).otherwise(1)).withColumn("_g", F.sum("_new").over(run))
-    merged = best.groupBy(*key, "_g").agg(F.min("a").alias("c0"), F.max("b").alias("c1"), F.first("class_id").alias("class_id"))
-    return merged.select("sample_id", "row", "c0", "c1", "class_id")
+    def lay(table: pa.Table) -> pa.Table:
+        row, c0, c1, class_id, number = (table[c].to_numpy() for c in ("row", "c0", "c1", "class_id", "ord"))
+        order = np.lexsort((number, -table["area"].to_numpy())) if rule == "small" else np.argsort(number, kind="stable")
+        top = row.min()
+        canvas = np.full((row.max() - top + 1, c1.max() + 2), -1, np.int64)
+        for r, a, b, k in zip((row - top)[order].tolist(), c0[order].tolist(), c1[order].tolist(), order.tolist()):
+            canvas[r, a + 1:b + 1] = k
+        value = np.where(canvas >= 0, class_id[canvas], -1)
+        value[canvas < 0] = np.iinfo(np.int32).min  # free
+        r, c = np.nonzero(value[:, 1:] != value[:, :-1])
+        own = value[r, c + 1] != np.iinfo(np.int32).min
+        end = np.r_[c[1:], 0]
+        columns = [pa.array((r[own] + top).astype(np.int32)), pa.array(c[own].astype(np.int32)), pa.array(end[own].astype(np.int32)), pa.array(value[r[own], c[own] + 1].astype(np.int32))]
+        sample = table["sample_id"].combine_chunks().take(pa.array(np.zeros(int(own.sum()), np.int64)))
+        return pa.table([sample, *columns], ["sample_id", "row", "c0", "c1", "class_id"])
+
+    kind = dict(runs.dtypes)["sample_id"]
+    needed = runs.select("sample_id", F.col("row").cast("int"), F.col("c0").cast("int"), F.col("c1").cast("int"), F.col("class_id").cast("int"), F.col("ord").cast("long"), F.col("area").cast("double"))
+    return needed.groupBy("sample_id").applyInArrow(lay, f"sample_id {kind}, row int, c0 int, c1 int, class_id int")
 
 
 def mask_runs(mask: DataFrame, value: str) -> DataFrame:
@@ -66,12 +92,18 @@ def mask_stats(runs: DataFrame, size: int, class_ids: list[int]) -> DataFrame:
     return rows.withColumn("pixels_bg", F.lit(size * size) - total)
 
 
-def reject_reasons(samples: DataFrame, objects: DataFrame, runs: DataFrame) -> DataFrame:
-    """(sample_id, reason): no_polygons, no_labelled_polygon, empty_mask, or null for accepted samples."""
+def reject_reasons(samples: DataFrame, objects: DataFrame, runs: DataFrame, patches: DataFrame | None = None) -> DataFrame:
+    """(sample_id, reason): no_polygons, no_labelled_polygon, empty_mask, empty_patch, or null for accepted samples.
+
+    patches, if given: (sample_id, n_valid), valid pixels of each patch that was read; a patch without any, or not read, is empty.
+    """
     have = objects.groupBy("sample_id").agg(F.count("*").alias("n"), F.count("class_id").alias("labelled"))
     painted = runs.select("sample_id").distinct().withColumn("painted", F.lit(True))
     rows = samples.select("sample_id").join(have, "sample_id", "left").join(painted, "sample_id", "left")
     reason = F.when(F.col("n").isNull(), "no_polygons").when(F.col("labelled") == 0, "no_labelled_polygon").when(F.col("painted").isNull(), "empty_mask")
+    if patches is not None:
+        rows = rows.join(patches.select("sample_id", "n_valid"), "sample_id", "left")
+        reason = reason.when(F.coalesce("n_valid", F.lit(0)) == 0, "empty_patch")
     return rows.select("sample_id", reason.alias("reason"))
 
 
@@ -80,27 +112,53 @@ def bad_mask_values(mask: DataFrame, value: str, allowed: list[int]) -> DataFram
     return mask.join(F.broadcast(ids), value, "left_anti").groupBy("sample_id", value).agg(F.count("*").alias("n"))
 
 
-def components(runs: DataFrame) -> DataFrame:
-    """Runs with comp, the least run number of their 8-connected component of one class in one sample.
+def _touching(line: np.ndarray, c0: np.ndarray, c1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of runs, sorted by line and column, in neighbouring lines whose column ranges, widened by one, meet."""
+    width = int(c1.max()) + 2
+    low = np.searchsorted(line * width + c1, (line + 1) * width + c0, "left")
+    high = np.searchsorted(line * width + c0, (line + 1) * width + c1, "right")
+    n = np.maximum(high - low, 0)
+    first = np.repeat(np.arange(len(line)), n)
+    return first, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+
+
+def _least_reached(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least number in the component of each of n numbers: minima over the pairs, then jumps along themselves."""
+    label = np.arange(n)
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    return label
 
-    Runs of neighbouring rows touch if their column ranges, widened by one, meet. Labels spread as minima over the touching
-    pairs and jump along themselves; each round is written to the shared folder, so a lost executor repeats one round.
+
+def components(runs: DataFrame, by: tuple[str, ...] = ("class_id",)) -> DataFrame:
+    """Runs with run, their number by row and column, and comp, the least run of their 8-connected component, within sample and by.
+
+    One shuffle by sample; a sample's mask, at most 4096 x 4096 pixels here, is the work of one group.
     """
-    key = ["sample_id", "class_id"]
-    numbered = cut_lineage(runs.withColumn("run", F.row_number().over(Window.partitionBy(*key).orderBy("row", "c0"))))
-    a = numbered.select(*key, F.col("run").alias("a"), F.col("row").alias("ra"), F.col("c0").alias("a0"), F.col("c1").alias("a1"))
-    b = numbered.select(*key, F.col("run").alias("b"), (F.col("row") - 1).alias("ra"), F.col("c0").alias("b0"), F.col("c1").alias("b1"))
-    touch = a.join(b, [*key, "ra"]).where("a0 <= b1 AND b0 <= a1").select(*key, "a", "b")
-    touch = cut_lineage(touch.union(touch.select(*key, "b", "a")).toDF(*key, "run", "other"))
-    labels = numbered.select(*key, "run", F.col("run").alias("comp"))
-    while True:
-        near = touch.join(labels.toDF(*key, "other", "near"), [*key, "other"]).groupBy(*key, "run").agg(F.min("near").alias("near"))
-        low = labels.join(near, [*key, "run"], "left").select(*key, "run", "comp", F.least("comp", "near").alias("low"))
-        jump = low.select(*key, F.col("run").alias("low"), F.col("low").alias("lower"))
-        new = cut_lineage(low.join(jump, [*key, "low"]).select(*key, "run", "comp", F.col("lower").alias("new")))
-        labels = new.select(*key, "run", F.col("new").alias("comp"))
-        if new.where("new <> comp").isEmpty():
-            return numbered.join(labels, [*key, "run"])
+    def label(table: pa.Table) -> pa.Table:
+        row, c0, c1 = (table[c].to_numpy().astype(np.int64) for c in ("row", "c0", "c1"))
+        kind = np.zeros(len(row), np.int64)
+        for c in by:
+            kind = kind * (table.num_rows + 1) + np.unique(table[c].to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        kind = np.unique(kind, return_inverse=True)[1]
+        order = np.lexsort((c0, row, kind))
+        row, c0, c1, kind = row[order], c0[order], c1[order], kind[order]
+        line = kind * (row.max() + 2) + row
+        first = np.flatnonzero(np.r_[True, kind[1:] != kind[:-1]])[kind]  # a kind's first run
+        comp = _least_reached(len(row), *_touching(line, c0, c1)) - first + 1
+        out = table.take(pa.array(order))
+        out = out.append_column("run", pa.array((np.arange(len(row)) - first + 1).astype(np.int32)))
+        return out.append_column("comp", pa.array(comp.astype(np.int32)))
+
+    schema = ", ".join(f"`{n}` {t}" for n, t in runs.dtypes)
+    return runs.groupBy("sample_id").applyInArrow(label, f"{schema}, run int, comp int")
 
 
 def mask_components(runs: DataFrame, min_pixels: int = 1) -> DataFrame:
@@ -110,3 +168,46 @@ def mask_components(runs: DataFrame, min_pixels: int = 1) -> DataFrame:
         F.sum(n).alias("pixels"), F.min("row").alias("r0"), F.min("c0").alias("c0"), F.max("row").alias("r1"), (F.max("c1") - 1).alias("c1"),
         F.sum(F.col("row") * n).alias("_y"), F.sum((F.col("c0") + F.col("c1") - 1) * n / 2).alias("_x"))
     return rows.where(F.col("pixels") >= min_pixels).withColumn("cy", F.col("_y") / F.col("pixels")).withColumn("cx", F.col("_x") / F.col("pixels")).drop("_y", "_x")
+
+
+def _filled(pixels: np.ndarray) -> np.ndarray:
+    """The pixels and their holes: what a step-by-step walk over the other pixels from outside does not reach."""
+    free = np.pad(~pixels, 1, constant_values=True)
+    reached = np.zeros_like(free)
+    reached[0] = True
+    while True:
+        grown = reached.copy()
+        for axis in (0, 1):
+            for way in (1, -1):
+                moved = np.roll(grown, way, axis)  # the frame is free, so what comes round the edge is reached anyhow
+                grown |= moved & free
+        if (grown == reached).all():
+            return ~reached[1:-1, 1:-1]
+        reached = grown
+
+
+def outline_area(pixels: np.ndarray) -> float:
+    """Area inside the outer contour through pixel centres: squares of four neighbours count 1 if all belong, 1/2 if three do."""
+    four = sum(pixels[a:pixels.shape[0] - 1 + a, b:pixels.shape[1] - 1 + b].astype(np.int8) for a in (0, 1) for b in (0, 1))
+    return float((four == 4).sum() + (four == 3).sum() / 2)
+
+
+def mask_objects(runs: DataFrame, min_area: float = 8.0) -> DataFrame:
+    """(sample_id, class_id, comp, filled, area): components whose contour, without holes, has min_area; filled counts its pixels."""
+    def measure(table: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        frame = table.select(["class_id", "comp", "row", "c0", "c1"]).to_pandas()
+        for (class_id, comp), part in frame.groupby(["class_id", "comp"]):
+            top, left = part["row"].min(), part["c0"].min()
+            pixels = np.zeros((part["row"].max() - top + 1, part["c1"].max() - left), bool)
+            for row, c0, c1 in zip(part["row"] - top, part["c0"] - left, part["c1"] - left):
+                pixels[row, c0:c1] = True
+            pixels = _filled(pixels)
+            out.append((class_id, comp, int(pixels.sum()), outline_area(pixels)))
+        columns = list(zip(*out))
+        sample = table["sample_id"].combine_chunks().take(pa.array(np.zeros(len(out), np.int64)))
+        return pa.table({"sample_id": sample, **{n: pa.array(c, t) for n, c, t in zip(("class_id", "comp", "filled", "area"), columns, (pa.int32(), pa.int32(), pa.int64(), pa.float64()))}})
+
+    kind = dict(runs.dtypes)["sample_id"]
+    found = components(runs).groupBy("sample_id").applyInArrow(measure, f"sample_id {kind}, class_id int, comp int, filled long, area double")
+    return found.where(F.col("area") >= min_area)

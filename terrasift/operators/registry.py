@@ -6,25 +6,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrasift.functions import names
+from terrasift.functions.geometry import area
 
 
 def region_crs(regions: DataFrame) -> DataFrame:
     return regions.select("region_id", "region", names.epsg(F.col("crs_urn")).alias("epsg"))
 
 
-def discover_regions(files: DataFrame, markup_ext: str = "geojson", raster_exts: tuple[str, ...] = ("tif", "tiff")) -> DataFrame:
-    """Regions with annotation files and at least one raster of a known modality, and the last markup name."""
-    modality = names.modality_from_path(F.col("stem"), F.col("region_folder"))
-    raster = F.col("ext").isin(*raster_exts)
+def discover_regions(files: DataFrame, sidecar: str = "UTM") -> DataFrame:
+    """(region_folder, markup_dir, modalities, n_rasters): regions with the CRS sidecar, a markup folder and a modality folder.
+
+    files: region_folder, sub_folder (null for files of the region itself), stem and ext. A folder named as markup is never one
+    of a modality; of several the greatest name counts. n_rasters: raster files in folders of a modality.
+    """
+    markup = F.lower("sub_folder").contains("разметка")
+    modality = F.when(~markup, F.nullif(names.modality_by_rule(F.col("sub_folder")), F.lit("Unknown")))
     grouped = files.groupBy("region_folder").agg(
-        F.max(F.when(F.col("ext") == markup_ext, F.col("stem"))).alias("markup"),
-        F.count_if(raster & modality.isNotNull()).alias("n_rasters"))
-    return grouped.where("markup IS NOT NULL AND n_rasters > 0")
+        F.bool_or(F.col("sub_folder").isNull() & (F.col("stem") == sidecar) & (F.col("ext") == "json")).alias("has_crs"),
+        F.max(F.when(markup, F.col("sub_folder"))).alias("markup_dir"),
+        F.array_join(F.array_sort(F.collect_set(modality)), ",").alias("modalities"),
+        F.count_if(modality.isNotNull() & F.col("ext").isin("tif", "tiff")).alias("n_rasters"))
+    return grouped.where("has_crs AND markup_dir IS NOT NULL AND modalities <> ''").drop("has_crs")
 
 
 def pick_rasters(registry: DataFrame, all_of: str = "SpOr") -> DataFrame:
     """One raster per region and modality: a lidar file marked _g first, else the first by name; all files of `all_of`."""
-    marked = (F.col("modality") == "Li") & (F.col("stem").endswith("_g") | F.col("stem").contains("_g_"))
+    low = F.lower("stem")
+    marked = (F.col("modality") == "Li") & (low.endswith("_g") | low.contains("_g_"))
     order = Window.partitionBy("region", "modality").orderBy(marked.desc(), "file_name")
     ranked = registry.withColumn("rn", F.row_number().over(order))
     return ranked.where((F.col("rn") == 1) | (F.col("modality") == all_of))
@@ -45,10 +53,37 @@ def objects_by_class(files: DataFrame) -> DataFrame:
     return rows.select("file_id", "stem", word.alias("class_raw"), found.alias("class_norm")).where("class_norm IS NOT NULL")
 
 
-def normalize_metadata(samples: DataFrame, id_col: str = "sample_id") -> DataFrame:
-    """Six-digit sample keys, integer class ids (null for unknown classes) and labels filled from the class name."""
-    class_id = names.lookup(F.col("class_name"), names.CLASS_IDS).cast("int")
-    return samples.withColumn(id_col, names.sample_key(F.col(id_col))).withColumn("class_id", class_id).withColumn("label", F.coalesce(F.col("class_name"), F.lit("unknown")))
+#: Columns that sample metadata must have, if only after the repair.
+METADATA = ("sample_id", "region", "modality", "class_name", "height", "width", "n_objects_in_patch")
+
+
+def normalize_metadata(samples: DataFrame, id_col: str = "sample_id", required: tuple[str, ...] = ()) -> DataFrame:
+    """Six-digit sample keys, and what older metadata lack: class_name from kurgan_type, class_id and label from class_name.
+
+    Each is filled in only where the column is absent; class ids are integers, null for unknown classes. required: columns
+    without which the metadata are refused (METADATA for those of a whole dataset).
+    """
+    if "class_name" not in samples.columns and "kurgan_type" in samples.columns:
+        renamed = names.lookup(F.col("kurgan_type"), {"whole": "kurgany_tselye", "damaged": "kurgany_povrezhdennye"})
+        samples = samples.withColumn("class_name", F.coalesce(renamed, F.col("kurgan_type")))
+    if "class_id" not in samples.columns and "class_name" in samples.columns:
+        samples = samples.withColumn("class_id", names.lookup(F.col("class_name"), names.CLASS_IDS))
+    missing = [c for c in required if c not in samples.columns]
+    if missing:
+        raise ValueError(f"the metadata lack the columns {missing}")
+    samples = samples.withColumn(id_col, names.sample_key(F.col(id_col)))
+    if "class_id" in samples.columns:
+        samples = samples.withColumn("class_id", F.col("class_id").cast("int"))
+    if "label" not in samples.columns and "class_name" in samples.columns:
+        samples = samples.withColumn("label", F.coalesce(F.col("class_name"), F.lit("unknown")))
+    return samples
+
+
+def geometry_filter(objects: DataFrame, classes: list[str], kinds: tuple[str, ...] = ("Polygon", "MultiPolygon")) -> DataFrame:
+    """Objects of the classes whose geometry is of a kind (where geom_type is given), not null, of 3 points or more, and has an area."""
+    ring = F.col("ring")
+    ok = ring.isNotNull() & (F.size(ring) >= 3) & (area(ring) > 0) & F.col("class_name").isin(classes)
+    return objects.where(ok & F.col("geom_type").isin(*kinds) if "geom_type" in objects.columns else ok)
 
 
 def value_counts(df: DataFrame, column: str, top: int | None = None) -> DataFrame:

@@ -2,58 +2,113 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Offset that the local coordinate systems of shifted layers have.
-FALSE_EASTING = 5_000_000.0
+from terrasift.functions import geometry as G
+
+Box = tuple[Column, Column, Column, Column]
+
+
+def utm_box() -> Box:
+    """Centre and half sides (cx, cy, hw, hh) of an object's box in its raster's system, from columns epsg and raster_epsg.
+
+    The corners are reprojected and bounded again; null if a system is not known.
+    """
+    corners = G.ring(*[(F.col("cx") + a * F.col("hw"), F.col("cy") + b * F.col("hh")) for a, b in ((-1, -1), (1, -1), (1, 1), (-1, 1))])
+
+    def bounded(r: Column) -> Column:
+        x0, y0, x1, y1 = G.box(r)
+        return F.struct(((x0 + x1) / 2).alias("cx"), ((y0 + y1) / 2).alias("cy"), ((x1 - x0) / 2).alias("hw"), ((y1 - y0) / 2).alias("hh"))
+
+    moved = F.transform(F.array(G.reproject_ring(corners, F.col("epsg"), F.col("raster_epsg"))), bounded)[0]
+    return moved["cx"], moved["cy"], moved["hw"], moved["hh"]
+
 
+def _own_box() -> Box:
+    return F.col("cx"), F.col("cy"), F.col("hw"), F.col("hh")
 
-def _meets(o: DataFrame, dx: float) -> Column:
-    """The object's box, moved by dx, meets the raster's bounds."""
-    cx = F.col("cx") - F.lit(dx)
+
+def _used_box(fallback: Callable[[], Box]) -> Box:
+    """The reprojected box of matches that used the fallback, else the object's own."""
+    return tuple(F.when(F.col("used_crs_fallback"), new).otherwise(old) for new, old in zip(fallback(), _own_box()))
+
+
+def _meets(box: Box) -> Column:
+    """The box meets the raster's bounds."""
+    cx, cy, hw, hh = box
     return (
-        (cx - F.col("hw") <= F.col("x_left") + F.col("width") * F.col("px")) & (cx + F.col("hw") >= F.col("x_left"))
-        & (F.col("cy") - F.col("hh") <= F.col("y_top")) & (F.col("cy") + F.col("hh") >= F.col("y_top") - F.col("height") * F.col("px")))
+        (cx - hw <= F.col("x_left") + F.col("width") * F.col("px")) & (cx + hw >= F.col("x_left"))
+        & (cy - hh <= F.col("y_top")) & (cy + hh >= F.col("y_top") - F.col("height") * F.col("px")))
+
+
+def _pairs(objects: DataFrame, rasters: DataFrame, box: Callable[[], Box], exact: Column | None) -> DataFrame:
+    """Objects and rasters of one layer that meet: by their boxes, then, given exact rings, by those."""
+    r = rasters.select("raster_id", "region_id", "modality", "file_ord", "px", "width", "height", "x_left", "y_top", *[c for c in ("raster_epsg",) if c in rasters.columns])
+    pairs = objects.join(r, ["region_id", "modality"]).where(_meets(box()))
+    if exact is not None:
+        right, low = F.col("x_left") + F.col("width") * F.col("px"), F.col("y_top") - F.col("height") * F.col("px")
+        pairs = pairs.where(G.meets_rectangle(exact, F.col("x_left"), low, right, F.col("y_top")))
+    return pairs
 
 
-def _pairs(objects: DataFrame, rasters: DataFrame, dx: float) -> DataFrame:
-    r = rasters.select("raster_id", "region_id", "modality", "file_ord", "px", "width", "height", "x_left", "y_top")
-    return objects.join(r, ["region_id", "modality"]).where(_meets(objects, dx))
+def _exact(objects: DataFrame, fallback: bool) -> Column | None:
+    if "ring" not in objects.columns:
+        return None
+    return G.reproject_ring(F.col("ring"), F.col("epsg"), F.col("raster_epsg")) if fallback else F.col("ring")
 
 
-def match_rasters(objects: DataFrame, rasters: DataFrame) -> DataFrame:
+def match_rasters(objects: DataFrame, rasters: DataFrame, fallback: Callable[[], Box] = utm_box) -> DataFrame:
     """(object_id, raster_id, used_crs_fallback): the first raster that an object meets; only if none, the first after reprojection.
 
-    The equi-join is on region and modality, of which each has a few rasters.
+    fallback gives the box in the raster's system; the default reprojects from epsg to raster_epsg. Objects with a column
+    ring are held exactly against the raster's bounds after their boxes. The equi-join is on region and modality, of which each has
+    a few rasters.
     """
-    def first(pairs: DataFrame, fallback: bool) -> DataFrame:
+    def first(pairs: DataFrame, used: bool) -> DataFrame:
         best = pairs.groupBy("object_id").agg(F.min_by("raster_id", "file_ord").alias("raster_id"))
-        return best.withColumn("used_crs_fallback", F.lit(fallback))
+        return best.withColumn("used_crs_fallback", F.lit(used))
 
-    own = first(_pairs(objects, rasters, 0.0), False)
+    own = first(_pairs(objects, rasters, _own_box, _exact(objects, False)), False)
     rest = objects.join(own.select("object_id"), "object_id", "left_anti")
-    return own.unionByName(first(_pairs(rest, rasters, FALSE_EASTING), True))
+    return own.unionByName(first(_pairs(rest, rasters, fallback, _exact(objects, True)), True))
 
 
-def match_layer(objects: DataFrame, rasters: DataFrame) -> DataFrame:
+def match_layer(objects: DataFrame, rasters: DataFrame, fallback: Callable[[], Box] = utm_box) -> DataFrame:
     """(object_id, raster_id, used_crs_fallback) pairs; a layer (region, modality) is reprojected only if none of its objects meets a raster."""
     columns = ["object_id", "raster_id"]
-    own = _pairs(objects, rasters, 0.0).select("region_id", "modality", *columns)
+    own = _pairs(objects, rasters, _own_box, _exact(objects, False)).select("region_id", "modality", *columns)
     layers = own.select("region_id", "modality").distinct()
-    other = _pairs(objects.join(layers, ["region_id", "modality"], "left_anti"), rasters, FALSE_EASTING)
+    rest = objects.join(layers, ["region_id", "modality"], "left_anti")
+    other = _pairs(rest, rasters, fallback, _exact(objects, True))
     return own.select(*columns, F.lit(False).alias("used_crs_fallback")).unionByName(other.select(*columns, F.lit(True).alias("used_crs_fallback")))
 
 
-def alignment_report(objects: DataFrame, rasters: DataFrame) -> DataFrame:
-    """Per region and modality: objects, objects that meet a raster, whether the fallback was used, bounds and status."""
-    pairs = match_layer(objects, rasters)
+def reproject(objects: DataFrame, target_epsg: int) -> DataFrame:
+    """Objects with rings (ring, epsg) in another system, and status ok or failed; no change if the system is null or the same.
+
+    Geographic WGS 84 and its UTM zones are known; a ring of another system is null and its status failed.
+    """
+    ring = G.reproject_ring(F.col("ring"), F.col("epsg"), F.lit(target_epsg))
+    fine = F.coalesce(F.col("epsg") == target_epsg, F.lit(True)) | (G.known_crs(F.col("epsg")) & G.known_crs(F.lit(target_epsg)))
+    return objects.withColumn("ring", F.when(fine, ring)).withColumn("status", F.when(fine, "ok").otherwise("failed"))
+
+
+def alignment_report(objects: DataFrame, rasters: DataFrame, fallback: Callable[[], Box] = utm_box) -> DataFrame:
+    """Per region and modality: objects, objects that meet a raster, whether the fallback was used, both bounds and status."""
+    pairs = match_layer(objects, rasters, fallback)
     met = pairs.groupBy("object_id").agg(F.bool_or("used_crs_fallback").alias("fb"))
     rows = objects.join(met, "object_id", "left")
-    return rows.groupBy("region_id", "modality").agg(
+    report = rows.groupBy("region_id", "modality").agg(
         F.count("*").alias("n_objects"), F.count("fb").alias("n_intersecting"), F.coalesce(F.bool_or("fb"), F.lit(False)).alias("used_fallback"),
         F.min(F.col("cx") - F.col("hw")).alias("minx"), F.max(F.col("cx") + F.col("hw")).alias("maxx"),
-    ).withColumn("status", F.when(F.col("n_intersecting") == 0, "no_overlap").when(F.col("used_fallback"), "fallback").otherwise("ok"))
+        F.min(F.col("cy") - F.col("hh")).alias("miny"), F.max(F.col("cy") + F.col("hh")).alias("maxy"))
+    bounds = rasters.groupBy("region_id", "modality").agg(
+        F.min("x_left").alias("raster_minx"), F.max(F.col("x_left") + F.col("width") * F.col("px")).alias("raster_maxx"),
+        F.min(F.col("y_top") - F.col("height") * F.col("px")).alias("raster_miny"), F.max("y_top").alias("raster_maxy"))
+    return report.join(bounds, ["region_id", "modality"], "left").withColumn("status", F.when(F.col("n_intersecting") == 0, "no_overlap").when(F.col("used_fallback"), "fallback").otherwise("ok"))
 
 
 def choose_tile_size(rasters: DataFrame, candidates: tuple[int, ...] = (1024, 1536, 2048, 3072, 4096)) -> DataFrame:
@@ -83,9 +138,9 @@ def tile_grid(rasters: DataFrame, overlap: float = 0.25) -> DataFrame:
     return rows.select("raster_id", "tx", "ty", "x0", "y0", "tile", edge.alias("edge"))
 
 
-def pixel_box(matched: DataFrame) -> DataFrame:
+def pixel_box(matched: DataFrame, fallback: Callable[[], Box] = utm_box) -> DataFrame:
     """Adds the box of an object in pixels of its raster (floored): c0, r0, c1, r1."""
-    cx = F.col("cx") - F.when(F.col("used_crs_fallback"), F.lit(FALSE_EASTING)).otherwise(F.lit(0.0))
+    cx, cy, hw, hh = _used_box(fallback)
 
     def column(x: Column) -> Column:
         return F.floor((x - F.col("x_left")) / F.col("px")).cast("long")
@@ -94,8 +149,7 @@ def pixel_box(matched: DataFrame) -> DataFrame:
         return F.floor((F.col("y_top") - y) / F.col("px")).cast("long")
 
     return matched.select(
-        "*", column(cx - F.col("hw")).alias("c0"), row(F.col("cy") + F.col("hh")).alias("r0"),
-        column(cx + F.col("hw")).alias("c1"), row(F.col("cy") - F.col("hh")).alias("r1"))
+        "*", column(cx - hw).alias("c0"), row(cy + hh).alias("r0"), column(cx + hw).alias("c1"), row(cy - hh).alias("r1"))
 
 
 def _places(low: Column, high: Column, size: Column) -> Column:
@@ -141,16 +195,16 @@ def box_labels(hits: DataFrame, min_area: int = 80) -> DataFrame:
         (w / tile).alias("w"), (h / tile).alias("h"))
 
 
-def labelled_tiles(objects: DataFrame, rasters: DataFrame) -> DataFrame:
+def labelled_tiles(objects: DataFrame, rasters: DataFrame, fallback: Callable[[], Box] = utm_box) -> DataFrame:
     """Box labels of all objects over the tile grid: layer match, tile grid, tile join, labels."""
     sized = with_stride(choose_tile_size(rasters))
-    pairs = match_layer(objects, rasters)
+    pairs = match_layer(objects, rasters, fallback)
     matched = pairs.join(objects, "object_id").join(sized.drop("region_id", "region", "modality"), "raster_id")
-    return box_labels(tile_objects(pixel_box(matched), tile_grid(choose_tile_size(rasters))))
+    return box_labels(tile_objects(pixel_box(matched, fallback), tile_grid(choose_tile_size(rasters))))
 
 
 def window_neighbors(objects: DataFrame, half: float = 128.0, cell: float = 256.0) -> DataFrame:
-    """(object_id, n_objects_in_patch): objects of the same layer whose box meets the window around each object's centre.
+    """(object_id, n_objects_in_patch): objects of the same layer whose box, and ring if there is one, meets the window around each object's centre.
 
     Windows are entered in every grid cell they meet; boxes likewise, and a pair counts in the cell that holds the lower
     left corner of its intersection, so no pair is counted twice and no distinct is needed.
@@ -162,22 +216,25 @@ def window_neighbors(objects: DataFrame, half: float = 128.0, cell: float = 256.
 
     a = objects.select(*layer, F.col("object_id").alias("a"), "cx", "cy", (F.col("cx") - half).alias("ax0"), (F.col("cy") - half).alias("ay0"))
     a = a.withColumn("gx", cells(F.col("cx") - half, F.col("cx") + half)).withColumn("gy", cells(F.col("cy") - half, F.col("cy") + half))
-    b = objects.select(*layer, (F.col("cx") - F.col("hw")).alias("bx0"), (F.col("cx") + F.col("hw")).alias("bx1"), (F.col("cy") - F.col("hh")).alias("by0"), (F.col("cy") + F.col("hh")).alias("by1"))
+    exact = [F.col("ring").alias("b_ring")] if "ring" in objects.columns else []
+    b = objects.select(*layer, *exact, (F.col("cx") - F.col("hw")).alias("bx0"), (F.col("cx") + F.col("hw")).alias("bx1"), (F.col("cy") - F.col("hh")).alias("by0"), (F.col("cy") + F.col("hh")).alias("by1"))
     b = b.withColumn("gx", cells(F.col("bx0"), F.col("bx1"))).withColumn("gy", cells(F.col("by0"), F.col("by1")))
     joined = a.join(b, [*layer, "gx", "gy"])
     meet = (F.col("bx0") <= F.col("cx") + half) & (F.col("bx1") >= F.col("ax0")) & (F.col("by0") <= F.col("cy") + half) & (F.col("by1") >= F.col("ay0"))
+    if exact:
+        meet &= G.meets_rectangle(F.col("b_ring"), F.col("ax0"), F.col("ay0"), F.col("cx") + half, F.col("cy") + half)
     own = (F.floor(F.greatest("ax0", "bx0") / cell) == F.col("gx")) & (F.floor(F.greatest("ay0", "by0") / cell) == F.col("gy"))
     return joined.where(meet & own).groupBy(F.col("a").alias("object_id")).agg(F.count("*").alias("n_objects_in_patch"))
 
 
-def adaptive_window(matched: DataFrame, scale: float = 2.0, least: int = 256, most: int = 4096) -> DataFrame:
+def adaptive_window(matched: DataFrame, scale: float = 2.0, least: int = 256, most: int = 4096, fallback: Callable[[], Box] = utm_box) -> DataFrame:
     """Square window of an object: twice its larger side in pixels, between least and most, even, centred; and what of it is raster."""
-    cx = F.col("cx") - F.when(F.col("used_crs_fallback"), F.lit(FALSE_EASTING)).otherwise(F.lit(0.0))
-    w, h = 2 * F.col("hw") / F.col("px"), 2 * F.col("hh") / F.col("px")
+    cx, cy, hw, hh = _used_box(fallback)
+    w, h = 2 * hw / F.col("px"), 2 * hh / F.col("px")
     raw = F.least(F.greatest(F.ceil(F.greatest(w, h) * scale), F.lit(least)), F.lit(most))
     crop = (raw + raw % 2).cast("long")
     rows = matched.select("object_id", "raster_id", "width", "height", w.alias("obj_w_px"), h.alias("obj_h_px"), crop.alias("crop_size"),
-                          F.floor((cx - F.col("x_left")) / F.col("px")).alias("col"), F.floor((F.col("y_top") - F.col("cy")) / F.col("px")).alias("row"))
+                          F.floor((cx - F.col("x_left")) / F.col("px")).alias("col"), F.floor((F.col("y_top") - cy) / F.col("px")).alias("row"))
     half = F.floor(F.col("crop_size") / 2)
     rows = rows.withColumn("c0", F.col("col") - half).withColumn("r0", F.col("row") - half)
     c1, r1 = F.col("c0") + F.col("crop_size"), F.col("r0") + F.col("crop_size")
@@ -189,11 +246,11 @@ def adaptive_window(matched: DataFrame, scale: float = 2.0, least: int = 256, mo
     return rows.where("read_w > 0 AND read_h > 0")
 
 
-def padded_window(matched: DataFrame, pad: float = 5.0) -> DataFrame:
+def padded_window(matched: DataFrame, pad: float = 5.0, fallback: Callable[[], Box] = utm_box) -> DataFrame:
     """Window of the box and `pad` metres around: floored offset, ceiled length, cut at the raster's border."""
-    cx = F.col("cx") - F.when(F.col("used_crs_fallback"), F.lit(FALSE_EASTING)).otherwise(F.lit(0.0))
-    x0, y0 = (cx - F.col("hw") - pad - F.col("x_left")) / F.col("px"), (F.col("y_top") - F.col("cy") - F.col("hh") - pad) / F.col("px")
-    w, h = F.ceil((2 * F.col("hw") + 2 * pad) / F.col("px")), F.ceil((2 * F.col("hh") + 2 * pad) / F.col("px"))
+    cx, cy, hw, hh = _used_box(fallback)
+    x0, y0 = (cx - hw - pad - F.col("x_left")) / F.col("px"), (F.col("y_top") - cy - hh - pad) / F.col("px")
+    w, h = F.ceil((2 * hw + 2 * pad) / F.col("px")), F.ceil((2 * hh + 2 * pad) / F.col("px"))
     rows = matched.select("object_id", "raster_id", "width", "height", F.floor(x0).alias("a"), F.floor(y0).alias("b"), w.alias("w"), h.alias("h"))
     rows = rows.select("object_id", "raster_id", F.greatest("a", F.lit(0)).alias("col0"), F.greatest("b", F.lit(0)).alias("row0"),
                        F.least(F.col("a") + F.col("w"), F.col("width")).alias("c1"), F.least(F.col("b") + F.col("h"), F.col("height")).alias("r1"))

@@ -8,9 +8,7 @@ from terrasift.sources.views import with_views
 
 
 def _draw(key: str, seed: int) -> str:
-    a = f"((({key})::bigint * 7919 + {seed} * 104729) % 1000003)"
-    b = f"(({a} * {a} + {a} * 31 + {seed}) % 1000003)"
-    return f"((({b}) * 48271 % 1000003) / 1000003.0::double)"
+    return f"(('0x' || substr(md5('{seed}:' || coalesce(({key})::varchar, 'null')), 1, 13))::bigint / 4503599627370496.0::double)"
 
 
 _TARGETS = "('MagGr','Ae','SpOr','Li','Or')"
@@ -107,10 +105,11 @@ inter as (select p.sample_id, p.class_id, p.comp as p, t.comp as t, count(*)/(an
 cen as (select sample_id, class_id, comp as p, floor(avg(row)+0.5)::int as row, floor(avg(col)+0.5)::int as col from pc group by 1,2,3),
 hit as (select c.sample_id, c.class_id, c.p, t.comp as t from cen c join tc t using (sample_id, class_id, row, col)),
 cand as (select sample_id, class_id, p, t, coalesce(iou, 0) as iou, hit.p is not null as hit from inter full join hit using (sample_id, class_id, p, t))"""
-# serial matching: in order of prediction numbers each takes its best free truth
+# serial matching: in order of confidence and number each prediction takes its best free truth
 _MATCHED = f"""{_PAIRS},
-ok as (select *, min(p) over () as x from cand where iou>0.3 or hit),
-grp as (select sample_id, class_id, list({{'p': p, 't': t, 'iou': iou}} order by p, iou desc, t) as l from ok group by 1,2),
+pn as (select distinct sample_id, class_id, comp as p, (pixels*3+class_id)%4 as conf from pc),
+ok as (select * from cand join pn using (sample_id, class_id, p) where iou>0.3 or hit),
+grp as (select sample_id, class_id, list({{'p': p, 't': t, 'iou': iou}} order by conf desc, p, iou desc, t) as l from ok group by 1,2),
 ser(sample_id, class_id, k, l, used_p, used_t) as (select sample_id, class_id, 0, l, []::int[], []::int[] from grp
  union all select sample_id, class_id, k+1, l, case when free then list_append(used_p, l[k+1].p) else used_p end, case when free then list_append(used_t, l[k+1].t) else used_t end
  from (select *, not list_contains(used_p, l[k+1].p) and not list_contains(used_t, l[k+1].t) as free from ser where k < len(l))),
@@ -130,15 +129,23 @@ select sample_id, row, class_id, count(*) as pixels from best group by 1,2,3"""
 _SM = "(exp({k})/(exp(logit1)+exp(logit2)+exp(logit3)))"
 
 SQL: dict[str, str] = {
-    "geojson_features": "select object_id, 'Polygon' as geom_type, 5 as n_points, class_name from fx_objects where object_id%17<>0",
+    "geojson_features": "select object_id, case object_id%4 when 0 then 'Polygon' when 1 then 'MultiPolygon' when 2 then 'Point' else 'GeometryCollection' end as geom_type, class_name from fx_objects where object_id%17<>0",
     "region_crs": "select region_id, region, regexp_extract(crs_urn,'EPSG::([0-9]+)',1)::int as epsg from fx_regions",
-    "discover_regions": f"""select * from (select region_folder, max(case when ext='geojson' then stem end) as markup,
- count(*) filter (ext in ('tif','tiff') and {_path_modality('stem','region_folder')} is not null) as n_rasters from fx_files group by 1) where markup is not null and n_rasters>0""",
+    "discover_regions": """with t as (select *, coalesce(contains(lower(sub_folder),'разметка'),false) as mk, translate(lower(sub_folder),'сор','cop') as f from fx_tree),
+ m as (select *, case when mk then null when contains(f,'li') then 'Li' when contains(f,'ae') then 'Ae' when contains(f,'ае') then 'Ae' when contains(f,'sp') then 'SpOr' when contains(f,'or') then 'Or' end as m from t)
+ select region_folder, max(case when mk then sub_folder end) as markup_dir, string_agg(distinct m, ',' order by m) as modalities, count(*) filter (m is not null and ext in ('tif','tiff')) as n_rasters from m group by 1
+ having bool_or(sub_folder is null and stem='UTM' and ext='json') and bool_or(mk) and count(m)>0""",
     "pick_rasters": f"""with {_REG}, k as (select region, modality, file_name, row_number() over (partition by region, modality order by
  (modality='Li' and (ends_with(stem,'_g') or contains(stem,'_g_'))) desc, file_name) as rn from reg where ext<>'geojson' and modality is not null)
  select * from k where rn=1 or modality='SpOr'""",
     "registry_roundtrip": f"with {_REG} select ext, count(*) as n, count(distinct region) as n_regions from reg group by 1",
     "sample_export": f"select case when {_draw('sample_id', 7)}<0.2::double then 'val' else 'train' end as split, region, count(*) as n, sum(crop_size)::bigint as crop from fx_samples group by 1,2",
+    "export_dataset": f"""with s as (select *, case when {_draw('sample_id', 7)}<0.2::double then 'val' else 'train' end as split from fx_samples)
+ select split, count(*) as n, sum(sample_id%3)::bigint as n_lines, sum(case when mask_whole_pixels>0 then mask_whole_pixels end)::bigint as pixels, count(*) as renamed from s group by 1""",
+    "repair_metadata": """select case when length(s)<6 then lpad(s,6,'0') else s end as sample_id, c as class_name, case c when 'kurgany_tselye' then 1 when 'kurgany_povrezhdennye' then 2 end as class_id, c as label
+ from (select sample_id::varchar as s, case kurgan_type when 'whole' then 'kurgany_tselye' when 'damaged' then 'kurgany_povrezhdennye' else kurgan_type end as c from fx_samples)""",
+    "folder_modality": """select file_id, case when contains(f,'_li_') or starts_with(f,'li_') then 'Li' when contains(l,'_ae_') or contains(l,'_ае_') or ends_with(l,'_ae') or ends_with(l,'_ае') then 'Ae'
+ when contains(f,'_spor_') or ends_with(f,'_spor') then 'SpOr' when contains(f,'_or_') or ends_with(f,'_or') then 'Or' end as modality from (select *, translate(lower(stem),'сор','cop') as f, lower(stem) as l from fx_files)""",
     "normalize_metadata": """select case when length(s)<6 then lpad(s,6,'0') else s end as sample_id, class_name, case class_name when 'kurgany_tselye' then 1 when 'kurgany_povrezhdennye' then 2
  when 'gorodishcha' then 3 when 'fortifikatsii' then 4 when 'arkhitektury' then 5 end as class_id, class_name as label from (select * exclude (sample_id), sample_id::varchar as s from fx_samples)""",
     "class_from_name": f"with {_OBJ_CLASS} select * from oc",
@@ -156,7 +163,7 @@ SQL: dict[str, str] = {
     "map_type": f"""with {_REG} select file_id, case when regexp_full_match(stem,'[0-9]+') then '' else regexp_replace(stem,'^[0-9]+_','') end as map_type,
  case when modality='Li' and string_split(stem,'_')[-1] in ('c','ch','g','i') then string_split(stem,'_')[-1] end as suffix from reg""",
     "safe_stem": "select sample_id, replace(replace(replace(concat(region,'/',modality,'/',class_name,' ',crop_size),'/','_'),' ','_'),':','_') as stem from fx_samples",
-    "geometry_filter": "select object_id, class_name from fx_objects where object_id%7<>0 and hw*hh>0 and class_name in ('kurgany_tselye','kurgany_povrezhdennye')",
+    "geometry_filter": "select object_id, class_name from fx_objects where object_id%7<>0 and object_id%5<>0 and hw*hh>0 and class_name in ('kurgany_tselye','kurgany_povrezhdennye')",
     "filter_samples": "select sample_id from fx_samples where mask_whole_pixels+mask_damaged_pixels>0 and modality in ('Li','Ae','SpOr') and crop_size<=1024 and n_objects_in_patch<=30 and not touches_border",
     "filter_samples_mc": "select sample_id from fx_samples where mask_whole_pixels>0 and modality in ('Li','Ae') and class_name in ('kurgany_tselye','gorodishcha') and crop_size<=2048",
     "facet_query": """select sample_id, crop_size from fx_samples where modality='Li' and crop_size between 300 and 2000 and not touches_border and (mask_whole_pixels between 1 and 4000 or mask_whole_pixels is null)
@@ -165,7 +172,10 @@ SQL: dict[str, str] = {
     "facet_values": """select string_agg(distinct modality, ',' order by modality) as modality_values, string_agg(distinct class_name, ',' order by class_name) as class_name_values,
  string_agg(distinct kurgan_type, ',' order by kurgan_type) as kurgan_type_values, min(crop_size) as crop_size_min, max(crop_size) as crop_size_max, min(n_objects_in_patch) as n_objects_in_patch_min,
  max(n_objects_in_patch) as n_objects_in_patch_max from fx_samples""",
-    "explode_parts": """select object_id, 0 as part_id, 4 as n_points from fx_objects where object_id%5<>1 union all select object_id, 1, 6 from fx_objects where object_id%5=0""",
+    "explode_parts": """with o as (select *, object_id%4 as k from fx_objects where object_id%17<>0)
+ select object_id, 0 as part_id, case when k<2 then 'Polygon' else 'Point' end as part_type, case when k<2 then 4 else 1 end as n_points, case when k<2 then cx-hw else cx end as x, 0 as n_holes from o
+ union all select object_id, 1, 'Polygon', 4, case when k=1 then cx else cx-hw end, 0 from o where k in (1,3)""",
+    "polygon_meets_box": """select object_id, greatest(abs(object_id%97-48)-10,0)*hh + greatest(abs(object_id*7%89-44)-10,0)*hw <= hw*hh as meets from fx_objects""",
     "polygon_stats": """select object_id, case when e then 2*hw*hh else 3*hw*hh end as area, round(case when e then 4*sqrt(hw*hw+hh*hh) else 4*hw+4*hh end,3) as perimeter, round(case when e then cx else cx-hw/6 end,3) as mx,
  round(case when e then cy else cy-hh/6 end,3) as my, cx-hw as minx, cy-hh as miny, cx+hw as maxx, cy+hh as maxy from (select *, object_id%2=0 as e from fx_objects)""",
     "world_to_pixel": """select object_id, raster_id, floor((cx-x_left)/px)::bigint as col, floor((y_top-cy)/px)::bigint as row, x_left+floor((cx-x_left)/px)*px as x, y_top-floor((y_top-cy)/px)*px as y
@@ -181,9 +191,10 @@ SQL: dict[str, str] = {
     "layer_bounds": "select region_id, modality, min(cx-hw) as minx, min(cy-hh) as miny, max(cx+hw) as maxx, max(cy+hh) as maxy from fx_objects group by 1,2",
     "match_rasters": f"with {_MATCH} select * from matched",
     "match_layer": f"with {_LAYER} select * from layered",
-    "alignment_report": f"""with {_LAYER}, g as (select region_id, modality, count(*) as n_objects, count(fb) as n_intersecting, coalesce(bool_or(fb),false) as used_fallback, min(cx-hw) as minx, max(cx+hw) as maxx
- from fx_objects left join (select object_id, bool_or(used_crs_fallback) as fb from layered group by 1) using (object_id) group by 1,2)
- select *, case when n_intersecting=0 then 'no_overlap' when used_fallback then 'fallback' else 'ok' end as status from g""",
+    "alignment_report": f"""with {_LAYER}, g as (select region_id, modality, count(*) as n_objects, count(fb) as n_intersecting, coalesce(bool_or(fb),false) as used_fallback, min(cx-hw) as minx, max(cx+hw) as maxx, min(cy-hh) as miny, max(cy+hh) as maxy
+ from fx_objects left join (select object_id, bool_or(used_crs_fallback) as fb from layered group by 1) using (object_id) group by 1,2),
+ rb as (select region_id, modality, min(x_left) as raster_minx, max(x_left+width*px) as raster_maxx, min(y_top-height*px) as raster_miny, max(y_top) as raster_maxy from fx_rasters group by 1,2)
+ select g.*, raster_minx, raster_maxx, raster_miny, raster_maxy, case when n_intersecting=0 then 'no_overlap' when used_fallback then 'fallback' else 'ok' end as status from g left join rb using (region_id, modality)""",
     "tile_objects": f"with {_LAYER}, {_SIZED}, {_GRID}, {_BOX} select object_id, raster_id, x0, y0 from hits",
     "window_neighbors": """select a.object_id, count(*) as n_objects_in_patch from fx_objects a join fx_objects b on a.region_id=b.region_id and a.modality=b.modality and b.cx-b.hw<=a.cx+128 and b.cx+b.hw>=a.cx-128
  and b.cy-b.hh<=a.cy+128 and b.cy+b.hh>=a.cy-128 group by 1""",
@@ -220,7 +231,7 @@ SQL: dict[str, str] = {
     "paint_last_wins": f"with {_POLY}, {_PAINT.format(where='', order='ord')}",
     "mask_stats": """select sample_id, count(*) filter (gt=1) as pixels_1, count(*) filter (gt=2) as pixels_2, count(*) filter (gt=3) as pixels_3, count(*) filter (gt=4) as pixels_4, count(*) filter (gt=5) as pixels_5,
  string_agg(distinct gt, ';' order by gt) filter (gt>0) as classes, count(*) filter (gt=0) as pixels_bg from fx_mask group by 1 having count(*) filter (gt>0)>0""",
-    "reject_reasons": """select vec_id as sample_id, case when vec_id%5=0 then 'no_polygons' when vec_id%5=1 then 'no_labelled_polygon' when vec_id%5=2 or vec_id not in (select sample_id from fx_mask where gt>0) then 'empty_mask' end as reason
+    "reject_reasons": """select vec_id as sample_id, case when vec_id%5=0 then 'no_polygons' when vec_id%5=1 then 'no_labelled_polygon' when vec_id%5=2 or vec_id not in (select sample_id from fx_mask where gt>0) then 'empty_mask' when vec_id%11=4 or vec_id%7=0 then 'empty_patch' end as reason
  from embeddings""",
     "bad_mask_values": "select sample_id, gt, count(*) as n from fx_mask where gt not in (0,1,2,3) group by 1,2",
     "binary_mask": "select sample_id, row, col, (gt>0)::int as v from fx_mask",
@@ -277,21 +288,29 @@ SQL: dict[str, str] = {
     "region_split": f"with {_SPLIT} select region_id, split from sp",
     "leakage_audit": f"""with {_SPLIT}, j as (select s.region, sp.split from fx_samples s join sp using (region)) select split, count(*) as n, count(distinct region) as n_groups,
  (select count(*) from (select region from j group by 1 having count(distinct split)>1)) as n_leaking from j group by 1""",
-    "holdout_search": f"""with c as (select region_id, class_name, count(*) as n from fx_objects group by 1,2), r as (select region_id, sum(n)::bigint as size from c group by 1), tot as (select sum(n)::bigint as total from c),
- cl as (select class_name, sum(n)::bigint as class_n from c group by 1), x as (select t as trial, r.*, total, {_draw('region_id*1009+t*7', 42)} as d from range(200) y(t) cross join r cross join tot),
- b as (select *, coalesce(sum(size) over (partition by trial order by d, region_id rows between unbounded preceding and 1 preceding),0) as before from x), h as (select * from b where before < total*0.2::double),
- s as (select trial, sum(size)::bigint as val_n, max(size) as largest, any_value(total) as total, string_agg(region_id::varchar, ',' order by region_id) as regions from h group by 1),
- p as (select trial, class_name, sum(n)::bigint as n from h join c using (region_id) group by 1,2),
- q as (select s.*, cl.class_name, cl.class_n, coalesce(p.n,0) as n from s cross join cl left join p on p.trial=s.trial and p.class_name=cl.class_name),
- z as (select trial, any_value(val_n) as val_n, any_value(largest) as largest, any_value(total) as total, any_value(regions) as regions, sum(round(abs(n/val_n-class_n/total),9)) as diff, count(*) filter (n<30) as under from q group by 1)
- select trial, round(diff+2*(abs(val_n/total-0.2::double)/0.2::double)+0.5::double*under+0.5::double*largest/val_n,6) as score, val_n, regions from z order by score, trial limit 1""",
+    "leakage_shares": f"""with {_SPLIT}, j as (select s.class_name, s.modality, sp.split from fx_samples s join sp using (region)), l as (select split, 'class_name' as facet, class_name as value from j union all select split, 'modality', modality from j),
+ c as (select split, facet, value, count(*) as n from l group by all) select *, round(n/sum(n) over (partition by split, facet),6) as share from c""",
+    "holdout_search": f"""with c as (select region_id, class_name, modality, count(*) as n from fx_objects group by 1,2,3), r as (select region_id, sum(n)::bigint as size from c group by 1), tot as (select sum(n)::bigint as total from c),
+ st as (select class_name, modality, sum(n)::bigint as all_n from c group by 1,2), x as (select t as trial, r.*, total, floor(total*0.2::double) as target, {_draw("concat(region_id, ':', t)", 42)} as d from range(5000) y(t) cross join r cross join tot),
+ b as (select *, coalesce(sum(size) over (partition by trial order by d, region_id rows between unbounded preceding and 1 preceding),0) as before from x), h as (select * from b where before < target),
+ s as (select trial, sum(size)::bigint as val_n, max(size) as largest, any_value(total) as total, any_value(target) as target, string_agg(region_id::varchar, ',' order by region_id) as regions from h group by 1),
+ p as (select trial, class_name, modality, sum(n)::bigint as n from h join c using (region_id) group by 1,2,3),
+ q as (select s.*, st.class_name, st.modality, st.all_n, coalesce(p.n,0) as n from s cross join st left join p on p.trial=s.trial and p.class_name=st.class_name and p.modality=st.modality),
+ k as (select trial, class_name, any_value(val_n) as val_n, any_value(largest) as largest, any_value(total) as total, any_value(target) as target, any_value(regions) as regions,
+  sum(round(abs(n/val_n-all_n/total),9)) as diff, sum(n) as n from q group by 1,2),
+ z as (select trial, any_value(val_n) as val_n, any_value(largest) as largest, any_value(total) as total, any_value(target) as target, any_value(regions) as regions, sum(diff) as diff, count(*) filter (n<3) as under from k group by 1)
+ select trial, round(diff+2*(abs(val_n-target)/total)+0.5::double*under+0.5::double*largest/val_n,6) as score, val_n, regions from z order by score, trial limit 1""",
     "inverse_frequency_weights": "select class_name, count(*) as n, round(1/count(*),9) as weight from fx_samples group by 1",
     "weighted_resample": f"""with v as (select class_name, count(*) as n, row_number() over (order by class_name)-1 as v, count(*) over () as k from fx_samples group by 1),
- d as (select i as draw, {_draw('i', 42)} as u, {_draw('i', 43)} as w from range(2000) x(i)), p as (select draw, class_name, floor(w*n)+1 as place from d join v on floor(u*k)=v),
+ d as (select i as draw, {_draw('i', 42)} as u, {_draw('i', 43)} as w from range((select count(*) from fx_samples)) x(i)), p as (select draw, class_name, floor(w*n)+1 as place from d join v on floor(u*k)=v),
  r as (select class_name, sample_id, row_number() over (partition by class_name order by sample_id) as place from fx_samples) select draw, sample_id from p join r using (class_name, place)""",
     "edge_policy": f"""with {_ALL_LABELS}, bad as (select distinct raster_id, x0, y0 from lab where edge), u as (select 'boxes' as policy, * from lab where not edge union all
  select 'tiles', * from lab where (raster_id, x0, y0) not in (select (raster_id, x0, y0) from bad) union all select 'keep', * from lab)
  select policy, count(*) as n, count(distinct (raster_id, x0, y0)) as n_tiles from u group by 1""",
+    "tile_policy": f"""with {_ALL_LABELS}, bad as (select distinct raster_id, x0, y0 from lab where edge), k as (select raster_id, x0, y0, count(*) as n_boxes from lab group by all), w as (select raster_id, x0, y0, count(*) as n_boxes from lab where not edge group by all),
+ g as (select grid.raster_id, grid.x0, grid.y0, coalesce(k.n_boxes,0) as nk, coalesce(w.n_boxes,0) as nw, bad.raster_id is not null as bad from grid left join k using (raster_id, x0, y0) left join w using (raster_id, x0, y0) left join bad using (raster_id, x0, y0))
+ select 'boxes' as policy, false as positives_only, count(*) as n, sum(nw)::bigint as n_boxes from g union all select 'boxes', true, count(*), sum(nw)::bigint from g where nw>0
+ union all select 'tiles', false, count(*), sum(nk)::bigint from g where not bad union all select 'tiles', true, count(*), sum(nk)::bigint from g where not bad and nk>0 union all select 'keep', true, count(*), sum(nk)::bigint from g where nk>0""",
     "sigmoid_pred": f"select sample_id, idx, round({_sig('logit1')},6) as prob, ({_sig('logit1')}>0.5)::int as pred from fx_scores",
     "softmax_argmax": """select sample_id, idx, case when logit1>=logit2 and logit1>=logit3 then 0 when logit2>=logit3 then 1 else 2 end as pred, round(exp(greatest(logit1,logit2,logit3))/(exp(logit1)+exp(logit2)+exp(logit3)),6) as prob from fx_scores""",
     "binary_dice_iou": f"""with s as (select sample_id, count(*) filter ({_sig('logit1')}>0.5 and target=1) as i, count(*) filter ({_sig('logit1')}>0.5) as p, sum(target)::bigint as t from fx_scores group by 1)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,7 +42,7 @@ QUERIES["file_inventory"] = lambda spark, d: files.inventory(spark, d, "*.parque
 
 @query("fx_objects")
 def geojson_features(objects: DataFrame) -> DataFrame:
-    return files.parse_features(files.to_feature_text(objects)).select("object_id", "geom_type", "n_points", "class_name")
+    return files.parse_features(files.to_feature_text(objects)).select("object_id", "geom_type", "class_name")
 
 
 @query("fx_regions")
@@ -49,9 +50,9 @@ def region_crs(regions: DataFrame) -> DataFrame:
     return registry.region_crs(regions)
 
 
-@query("fx_files")
-def discover_regions(fs: DataFrame) -> DataFrame:
-    return registry.discover_regions(fs)
+@query("fx_tree")
+def discover_regions(tree: DataFrame) -> DataFrame:
+    return registry.discover_regions(tree)
 
 
 @query("fx_files")
@@ -72,6 +73,22 @@ def sample_export(samples: DataFrame) -> DataFrame:
     return files.export_roundtrip(rows, ["split", "region"]).groupBy("split", "region").agg(F.count("*").alias("n"), F.sum("crop_size").alias("crop"))
 
 
+@query("fx_samples")
+def export_dataset(samples: DataFrame) -> DataFrame:
+    rows = samples.withColumn("split", F.when(N.draw(F.col("sample_id"), 7) < 0.2, "val").otherwise("train"))
+    k = F.col("sample_id")
+    lines = samples.where("sample_id % 3 > 0").select("sample_id", F.explode(F.sequence(F.lit(1), (k % 3).cast("int"))).alias("cls"))
+    lines = lines.select("sample_id", F.concat(F.col("cls").cast("string"), F.lit(" 0.5 0.5 0.1 0.1")).alias("line"))
+    runs = samples.where("mask_whole_pixels > 0").select("sample_id", F.lit(0).alias("row"), F.lit(0).alias("c0"), F.col("mask_whole_pixels").alias("c1"), F.lit(1).alias("class_id"))
+    return files.export_summary(rows, lines, runs)
+
+
+@query("fx_samples")
+def repair_metadata(samples: DataFrame) -> DataFrame:
+    older = samples.drop("class_name").withColumn("height", F.col("crop_size")).withColumn("width", F.col("crop_size"))
+    return registry.normalize_metadata(older, required=registry.METADATA).select("sample_id", "class_name", "class_id", "label")
+
+
 @query("fx_samples")
 def normalize_metadata(samples: DataFrame) -> DataFrame:
     return registry.normalize_metadata(samples).select("sample_id", "class_name", "class_id", "label")
@@ -115,6 +132,11 @@ def homoglyph_fold(fs: DataFrame) -> DataFrame:
     return fs.select("file_id", N.fold(F.col("stem")).alias("folded"), N.layer_modality(F.col("stem")).alias("modality"))
 
 
+@query("fx_files")
+def folder_modality(fs: DataFrame) -> DataFrame:
+    return fs.select("file_id", N.folder_modality(F.col("stem")).alias("modality"))
+
+
 @query("fx_files")
 def region_from_folder(fs: DataFrame) -> DataFrame:
     return fs.select("file_id", N.region_from_folder(F.col("region_folder")).alias("region"))
@@ -135,9 +157,8 @@ def safe_stem(samples: DataFrame) -> DataFrame:
 def geometry_filter(objects: DataFrame) -> DataFrame:
     target = ["kurgany_tselye", "kurgany_povrezhdennye"]
     ring = G.ring((F.col("cx"), F.col("cy") + F.col("hh")), (F.col("cx") + F.col("hw"), F.col("cy")), (F.col("cx"), F.col("cy") - F.col("hh")))
-    rows = objects.withColumn("ring", F.when(F.col("object_id") % 7 != 0, ring))
-    ok = F.col("ring").isNotNull() & (F.size("ring") >= 3) & (G.area(F.col("ring")) > 0) & F.col("class_name").isin(target)
-    return rows.where(ok).select("object_id", "class_name")
+    rows = objects.withColumn("ring", F.when(F.col("object_id") % 7 != 0, ring)).withColumn("geom_type", F.when(F.col("object_id") % 5 == 0, "Point").otherwise("Polygon"))
+    return registry.geometry_filter(rows, target).select("object_id", "class_name")
 
 
 @query("fx_samples")
@@ -180,10 +201,14 @@ def _l_shape() -> object:
 
 @query("fx_objects")
 def explode_parts(objects: DataFrame) -> DataFrame:
-    kind = F.when(F.col("object_id") % 5 == 0, "MultiPolygon").when(F.col("object_id") % 5 == 1, "GeometryCollection").otherwise("Polygon")
-    parts = F.when(kind == "MultiPolygon", F.array(_diamond(), _l_shape())).when(kind == "Polygon", F.array(_diamond()))
-    rows = objects.select("object_id", F.posexplode(parts).alias("part_id", "ring"))
-    return rows.select("object_id", "part_id", F.size("ring").alias("n_points"))
+    parts = files.explode_parts(files.parse_features(files.to_feature_text(objects)))
+    return parts.select("object_id", "part_id", "part_type", F.size("ring").alias("n_points"), F.col("ring")[0]["x"].alias("x"), "n_holes")
+
+
+@query("fx_objects")
+def polygon_meets_box(objects: DataFrame) -> DataFrame:
+    x, y, k = F.col("cx") + F.col("object_id") % 97 - 48, F.col("cy") + F.col("object_id") * 7 % 89 - 44, F.lit(10.0)
+    return objects.select("object_id", G.meets_rectangle(_diamond(), x - k, y - k, x + k, y + k).alias("meets"))
 
 
 @query("fx_objects")
@@ -236,16 +261,21 @@ def layer_bounds(objects: DataFrame) -> DataFrame:
 
 
 # joins
-query("fx_objects", "fx_rasters", name="match_rasters")(spatial.match_rasters)
-query("fx_objects", "fx_rasters", name="match_layer")(spatial.match_layer)
-query("fx_objects", "fx_rasters", name="alignment_report")(spatial.alignment_report)
+def _same_zone() -> tuple:
+    """The tables' shifted layers use the raster's zone with a false easting 5,000 km greater."""
+    return F.col("cx") - F.lit(5_000_000.0), F.col("cy"), F.col("hw"), F.col("hh")
+
+
+query("fx_objects", "fx_rasters", name="match_rasters")(partial(spatial.match_rasters, fallback=_same_zone))
+query("fx_objects", "fx_rasters", name="match_layer")(partial(spatial.match_layer, fallback=_same_zone))
+query("fx_objects", "fx_rasters", name="alignment_report")(partial(spatial.alignment_report, fallback=_same_zone))
 
 
 @query("fx_objects", "fx_rasters")
 def tile_objects(objects: DataFrame, rasters: DataFrame) -> DataFrame:
     sized = spatial.with_stride(spatial.choose_tile_size(rasters))
-    matched = spatial.match_layer(objects, rasters).join(objects, "object_id").join(sized.drop("region_id", "region", "modality"), "raster_id")
-    return spatial.tile_objects(spatial.pixel_box(matched), spatial.tile_grid(spatial.choose_tile_size(rasters))).select("object_id", "raster_id", "x0", "y0")
+    matched = spatial.match_layer(objects, rasters, _same_zone).join(objects, "object_id").join(sized.drop("region_id", "region", "modality"), "raster_id")
+    return spatial.tile_objects(spatial.pixel_box(matched, _same_zone), spatial.tile_grid(spatial.choose_tile_size(rasters))).select("object_id", "raster_id", "x0", "y0")
 
 
 query("fx_objects", name="window_neighbors")(spatial.window_neighbors)
@@ -284,28 +314,28 @@ def tile_grid(rasters: DataFrame) -> DataFrame:
 
 
 def _matched(objects: DataFrame, rasters: DataFrame) -> DataFrame:
-    return spatial.match_rasters(objects, rasters).join(objects, "object_id").join(rasters.select("raster_id", "px", "width", "height", "x_left", "y_top"), "raster_id")
+    return spatial.match_rasters(objects, rasters, _same_zone).join(objects, "object_id").join(rasters.select("raster_id", "px", "width", "height", "x_left", "y_top"), "raster_id")
 
 
 @query("fx_objects", "fx_rasters")
 def adaptive_window(objects: DataFrame, rasters: DataFrame) -> DataFrame:
-    return spatial.adaptive_window(_matched(objects, rasters))
+    return spatial.adaptive_window(_matched(objects, rasters), fallback=_same_zone)
 
 
 @query("fx_objects", "fx_rasters")
 def padded_window(objects: DataFrame, rasters: DataFrame) -> DataFrame:
-    return spatial.padded_window(_matched(objects, rasters))
+    return spatial.padded_window(_matched(objects, rasters), fallback=_same_zone)
 
 
 @query("fx_objects", "fx_rasters")
 def box_labels(objects: DataFrame, rasters: DataFrame) -> DataFrame:
-    out = spatial.labelled_tiles(objects, rasters)
+    out = spatial.labelled_tiles(objects, rasters, _same_zone)
     return out.select("object_id", "raster_id", "x0", "y0", "x1", "y1", "x2", "y2", "edge", *r6("xc", "yc", "w", "h"))
 
 
 @query("fx_objects", "fx_rasters")
 def flagship(objects: DataFrame, rasters: DataFrame) -> DataFrame:
-    return spatial.labelled_tiles(objects, rasters).groupBy("modality", "class_name", "edge").agg(F.count("*").alias("n_boxes"))
+    return spatial.labelled_tiles(objects, rasters, _same_zone).groupBy("modality", "class_name", "edge").agg(F.count("*").alias("n_boxes"))
 
 
 @query("fx_label_text")
@@ -374,7 +404,8 @@ def mask_stats(mask: DataFrame) -> DataFrame:
 def reject_reasons(mask: DataFrame, vectors: DataFrame) -> DataFrame:
     samples = vectors.select(F.col("vec_id").alias("sample_id"))
     objects = samples.where("sample_id % 5 <> 0").withColumn("class_id", F.when(F.col("sample_id") % 5 != 1, F.lit(1)))
-    return masks.reject_reasons(samples, objects, masks.mask_runs(mask.where("sample_id % 5 <> 2"), "gt"))
+    patches = samples.where("sample_id % 11 <> 4").withColumn("n_valid", F.col("sample_id") % 7)
+    return masks.reject_reasons(samples, objects, masks.mask_runs(mask.where("sample_id % 5 <> 2"), "gt"), patches)
 
 
 @query("fx_mask")
@@ -564,9 +595,15 @@ def leakage_audit(samples: DataFrame, regions: DataFrame) -> DataFrame:
     return sampling.leakage_audit(samples.join(split, "region"))
 
 
+@query("fx_samples", "fx_regions")
+def leakage_shares(samples: DataFrame, regions: DataFrame) -> DataFrame:
+    split = sampling.region_split(regions).select("region", "split")
+    return sampling.leakage_shares(samples.join(split, "region"), ["class_name", "modality"]).select("split", "facet", "value", "n", *r6("share"))
+
+
 @query("fx_objects")
 def holdout_search(objects: DataFrame) -> DataFrame:
-    return sampling.holdout_search(objects.groupBy("region_id", "class_name").agg(F.count("*").alias("n")), trials=200, min_per_class=30)  # as its SQL
+    return sampling.holdout_search(objects.groupBy("region_id", "class_name", "modality").agg(F.count("*").alias("n")))
 
 
 @query("fx_samples")
@@ -576,7 +613,7 @@ def inverse_frequency_weights(samples: DataFrame) -> DataFrame:
 
 @query("fx_samples")
 def weighted_resample(samples: DataFrame) -> DataFrame:
-    return sampling.weighted_resample(samples, "class_name", "sample_id", 2000)
+    return sampling.weighted_resample(samples, "class_name", "sample_id")
 
 
 def _detection(lines: DataFrame, orders: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -598,11 +635,19 @@ def curate_v4(lines: DataFrame, orders: DataFrame) -> DataFrame:
 
 @query("fx_objects", "fx_rasters")
 def edge_policy(objects: DataFrame, rasters: DataFrame) -> DataFrame:
-    boxes = spatial.labelled_tiles(objects, rasters)
+    boxes = spatial.labelled_tiles(objects, rasters, _same_zone)
     made = [curation.edge_policy(boxes, p).agg(F.lit(p).alias("policy"), F.count("*").alias("n"), F.countDistinct("raster_id", "x0", "y0").alias("n_tiles")) for p in ("boxes", "tiles", "keep")]
     return made[0].unionByName(made[1]).unionByName(made[2])
 
 
+@query("fx_objects", "fx_rasters")
+def tile_policy(objects: DataFrame, rasters: DataFrame) -> DataFrame:
+    boxes, tiles = spatial.labelled_tiles(objects, rasters, _same_zone), spatial.tile_grid(spatial.choose_tile_size(rasters))
+    made = [curation.tile_policy(tiles, boxes, p, only).agg(F.lit(p).alias("policy"), F.lit(only).alias("positives_only"), F.count("*").alias("n"), F.sum("n_boxes").alias("n_boxes"))
+            for p, only in (("boxes", False), ("boxes", True), ("tiles", False), ("tiles", True), ("keep", True))]
+    return reduce(DataFrame.unionByName, made)
+
+
 # evaluation
 @query("fx_scores")
 def sigmoid_pred(scores: DataFrame) -> DataFrame:
@@ -690,8 +735,14 @@ def object_iou(mask: DataFrame) -> DataFrame:
     return evaluate.object_iou(evaluate.eval_objects(mask)).groupBy("class_id").agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"), F.round(F.sum("iou"), 4).alias("iou"))
 
 
+@query("fx_mask")
+def mask_objects(mask: DataFrame) -> DataFrame:
+    return masks.mask_objects(masks.mask_runs(mask, "gt"), 1.0)
+
+
 def _counts(mask: DataFrame) -> DataFrame:
-    objects = evaluate.cut_lineage(evaluate.eval_objects(mask))
+    scored = ((F.col("pixels") * 3 + F.col("class_id")) % 4).cast("double")
+    objects = evaluate.cut_lineage(evaluate.eval_objects(mask).withColumn("confidence", scored))
     return evaluate.match_counts(objects, evaluate.soft_match(objects))
 
 

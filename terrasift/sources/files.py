@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import cut_lineage
+from terrasift.operators.sampling import sample_numbering
 
-FEATURE_SCHEMA = (
-    "features array<struct<geometry:struct<type:string,coordinates:array<array<array<double>>>>,properties:map<string,string>>>, _corrupt_record string"
-)
+from .scratch import cut_lineage, scratch_dir
+
+#: Coordinates stay text until the type says how they nest.
+_GEOMETRY = "type:string,coordinates:string,geometries:string"
+FEATURE_SCHEMA = f"features array<struct<geometry:struct<{_GEOMETRY}>,properties:map<string,string>>>, _corrupt_record string"
+#: Geometry collections inside geometry collections are followed so far.
+COLLECTION_DEPTH = 3
 
 
 def inventory(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
@@ -30,29 +34,73 @@ def read_features(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def to_feature_text(objects: DataFrame) -> DataFrame:
-    """(object_id, text): each object's box as a FeatureCollection; every 17th is cut short and so unreadable."""
-    def corner(x: str, y: str) -> object:
+    """(object_id, text): each object as a FeatureCollection; every 17th text is cut short and so unreadable.
+
+    By the object's number the geometry is a polygon, a multi-polygon of two boxes, a point, or a collection of a point and a polygon.
+    """
+    def corner(x: str, y: str) -> Column:
         return F.array(F.col("cx") + F.col("hw") * F.lit(float(x)), F.col("cy") + F.col("hh") * F.lit(float(y)))
 
-    ring = F.array(corner("-1", "-1"), corner("1", "-1"), corner("1", "1"), corner("-1", "1"), corner("-1", "-1"))
-    feature = F.struct(
-        F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"), F.create_map(F.lit("class_name"), F.col("class_name")).alias("properties"))
-    text = F.to_json(F.struct(F.array(feature).alias("features")))
+    def box(a: str, b: str) -> Column:
+        return F.array(F.array(corner(a, a), corner(b, a), corner(b, b), corner(a, b), corner(a, a)))
+
+    def geometry(kind: str, coordinates: Column) -> Column:
+        return F.concat(F.lit('{"type":"' + kind + '","coordinates":'), F.to_json(coordinates), F.lit("}"))
+
+    polygon, point = geometry("Polygon", box("-1", "1")), geometry("Point", F.array("cx", "cy"))
+    both = F.concat(F.lit('{"type":"GeometryCollection","geometries":['), point, F.lit(","), polygon, F.lit("]}"))
+    kind = F.col("object_id") % 4
+    shape = F.when(kind == 0, polygon).when(kind == 1, geometry("MultiPolygon", F.array(box("-1", "0"), box("0", "1")))).when(kind == 2, point).otherwise(both)
+    text = F.concat(F.lit('{"features":[{"geometry":'), shape, F.lit(',"properties":'), F.to_json(F.create_map(F.lit("class_name"), F.col("class_name"))), F.lit("}]}"))
     return objects.select("object_id", F.when(F.col("object_id") % 17 == 0, F.substring(text, 1, 40)).otherwise(text).alias("text"))
 
 
 def parse_features(texts: DataFrame) -> DataFrame:
-    """Features of rows with a column text: geom_type, coordinates, n_points, class_name; unreadable texts and empty geometries go."""
+    """Features of rows with a column text: feature_idx, geom_type, coordinates and geometries as text, class_name.
+
+    Unreadable texts go, and features without a geometry or with an empty one. One file may mix types.
+    """
     parsed = texts.withColumn("_j", F.from_json("text", FEATURE_SCHEMA, {"mode": "PERMISSIVE"})).where("_j._corrupt_record IS NULL")
-    rows = parsed.select("*", F.posexplode("_j.features").alias("feature_idx", "_f")).where("_f.geometry IS NOT NULL AND size(_f.geometry.coordinates) > 0")
-    return rows.select(
+    rows = parsed.select("*", F.posexplode("_j.features").alias("feature_idx", "_f"))
+    filled = F.coalesce(F.col("_f.geometry.coordinates"), F.col("_f.geometry.geometries"), F.lit("[]")) != "[]"
+    return rows.where(F.col("_f.geometry").isNotNull() & filled).select(
         *[c for c in texts.columns if c != "text"], "feature_idx", F.col("_f.geometry.type").alias("geom_type"), F.col("_f.geometry.coordinates").alias("coordinates"),
-        F.size(F.col("_f.geometry.coordinates")[0]).alias("n_points"), F.col("_f.properties")["class_name"].alias("class_name"))
+        F.col("_f.geometry.geometries").alias("geometries"), F.col("_f.properties")["class_name"].alias("class_name"))
+
+
+def _parts(kind: Column, coordinates: Column, geometries: Column, depth: int) -> Column:
+    """array<struct<part_type, rings>> of a geometry given as text."""
+    def part(name: str, rings: Column) -> Column:
+        return F.struct(F.lit(name).alias("part_type"), rings.alias("rings"))
+
+    rings = "array<array<array<double>>>"
+    found = F.when(kind == "Polygon", F.array(part("Polygon", F.from_json(coordinates, rings))))
+    found = found.when(kind == "MultiPolygon", F.transform(F.from_json(coordinates, f"array<{rings}>"), lambda p: part("Polygon", p)))
+    found = found.when(kind == "Point", F.array(part("Point", F.array(F.array(F.from_json(coordinates, "array<double>"))))))
+    if depth:
+        members = F.from_json(geometries, f"array<struct<{_GEOMETRY}>>")
+        inner = F.transform(members, lambda g: F.coalesce(_parts(g["type"], g["coordinates"], g["geometries"], depth - 1), F.array().cast(f"array<struct<part_type:string,rings:{rings}>>")))
+        found = found.when(kind == "GeometryCollection", F.flatten(inner))
+    return found
+
+
+def explode_parts(features: DataFrame, collections: bool = True) -> DataFrame:
+    """One row a part of each feature: part_id, part_type (Polygon or Point), ring (of points x and y, not closed) and n_holes.
+
+    Multi-polygons fall into polygons, and collections, unless collections is false, into the parts of their members; other types
+    and empty parts give no row.
+    """
+    parts = _parts(F.col("geom_type"), F.col("coordinates"), F.col("geometries"), COLLECTION_DEPTH if collections else 0)
+    rows = features.select(*[c for c in features.columns if c not in ("coordinates", "geometries")], F.posexplode(parts).alias("part_id", "_p"))
+    points = F.transform(F.col("_p.rings")[0], lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
+    closed = (F.size("_r") > 1) & (F.col("_r")[0] == F.element_at("_r", -1))
+    rows = rows.where("size(_p.rings) > 0 AND size(_p.rings[0]) > 0").withColumn("_r", points)
+    ring = F.when(closed, F.slice("_r", F.lit(1), F.size("_r") - 1)).otherwise(F.col("_r"))
+    return rows.select(*[c for c in rows.columns if c not in ("_p", "_r")], F.col("_p.part_type").alias("part_type"), ring.alias("ring"), (F.size("_p.rings") - 1).alias("n_holes"))
 
 
 def _folder(df: DataFrame) -> str:
-    cut_lineage(df.limit(0))  # names the shared folder where it is unset
-    return f"{df.sparkSession.conf.get('spark.checkpoint.dir').rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}"
 
 
 def csv_roundtrip(df: DataFrame) -> DataFrame:
@@ -70,3 +118,30 @@ def export_roundtrip(df: DataFrame, partitions: list[str]) -> DataFrame:
     path = _folder(df)
     export_samples(df, path, partitions)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def export_dataset(samples: DataFrame, labels: DataFrame, runs: DataFrame, path: str) -> None:
+    """Write a training set: samples with their label text by split and region, mask runs by split, and the map of renamed samples.
+
+    samples: sample_id, split, region, ...; labels: sample_id, line; runs: sample_id, row, c0, c1, class_id. Samples are numbered
+    over split and region and named by that; a sample without labels has an empty text. Folders: samples, masks, renamed (CSV).
+    """
+    named = cut_lineage(sample_numbering(samples, ["split", "region"], ["sample_id"]))
+    text = labels.groupBy("sample_id").agg(F.concat_ws("\n", F.array_sort(F.collect_list("line"))).alias("label_text"))
+    full = named.join(text, "sample_id", "left").withColumn("label_text", F.coalesce("label_text", F.lit("")))
+    export_samples(full, f"{path}/samples", ["split", "region"])
+    export_samples(runs.join(named.select("sample_id", "split", "new_stem"), "sample_id"), f"{path}/masks", ["split"])
+    named.select("sample_id", "new_stem").write.option("header", True).csv(f"{path}/renamed")
+
+
+def export_summary(samples: DataFrame, labels: DataFrame, runs: DataFrame) -> DataFrame:
+    """(split, n, n_lines, pixels, renamed) of a training set that was written and read again."""
+    path = _folder(samples)
+    export_dataset(samples, labels, runs, path)
+    read = samples.sparkSession.read
+    back = read.parquet(f"{path}/samples")
+    lines = F.sum(F.when(F.col("label_text") == "", 0).otherwise(F.size(F.split("label_text", "\n"))))
+    names = read.option("header", True).csv(f"{path}/renamed").withColumn("split", F.regexp_extract("new_stem", "^([a-z]+)_", 1))
+    per = back.groupBy("split").agg(F.count("*").alias("n"), lines.alias("n_lines"))
+    pixels = read.parquet(f"{path}/masks").groupBy("split").agg(F.sum(F.col("c1") - F.col("c0")).alias("pixels"))
+    return per.join(pixels, "split", "left").join(names.groupBy("split").agg(F.count("*").alias("renamed")), "split")

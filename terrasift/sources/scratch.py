@@ -5,16 +5,36 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """The shared folder named by spark.checkpoint.dir. Where that is unset a local master gets a folder; a cluster is an error.
+
+    On a cluster a folder of one machine would lose what the others write.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the frame to the folder in spark.checkpoint.dir (a temporary one only where that is unset) and read it back."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    """Write the frame once to the shared folder and read it back, so that lost executors cost no recomputation."""
+    path = f"{scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_scratch(df: DataFrame) -> None:
+    """Delete the files behind a frame made by cut_lineage that nothing reads any more."""
+    spark = df.sparkSession
+    root = scratch_dir(spark).removeprefix("file://")
+    jvm = spark._jvm
+    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if root in parent:
+            path = jvm.org.apache.hadoop.fs.Path(parent)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

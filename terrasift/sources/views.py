@@ -51,6 +51,15 @@ select p_partkey as file_id,
         when 9 then '_архитектуры' when 11 then '_границы' when 13 then '_FindsPoints' else '_городища' end end) as stem,
   case when p_partkey%2=0 then case when p_partkey%6=0 then 'tiff' else 'tif' end else 'geojson' end as ext
 from part
+""",
+    "fx_tree": """
+select file_id, concat(lpad(cast(region_no as {str}),3,'0'),'_ЛУБНО',cast(region_no as {str})) as region_folder,
+  case k when 0 then null when 1 then case when region_no%4=2 then '07_прочее' else '07_Разметка' end when 2 then case when region_no%5=4 then '01_карты' else '01_Li_карты' end
+    when 3 then case when region_no%5=4 then '02_фото' else '02_Ae' end when 4 then case when region_no%5=4 then '03_фото' else '03_SрOr' end when 5 then '04_прочее'
+    else case when region_no%4=2 then '08_прочее' else '08_разметка_li' end end as sub_folder,
+  case when k=0 then case when region_no%4=1 then 'README' else 'UTM' end else concat('file_',cast(file_id as {str})) end as stem,
+  case when k=0 then 'json' when k in (1,6) then 'geojson' when file_id%3=0 then 'tiff' else 'tif' end as ext
+from (select p_partkey as file_id, p_partkey%20 as region_no, cast(floor(p_partkey/20) as int)%7 as k from part) t
 """,
     "fx_samples": """
 select object_id as sample_id, region, modality, class_name,

@@ -1,10 +1,15 @@
 """Hand cases with known answers."""
 
+import json
+
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from terrasift.functions import geometry as G
 from terrasift.functions import names as N
-from terrasift.operators import evaluate, ledger, masks, sampling, spatial
+from terrasift.operators import curation, evaluate, ledger, masks, registry, sampling, spatial
+from terrasift.sources import files, scratch
 
 
 def test_unit_square(spark):
@@ -83,15 +88,160 @@ def test_results_do_not_depend_on_partitions(spark):
     assert run(1) == run(17)
 
 
-def test_holdout_search_tries_5000_orders(spark):
-    counts = spark.createDataFrame([(r, c, 1 + (r * r * 37 + r * c * 11 + c) % 97) for r in range(40) for c in range(4)], "region_id long, class_name long, n long")
+def test_holdout_search_scores_5000_orders(spark):
+    rows = [(r, c, m, 1 + (r * r * 37 + r * c * 11 + c + len(m)) % 97) for r in range(40) for c in range(4) for m in ("Li", "Ae") if (r + c) % 3]
+    counts = spark.createDataFrame(rows, "region_id long, class_name long, modality string, n long")
     found = sampling.holdout_search(counts).first()
-    assert found == sampling.holdout_search(counts, trials=5000).first()
-    # a later order is better than the best of the first 200
-    assert found.trial >= 200 and found.score < sampling.holdout_search(counts, trials=200).first().score
+    assert found == sampling.holdout_search(counts, trials=5000).first() and found.score <= sampling.holdout_search(counts, trials=200).first().score
+    # the published score of the regions found, term by term
+    held, total = {int(x) for x in found.regions.split(",")}, sum(r[3] for r in rows)
+    n = sum(r[3] for r in rows if r[0] in held)
+    strata = {(c, m) for _, c, m, _ in rows}
+    diff = sum(abs(sum(r[3] for r in rows if r[1:3] == s) / total - sum(r[3] for r in rows if r[1:3] == s and r[0] in held) / n) for s in strata)
+    under = sum(sum(r[3] for r in rows if r[1] == c and r[0] in held) < 3 for c in range(4))
+    largest = max(sum(r[3] for r in rows if r[0] == g) for g in held)
+    assert found.val_n == n and abs(found.score - (diff + 2 * abs(n - int(total * 0.2)) / total + 0.5 * under + 0.5 * largest / n)) < 1e-5
 
 
 def test_weighted_resample_draws_as_many_rows_as_the_table_has(spark):
     for n in (0, 7, 3000):
         table = spark.range(n).select(F.col("id").alias("key"), (F.col("id") % 3).alias("kind"))
         assert sampling.weighted_resample(table, "kind", "key").count() == n
+
+
+RASTER = "raster_id int, region_id int, modality string, file_ord int, px double, width int, height int, x_left double, y_top double, raster_epsg int"
+
+
+def test_objects_in_another_zone_are_reprojected(spark):
+    # 33 degrees east and 55 north: on the central meridian of zone 36, and in zone 37 six degrees west of its own
+    rasters = spark.createDataFrame([(1, 1, "Li", 0, 1.0, 400, 400, 499_800.0, 6_094_991.0, 32636), (2, 1, "Li", 1, 1.0, 9000, 9000, 495_000.0, 6_099_000.0, 32636)], RASTER)
+    (x, y), (e, n) = (G.to_utm(F.lit(33.0), F.lit(55.0), F.lit(z), F.lit(False)) for z in (37, 36))
+    at = spark.range(1).select(x.alias("x"), y.alias("y"), e.alias("e"), n.alias("n")).first()
+    assert abs(at.e - 500_000) < 1e-6 and abs(at.n - 6_094_791) < 1  # published northing of 55 degrees, times 0.9996
+    rows = [(1, 1, "Li", at.x, at.y, 5.0, 5.0, 32637), (2, 1, "Li", at.e, at.n, 5.0, 5.0, 32636), (3, 1, "Li", 33.0, 55.0, 0.0001, 0.0001, 4326),
+            (4, 1, "Li", at.x, at.y, 5.0, 5.0, 2000), (5, 1, "Li", at.x, at.y, 5.0, 5.0, None)]
+    objects = spark.createDataFrame(rows, "object_id int, region_id int, modality string, cx double, cy double, hw double, hh double, epsg int")
+    found = {r.object_id: (r.raster_id, r.used_crs_fallback) for r in spatial.match_rasters(objects, rasters).collect()}
+    assert found == {1: (1, True), 2: (1, False), 3: (1, True)}
+    matched = spatial.match_rasters(objects, rasters).join(objects.drop("region_id", "modality"), "object_id").join(rasters, "raster_id")
+    boxes = {r.object_id: (r.c0, r.c1) for r in spatial.pixel_box(matched).collect()}
+    assert boxes[2] == (195, 205) and abs(boxes[1][0] - 194) <= 1 and abs(boxes[1][1] - 205) <= 1
+
+
+def test_rings_are_held_exactly_against_the_bounds(spark):
+    rasters = spark.createDataFrame([(1, 1, "Li", 0, 1.0, 10, 10, 0.0, 10.0, 32636)], RASTER)
+    corner = [(9.0, 14.0), (14.0, 9.0), (14.0, 14.0)]  # its box meets the raster, the triangle does not
+    touching = [(8.0, 12.0), (12.0, 8.0), (14.0, 14.0)]
+    around = [(-50.0, -50.0), (50.0, -50.0), (0.0, 90.0)]
+    rows = [(k, 1, "Li", (min(x for x, _ in r) + max(x for x, _ in r)) / 2, (min(y for _, y in r) + max(y for _, y in r)) / 2, (max(x for x, _ in r) - min(x for x, _ in r)) / 2,
+             (max(y for _, y in r) - min(y for _, y in r)) / 2, 32636, r) for k, r in enumerate((corner, touching, around))]
+    objects = spark.createDataFrame(rows, "object_id int, region_id int, modality string, cx double, cy double, hw double, hh double, epsg int, ring array<struct<x:double,y:double>>")
+    assert {r.object_id for r in spatial.match_layer(objects, rasters).collect()} == {1, 2}
+    assert {r.object_id for r in spatial.match_rasters(objects.drop("ring"), rasters).collect()} == {0, 1, 2}
+
+
+def test_reprojection_of_a_table(spark):
+    rows = [(1, [(33.0, 45.0)], 4326), (2, [(33.0, 45.0)], None), (3, [(1.0, 2.0)], 9999), (4, [(500_000.0, 4_982_950.4)], 32636)]
+    found = {r.id: r for r in spatial.reproject(spark.createDataFrame(rows, "id int, ring array<struct<x:double,y:double>>, epsg int"), 32636).collect()}
+    assert abs(found[1].ring[0].x - 500_000) < 1e-6 and abs(found[1].ring[0].y - 4_982_950.4) < 1e-3 and found[1].status == "ok"
+    assert found[2].ring[0].x == 33.0 and found[4].ring[0].x == 500_000.0 and (found[3].ring, found[3].status) == (None, "failed")
+
+
+def test_mixed_features_of_one_file(spark, tmp_path):
+    square = [[0, 0], [4, 0], [4, 4], [0, 4], [0, 0]]
+    hole = [[1, 1], [2, 1], [2, 2], [1, 1]]
+    deep = {"type": "GeometryCollection", "geometries": [{"type": "GeometryCollection", "geometries": [{"type": "Polygon", "coordinates": [square]}]}, {"type": "LineString", "coordinates": square}]}
+    shapes = [{"type": "Polygon", "coordinates": [square, hole]}, {"type": "MultiPolygon", "coordinates": [[square], [square]]}, {"type": "Point", "coordinates": [7, 8]}, deep, None,
+              {"type": "Polygon", "coordinates": []}]
+    text = json.dumps({"features": [{"type": "Feature", "geometry": g, "properties": {"class_name": "c", "n": 5}} for g in shapes]})
+    (tmp_path / "a.geojson").write_text(text)
+    (tmp_path / "b.geojson").write_text(text[:50])
+    features = files.parse_features(files.read_features(spark, str(tmp_path)))
+    assert sorted(r.geom_type for r in features.collect()) == ["GeometryCollection", "MultiPolygon", "Point", "Polygon"]
+    parts = [(r.geom_type, r.part_id, r.part_type, len(r.ring), r.n_holes) for r in files.explode_parts(features).collect()]
+    assert sorted(parts) == [("GeometryCollection", 0, "Polygon", 4, 0), ("MultiPolygon", 0, "Polygon", 4, 0), ("MultiPolygon", 1, "Polygon", 4, 0), ("Point", 0, "Point", 1, 0), ("Polygon", 0, "Polygon", 4, 1)]
+    assert files.explode_parts(features, collections=False).count() == 4
+
+
+def test_greatest_confidence_chooses_first(spark):
+    def runs(side, comp, row, c0, c1, confidence):
+        return (side, 1, 1, comp, row, c0, c1, c1 - c0, confidence)
+
+    rows = [runs("truth", 1, 0, 0, 10, 1.0), runs("pred", 1, 0, 0, 9, 0.2), runs("pred", 2, 0, 0, 8, 0.9)]
+    objects = spark.createDataFrame(rows, "side string, sample_id int, class_id int, comp int, row int, c0 int, c1 int, pixels int, confidence double")
+    for pool, number in ((False, 2), (True, (1 << 24) + 2)):
+        assert [r.p for r in evaluate.soft_match(objects, pool=pool).collect()] == [number]
+
+
+def test_pooled_and_serial_matching_agree_with_the_loop(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for sample in range(12):
+        for side in ("truth", "pred"):
+            for comp in range(1, 8):
+                a = int(rng.integers(0, 20))
+                b = a + int(rng.integers(2, 12))
+                rows.append((side, sample, 1, comp, comp % 2, a, b, b - a, float(rng.integers(0, 3))))
+    objects = spark.createDataFrame(rows, "side string, sample_id int, class_id int, comp int, row int, c0 int, c1 int, pixels int, confidence double")
+    pairs = evaluate.object_iou(objects).collect()
+    want = set()
+    for sample in range(12):
+        free = set(range(1, 8))
+        order = sorted({(-r.confidence, r.p) for r in pairs if r.sample_id == sample})
+        for _, p in order:
+            own = [(-r.iou, r.t) for r in pairs if r.sample_id == sample and r.p == p and r.t in free and (r.iou > 0.3 or r.hit)]
+            if own:
+                want.add((sample, p, min(own)[1]))
+                free.discard(min(own)[1])
+    assert {(r.sample_id, r.p, r.t) for r in evaluate.soft_match(objects).collect()} == want
+    one = objects.where("sample_id = 3")
+    assert {(r.p % 2**24, r.t % 2**24) for r in evaluate.soft_match(one, pool=True).collect()} == {x[1:] for x in want if x[0] == 3}
+
+
+def test_holes_are_filled_and_thin_objects_go(spark):
+    ring = [(1, r, c, 1) for r in range(5) for c in range(5) if r in (0, 4) or c in (0, 4)]
+    thin = [(1, 8, c, 1) for c in range(20)]
+    runs = masks.mask_runs(spark.createDataFrame(ring + thin, "sample_id int, row int, col int, v int"), "v")
+    found = masks.mask_objects(runs).collect()
+    assert [(r.filled, r.area) for r in found] == [(25, 16.0)]
+    assert sorted(r.area for r in masks.mask_objects(runs, 0.0).collect()) == [0.0, 16.0]
+
+
+def test_draws_reach_nearly_all_rows_and_take_text_keys(spark):
+    rows = spark.range(60_000).select(F.col("id").cast("string").alias("key"), F.lit("one").alias("class"))
+    drawn = sampling.weighted_resample(rows, "class", "key")
+    assert drawn.count() == 60_000 and abs(drawn.select("key").distinct().count() / 60_000 - (1 - np.exp(-1))) < 0.01
+
+
+def test_numbers_follow_the_order_over_all_ranges(spark):
+    rows = spark.range(1000).select((F.col("id") % 3).alias("g"), F.col("id").alias("k")).repartition(7)
+    found = sampling.ranked(rows, ["g", "k"], "n").orderBy("g", "k").collect()
+    assert [r.n for r in found] == list(range(1000))
+
+
+def test_metadata_without_needed_columns_are_refused(spark):
+    old = spark.createDataFrame([(7, "whole", 3.0), (8, "other", None)], "sample_id int, kurgan_type string, class_id double")
+    fixed = registry.normalize_metadata(old).collect()
+    assert [(r.sample_id, r.class_name, r.class_id) for r in fixed] == [("000007", "kurgany_tselye", 3), ("000008", "other", None)]
+    with pytest.raises(ValueError):
+        registry.normalize_metadata(old, required=registry.METADATA)
+
+
+def test_tiles_of_which_all_boxes_go_count_as_empty(spark):
+    tiles = spark.createDataFrame([(1, 0, 0), (1, 9, 0), (1, 18, 0)], "raster_id int, x0 int, y0 int")
+    boxes = spark.createDataFrame([(1, 0, 0, True), (1, 9, 0, False), (1, 9, 0, True)], "raster_id int, x0 int, y0 int, edge boolean")
+    found = {(r.x0, r.n_boxes) for r in curation.tile_policy(tiles, boxes, "boxes").collect()}
+    assert found == {(0, 0), (9, 1), (18, 0)}
+    assert {r.x0 for r in curation.tile_policy(tiles, boxes, "tiles").collect()} == {18}
+    assert {r.x0 for r in curation.tile_policy(tiles, boxes, "keep", positives_only=True).collect()} == {0, 9}
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    class Conf:
+        get = staticmethod(lambda key, default=None: default)
+
+    class Session:
+        conf, sparkContext = Conf, type("Context", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError):
+        scratch.scratch_dir(Session)

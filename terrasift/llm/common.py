@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrasift.sources.scratch import cut_lineage, drop_scratch
+
+__all__ = ["BROADCAST_ROWS", "WORD", "bound_batches", "cut_lineage", "drop_scratch", "lookup_join", "text_hash"]
+
 #: A word is a maximal run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -15,33 +16,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 20_000
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a folder of our own only where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the frame once to the shared folder and read it back, so that lost executors cost no recomputation."""
-    path = f"{scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_scratch(df: DataFrame) -> None:
-    """Delete the files behind a frame made by cut_lineage that nothing reads any more."""
-    spark = df.sparkSession
-    root = scratch_dir(spark).removeprefix("file://")
-    jvm = spark._jvm
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if root in parent:
-            path = jvm.org.apache.hadoop.fs.Path(parent)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def bound_batches(spark: SparkSession, rows: int = 1000, size: str = "4m") -> None:
     """Pass at most so many rows and bytes to Python at once: whole texts make batches of the default 10,000 rows large.
 

@@ -128,6 +128,51 @@ def test_line_dedup_edge_cases(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_line_decisions_against_brute_force(spark):
+    rng = random.Random(12)
+    base = ["".join(rng.choice("abcdefg é") for _ in range(rng.randint(9, 40))).strip() for _ in range(25)]
+    rows = []
+    for i in range(40):
+        lines = []
+        for _ in range(rng.randint(0, 7)):
+            line = rng.choice(base)
+            lines.append(rng.choice([line, line.upper(), "  " + line.replace(" ", " \t"), mutate(rng, line, rng.randint(1, 3)), "", "tiny"]))
+        rows.append((i if i % 9 else None, "\n".join(lines) if i % 11 else None))
+    rows += [rows[5], (500, ""), (501, " \n \n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_lines", F.lit("clash"))
+    found = line_dedup.line_decisions(docs)
+    known = {(r.doc_id, r.text or ""): r.h for r in docs.select("doc_id", "text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("h")).collect()}
+    places = []
+    for doc, text in sorted({(d, t or "") if t is not None else (d, None) for d, t in rows}, key=lambda x: (x[0] is not None, x[0] or 0, known[x[0], x[1] or ""])):
+        for pos, line in enumerate((text or "").split("\n")):
+            line = " ".join(line.lower().split())
+            if line:
+                places.append((doc, known[doc, text or ""], pos, line))
+    first = {}
+    for at, (*_, line) in enumerate(places):
+        first.setdefault(line, at)
+    near = {a: {b for b in first if b != a and len(a) >= 10 and len(b) >= 10 and abs(len(a) - len(b)) <= 2 and edit(a, b) <= 2} for a in first}
+    want = {(d, known[d, t or ""]): [0, set(), set(), 0] for d, t in rows}
+    kept = []
+    for at, (doc, h, pos, line) in enumerate(places):
+        out = want[doc, h]
+        out[0] += 1
+        if first[line] != at:
+            out[1].add(pos)
+        else:
+            out[3] += len(near[line])
+            if any(first[b] < at for b in near[line]):
+                out[2].add(pos)
+        if pos not in out[1] | out[2]:
+            kept.append((doc, h, pos, line))
+    hashed = spark.createDataFrame(kept, "doc long, h long, pos int, line string")
+    hashed = hashed.groupBy("doc", "h").agg(F.bit_xor(F.xxhash64("pos", F.xxhash64("line"), F.xxhash64(F.lit(3), "line"))).alias("x"))
+    hashes = {(r.doc, r.h): r.x for r in hashed.collect()}
+    got = {(r.id, r.hash): ([r.n_lines, set(r.repeats), set(r.nears), r.n_links], r.kept_hash) for r in found.collect()}
+    assert got == {k: (v, hashes.get(k, 0)) for k, v in want.items()}
+    assert sum(len(v[2]) for v in want.values()) > 5 and sum(len(v[1]) for v in want.values()) > 20
+
+
 def test_substring_removal(spark):
     rng = random.Random(3)
     base = ["".join(rng.choice("abcdefgh é\n") for _ in range(rng.randint(300, 1200))) for _ in range(10)]

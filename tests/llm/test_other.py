@@ -1,5 +1,6 @@
 """Quality rules, extraction, sharding, mixing, packing, search and classifier: edge cases and brute force."""
 
+import hashlib
 import math
 import random
 import re
@@ -10,6 +11,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from tokenizers import Tokenizer
 
 from terrasift.llm import classifier, html_text, mixing, neighbours, packing, quality_rules, sharding
@@ -213,6 +215,27 @@ def test_lookup_table():
         sharding.lookup_table(names, 1008)
 
 
+def test_slots_and_table_against_plain_versions(docs):
+    # each shard's whole order of slots is written out, and the shards take turns at the first that is free
+    names = [f"shard-{i:05d}" for i in range(6)]
+    size = 257
+    orders = []
+    for name in names:
+        digest = hashlib.md5(name.encode()).hexdigest()
+        offset, skip = int(digest[:16], 16) % size, int(digest[16:], 16) % (size - 1) + 1
+        orders.append([(offset + j * skip) % size for j in range(size)])
+    owner = {}
+    while len(owner) < size:
+        for shard, order in enumerate(orders):
+            if len(owner) < size:
+                owner[next(slot for slot in order if slot not in owner)] = shard
+    assert sharding.lookup_table(names, size) == [owner[k] for k in range(size)]
+    for r in sharding.assign_shards(docs, 6, table_size=size).collect():
+        key = "null" if r.doc_id is None else str(r.doc_id)
+        signed = (xxhash.xxh64_intdigest(key.encode(), 42) + 2**63) % 2**64 - 2**63
+        assert r.slot == signed % size and r.shard == owner[r.slot]
+
+
 def test_sharding(docs, empty, spark, tmp_path):
     found = sharding.assign_shards(docs, 5)
     assert found.count() == docs.count() and found.columns.count("shard") == 1
@@ -361,6 +384,35 @@ def test_classifier_accuracy_on_held_out_rows(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
 
 
+def test_updates_against_a_plain_loop():
+    settings = classifier.Settings(bits=6, epochs=2)
+    texts = [("good clean words here", 1), ("bad bad junk ### bad", 0), ("", 0), ("good words good words good words", 1), ("junk here", 0)]
+    examples = [(classifier.features(t, 6), y) for t, y in texts]
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        if abs(z[i]) <= settings.l1:
+            return 0.0
+        return -(z[i] - math.copysign(settings.l1, z[i])) / ((settings.beta + math.sqrt(n[i])) / settings.alpha + settings.l2)
+
+    for _ in range(settings.epochs):
+        for at, y in examples:
+            x = {i: c / math.sqrt(max(1, len(at))) for i, c in Counter(at.tolist()).items()} | {"bias": 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - y) * v
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / settings.alpha
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    weights, bias = classifier.fit_shard(examples, settings)
+    assert abs(bias - weight("bias")) < 1e-9 and np.allclose(weights, [weight(i) for i in range(64)])
+    for text, _ in texts:
+        at = classifier.features(text, 6).tolist()
+        plain = 1 / (1 + math.exp(-(bias + sum(weights[i] for i in at) / math.sqrt(max(1, len(at))))))
+        assert abs(classifier.score_text(text, weights, bias, 6) - plain) < 1e-9
+
+
 def test_classifier_edge_cases(docs, empty, spark):
     labels = spark.createDataFrame([(4, 1), (4, 1), (5, 0), (6, None), (None, 1), (99, 1)], "doc_id long, quality int")
     model = classifier.train(docs, labels, classifier.Settings(bits=10))
@@ -371,6 +423,30 @@ def test_classifier_edge_cases(docs, empty, spark):
     assert {r.score for r in classifier.score(docs, nothing, bits=10).collect()} == {0.5}
 
 
+def test_pipeline_stages_on_odd_rows(spark):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    story = " ".join(f"word{k} and so" for k in range(200))
+    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, story, "en", "a", 1), (3, story, "en", "a", 1), (None, story + " too", None, None, None),
+            (4, story + "\n" + story, "en", "b", 1), (5, "x" * 60_000, "en", "b", 1), (6, " ".join(f"t{k}" for k in range(30_000)), "en", "b", 1)]
+    odd, none = spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)
+    for name, stage in corpus_pipeline.STAGES:
+        found, nothing = stage(spark, odd, FOLDER), stage(spark, none, FOLDER)
+        assert nothing.count() == 0 and found.columns == (found.columns if name == "pack" else odd.columns), name
+        kept = Counter(r.doc_id for r in found.collect())
+        if name == "quality":
+            assert 1 not in kept and 2 not in kept and kept[3] in (0, 2)
+        if name == "lines":  # the nameless document comes first, so of the others only what it lacks is left
+            assert kept[1] == kept[2] == 1 and kept[6] == 1 and kept[None] == 1
+        if name == "near_dedup":  # texts that are null, empty or of one unknown kind are one group
+            assert kept[3] + kept[None] + kept[4] >= 1 and kept[6] == 1 and max(kept.values()) == 1
+        if name == "mix":
+            assert max(kept.values()) <= 4 and set(kept) <= {r[0] for r in rows}
+        if name == "pack":
+            assert set(kept) == {r[0] for r in rows}
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 

@@ -15,7 +15,7 @@ from .common import bound_batches, cut_lineage, drop_scratch, text_hash
 #: Bytes of the strings among which the anchor of a window is chosen.
 GRAM = 64
 #: Bytes that are hashed together.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Windows whose anchors lie in the same step of so many offsets are compared together.
 OFFSETS = 64
 #: Rows of a unit that one task compares; the units of a gram with more runs are dealt in blocks of about so many rows.
@@ -231,7 +231,7 @@ def _repeated_windows(units: DataFrame, core_bytes: int) -> DataFrame:
         for batch in batches:
             for key, *values in zip(*(c.to_pylist() for c in batch.columns)):
                 if key != unit:
-                    if size > 8_000_000:
+                    if size > 4_000_000:
                         yield found(held)
                         held, size, number = [[] for _ in range(7)], 0, -1
                     unit, number = key, number + 1

@@ -207,6 +207,7 @@ def line_decisions(docs: DataFrame, most: int = 2, min_chars: int = 10, *, id_co
     linked = both.join(where_first.toDF("o1", "o2", "other"), ["o1", "o2"]).groupBy("h1", "h2").agg(F.min("other").alias("other"), F.count("*").alias("links"))
     known = firsts.join(linked, ["h1", "h2"], "left").where("times > 1 OR links IS NOT NULL")
     known = known.select("h1", "h2", "first", F.coalesce(F.col("other") < F.col("first"), F.lit(False)).alias("near"), F.coalesce("links", F.lit(0)).alias("links"))
+    known = cut_lineage(known)  # a table, so that the join may split the places of one line among tasks
     found = places.join(known, ["h1", "h2"])
     repeat = ~F.struct("id", "hash", "pos").eqNullSafe(F.col("first"))
     found = found.select("id", "hash", "pos", repeat.alias("repeat"), (~repeat & F.col("near")).alias("gone_near"), "links", F.xxhash64("pos", "h1", "h2").alias("own"))

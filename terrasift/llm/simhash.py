@@ -193,6 +193,7 @@ def near_duplicates(docs: DataFrame, most: int = 3, *, id_col: str = "doc_id", t
     smallest = linked.groupBy("component").agg(F.min("least").alias("reached"))
     found = linked.select("node", "component").join(smallest, "component").select(F.col("node").alias("_fp"), "reached")
     labels = nodes.join(found, nodes["fp"] == found["_fp"], "left").select(F.col("fp").alias("_fp"), F.coalesce("reached", "least").alias("component_id"))
+    labels = cut_lineage(labels)  # a table, so that the join may split the copies of one text among tasks
     return prints.join(labels, prints["fp"] == labels["_fp"]).select("doc_id", "fp", "component_id")
 
 

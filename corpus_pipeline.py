@@ -11,27 +11,34 @@ from terrasift.llm.common import cut_lineage
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep; null and empty texts go, a document without a language is judged by its like."""
     return quality_rules.keep_good(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their repeated lines; n_chars follows the text."""
+    """Documents without their repeated lines; n_chars follows the text.
+
+    Null and blank texts stay as they are, documents that lose their last line go, rows equal in id and text stay alike.
+    """
     return line_dedup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the smallest id."""
+    """One document of each group of near duplicates, that of the smallest id.
+
+    Groups are those of operator 1: 3-word SimHashes at most 3 bits apart. Texts without a word are one group; a group without
+    any id keeps the document of the smallest text hash; of rows equal in id and text one stays.
+    """
     return simhash.deduplicate(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of the sources; a document that is taken twice is two rows."""
+    """The mix of the sources; a document that is taken twice is two rows. A null source is a source, a null text has no size."""
     return mixing.mix(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences of 2048 tokens."""
+    """The pieces of all documents with their places in sequences of 2048 tokens; a null or empty text is the end token alone."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,3 +28,51 @@ def validity(rows: DataFrame, key: str = "object_id") -> DataFrame:
     crossing = F.exists("_e", lambda a: F.exists("_e", lambda b: (a["i"] < b["i"]) & _cross(a, b)))
     flagged = flagged.withColumn("enough_points", F.size("ring") >= 3).withColumn("has_area", area(F.col("ring")) > 0).withColumn("self_crossing", crossing)
     return flagged.withColumn("valid", F.col("enough_points") & F.col("has_area") & ~F.col("self_crossing")).drop("_e")
+
+
+Ring = list[tuple[float, float]]
+
+
+def _first_crossing(r: Ring) -> tuple[int, int, tuple[float, float]] | None:
+    """(i, j, point): the first two edges that cross inside both, and where."""
+    for i, (ax, ay) in enumerate(r):
+        bx, by = r[(i + 1) % len(r)]
+        for j in range(i + 2, len(r) - (i == 0)):
+            (cx, cy), (dx, dy) = r[j], r[(j + 1) % len(r)]
+            turn = (bx - ax) * (dy - cy) - (by - ay) * (dx - cx)
+            if turn:
+                s = ((cx - ax) * (dy - cy) - (cy - ay) * (dx - cx)) / turn
+                t = ((cx - ax) * (by - ay) - (cy - ay) * (bx - ax)) / turn
+                if 0 < s < 1 and 0 < t < 1:
+                    return i, j, (ax + s * (bx - ax), ay + s * (by - ay))
+    return None
+
+
+def untangled(r: Ring) -> list[Ring]:
+    """Rings without crossings: a ring is cut in two where its edges cross, and parts without area go."""
+    todo, out = [[p for k, p in enumerate(r) if p != r[k - 1]]], []
+    while todo:
+        part = todo.pop()
+        crossing = _first_crossing(part)
+        if crossing:
+            i, j, point = crossing
+            todo += [[point, *part[j + 1:], *part[:i + 1]], [point, *part[i + 1:j + 1]]]
+        elif len(part) > 2 and abs(sum(x * part[k - 1][1] - part[k - 1][0] * y for k, (x, y) in enumerate(part))) > 0:
+            out.append(part)
+    return out
+
+
+def repair(rows: DataFrame, key: str = "object_id") -> DataFrame:
+    """(key, part_id, ring): the parts of each ring after repair; a valid ring is its only part, one without area has none."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], []]
+            for at, ring in enumerate(batch.column(1).to_pylist()):
+                for k, part in enumerate(untangled([(p["x"], p["y"]) for p in ring])):
+                    for column, value in zip(out, (at, k, [{"x": x, "y": y} for x, y in part])):
+                        column.append(value)
+            kind = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.int32()), pa.array(out[2], kind)], [key, "part_id", "ring"])
+
+    ring = F.transform("ring", lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y"))).alias("ring")
+    return rows.where("ring IS NOT NULL").select(key, ring).mapInArrow(run, f"`{key}` {dict(rows.dtypes)[key]}, part_id int, ring array<struct<x:double,y:double>>")

@@ -187,6 +187,8 @@ SQL: dict[str, str] = {
  select object_id, round(500000+s*(eta+a1*cos(2*xi)*(exp(2*eta)-exp(-2*eta))/2+a2*cos(4*xi)*(exp(4*eta)-exp(-4*eta))/2+a3*cos(6*xi)*(exp(6*eta)-exp(-6*eta))/2),2) as easting,
  round(s*(xi+a1*sin(2*xi)*(exp(2*eta)+exp(-2*eta))/2+a2*sin(4*xi)*(exp(4*eta)+exp(-4*eta))/2+a3*sin(6*xi)*(exp(6*eta)+exp(-6*eta))/2),2) as northing, true as lon_back, true as lat_back from v""",
     "validity_audit": """select object_id, true as enough_points, object_id%3=2 as has_area, object_id%3=0 as self_crossing, object_id%3=2 as valid from fx_objects""",
+    "repair_rings": """select object_id, 0 as part_id, 3 as n_points, hw*hh as area from fx_objects where object_id%3=0 union all select object_id, 1, 3, hw*hh from fx_objects where object_id%3=0
+ union all select object_id, 0, 4, 2*hw*hh from fx_objects where object_id%3=2""",
     "clip_to_tile": """select object_id, cx as minx, cy-hh as miny, cx+hw as maxx, cy+hh as maxy, hw*hh as area from fx_objects where not shifted""",
     "layer_bounds": "select region_id, modality, min(cx-hw) as minx, min(cy-hh) as miny, max(cx+hw) as maxx, max(cy+hh) as maxy from fx_objects group by 1,2",
     "match_rasters": f"with {_MATCH} select * from matched",

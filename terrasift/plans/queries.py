@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from terrasift.functions import geometry as G
 from terrasift.functions import names as N
 from terrasift.operators import curation, evaluate, labels, ledger, masks, raster, registry, sampling, spatial
-from terrasift.operators.validity import validity
+from terrasift.operators.validity import repair, validity
 from terrasift.sources import files
 from terrasift.sources.views import view
 
@@ -236,14 +236,22 @@ def reproject_utm(objects: DataFrame) -> DataFrame:
     return rows.select("object_id", F.round("e", 2).alias("easting"), F.round("n", 2).alias("northing"), (F.abs(x - F.col("lon")) < 1e-7).alias("lon_back"), (F.abs(y - F.col("lat")) < 1e-7).alias("lat_back"))
 
 
-@query("fx_objects")
-def validity_audit(objects: DataFrame) -> DataFrame:
+def _odd_rings(objects: DataFrame) -> DataFrame:
     x, y, w, h = F.col("cx"), F.col("cy"), F.col("hw"), F.col("hh")
     bow = G.ring((x - w, y - h), (x + w, y + h), (x + w, y - h), (x - w, y + h))
     flat = G.ring((x - w, y), (x, y), (x + w, y))
     ring = F.when(F.col("object_id") % 3 == 0, bow).when(F.col("object_id") % 3 == 1, flat).otherwise(_diamond())
-    rows = objects.select("object_id", ring.alias("ring"))
-    return validity(rows).select("object_id", "enough_points", "has_area", "self_crossing", "valid")
+    return objects.select("object_id", ring.alias("ring"))
+
+
+@query("fx_objects")
+def validity_audit(objects: DataFrame) -> DataFrame:
+    return validity(_odd_rings(objects)).select("object_id", "enough_points", "has_area", "self_crossing", "valid")
+
+
+@query("fx_objects")
+def repair_rings(objects: DataFrame) -> DataFrame:
+    return repair(_odd_rings(objects)).select("object_id", "part_id", F.size("ring").alias("n_points"), F.round(G.area(F.col("ring")), 3).alias("area"))
 
 
 @query("fx_objects")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from terrasift.functions import geometry as G
 from terrasift.functions import names as N
-from terrasift.operators import curation, evaluate, ledger, masks, registry, sampling, spatial
+from terrasift.operators import curation, evaluate, ledger, masks, registry, sampling, spatial, validity
 from terrasift.sources import files, scratch
 
 
@@ -245,3 +245,14 @@ def test_a_cluster_without_a_shared_folder_is_an_error():
 
     with pytest.raises(RuntimeError):
         scratch.scratch_dir(Session)
+
+
+def test_rings_that_cross_themselves_fall_into_parts():
+    def area(r):
+        return abs(sum(x * r[k - 1][1] - r[k - 1][0] * y for k, (x, y) in enumerate(r))) / 2
+
+    star = [(np.cos(4 * np.pi * k / 5), np.sin(4 * np.pi * k / 5)) for k in range(5)]
+    parts = validity.untangled(star)
+    assert len(parts) >= 2 and all(validity._first_crossing(p) is None for p in parts)
+    assert validity.untangled([(0, 0), (1, 0), (2, 0)]) == [] and validity.untangled([(0, 0), (2, 0), (2, 0), (2, 2)]) == [[(0, 0), (2, 0), (2, 2)]]
+    assert sorted(map(area, validity.untangled([(0, 0), (4, 4), (4, 0), (0, 4)]))) == [4.0, 4.0]

@@ -51,8 +51,18 @@ def score_text(text: str | None, weights: np.ndarray, bias: float, bits: int) ->
     return float(1.0 / (1.0 + np.exp(-np.clip(z, -35.0, 35.0))))
 
 
+def example(text: str | None, bits: int) -> np.ndarray:
+    """(place, value) of a text's different features, the values their counts over the root of the sum: at most 2**bits of either."""
+    at = features(text, bits)
+    places, counts = np.unique(at, return_counts=True)
+    return np.rec.fromarrays([places.astype(np.int32), (counts / np.sqrt(max(1, len(at)))).astype(np.float32)], dtype=_EXAMPLE)
+
+
+_EXAMPLE = np.dtype([("place", "<i4"), ("value", "<f4")])
+
+
 def fit_shard(examples: list[tuple[np.ndarray, int]], settings: Settings) -> tuple[np.ndarray, float]:
-    """Weights and bias after settings.epochs passes over the examples, one update for each example."""
+    """Weights and bias after settings.epochs passes over the examples (see example, and the label), one update for each."""
     size = (1 << settings.bits) + 1  # the last place is the bias
     z, n = np.zeros(size), np.zeros(size)
 
@@ -60,13 +70,10 @@ def fit_shard(examples: list[tuple[np.ndarray, int]], settings: Settings) -> tup
         w = -(z[at] - np.sign(z[at]) * settings.l1) / ((settings.beta + np.sqrt(n[at])) / settings.alpha + settings.l2)
         return np.where(np.abs(z[at]) > settings.l1, w, 0.0)
 
-    counted = []
-    for at, label in examples:
-        places, counts = np.unique(at, return_counts=True)
-        values = counts / np.sqrt(max(1, len(at)))
-        counted.append((np.append(places, size - 1), np.append(values, 1.0), label))
     for _ in range(settings.epochs):
-        for at, x, label in counted:
+        for features_of, label in examples:
+            # the last place is the bias
+            at, x = np.append(features_of["place"], size - 1), np.append(features_of["value"].astype(np.float64), 1.0)
             w = weights(at)
             p = 1.0 / (1.0 + np.exp(-np.clip(w @ x, -35.0, 35.0)))
             g = (p - label) * x
@@ -85,7 +92,8 @@ def train(
 
     Label rows with a null id or label are ignored, repeated ones averaged. At most settings.train_docs labels are
     used, those whose ids have the least hash, so that the choice does not depend on partitions; their documents are
-    split among settings.shards learners by hash, and the learners' weights are averaged.
+    split among settings.shards learners by hash, and the learners' weights are averaged. A learner holds its examples as
+    the counts of their different features, at most 2**bits for a text of any length.
     """
     bound_batches(docs.sparkSession)
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
@@ -97,12 +105,12 @@ def train(
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [features(t.as_py(), settings.bits).astype(np.int32).tobytes() for t in batch.column(2)]
+            found = [example(t.as_py(), settings.bits).tobytes() for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary()), batch.column(3)], ["shard", "at", "f", "label"])
 
     def fit(table: pa.Table) -> pa.Table:
         table = table.sort_by([("at", "ascending")])
-        examples = [(np.frombuffer(f.as_py(), np.int32), y) for f, y in zip(table["f"], table["label"].to_pylist())]
+        examples = [(np.frombuffer(f.as_py(), _EXAMPLE), y) for f, y in zip(table["f"], table["label"].to_pylist())]
         weights, bias = fit_shard(examples, settings)
         return pa.table({"n": pa.array([len(examples)], pa.int64()), "bias": [bias], "w": pa.array([weights.astype(np.float32).tobytes()], pa.binary())})
 

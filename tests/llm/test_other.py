@@ -282,6 +282,18 @@ def test_inclusion_follows_the_odds(spark):
         assert 0 < want < 1 and abs(rate - want) < 5 * math.sqrt(want * (1 - want) / sizes.count(n)), (n, rate, want)
 
 
+def test_encoder_with_a_small_memory_gives_the_tokenizers_ids(monkeypatch):
+    monkeypatch.setattr(packing, "WORDS_KEPT", 40)
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghiklmnoprstuß日.,'|-<>3", k=rng.randint(1, 9))) for _ in range(400)] + ["<|endoftext|>", "don't", "a|b"]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 300))) for _ in range(30)] + ["", " \n\t", "x" * 3000, " ".join(words * 40)]
+    encoder, plain = packing._WordEncoder(TOKENS), Tokenizer.from_file(TOKENS)
+    for at in range(0, len(texts), 3):
+        for text, data in zip(texts[at:at + 3], encoder.ids(texts[at:at + 3])):
+            assert np.frombuffer(data, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert len(encoder.known) <= 40 + len(words) + 1
+
+
 def test_shortest_pack_first():
     rng = np.random.default_rng(2)
     counts = Counter(int(x) for x in rng.integers(1, 101, 3000))
@@ -405,8 +417,10 @@ def test_updates_against_a_plain_loop():
                 sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / settings.alpha
                 z[i] += g - sigma * w[i]
                 n[i] += g * g
-    weights, bias = classifier.fit_shard(examples, settings)
-    assert abs(bias - weight("bias")) < 1e-9 and np.allclose(weights, [weight(i) for i in range(64)])
+    weights, bias = classifier.fit_shard([(classifier.example(t, 6), y) for t, y in texts], settings)
+    assert abs(bias - weight("bias")) < 1e-6 and np.allclose(weights, [weight(i) for i in range(64)], atol=1e-6)
+    long = classifier.example("many words of one text " * 100_000, 6)
+    assert len(long) <= 64 and abs(float((long["value"] ** 1).sum()) - math.sqrt(len(classifier.features("many words of one text " * 100_000, 6)))) < 1
     for text, _ in texts:
         at = classifier.features(text, 6).tolist()
         plain = 1 / (1 + math.exp(-(bias + sum(weights[i] for i in at) / math.sqrt(max(1, len(at))))))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, html_text, line_dedup, mixing, neighbours, packing, quality_rules, sharding, simhash, substring_dedup
+from . import alignment, classifier, conversations, html_text, line_dedup, mixing, neighbours, packing, quality_rules, sharding, simhash, substring_dedup, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -66,6 +66,20 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", fold.alias("held_out"), "score", "predicted")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return alignment.align_and_score(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), 4096)
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "conversations")
+    return conversations.repair(conversations.damage(rows), conversations.all_ids(rows))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_quality_rules": op2_quality_rules,
@@ -77,4 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_neighbours": op9_neighbours,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_alignment": op11_alignment,
+    "op12_token_counts": op12_token_counts,
+    "op13_conversation_repair": op13_conversation_repair,
 }

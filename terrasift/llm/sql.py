@@ -38,4 +38,71 @@ select doc_id, size, source_size, target,
 from e
 """
 
-ORACLE_SQL: dict[str, str] = {"op7_mixing": OP7_MIXING}
+# States of the role grammar: 0 nothing yet, s after the system row, u after a user, p after a pair. A state's value is the least
+# (cost, audit, repaired text); crc32 is taken bit by bit.
+_LEAST = "list_min(list_filter([{}], lambda x: x is not null))"
+
+
+def _edit(state: str, cost: str, letter: str, row: str | None) -> str:
+    text = f"{state}.t" if row is None else f"case when {state}.b then {state}.t || chr(10) else '' end || {row}"
+    begun = f"{state}.b" if row is None else "true"
+    return f"case when {state} is not null then {{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 't': {text}, 'b': {begun}}} end"
+
+
+def _steps(target: str) -> str:
+    """Candidates for a state after one more row: deleted, kept or given another role."""
+    before, initial, role = {"o": ([], "", ""), "s": (["o"], "s", ""), "u": (["o", "s", "p"], "u", "user"), "p": (["u"], "a", "assistant")}[target]
+    found = [_edit(target, "4", "D", None)]
+    for state in before:
+        found.append(f"case when not r.gone and r.initial = '{initial}' then {_edit(state, 'r.mend', 'K', 'r.row')} end")
+        if role:
+            found.append(f"case when not r.gone then {_edit(state, '3 + r.mend', 'R', f"('{role}:' || r.text)")} end")
+    return _LEAST.format(", ".join(found))
+
+
+_INSERT_U = _LEAST.format("u, " + ", ".join(_edit(x, "3", "I", "'user:'") for x in "osp"))
+_INSERT_P = _LEAST.format("p, " + _edit("u", "3", "I", "'assistant:'"))
+
+OP13_CONVERSATION_REPAIR = rf"""
+with recursive keyed as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as k from conversations),
+hashed as (select *, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(k, ''), lambda c: ascii(c)::bigint)),
+    lambda h, b: list_reduce(list_prepend(xor(h, b), [1::bigint, 2, 3, 4, 5, 6, 7, 8]),
+      lambda v, i: case when v & 1 = 1 then xor(v >> 1, 3988292384::bigint) else v >> 1 end)), 4294967295::bigint) % 20 as kind from keyed),
+hurt as (
+  select conv_id, turn, case kind when 4 then 'user' else role end as role,
+    case kind when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+    unnest(case kind when 3 then [0, 1] else [0] end) as copy from hashed where kind <> 0),
+placed as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as n from hurt),
+numbered as (
+  select conv_id, turn, role, text, n, n > min(n) over (partition by conv_id, role, text) as seen,
+    regexp_matches(text, '[^\x20\x09-\x0D]') as word, regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') as ended from placed),
+r as (
+  select conv_id, turn, role, text, n, left(role, 1) as initial, role || ':' || text as row, not word as blank, word and seen as duplicate,
+    word and not seen and not ended as truncated, not word or seen as gone,
+    case when word and not seen and not ended then 3 else 0 end as mend,
+    lag(left(role, 1)) over (partition by conv_id order by n) || left(role, 1) as pair from numbered),
+ids as (select distinct conv_id from conversations),
+step as (
+  select conv_id, 0::bigint as n, {{'c': 0::bigint, 'a': '', 't': '', 'b': false}} as o, null::struct(c bigint, a varchar, t varchar, b boolean) as s,
+    {{'c': 3::bigint, 'a': 'I', 't': 'user:', 'b': true}} as u,
+    {{'c': 6::bigint, 'a': 'II', 't': 'user:' || chr(10) || 'assistant:', 'b': true}} as p from ids
+  union all
+  select conv_id, n, o, s, u, {_INSERT_P} as p from (
+    select conv_id, n, o, s, p, {_INSERT_U} as u from (
+      select step.conv_id, step.n + 1 as n, {_steps("o")} as o, {_steps("s")} as s, {_steps("u")} as u, {_steps("p")} as p
+      from step join r on r.conv_id is not distinct from step.conv_id and r.n = step.n + 1))),
+ended as (select conv_id, n, {_LEAST.format("o, p")} as best from step),
+final as (select conv_id, arg_max(best, n) as best from ended group by conv_id),
+stats as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (blank) as blank,
+    count(*) filter (duplicate) as duplicate, count(*) filter (truncated) as truncated,
+    count(*) filter (pair is not null and pair not in ('su', 'ua', 'au')) as illegal from r group by conv_id)
+select final.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate,
+  coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal, best.c::bigint as cost, best.a as audit,
+  left(best.t, 1) = 's' as with_system, sha256(best.t) as repaired_sha256
+from final left join stats on stats.conv_id is not distinct from final.conv_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op7_mixing": OP7_MIXING, "op13_conversation_repair": OP13_CONVERSATION_REPAIR}

@@ -127,8 +127,8 @@ def inside_ring(r: Column, x: Column, y: Column) -> Column:
     return F.size(hits) % 2 == 1
 
 
-def meets_rectangle(r: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-    """Whether a polygon and a rectangle share a point: an edge meets the rectangle, or a corner of it lies in the ring."""
+def edges_meet(r: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """Whether an edge of a ring and a rectangle share a point."""
     def met(e: Column) -> Column:
         def side(x: Column, y: Column) -> Column:
             return (e["u"] - e["x"]) * (y - e["y"]) - (e["v"] - e["y"]) * (x - e["x"])
@@ -137,7 +137,56 @@ def meets_rectangle(r: Column, x0: Column, y0: Column, x1: Column, y1: Column) -
         apart = (F.greatest(e["x"], e["u"]) < x0) | (F.least(e["x"], e["u"]) > x1) | (F.greatest(e["y"], e["v"]) < y0) | (F.least(e["y"], e["v"]) > y1)
         return ~apart & (F.least(*corners) <= 0) & (F.greatest(*corners) >= 0)
 
-    return F.exists(edges(r), met) | inside_ring(r, x0, y0)
+    return F.exists(edges(r), met)
+
+
+def meets_rectangle(r: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """Whether a polygon and a rectangle share a point: an edge meets the rectangle, or a corner of it lies in the ring."""
+    return edges_meet(r, x0, y0, x1, y1) | inside_ring(r, x0, y0)
+
+
+def all_edges(rings: Column) -> Column:
+    """Edges of all rings of a polygon (array of rings, the outer one first, then its holes)."""
+    return F.flatten(F.transform(rings, edges))
+
+
+def polygon_area(rings: Column) -> Column:
+    """Area of the outer ring without its holes."""
+    return area(F.get(rings, F.lit(0))) - _sum(F.transform(F.slice(rings, F.lit(2), F.greatest(F.size(rings) - 1, F.lit(0))), area))
+
+
+def polygon_perimeter(rings: Column) -> Column:
+    """Length of all rings."""
+    return _sum(F.transform(rings, perimeter))
+
+
+def polygon_centroid(rings: Column) -> tuple[Column, Column]:
+    """Centroid of the outer ring without its holes: first moments of the rings, the holes' subtracted."""
+    def moments(r: Column) -> Column:
+        x, y = centroid(r)
+        return F.struct(x.alias("x"), y.alias("y"), area(r).alias("a"))
+
+    outer = moments(F.get(rings, F.lit(0)))
+    holes = F.transform(F.slice(rings, F.lit(2), F.greatest(F.size(rings) - 1, F.lit(0))), moments)
+
+    def along(axis: str) -> Column:
+        return (outer[axis] * outer["a"] - _sum(F.transform(holes, lambda h: h[axis] * h["a"]))) / polygon_area(rings)
+
+    return along("x"), along("y")
+
+
+def polygon_box(rings: Column) -> tuple[Column, Column, Column, Column]:
+    return box(F.get(rings, F.lit(0)))
+
+
+def inside_polygon(rings: Column, x: Column, y: Column) -> Column:
+    """Even-odd test of a point over all rings."""
+    return F.aggregate(F.transform(rings, lambda r: inside_ring(r, x, y)), F.lit(False), lambda a, b: a != b)
+
+
+def polygon_meets_rectangle(rings: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """Whether a polygon with holes and a rectangle share a point: an edge of any ring meets it, or its corner lies inside."""
+    return F.exists(rings, lambda r: edges_meet(r, x0, y0, x1, y1)) | inside_polygon(rings, x0, y0)
 
 
 def _zone(epsg: Column) -> Column:

@@ -2,77 +2,214 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-
-def polygon_runs(polygons: DataFrame, size: int) -> DataFrame:
-    """Runs of polygons (sample_id, ord, class_id, area, ring in pixels of the window) whose pixel centres lie inside.
-
-    Each row is cut at the crossings of the edges with its centre line; pairs of sorted crossings bound the runs (even-odd).
-    Edges of a batch of polygons are crossed together, and nothing is shuffled.
+from terrasift.functions.geometry import all_edges
+
+#: Crossings of edges with row centres that a task computes at once.
+CROSSINGS = 1_000_000
+#: A polygon of more edges is cut into bands of BAND rows, which tasks cross apart.
+MANY_EDGES, BAND = 20_000, 128
+#: Pieces of overlapping runs that a task lays out at once; a line of more is swept with a heap.
+PIECES = 2_000_000
+
+
+def _crossed(x: np.ndarray, y: np.ndarray, u: np.ndarray, v: np.ndarray, owner: np.ndarray, low: np.ndarray, high: np.ndarray, size: np.ndarray) -> Iterator[tuple]:
+    """(owner, row, c0, c1) of even-odd runs in rows low to high - 1 of each owner's edges, about CROSSINGS at a time."""
+    def rows(first: int, last: int, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own, a, b = owner[first:last], np.minimum(y, v)[first:last], np.maximum(y, v)[first:last]
+        start = np.maximum(np.ceil(a - 0.5), lo[own]).astype(np.int64)  # rows whose centres lie in [a, b)
+        stop = np.minimum(np.ceil(b - 0.5), hi[own]).astype(np.int64)
+        return start, np.maximum(stop - start, 0)
+
+    bounds = np.searchsorted(owner, np.arange(len(low) + 1))
+    work = [(0, len(low), low, high)]
+    while work:
+        i, j, lo, hi = work.pop()
+        if i == j:
+            continue
+        first, last = bounds[i], bounds[j]
+        start, n = rows(first, last, lo, hi)
+        if n.sum() > CROSSINGS:
+            if j - i > 1:
+                k = (i + j) // 2
+                work += [(k, j, lo, hi), (i, k, lo, hi)]
+                continue
+            if hi[i] - lo[i] > 1:
+                middle = lo.copy()
+                middle[i] = (lo[i] + hi[i]) // 2
+                work += [(i, j, middle, hi), (i, j, lo, middle)]
+                continue
+        edge = np.repeat(np.arange(first, last), n)
+        row = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n)
+        at = x[edge] + (row + 0.5 - y[edge]) * (u[edge] - x[edge]) / (v[edge] - y[edge])
+        order = np.lexsort((at, row, owner[edge]))
+        poly, row, at = owner[edge][order][::2], row[order][::2], at[order]
+        # every row of a polygon is crossed an even number of times
+        c0, c1 = (np.clip(np.ceil(at[k::2] - 0.5), 0, size[poly]).astype(np.int32) for k in (0, 1))
+        own = c1 > c0
+        poly, row, c0, c1 = poly[own], row[own], c0[own], c1[own]
+        if len(poly):
+            # a hole that holds no pixel centre parts nothing
+            first = np.flatnonzero(np.r_[True, (poly[1:] != poly[:-1]) | (row[1:] != row[:-1]) | (c0[1:] > c1[:-1])])
+            yield poly[first], row[first].astype(np.int32), c0[first], c1[np.r_[first[1:], len(poly)] - 1]
+
+
+def polygon_runs(polygons: DataFrame, size: int | str = "crop_size", spread: bool = False) -> DataFrame:
+    """Runs of polygons (sample_id, ord, class_id, area, rings or ring in pixels of the window) whose pixel centres lie inside.
+
+    size is the side of all windows, or the column that holds each window's own. Each row is cut at the crossings of the edges of all rings,
+    holes included, with its centre line; pairs of sorted crossings bound the runs (even-odd). A task crosses about CROSSINGS
+    at a time. Of polygons of more than MANY_EDGES edges every band of rows, with the edges that reach it, is a row of its own.
+    Nothing is shuffled, unless spread deals these bands to many tasks; it reads polygons twice, so they should be a
+    written table. Polygons without rings give no run.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rings = batch.column(batch.num_columns - 1)
-            ends = rings.offsets.to_numpy()
-            points = rings.values
-            x, y = (points.field(k).to_numpy(zero_copy_only=False)[:ends[-1]] for k in (0, 1))
-            after = np.arange(1, ends[-1] + 1)
-            after[ends[1:][np.diff(ends) > 0] - 1] = ends[:-1][np.diff(ends) > 0]
-            owner = np.repeat(np.arange(len(rings)), np.diff(ends))
-            x, y, u, v = (c[ends[0]:] for c in (x, y, x[after], y[after]))
-            low, high = np.minimum(y, v), np.maximum(y, v)
-            first = np.maximum(np.ceil(low - 0.5), 0).astype(np.int64)  # rows whose centres lie in [low, high)
-            last = np.minimum(np.ceil(high - 0.5) - 1, size - 1).astype(np.int64)
-            n = np.maximum(last - first + 1, 0)
-            edge = np.repeat(np.arange(len(n)), n)
-            row = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
-            at = x[edge] + (row + 0.5 - y[edge]) * (u[edge] - x[edge]) / (v[edge] - y[edge])
-            order = np.lexsort((at, row, owner[edge]))
-            poly, row, at = owner[edge][order], row[order], at[order]
-            # every row of a polygon is crossed an even number of times
-            c0, c1 = (np.clip(np.ceil(at[k::2] - 0.5), 0, size).astype(np.int32) for k in (0, 1))
-            own, poly = c1 > c0, poly[::2]
-            out = batch.select(batch.schema.names[:-1]).take(pa.array(poly[own]))
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(row[::2][own].astype(np.int32)), pa.array(c0[own]), pa.array(c1[own])], [*out.schema.names, "row", "c0", "c1"])
+            found = batch.column(batch.num_columns - 1)
+            ends = found.offsets.to_numpy()
+            points = [found.values.field(k).to_numpy(zero_copy_only=False)[ends[0]:ends[-1]] for k in range(4)]
+            owner = np.repeat(np.arange(len(found)), np.diff(ends))
+            low, high, side = (batch.column(k).to_numpy().astype(np.int64) for k in (4, 5, 6))
+            head = batch.select(["sample_id", "ord", "class_id", "area"])
+            for poly, row, c0, c1 in _crossed(*points, owner, low, high, side):
+                out = head.take(pa.array(poly))
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(row), pa.array(c0), pa.array(c1)], [*out.schema.names, "row", "c0", "c1"])
 
     kinds = dict(polygons.dtypes)
     kept = ("sample_id", "ord", "class_id", "area")
-    ring = F.transform("ring", lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y"))).alias("ring")
-    rows = polygons.where("ring IS NOT NULL").select(*kept, ring)
-    return rows.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in kept) + ", row int, c0 int, c1 int")
+    rings = F.col("rings") if "rings" in polygons.columns else F.array("ring")
+    edges = F.transform(all_edges(rings), lambda e: F.struct(*[e[c].cast("double").alias(c) for c in ("x", "y", "u", "v")]))
+    side = F.lit(size).cast("int") if isinstance(size, int) else F.col(size).cast("int")
+    rows = polygons.where(rings.isNotNull() & F.get(rings, F.lit(0)).isNotNull()).select(*kept, side.alias("_size"), edges.alias("edges"))
+    def cut(part: DataFrame) -> DataFrame:
+        whole = F.struct(F.lit(0).alias("low"), F.col("_size").alias("high"), F.col("edges"))
+
+        def band(low: Column) -> Column:
+            high = F.least(low + BAND, F.col("_size"))
+            reach = F.filter("edges", lambda e: (F.greatest(e["y"], e["v"]) >= low) & (F.least(e["y"], e["v"]) <= high))
+            return F.struct(low.alias("low"), high.alias("high"), reach.alias("edges"))
+
+        bands = F.transform(F.sequence(F.lit(0), F.greatest(F.col("_size") - 1, F.lit(0)), F.lit(BAND)), band)
+        each = part.select(*kept, "_size", F.explode(F.when(F.size("edges") > MANY_EDGES, bands).otherwise(F.array(whole))).alias("_b"))
+        return each.select(*kept, F.col("_b.low").alias("_low"), F.col("_b.high").alias("_high"), "_size", F.col("_b.edges").alias("edges"))
+
+    if spread:
+        few = F.size("edges") <= MANY_EDGES
+        pieces = cut(rows.where(few)).unionByName(cut(rows.where(~few)).repartition("sample_id", "ord", "_low"))
+    else:
+        pieces = cut(rows)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in kept) + ", row int, c0 int, c1 int"
+    return pieces.mapInArrow(run, schema)
+
+
+def _swept(c0: np.ndarray, c1: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces (start, end, best rank) of one line's runs: a sweep over their ends with the open runs in a heap."""
+    order = np.argsort(c0, kind="stable")
+    starts, stops, ranks = c0[order].tolist(), c1[order].tolist(), rank[order].tolist()
+    out, heap, k, at = [], [], 0, None
+    while k < len(starts) or heap:
+        if not heap:
+            at = starts[k]
+        while k < len(starts) and starts[k] <= at:
+            heapq.heappush(heap, (ranks[k], stops[k]))
+            k += 1
+        while heap and heap[0][1] <= at:
+            heapq.heappop(heap)
+        if heap:
+            end = min(heap[0][1], starts[k] if k < len(starts) else heap[0][1])
+            out.append((at, end, heap[0][0]))
+            at = end
+    return tuple(np.array(c, np.int64) for c in zip(*out))
+
+
+def _laid(line: np.ndarray, c0: np.ndarray, c1: np.ndarray, rank: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """Pieces (line, start, end, best rank) of runs sorted by line, about PIECES at a time."""
+    width = int(c1.max()) + 2
+    starts, stops = line * width + c0, line * width + c1
+    cuts = np.unique(np.concatenate((starts, stops)))
+    first, n = np.searchsorted(cuts, starts), np.searchsorted(cuts, stops) - np.searchsorted(cuts, starts)
+    heads = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
+    cost = np.add.reduceat(n, heads)
+    tails, i = np.r_[heads[1:], len(line)], 0
+    while i < len(heads):
+        j, total = i + 1, int(cost[i])
+        while j < len(heads) and total + cost[j] <= PIECES:
+            total += int(cost[j])
+            j += 1
+        part = slice(heads[i], tails[j - 1])
+        if total > PIECES:
+            at, end, best = _swept(c0[part], c1[part], rank[part])
+            yield np.full(len(at), line[heads[i]]), at, end, best
+        else:
+            # the best run is written last
+            order = np.argsort(-rank[part], kind="stable") + heads[i]
+            times = n[order]
+            piece = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(first[order], times)
+            best = np.full(len(cuts), -1, np.int64)
+            best[piece] = np.repeat(rank[order], times)
+            own = np.flatnonzero(best >= 0)
+            yield cuts[own] // width, cuts[own] % width, cuts[own + 1] % width, best[own]
+        i = j
 
 
 def paint(runs: DataFrame, rule: str = "small") -> DataFrame:
     """Runs without overlap. small: the polygon of least area wins, of equals the later; last: the later wins.
 
-    One shuffle by sample; the runs of a sample are laid over each other, the winner last, on its rows and columns, and read off again.
+    One shuffle by sample and row; a task sees rows in order and sweeps the ends of each row's runs. It holds a batch and one
+    row's runs, whatever the window's area; a window's rows are dealt to many tasks.
     """
-    def lay(table: pa.Table) -> pa.Table:
-        row, c0, c1, class_id, number = (table[c].to_numpy() for c in ("row", "c0", "c1", "class_id", "ord"))
-        order = np.lexsort((number, -table["area"].to_numpy())) if rule == "small" else np.argsort(number, kind="stable")
-        top = row.min()
-        canvas = np.full((row.max() - top + 1, c1.max() + 2), -1, np.int64)
-        for r, a, b, k in zip((row - top)[order].tolist(), c0[order].tolist(), c1[order].tolist(), order.tolist()):
-            canvas[r, a + 1:b + 1] = k
-        value = np.where(canvas >= 0, class_id[canvas], -1)
-        value[canvas < 0] = np.iinfo(np.int32).min  # free
-        r, c = np.nonzero(value[:, 1:] != value[:, :-1])
-        own = value[r, c + 1] != np.iinfo(np.int32).min
-        end = np.r_[c[1:], 0]
-        columns = [pa.array((r[own] + top).astype(np.int32)), pa.array(c[own].astype(np.int32)), pa.array(end[own].astype(np.int32)), pa.array(value[r[own], c[own] + 1].astype(np.int32))]
-        sample = table["sample_id"].combine_chunks().take(pa.array(np.zeros(int(own.sum()), np.int64)))
-        return pa.table([sample, *columns], ["sample_id", "row", "c0", "c1", "class_id"])
+    names = ["sample_id", "row", "c0", "c1", "class_id"]
+
+    def lay(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        sample = table["sample_id"].combine_chunks()
+        code = sample.dictionary_encode().indices.fill_null(-1).to_numpy().astype(np.int64)
+        row, c0, c1, class_id, number = (table[c].to_numpy().astype(np.int64) for c in ("row", "c0", "c1", "class_id", "ord"))
+        line = np.cumsum(np.r_[False, (code[1:] != code[:-1]) | (row[1:] != row[:-1])])
+        order = np.lexsort((-number, table["area"].to_numpy())) if rule == "small" else np.argsort(-number, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        heads = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
+        for at, start, end, best in _laid(line, c0, c1, rank):
+            value = class_id[order[best]]
+            begins = np.r_[True, (at[1:] != at[:-1]) | (start[1:] != end[:-1]) | (value[1:] != value[:-1])]
+            first = np.flatnonzero(begins)
+            last = np.r_[first[1:], len(at)] - 1
+            of = heads[at[first]]
+            numbers = (row[of], start[first], end[last], value[first])
+            yield pa.RecordBatch.from_arrays([sample.take(pa.array(of)), *[pa.array(c.astype(np.int32)) for c in numbers]], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.select(["sample_id", "row"])
+            last = keys.slice(batch.num_rows - 1).to_pylist()
+            whole = bool(held) and held[-1].select(["sample_id", "row"]).slice(held[-1].num_rows - 1).to_pylist() == last and keys.slice(0, 1).to_pylist() == last
+            held.append(batch)
+            if whole:
+                continue  # the batch holds nothing but the open line
+            table = pa.Table.from_batches(held)
+            same = np.asarray(pc.and_(pc.equal(table["row"], last[0]["row"]), pc.fill_null(pc.equal(table["sample_id"], last[0]["sample_id"]), False) if last[0]["sample_id"] is not None else pc.is_null(table["sample_id"])))
+            done = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
+            if done:
+                yield from lay(table.slice(0, done))
+            held = table.slice(done).to_batches()
+        if held:
+            yield from lay(pa.Table.from_batches(held))
 
     kind = dict(runs.dtypes)["sample_id"]
     needed = runs.select("sample_id", F.col("row").cast("int"), F.col("c0").cast("int"), F.col("c1").cast("int"), F.col("class_id").cast("int"), F.col("ord").cast("long"), F.col("area").cast("double"))
-    return needed.groupBy("sample_id").applyInArrow(lay, f"sample_id {kind}, row int, c0 int, c1 int, class_id int")
+    dealt = needed.where("c1 > c0").repartition("sample_id", "row").sortWithinPartitions("sample_id", "row")
+    return dealt.mapInArrow(run, f"sample_id {kind}, row int, c0 int, c1 int, class_id int")
 
 
 def mask_runs(mask: DataFrame, value: str) -> DataFrame:
@@ -83,13 +220,21 @@ def mask_runs(mask: DataFrame, value: str) -> DataFrame:
     return runs.drop("_g")
 
 
-def mask_stats(runs: DataFrame, size: int, class_ids: list[int]) -> DataFrame:
-    """Pixels of each class and of the background, and the classes present, per sample."""
+def mask_stats(runs: DataFrame, size: int | DataFrame, class_ids: list[int]) -> DataFrame:
+    """Pixels of each class and of the background, and the classes present, per sample.
+
+    size is the side of all windows, or a frame (sample_id, crop_size) with each window's own; then samples without runs are all background.
+    """
     sums = [F.coalesce(F.sum(F.when(F.col("class_id") == k, F.col("c1") - F.col("c0"))), F.lit(0)).alias(f"pixels_{k}") for k in class_ids]
     present = F.array_join(F.transform(F.array_sort(F.collect_set("class_id")), lambda x: x.cast("string")), ";").alias("classes")
     rows = runs.groupBy("sample_id").agg(*sums, present)
-    total = sum((F.col(f"pixels_{k}") for k in class_ids), F.lit(0))
-    return rows.withColumn("pixels_bg", F.lit(size * size) - total)
+    pixels = [f"pixels_{k}" for k in class_ids]
+    if isinstance(size, int):
+        area = F.lit(size * size)
+    else:
+        rows = size.select("sample_id", "crop_size").join(rows, "sample_id", "left").fillna(0, pixels).fillna("", ["classes"])
+        area = F.col("crop_size") * F.col("crop_size")
+    return rows.withColumn("pixels_bg", area - sum((F.col(p) for p in pixels), F.lit(0)))
 
 
 def reject_reasons(samples: DataFrame, objects: DataFrame, runs: DataFrame, patches: DataFrame | None = None) -> DataFrame:

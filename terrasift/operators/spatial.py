@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from terrasift.functions import geometry as G
 
+from .grid import box_pairs
+
 Box = tuple[Column, Column, Column, Column]
 
 
@@ -203,28 +205,40 @@ def labelled_tiles(objects: DataFrame, rasters: DataFrame, fallback: Callable[[]
     return box_labels(tile_objects(pixel_box(matched, fallback), tile_grid(choose_tile_size(rasters))))
 
 
-def window_neighbors(objects: DataFrame, half: float = 128.0, cell: float = 256.0) -> DataFrame:
-    """(object_id, n_objects_in_patch): objects of the same layer whose box, and ring if there is one, meets the window around each object's centre.
+def _object_box() -> tuple[Column, Column, Column, Column]:
+    return F.col("cx") - F.col("hw"), F.col("cy") - F.col("hh"), F.col("cx") + F.col("hw"), F.col("cy") + F.col("hh")
+
 
-    Windows are entered in every grid cell they meet; boxes likewise, and a pair counts in the cell that holds the lower
-    left corner of its intersection, so no pair is counted twice and no distinct is needed.
+def window_pairs(windows: DataFrame, objects: DataFrame, on: list[str]) -> DataFrame:
+    """Objects of each window: (window columns, object columns, rings in pixels of the window).
+
+    windows: the columns `on`, c0, r0 and crop_size (pixels of the raster), px, x_left, y_top, and any others; each has its own size. objects: `on`,
+    rings (array of rings; or ring, one outer ring), cx, cy, hw, hh (box) and any others, in the raster's system. Names other than `on`
+    must differ. Boxes meet on a hierarchical grid, so no object enters more than a fixed number of cells however large it is,
+    then rings (holes count as outside) are held against the window exactly, borders included. Objects without a ring meet nothing.
     """
+    px = F.col("px")
+    wx0, wy1 = F.col("x_left") + F.col("c0") * px, F.col("y_top") - F.col("r0") * px
+    wx1, wy0 = wx0 + F.col("crop_size") * px, wy1 - F.col("crop_size") * px
+    if "rings" not in objects.columns:
+        objects = objects.withColumn("rings", F.array("ring")).drop("ring")
+    boxed = objects.select("*", *[c.alias(n) for c, n in zip(_object_box(), ("_x0", "_y0", "_x1", "_y1"))]).drop("cx", "cy", "hw", "hh")
+    pairs = box_pairs(windows, (wx0, wy0, wx1, wy1), boxed, tuple(F.col(c) for c in ("_x0", "_y0", "_x1", "_y1")), on)
+    exact = pairs.where(G.polygon_meets_rectangle(F.col("rings"), wx0, wy0, wx1, wy1)).drop("_x0", "_y0", "_x1", "_y1")
+    moved = F.transform("rings", lambda r: F.transform(r, lambda p: F.struct(((p["x"] - wx0) / px).alias("x"), ((wy1 - p["y"]) / px).alias("y"))))
+    return exact.withColumn("rings", moved)
+
+
+def window_neighbors(objects: DataFrame, half: float = 128.0) -> DataFrame:
+    """(object_id, n_objects_in_patch): objects of the same layer whose box, and ring if there is one, meets the window around each object's centre."""
     layer = ["region_id", "modality"]
-
-    def cells(low: Column, high: Column) -> Column:
-        return F.explode(F.sequence(F.floor(low / cell), F.floor(high / cell)))
-
-    a = objects.select(*layer, F.col("object_id").alias("a"), "cx", "cy", (F.col("cx") - half).alias("ax0"), (F.col("cy") - half).alias("ay0"))
-    a = a.withColumn("gx", cells(F.col("cx") - half, F.col("cx") + half)).withColumn("gy", cells(F.col("cy") - half, F.col("cy") + half))
-    exact = [F.col("ring").alias("b_ring")] if "ring" in objects.columns else []
-    b = objects.select(*layer, *exact, (F.col("cx") - F.col("hw")).alias("bx0"), (F.col("cx") + F.col("hw")).alias("bx1"), (F.col("cy") - F.col("hh")).alias("by0"), (F.col("cy") + F.col("hh")).alias("by1"))
-    b = b.withColumn("gx", cells(F.col("bx0"), F.col("bx1"))).withColumn("gy", cells(F.col("by0"), F.col("by1")))
-    joined = a.join(b, [*layer, "gx", "gy"])
-    meet = (F.col("bx0") <= F.col("cx") + half) & (F.col("bx1") >= F.col("ax0")) & (F.col("by0") <= F.col("cy") + half) & (F.col("by1") >= F.col("ay0"))
-    if exact:
-        meet &= G.meets_rectangle(F.col("b_ring"), F.col("ax0"), F.col("ay0"), F.col("cx") + half, F.col("cy") + half)
-    own = (F.floor(F.greatest("ax0", "bx0") / cell) == F.col("gx")) & (F.floor(F.greatest("ay0", "by0") / cell) == F.col("gy"))
-    return joined.where(meet & own).groupBy(F.col("a").alias("object_id")).agg(F.count("*").alias("n_objects_in_patch"))
+    x0, y0, x1, y1 = F.col("wx") - half, F.col("wy") - half, F.col("wx") + half, F.col("wy") + half
+    windows = objects.select(*layer, "object_id", F.col("cx").alias("wx"), F.col("cy").alias("wy"))
+    ring = ["ring"] if "ring" in objects.columns else []
+    pairs = box_pairs(windows, (x0, y0, x1, y1), objects.select(*layer, "cx", "cy", "hw", "hh", *ring), _object_box(), layer)
+    if ring:
+        pairs = pairs.where(G.meets_rectangle(F.col("ring"), x0, y0, x1, y1))
+    return pairs.groupBy("object_id").agg(F.count("*").alias("n_objects_in_patch"))
 
 
 def adaptive_window(matched: DataFrame, scale: float = 2.0, least: int = 256, most: int = 4096, fallback: Callable[[], Box] = utm_box) -> DataFrame:

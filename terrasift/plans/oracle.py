@@ -119,10 +119,14 @@ cnt as (select class_id, coalesce(tp,0)::bigint as tp, (np-coalesce(tp,0))::bigi
   (select class_id, count(distinct (sample_id, comp)) as nt from tc group by 1) using (class_id)) left join tps using (class_id))"""
 
 _POLY = """po as (select floor(object_id/4)::bigint as sample_id, object_id as ord, (object_id%3)::int as class_id, (object_id*13%50+7)::double as x, (object_id*29%50+7)::double as y,
- hw/2 as w, hh/2 as h from fx_objects),
-pr as (select *, unnest(range(greatest(0,floor(y-h)::int), least(63,floor(y+h)::int)+1)) as row from po),
+ hw/2 as w, hh/2 as h, 64-(floor(object_id/4)::bigint%3)*8 as size, object_id%5=0 as holed from fx_objects),
+pr as (select *, unnest(range(greatest(0,floor(y-h)::int), least(size-1,floor(y+h)::int)+1)) as row from po),
 pc as (select *, abs(row+0.5-y) as dy from pr where abs(row+0.5-y) < h),
-runs as (select * from (select sample_id, ord, class_id, 2*w*h as area, row::int as row, least(greatest(ceil(x-w*(1-dy/h)-0.5),0),64)::int as c0, least(greatest(ceil(x+w*(1-dy/h)-0.5),0),64)::int as c1 from pc) where c1>c0)"""
+pd as (select *, least(greatest(ceil(x-w*(1-dy/h)-0.5),0),size)::int as a, least(greatest(ceil(x+w*(1-dy/h)-0.5),0),size)::int as d, holed and dy < h/2 as cut,
+ least(greatest(ceil(x-w/2*(1-dy/(h/2))-0.5),0),size)::int as b, least(greatest(ceil(x+w/2*(1-dy/(h/2))-0.5),0),size)::int as c from pc),
+pe as (select * replace (cut and c>b as cut) from pd),
+runs as (select * from (select sample_id, ord, class_id, 2*w*h as area, row::int as row, a as c0, case when cut then b else d end as c1 from pe
+ union all select sample_id, ord, class_id, 2*w*h, row::int, c, d from pe where cut) where c1>c0)"""
 _PAINT = """cells as (select sample_id, row, unnest(range(c0,c1)) as col, class_id, area, ord from runs {where}),
 best as (select sample_id, row, col, arg_max(class_id, {order}) as class_id from cells group by 1,2,3)
 select sample_id, row, class_id, count(*) as pixels from best group by 1,2,3"""
@@ -173,10 +177,12 @@ SQL: dict[str, str] = {
  string_agg(distinct kurgan_type, ',' order by kurgan_type) as kurgan_type_values, min(crop_size) as crop_size_min, max(crop_size) as crop_size_max, min(n_objects_in_patch) as n_objects_in_patch_min,
  max(n_objects_in_patch) as n_objects_in_patch_max from fx_samples""",
     "explode_parts": """with o as (select *, object_id%4 as k from fx_objects where object_id%17<>0)
- select object_id, 0 as part_id, case when k<2 then 'Polygon' else 'Point' end as part_type, case when k<2 then 4 else 1 end as n_points, case when k<2 then cx-hw else cx end as x, 0 as n_holes from o
- union all select object_id, 1, 'Polygon', 4, case when k=1 then cx else cx-hw end, 0 from o where k in (1,3)""",
-    "polygon_meets_box": """select object_id, greatest(abs(object_id%97-48)-10,0)*hh + greatest(abs(object_id*7%89-44)-10,0)*hw <= hw*hh as meets from fx_objects""",
-    "polygon_stats": """select object_id, case when e then 2*hw*hh else 3*hw*hh end as area, round(case when e then 4*sqrt(hw*hw+hh*hh) else 4*hw+4*hh end,3) as perimeter, round(case when e then cx else cx-hw/6 end,3) as mx,
+ select object_id, 0 as part_id, case when k<2 then 'Polygon' else 'Point' end as part_type, case when k<2 then 4 else 1 end as n_points, case when k<2 then cx-hw else cx end as x, case when object_id%8=0 then 1 else 0 end as n_holes,
+ round(case k when 0 then 4*hw*hh-case when object_id%8=0 then 0.5625::double*hw*hh else 0 end when 1 then hw*hh else 0 end,3) as area from o
+ union all select object_id, 1, 'Polygon', 4, case when k=1 then cx else cx-hw end, 0, round(case when k=1 then hw*hh else 4*hw*hh end,3) from o where k in (1,3)""",
+    "polygon_meets_box": """select object_id, greatest(abs(object_id%97-48)-10,0)*hh + greatest(abs(object_id*7%89-44)-10,0)*hw <= hw*hh
+ and (abs(object_id%97-48)+10)*hh + (abs(object_id*7%89-44)+10)*hw >= 0.9::double*hw*hh as meets from fx_objects""",
+    "polygon_stats": """select object_id, round(case when e then 31*hw*hh/16 else 3*hw*hh end,3) as area, round(case when e then 4*sqrt(hw*hw+hh*hh)+(hw+hh)/2 else 4*hw+4*hh end,3) as perimeter, round(case when e then cx-hw/124 else cx-hw/6 end,3) as mx,
  round(case when e then cy else cy-hh/6 end,3) as my, cx-hw as minx, cy-hh as miny, cx+hw as maxx, cy+hh as maxy from (select *, object_id%2=0 as e from fx_objects)""",
     "world_to_pixel": """select object_id, raster_id, floor((cx-x_left)/px)::bigint as col, floor((y_top-cy)/px)::bigint as row, x_left+floor((cx-x_left)/px)*px as x, y_top-floor((y_top-cy)/px)*px as y
  from fx_objects join fx_rasters using (region_id, modality)""",
@@ -200,6 +206,30 @@ SQL: dict[str, str] = {
     "tile_objects": f"with {_LAYER}, {_SIZED}, {_GRID}, {_BOX} select object_id, raster_id, x0, y0 from hits",
     "window_neighbors": """select a.object_id, count(*) as n_objects_in_patch from fx_objects a join fx_objects b on a.region_id=b.region_id and a.modality=b.modality and b.cx-b.hw<=a.cx+128 and b.cx+b.hw>=a.cx-128
  and b.cy-b.hh<=a.cy+128 and b.cy+b.hh>=a.cy-128 group by 1""",
+    "window_pairs": """with l as (select *, case when object_id%500=7 then 60 else 1 end as f, pow(2, object_id%5+7) as size from fx_objects),
+ p as (select a.object_id as sample_id, b.object_id, a.size::bigint as crop_size, b.cx-(a.cx-a.size/4) as x, (a.cy+a.size/4)-b.cy as y, b.hw*b.f as w, b.hh*b.f as h, a.size/2 as side from l a join l b on a.region_id=b.region_id and a.modality=b.modality
+  and abs(a.cx-b.cx) <= a.size/4+b.hw*b.f and abs(a.cy-b.cy) <= a.size/4+b.hh*b.f)
+ select sample_id, object_id, crop_size, round((x-w)/0.5::double,3) as x0, round((y-h)/0.5::double,3) as y0, round((x+w)/0.5::double,3) as x1, round((y+h)/0.5::double,3) as y1 from p
+ where greatest(-x, x-side, 0)*h + greatest(-y, y-side, 0)*w <= w*h""",
+    "build_samples": f"""with {_MATCH}, j as (select m.object_id as sample_id, m.used_crs_fallback as fb, o.region_id, o.modality, r.width, r.height, px, x_left, y_top, least(greatest(ceil(greatest(2*hw/px,2*hh/px)*2),256),4096)::bigint as raw,
+  floor((cx-case when m.used_crs_fallback then 5000000.0::double else 0 end-x_left)/px) as col, floor((y_top-cy)/px) as row from matched m join fx_objects o using (object_id) join fx_rasters r using (raster_id)),
+ k as (select *, raw+raw%2 as size from j), z as (select *, col-floor(size/2) as c0, row-floor(size/2) as r0 from k), win as (select *, x_left+c0*px as wx, y_top-r0*px as wy from z
+  where least(c0+size,width)>greatest(c0,0) and least(r0+size,height)>greatest(r0,0)),
+ pa as (select w.sample_id, w.size, b.object_id as ord, case when b.object_id%9<>0 then case b.class_name when 'kurgany_tselye' then 1 when 'kurgany_povrezhdennye' then 2 when 'gorodishcha' then 3 when 'fortifikatsii' then 4 else 5 end end as class_id,
+  2*(b.hw*1.0137::double)*(b.hh*1.0071::double) as area, (b.cx-case when fb then 5000000.0::double else 0 end-wx)/px as x, (wy-b.cy)/px as y, (b.hw*1.0137::double)/px as w, (b.hh*1.0071::double)/px as h, b.object_id%4=0 as holed from win w join fx_objects b on w.region_id=b.region_id and w.modality=b.modality
+  and abs(b.cx-case when fb then 5000000.0::double else 0 end-wx-size*px/2) <= size*px/2+(b.hw*1.0137::double) and abs(wy-size*px/2-b.cy) <= size*px/2+(b.hh*1.0071::double)),
+ po as (select * from pa where greatest(-x, x-size, 0)*h + greatest(-y, y-size, 0)*w <= w*h),
+ pr as (select *, unnest(range(greatest(0,floor(y-h)::int), least(size-1,floor(y+h)::int)+1)) as row from po where class_id is not null),
+ pc as (select *, abs(row+0.5-y) as dy from pr where abs(row+0.5-y) < h),
+ pd as (select *, least(greatest(ceil(x-w*(1-dy/h)-0.5),0),size)::int as a, least(greatest(ceil(x+w*(1-dy/h)-0.5),0),size)::int as d, holed and dy < h/2 as cut,
+  least(greatest(ceil(x-w/2*(1-dy/(h/2))-0.5),0),size)::int as b, least(greatest(ceil(x+w/2*(1-dy/(h/2))-0.5),0),size)::int as c from pc),
+ runs as (select * from (select sample_id, ord, class_id, area, row, a as c0, case when cut then b else d end as c1 from pd union all select sample_id, ord, class_id, area, row, c, d from pd where cut) where c1>c0),
+ cells as (select sample_id, row, unnest(range(c0,c1)) as col, class_id, area, ord from runs), best as (select sample_id, row, col, arg_max(class_id, (-area, ord)) as class_id from cells group by 1,2,3),
+ st as (select sample_id, count(*) filter (class_id=1) as p1, count(*) filter (class_id=2) as p2, count(*) filter (class_id=3) as p3, count(*) filter (class_id=4) as p4, count(*) filter (class_id=5) as p5, count(*) as n,
+  string_agg(distinct class_id, ';' order by class_id) as classes from best group by 1), no as (select sample_id, count(*) as n_objects, count(class_id) as labelled from po group by 1)
+ select sample_id, size as crop_size, coalesce(n_objects,0) as n_objects, coalesce(p1,0) as pixels_1, coalesce(p2,0) as pixels_2, coalesce(p3,0) as pixels_3, coalesce(p4,0) as pixels_4, coalesce(p5,0) as pixels_5, coalesce(classes,'') as classes,
+  size*size-coalesce(n,0) as pixels_bg, case when n_objects is null then 'no_polygons' when labelled=0 then 'no_labelled_polygon' when n is null then 'empty_mask' end as reason
+ from win left join st using (sample_id) left join no using (sample_id)""",
     "region_holdout": f"with {_HOLD} select case when region in (select region from hold) then 'holdout' else 'train' end as side, modality, count(*) as n from fx_samples group by 1,2",
     "resolve_paths": """with inv as (select case when p_partkey%2=0 then 'train' else 'val' end as split, concat(p_partkey,'.png') as name from part), i as (select *, concat(split,'/',name) as path from inv),
  w as (select image, case when image%2=0 then 'train' else 'val' end as split, concat(image,'.png') as name from (select distinct image from fx_label_text)),

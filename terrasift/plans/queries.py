@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from terrasift.functions import geometry as G
 from terrasift.functions import names as N
-from terrasift.operators import curation, evaluate, labels, ledger, masks, raster, registry, sampling, spatial
+from terrasift.operators import build, curation, evaluate, labels, ledger, masks, raster, registry, sampling, spatial
 from terrasift.operators.validity import repair, validity
 from terrasift.sources import files
 from terrasift.sources.views import view
@@ -189,8 +189,8 @@ def facet_values(samples: DataFrame) -> DataFrame:
 
 
 # geometry
-def _diamond() -> object:
-    x, y, w, h = F.col("cx"), F.col("cy"), F.col("hw"), F.col("hh")
+def _diamond(scale: float = 1.0) -> object:
+    x, y, w, h = F.col("cx"), F.col("cy"), F.col("hw") * F.lit(scale), F.col("hh") * F.lit(scale)
     return G.ring((x + w, y), (x, y + h), (x - w, y), (x, y - h))
 
 
@@ -202,21 +202,26 @@ def _l_shape() -> object:
 @query("fx_objects")
 def explode_parts(objects: DataFrame) -> DataFrame:
     parts = files.explode_parts(files.parse_features(files.to_feature_text(objects)))
-    return parts.select("object_id", "part_id", "part_type", F.size("ring").alias("n_points"), F.col("ring")[0]["x"].alias("x"), "n_holes")
+    return parts.select("object_id", "part_id", "part_type", F.size("ring").alias("n_points"), F.col("ring")[0]["x"].alias("x"), "n_holes", F.round(G.polygon_area(F.col("rings")), 3).alias("area"))
 
 
 @query("fx_objects")
 def polygon_meets_box(objects: DataFrame) -> DataFrame:
     x, y, k = F.col("cx") + F.col("object_id") % 97 - 48, F.col("cy") + F.col("object_id") * 7 % 89 - 44, F.lit(10.0)
-    return objects.select("object_id", G.meets_rectangle(_diamond(), x - k, y - k, x + k, y + k).alias("meets"))
+    return objects.select("object_id", G.polygon_meets_rectangle(F.array(_diamond(), _diamond(0.9)), x - k, y - k, x + k, y + k).alias("meets"))
 
 
 @query("fx_objects")
 def polygon_stats(objects: DataFrame) -> DataFrame:
-    rows = objects.withColumn("ring", F.when(F.col("object_id") % 2 == 0, _diamond()).otherwise(_l_shape()))
-    cx, cy = G.centroid(F.col("ring"))
-    x0, y0, x1, y1 = G.box(F.col("ring"))
-    return rows.select("object_id", F.round(G.area(F.col("ring")), 3).alias("area"), F.round(G.perimeter(F.col("ring")), 3).alias("perimeter"), F.round(cx, 3).alias("mx"), F.round(cy, 3).alias("my"), x0.alias("minx"), y0.alias("miny"), x1.alias("maxx"), y1.alias("maxy"))
+    x, y, w, h = F.col("cx") + F.col("hw") / 4, F.col("cy"), F.col("hw") / 8, F.col("hh") / 8
+    hole = G.ring((x - w, y - h), (x + w, y - h), (x + w, y + h), (x - w, y + h))
+    rows = objects.withColumn("rings", F.when(F.col("object_id") % 2 == 0, F.array(_diamond(), hole)).otherwise(F.array(_l_shape())))
+    rings = F.col("rings")
+    cx, cy = G.polygon_centroid(rings)
+    x0, y0, x1, y1 = G.polygon_box(rings)
+    return rows.select(
+        "object_id", F.round(G.polygon_area(rings), 3).alias("area"), F.round(G.polygon_perimeter(rings), 3).alias("perimeter"),
+        F.round(cx, 3).alias("mx"), F.round(cy, 3).alias("my"), x0.alias("minx"), y0.alias("miny"), x1.alias("maxx"), y1.alias("maxy"))
 
 
 @query("fx_objects", "fx_rasters")
@@ -289,6 +294,21 @@ def tile_objects(objects: DataFrame, rasters: DataFrame) -> DataFrame:
 query("fx_objects", name="window_neighbors")(spatial.window_neighbors)
 
 
+@query("fx_objects")
+def window_pairs(objects: DataFrame) -> DataFrame:
+    """Windows of 128 to 2048 pixels of half a metre over layers whose every 500th object is 60 times as large as the others."""
+    large = F.when(F.col("object_id") % 500 == 7, 60.0).otherwise(1.0)
+    sized = objects.withColumn("hw", F.col("hw") * large).withColumn("hh", F.col("hh") * large)
+    size = F.pow(F.lit(2.0), F.col("object_id") % 5 + 7)
+    on = ["region_id", "modality"]
+    windows = objects.select(
+        *on, F.col("object_id").alias("sample_id"), size.cast("long").alias("crop_size"), F.lit(0).alias("c0"), F.lit(0).alias("r0"), F.lit(0.5).alias("px"),
+        (F.col("cx") - size / 4).alias("x_left"), (F.col("cy") + size / 4).alias("y_top"))
+    pairs = spatial.window_pairs(windows, sized.select(*on, "object_id", "cx", "cy", "hw", "hh", _diamond().alias("ring")), on)
+    x0, y0, x1, y1 = G.polygon_box(F.col("rings"))
+    return pairs.select("sample_id", "object_id", "crop_size", *[F.round(c, 3).alias(n) for c, n in zip((x0, y0, x1, y1), ("x0", "y0", "x1", "y1"))])
+
+
 @query("fx_samples", "fx_regions")
 def region_holdout(samples: DataFrame, regions: DataFrame) -> DataFrame:
     inside, outside = sampling.holdout(samples, regions.where("region_id % 4 = 1"), "region")
@@ -381,28 +401,52 @@ def _polygons(objects: DataFrame) -> DataFrame:
     sample = F.floor(F.col("object_id") / 4)
     x, y = (F.col("object_id") * 13 % 50 + 7).cast("double"), (F.col("object_id") * 29 % 50 + 7).cast("double")
     w, h = (F.col("hw") / 2).cast("double"), (F.col("hh") / 2).cast("double")
-    ring = G.ring((x + w, y), (x, y + h), (x - w, y), (x, y - h))
+    ring, hole = (G.ring((x + w / k, y), (x, y + h / k), (x - w / k, y), (x, y - h / k)) for k in (1, 2))
+    rings = F.when(F.col("object_id") % 5 == 0, F.array(ring, hole)).otherwise(F.array(ring))
     class_id = (F.col("object_id") % 3).cast("int")
-    return objects.select(sample.alias("sample_id"), F.col("object_id").alias("ord"), class_id.alias("class_id"), (2 * w * h).alias("area"), ring.alias("ring"))
+    return objects.select(
+        sample.alias("sample_id"), F.col("object_id").alias("ord"), class_id.alias("class_id"), (2 * w * h).alias("area"), rings.alias("rings"),
+        (SIZE - sample % 3 * 8).alias("crop_size"))
 
 
 @query("fx_objects")
 def polygon_runs(objects: DataFrame) -> DataFrame:
-    return masks.polygon_runs(_polygons(objects), SIZE).select("sample_id", "ord", "row", "c0", "c1")
+    return masks.polygon_runs(_polygons(objects)).select("sample_id", "ord", "row", "c0", "c1")
 
 
 @query("fx_objects")
 def paint_small_wins(objects: DataFrame) -> DataFrame:
-    runs = masks.polygon_runs(_polygons(objects).where("class_id > 0"), SIZE)
+    runs = masks.polygon_runs(_polygons(objects).where("class_id > 0"))
     return masks.paint(runs, "small").groupBy("sample_id", "row", "class_id").agg(F.sum(F.col("c1") - F.col("c0")).alias("pixels"))
 
 
 @query("fx_objects")
 def paint_last_wins(objects: DataFrame) -> DataFrame:
-    runs = masks.polygon_runs(_polygons(objects), SIZE)
+    runs = masks.polygon_runs(_polygons(objects))
     return masks.paint(runs, "last").groupBy("sample_id", "row", "class_id").agg(F.sum(F.col("c1") - F.col("c0")).alias("pixels"))
 
 
+CLASS_IDS = {"kurgany_tselye": 1, "kurgany_povrezhdennye": 2, "gorodishcha": 3, "fortifikatsii": 4, "arkhitektury": 5}
+
+
+@query("fx_objects", "fx_rasters")
+def build_samples(objects: DataFrame, rasters: DataFrame) -> DataFrame:
+    """A segmentation set end to end: match, adaptive windows, objects in each window, runs, painting, statistics and reasons."""
+    on = ["region_id", "modality", "used_crs_fallback"]
+    matched = _matched(objects, rasters)
+    windows = spatial.adaptive_window(matched, fallback=_same_zone).join(matched.select("object_id", *on, "px", "x_left", "y_top"), "object_id")
+    windows = windows.select(F.col("object_id").alias("sample_id"), *on, "crop_size", "c0", "r0", "px", "x_left", "y_top")
+    # every fourth object has a hole; a reprojected layer is the same objects moved
+    rings = F.when(F.col("object_id") % 4 == 0, F.array(_diamond(), _diamond(0.5))).otherwise(F.array(_diamond()))
+    class_id = F.create_map(*[x for k, v in CLASS_IDS.items() for x in (F.lit(k), F.lit(v))])[F.when(F.col("object_id") % 9 != 0, F.col("class_name"))]
+    # sides that put no pixel centre on an edge, where rounding would decide
+    objects = objects.withColumn("hw", F.col("hw") * F.lit(1.0137)).withColumn("hh", F.col("hh") * F.lit(1.0071))
+    layers = [objects.withColumn("cx", F.col("cx") - F.lit(5_000_000.0 * k)).withColumn("used_crs_fallback", F.lit(bool(k))) for k in (0, 1)]
+    layer = layers[0].unionByName(layers[1])
+    layer = layer.select(*on, F.col("object_id").alias("ord"), "cx", "cy", "hw", "hh", class_id.alias("class_id"), (2 * F.col("hw") * F.col("hh")).alias("area"), rings.alias("rings"))
+    return build.segmentation_samples(windows, layer, on, list(CLASS_IDS.values()))
+
+
 @query("fx_mask")
 def mask_stats(mask: DataFrame) -> DataFrame:
     return masks.mask_stats(masks.mask_runs(mask, "gt"), 8, [1, 2, 3, 4, 5])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrasift.operators.sampling import sample_numbering
@@ -14,9 +14,6 @@ from .scratch import cut_lineage, scratch_dir
 #: Coordinates stay text until the type says how they nest.
 _GEOMETRY = "type:string,coordinates:string,geometries:string"
 FEATURE_SCHEMA = f"features array<struct<geometry:struct<{_GEOMETRY}>,properties:map<string,string>>>, _corrupt_record string"
-#: Geometry collections inside geometry collections are followed so far.
-COLLECTION_DEPTH = 3
-
 
 def inventory(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     """(path, dir, name, stem, ext, length) of the files under root whose name matches glob; contents are not read."""
@@ -36,7 +33,8 @@ def read_features(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 def to_feature_text(objects: DataFrame) -> DataFrame:
     """(object_id, text): each object as a FeatureCollection; every 17th text is cut short and so unreadable.
 
-    By the object's number the geometry is a polygon, a multi-polygon of two boxes, a point, or a collection of a point and a polygon.
+    By the object's number the geometry is a polygon, every second with a hole, a multi-polygon of two boxes, a point, or a
+    collection of a point and a polygon.
     """
     def corner(x: str, y: str) -> Column:
         return F.array(F.col("cx") + F.col("hw") * F.lit(float(x)), F.col("cy") + F.col("hh") * F.lit(float(y)))
@@ -47,7 +45,8 @@ def to_feature_text(objects: DataFrame) -> DataFrame:
     def geometry(kind: str, coordinates: Column) -> Column:
         return F.concat(F.lit('{"type":"' + kind + '","coordinates":'), F.to_json(coordinates), F.lit("}"))
 
-    polygon, point = geometry("Polygon", box("-1", "1")), geometry("Point", F.array("cx", "cy"))
+    holed = F.when(F.col("object_id") % 8 == 0, F.concat(box("-1", "1"), box("-0.5", "0.25"))).otherwise(box("-1", "1"))
+    polygon, point = geometry("Polygon", holed), geometry("Point", F.array("cx", "cy"))
     both = F.concat(F.lit('{"type":"GeometryCollection","geometries":['), point, F.lit(","), polygon, F.lit("]}"))
     kind = F.col("object_id") % 4
     shape = F.when(kind == 0, polygon).when(kind == 1, geometry("MultiPolygon", F.array(box("-1", "0"), box("0", "1")))).when(kind == 2, point).otherwise(both)
@@ -68,35 +67,60 @@ def parse_features(texts: DataFrame) -> DataFrame:
         F.col("_f.geometry.geometries").alias("geometries"), F.col("_f.properties")["class_name"].alias("class_name"))
 
 
-def _parts(kind: Column, coordinates: Column, geometries: Column, depth: int) -> Column:
-    """array<struct<part_type, rings>> of a geometry given as text."""
+_RINGS = "array<array<array<double>>>"
+
+
+def _parts(kind: Column, coordinates: Column) -> Column:
+    """array<struct<part_type, rings>> of a geometry given as text; null for other types."""
     def part(name: str, rings: Column) -> Column:
         return F.struct(F.lit(name).alias("part_type"), rings.alias("rings"))
 
-    rings = "array<array<array<double>>>"
-    found = F.when(kind == "Polygon", F.array(part("Polygon", F.from_json(coordinates, rings))))
-    found = found.when(kind == "MultiPolygon", F.transform(F.from_json(coordinates, f"array<{rings}>"), lambda p: part("Polygon", p)))
-    found = found.when(kind == "Point", F.array(part("Point", F.array(F.array(F.from_json(coordinates, "array<double>"))))))
-    if depth:
-        members = F.from_json(geometries, f"array<struct<{_GEOMETRY}>>")
-        inner = F.transform(members, lambda g: F.coalesce(_parts(g["type"], g["coordinates"], g["geometries"], depth - 1), F.array().cast(f"array<struct<part_type:string,rings:{rings}>>")))
-        found = found.when(kind == "GeometryCollection", F.flatten(inner))
-    return found
+    found = F.when(kind == "Polygon", F.array(part("Polygon", F.from_json(coordinates, _RINGS))))
+    found = found.when(kind == "MultiPolygon", F.transform(F.from_json(coordinates, f"array<{_RINGS}>"), lambda p: part("Polygon", p)))
+    return found.when(kind == "Point", F.array(part("Point", F.array(F.array(F.from_json(coordinates, "array<double>"))))))
+
+
+def _members(collections: DataFrame) -> DataFrame:
+    """One row for every geometry of geometry collections that is none itself, however deep, with _feature and its _path.
+
+    Collections are opened one level a round until none is left.
+    """
+    rows = cut_lineage(collections.withColumn("_feature", F.monotonically_increasing_id()).withColumn("_path", F.array().cast("array<int>")))
+    kept = [c for c in rows.columns if c not in ("geom_type", "coordinates", "geometries", "_path")]
+    plain = None
+    while plain is None or not rows.isEmpty():
+        inner = rows.select(*kept, "_path", F.posexplode(F.from_json("geometries", f"array<struct<{_GEOMETRY}>>")).alias("_at", "_g"))
+        inner = inner.select(*kept, F.concat("_path", F.array("_at")).alias("_path"), F.col("_g.type").alias("geom_type"), F.col("_g.coordinates").alias("coordinates"), F.col("_g.geometries").alias("geometries"))
+        found = inner.where("geom_type <> 'GeometryCollection'")
+        plain = found if plain is None else plain.unionByName(found)
+        rows = inner.where("geom_type = 'GeometryCollection'")
+    return plain
+
+
+def _ring(points: Column) -> Column:
+    """A ring of pairs as points x and y, without the last one if it repeats the first."""
+    made = F.transform(points, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
+    closed = (F.size(points) > 1) & (F.get(points, F.lit(0)) == F.element_at(points, -1))
+    return F.slice(made, F.lit(1), F.size(points) - F.when(closed, 1).otherwise(0))
 
 
 def explode_parts(features: DataFrame, collections: bool = True) -> DataFrame:
-    """One row a part of each feature: part_id, part_type (Polygon or Point), ring (of points x and y, not closed) and n_holes.
+    """One row a part of each feature: part_id, part_type (Polygon or Point), rings (the outer one and its holes, of points x and y, not closed), ring (the outer one) and n_holes.
 
-    Multi-polygons fall into polygons, and collections, unless collections is false, into the parts of their members; other types
+    Multi-polygons fall into polygons, and collections, unless collections is false, into the parts of their members at any depth; other types
     and empty parts give no row.
     """
-    parts = _parts(F.col("geom_type"), F.col("coordinates"), F.col("geometries"), COLLECTION_DEPTH if collections else 0)
-    rows = features.select(*[c for c in features.columns if c not in ("coordinates", "geometries")], F.posexplode(parts).alias("part_id", "_p"))
-    points = F.transform(F.col("_p.rings")[0], lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
-    closed = (F.size("_r") > 1) & (F.col("_r")[0] == F.element_at("_r", -1))
-    rows = rows.where("size(_p.rings) > 0 AND size(_p.rings[0]) > 0").withColumn("_r", points)
-    ring = F.when(closed, F.slice("_r", F.lit(1), F.size("_r") - 1)).otherwise(F.col("_r"))
-    return rows.select(*[c for c in rows.columns if c not in ("_p", "_r")], F.col("_p.part_type").alias("part_type"), ring.alias("ring"), (F.size("_p.rings") - 1).alias("n_holes"))
+    own = [c for c in features.columns if c not in ("coordinates", "geometries", "geom_type")]
+    parts = _parts(F.col("geom_type"), F.col("coordinates"))
+    rows = features.select(*own, "geom_type", F.posexplode(parts).alias("part_id", "_p"))
+    if collections:
+        held = features.where("geom_type = 'GeometryCollection'")
+        inner = _members(held).select(*own, "_feature", "_path", F.posexplode(parts).alias("_at", "_p"))
+        order = Window.partitionBy("_feature").orderBy("_path", "_at")
+        numbered = inner.select(*own, F.lit("GeometryCollection").alias("geom_type"), (F.row_number().over(order) - 1).alias("part_id"), "_p")
+        rows = rows.unionByName(numbered)
+    rows = rows.where("size(_p.rings) > 0 AND size(_p.rings[0]) > 0").withColumn("rings", F.transform("_p.rings", _ring))
+    return rows.select(*[c for c in rows.columns if c != "_p" and c != "rings"], F.col("_p.part_type").alias("part_type"), "rings", F.col("rings")[0].alias("ring"), (F.size("rings") - 1).alias("n_holes"))
 
 
 def _folder(df: DataFrame) -> str:

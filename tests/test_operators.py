@@ -256,3 +256,101 @@ def test_rings_that_cross_themselves_fall_into_parts():
     assert len(parts) >= 2 and all(validity._first_crossing(p) is None for p in parts)
     assert validity.untangled([(0, 0), (1, 0), (2, 0)]) == [] and validity.untangled([(0, 0), (2, 0), (2, 0), (2, 2)]) == [[(0, 0), (2, 0), (2, 2)]]
     assert sorted(map(area, validity.untangled([(0, 0), (4, 4), (4, 0), (0, 4)]))) == [4.0, 4.0]
+
+
+def test_boxes_meet_as_by_brute_force_whatever_their_size(spark):
+    import random
+
+    from terrasift.operators import grid
+
+    rnd = random.Random(1)
+
+    def boxes(n):
+        out = []
+        for i in range(n):
+            x, y = float(rnd.randint(-3000, 3000)), float(rnd.randint(-3000, 3000))
+            out.append((i, rnd.choice("ab"), x, y, x + rnd.choice([0, 1, 33, 256, 5000, 10**7]), y + rnd.choice([0, 1, 40, 600])))
+        return out
+
+    left, right = boxes(200), boxes(250)
+    a = spark.createDataFrame([*left, (999, "a", None, None, None, None)], "i long, k string, p double, q double, r double, t double")
+    b = spark.createDataFrame(right, "j long, k string, p2 double, q2 double, r2 double, t2 double")
+    corners = [tuple(F.col(c) for c in names) for names in (("p", "q", "r", "t"), ("p2", "q2", "r2", "t2"))]
+    found = sorted((r.i, r.j) for r in grid.box_pairs(a, corners[0], b, corners[1], ["k"]).collect())
+    assert found == sorted((x[0], y[0]) for x in left for y in right if x[1] == y[1] and x[2] <= y[4] and y[2] <= x[4] and x[3] <= y[5] and y[3] <= x[5])
+
+
+def test_no_box_enters_more_than_a_fixed_number_of_cells(spark):
+    from terrasift.operators import grid
+
+    rows = spark.createDataFrame([(s, 7.0, 7.0, 7.0 + s, 9.0) for s in (0.0, 31.0, 300.0, 9e4, 6e7)], "s double, _ax0 double, _ay0 double, _ax1 double, _ay1 double")
+    most = grid._entries(rows, "a", (0, 1), (0,)).groupBy("s").agg(F.count("*").alias("n")).agg(F.max("n")).collect()[0][0]
+    assert most <= 4 * (len(grid.LEVELS) + 1)
+
+
+def test_window_takes_holes_and_its_own_size(spark):
+    square, hole = [(x, y) for x, y in ((0, 0), (400, 0), (400, 400), (0, 400))], [(100, 100), (300, 100), (300, 300), (100, 300)]
+    rings = [[dict(x=float(x), y=float(y)) for x, y in r] for r in (square, hole)]
+    layer = spark.createDataFrame([(1, 7, 200.0, 200.0, 200.0, 200.0, rings)], "k int, ord long, cx double, cy double, hw double, hh double, rings array<array<struct<x:double,y:double>>>")
+    windows = spark.createDataFrame(
+        [(1, 1, 16, 0, 0, 1.0, 190.0, 210.0), (2, 1, 64, 0, 0, 1.0, 80.0, 120.0), (3, 1, 8, 4, 2, 0.5, 0.0, 50.0), (4, 1, 8, 0, 0, 1.0, 500.0, 500.0)],
+        "sample_id long, k int, crop_size int, c0 int, r0 int, px double, x_left double, y_top double")
+    pairs = spatial.window_pairs(windows, layer, ["k"])
+    assert sorted(r.sample_id for r in pairs.collect()) == [2, 3]  # window 1 lies in the hole, 4 outside
+    runs = masks.polygon_runs(pairs.select("sample_id", "ord", F.lit(1).alias("class_id"), F.lit(1.0).alias("area"), "rings", "crop_size"))
+    n = {r.sample_id: r.n for r in runs.groupBy("sample_id").agg(F.sum(F.col("c1") - F.col("c0")).alias("n")).collect()}
+    assert n == {2: 64 * 64 - 20 * 44, 3: 64}
+    stats = {r.sample_id: r for r in masks.mask_stats(runs, windows.select("sample_id", "crop_size"), [1]).collect()}
+    assert stats[2].pixels_bg == 20 * 44 and stats[4].pixels_bg == 64 and stats[4].classes == ""
+
+
+def test_large_polygons_are_crossed_in_bands_and_slices(spark, monkeypatch):
+    import math
+
+    n = 900
+    points = [dict(x=100 + (60 + 30 * math.sin(9 * t)) * math.cos(t), y=100 + (60 + 30 * math.sin(9 * t)) * math.sin(t)) for t in (2 * math.pi * i / n for i in range(n))]
+    shape = spark.createDataFrame([(1, 5, 1, 9.0, [points], 200), (2, 6, 1, 9.0, [points[:3]], 90)], "sample_id long, ord long, class_id int, area double, rings array<array<struct<x:double,y:double>>>, crop_size int")
+    whole = sorted(map(tuple, masks.polygon_runs(shape).collect()))
+    assert len(whole) > 150
+    for spread in (False, True):
+        monkeypatch.setattr(masks, "MANY_EDGES", 100)
+        monkeypatch.setattr(masks, "BAND", 16)
+        assert sorted(map(tuple, masks.polygon_runs(shape, spread=spread).collect())) == whole
+    import numpy as np
+
+    x, y = (np.array([p[c] for p in points]) for c in "xy")
+    monkeypatch.setattr(masks, "CROSSINGS", 40)
+    slices = list(masks._crossed(x, y, np.roll(x, -1), np.roll(y, -1), np.zeros(n, np.int64), np.array([0]), np.array([200]), np.array([200])))
+    assert len(slices) > 20 and all(len(s[0]) <= 40 for s in slices)
+    assert sorted((1, 5, 1, 9.0, *map(int, r)) for s in slices for r in zip(*s[1:])) == [r for r in whole if r[0] == 1]
+
+
+@pytest.mark.parametrize("rule", ["small", "last"])
+@pytest.mark.parametrize("pieces", [2_000_000, 3])
+def test_painting_sweeps_as_a_canvas_would(spark, monkeypatch, rule, pieces):
+    import random
+
+    rnd = random.Random(4)
+    runs = [(rnd.choice([None, 1, 2, 3]), rnd.randrange(5), c0, c0 + rnd.randint(0, 20), rnd.randint(0, 3), i, float(rnd.randint(1, 5))) for i in range(500) for c0 in [rnd.randint(0, 40)]]
+    frame = spark.createDataFrame(runs, "sample_id long, row int, c0 int, c1 int, class_id int, ord long, area double").repartition(3)
+    want = {}
+    for sample, row, c0, c1, kind, number, area in sorted(runs, key=lambda r: (-r[6], r[5]) if rule == "small" else r[5]):
+        want |= {(sample, row, c): kind for c in range(c0, c1)}
+    monkeypatch.setattr(masks, "PIECES", pieces)
+    painted = masks.paint(frame, rule).collect()
+    pixels = [((r.sample_id, r.row, c), r.class_id) for r in painted for c in range(r.c0, r.c1)]
+    assert len(pixels) == len(want) and dict(pixels) == want
+
+
+def test_holes_stay_and_collections_open_to_any_depth(spark):
+    import json
+
+    square = [[[0, 0], [4, 0], [4, 4], [0, 4], [0, 0]], [[1, 1], [2, 1], [2, 2], [1, 2], [1, 1]]]
+    deep = {"type": "Polygon", "coordinates": square}
+    for _ in range(6):
+        deep = {"type": "GeometryCollection", "geometries": [{"type": "Point", "coordinates": [1, 2]}, deep]}
+    text = json.dumps({"features": [{"geometry": deep, "properties": {}}, {"geometry": {"type": "Polygon", "coordinates": square}, "properties": {}}]})
+    parts = files.explode_parts(files.parse_features(spark.createDataFrame([(text,)], "text string")))
+    rows = parts.select("*", G.polygon_area(F.col("rings")).alias("area"), G.inside_polygon(F.col("rings"), F.lit(1.5), F.lit(1.5)).alias("in_hole")).orderBy("feature_idx", "part_id").collect()
+    assert [r.part_type for r in rows] == ["Point"] * 6 + ["Polygon"] * 2 and [r.part_id for r in rows] == [*range(7), 0]
+    assert all(r.area == 15 and r.n_holes == 1 and not r.in_hole for r in rows[6:])

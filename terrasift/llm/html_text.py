@@ -5,6 +5,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -15,10 +16,13 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches
 
+# Attributes as HTML reads them: a quoted value runs to its quotation mark, any other one to white space or the tag's end,
+# and a stray quotation mark is part of a name. Possessive, so that a tag without an end is given up in one pass.
+_ATTRIBUTES = r"(?:[\s/]++|=?[^\s/>=]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+|(?=>)))?|=)*+"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
-    r"|<(script|style|template|noscript|textarea|iframe|svg|title|select)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)",
+    r"|<(script|style|template|noscript|textarea|iframe|svg|title|select)(?=[\s/>])" + _ATTRIBUTES + r">.*?(?:</\1\s*>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*)(" + _ATTRIBUTES + r")>|([^<]+|<)",
     re.S | re.I,
 )
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -41,6 +45,8 @@ CLOSES = {
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr"}, {"tbody", "thead", "tfoot", "table"}),
     "tbody": ({"tbody", "thead", "tfoot"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot"}, {"table"}),
 }
+#: Reader comments are never main text, whatever the pages say.
+NEVER = frozenset("comment comments".split())
 #: Elements that name the main text where a page has them; such pages are the labelled ones.
 LABELS = ("article", "main")
 #: Log odds from which an element is apart; what a fixed name counts for, and what a name that only the pages teach is lessened by.
@@ -52,18 +58,20 @@ class Weights:
     """Every word scores +1; a tag scores minus scale times its weight. marks: log odds that an element so named is apart."""
 
     tags: dict[str, float] = field(default_factory=dict)
-    unknown: float = 2.0
+    unknown: float = 0.0
     scale: float = 8.0
     marks: dict[str, float] = field(default_factory=dict)
 
     def of(self, key: str) -> float:
-        """Score of a tag; one whose names were never met weighs like the tag alone."""
+        """Score of a tag; one whose names were never met weighs like the tag alone, one never met at all nothing."""
         weight = self.tags.get(key)
         if weight is None:
             weight = self.tags.get(key.split(".", 1)[0], self.unknown)
         return -self.scale * weight
 
     def mark(self, name: str, fixed: bool) -> float:
+        if name in NEVER:
+            return max(APART_FROM, self.marks.get(name, 0.0))
         return self.marks.get(name, math.log(FIXED_COUNT + 1) if fixed else 0.0)
 
     def apart(self, name: str, names: tuple[str, ...]) -> float:
@@ -161,12 +169,10 @@ def parse(html: str) -> Page:
 def without_apart(page: Page, weights: Weights) -> list[int]:
     """Places of the tokens that are left without the content of elements apart; such an element counts as one tag.
 
-    An element that holds the page's labelled content or first heading, or more than three quarters of its words, is a
-    wrapper and never apart, nor is a header inside the labelled content.
+    An element that holds the page's labelled content, its first heading or a nav element is a wrapper and never apart, nor
+    is a header inside the labelled content. How large an element is doesn't matter.
     """
-    words = [0]
-    for text in page.texts:
-        words.append(words[-1] + (len(text.split()) if text else 0))
+    navs = [i for i, k in enumerate(page.keys) if k.split(".", 1)[0] == "nav"]
     core = next((i for i, k in enumerate(page.keys) if k.split(".", 1)[0] in LABELS), None)
     heading = next((i for i, k in enumerate(page.keys) if k.split(".", 1)[0] == "h1"), None)
     out, at = [], 0
@@ -175,7 +181,7 @@ def without_apart(page: Page, weights: Weights) -> list[int]:
         names, end = page.names[at], page.end[at]
         if names is not None:
             name = page.keys[at].split(".", 1)[0]
-            wrapper = any(x is not None and at < x < end for x in (core, heading)) or 4 * (words[end] - words[at]) > 3 * words[-1]
+            wrapper = any(x is not None and at < x < end for x in (core, heading)) or bisect_left(navs, end) > bisect_right(navs, at)
             if not wrapper and name not in ("html", "body", *LABELS) and not (name == "header" and page.inside[at]) and weights.apart(name, names) >= APART_FROM:
                 at = end
                 continue
@@ -255,14 +261,17 @@ def main_text(page: str | None, weights: Weights) -> str:
     return "\n\n".join(blocks(found[first:last]))
 
 
-def _overlap(page: str, weights: Weights) -> tuple[int, int, int]:
-    """Words in both the run and the labelled content, in the run, in the labelled content."""
-    found = tokens(page, weights)
-    first, last = best_run(_scores(found, weights))
-    sizes = [len(text.split()) for _, text, _ in found]
-    gold = sum(n for n, (_, _, inside) in zip(sizes, found) if inside)
-    both = sum(n for n, (_, _, inside) in zip(sizes[first:last], found[first:last]) if inside)
-    return both, sum(sizes[first:last]), gold
+def _overlaps(page: str, options: list[Weights]) -> list[tuple[int, int, int]]:
+    """For weights that differ in scale alone: words in both the run and the labelled content, in the run, in the labelled content."""
+    found = tokens(page, options[0])
+    sizes = [len(text.split()) if text else 0 for _, text, _ in found]
+    within = [n if inside else 0 for n, (_, _, inside) in zip(sizes, found)]
+    weights = [options[0].of(key) / options[0].scale if key else 0.0 for key, _, _ in found]
+    out = []
+    for option in options:
+        first, last = best_run([option.scale * w if w else float(n) for w, n in zip(weights, sizes)])
+        out.append((sum(within[first:last]), sum(sizes[first:last]), sum(within)))
+    return out
 
 
 def _is_label(key: str) -> bool:
@@ -304,7 +313,7 @@ def learn_weights(
     logarithm of how much more often it stands outside than inside, and next to nothing if it stands inside more often. Of
     either the tags_kept most frequent are kept; others count as never met. The scale is that of `scales` whose runs
     match the labelled words best (F1) if the label tags themselves weigh nothing, the smallest of equals. Without
-    labelled pages every tag weighs the same.
+    labelled pages no tag weighs anything.
     """
     bound_batches(pages.sparkSession)
     raw = F.col(html_col)
@@ -328,21 +337,21 @@ def learn_weights(
         return marked
     tags = {r["key"]: max(0.001, math.log((r["o"] + 1) / (r["n"] + 1))) for r in rows}
     blind = {k: 0.0 if _is_label(k) else v for k, v in tags.items()}
-    options = [Weights(blind, 2.0, float(s), marks) for s in scales]
+    options = [Weights(blind, 0.0, float(s), marks) for s in scales]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = [[0, 0, 0] for _ in options]
         for batch in batches:
             for page in batch.column(0):
-                for total, option in zip(sums, options):
-                    for k, n in enumerate(_overlap(page.as_py(), option)):
+                for total, found in zip(sums, _overlaps(page.as_py(), options)):
+                    for k, n in enumerate(found):
                         total[k] += n
         columns = [list(range(len(options))), *map(list, zip(*sums))]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["k", "b", "p", "g"])
 
     match = chosen.mapInArrow(compare, "k long, b long, p long, g long").groupBy("k").agg((2 * F.sum("b") / F.greatest(F.sum("p") + F.sum("g"), F.lit(1))).alias("f")).collect()
     best = max(match, key=lambda r: (round(r["f"], 6), -r["k"]))
-    return Weights(tags, 2.0, options[best["k"]].scale, marks)
+    return Weights(tags, 0.0, options[best["k"]].scale, marks)
 
 
 def extract(pages: DataFrame, weights: Weights | None = None, *, html_col: str = "html", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:

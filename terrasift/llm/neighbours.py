@@ -129,6 +129,19 @@ def _leaves(points: np.ndarray, size: int) -> list[np.ndarray]:
     return out
 
 
+def _best(score: np.ndarray, row: np.ndarray, least_ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best of each line, best first; of equal scores those of smaller ids, and places without a row last."""
+    top = np.argpartition(-score, k - 1, axis=1)[:, :k]
+    last = np.take_along_axis(score, top, axis=1).min(axis=1)
+    # where more than k are as good as the k-th, ids decide which of the equals stay
+    tied = np.flatnonzero((score >= last[:, None]).sum(axis=1) > k)
+    if len(tied):
+        ids = np.where(row[tied] >= 0, least_ids[row[tied]], np.iinfo(np.int64).max)
+        top[tied] = np.lexsort((ids, -score[tied]), axis=1)[:, :k]
+    order = np.argsort(-np.take_along_axis(score, top, axis=1), axis=1, kind="stable")
+    return np.take_along_axis(top, order, axis=1)
+
+
 def search_cell(
     vectors: np.ndarray, least_ids: np.ndarray, queries: np.ndarray, known: np.ndarray, projection: Projection, k: int, settings: Settings,
 ) -> tuple[np.ndarray, np.ndarray]:
@@ -166,8 +179,7 @@ def search_cell(
             scores = np.einsum("qwd,qd->qw", vectors[found], q[active])
             scores[found < 0] = -np.inf
             both, rows = np.hstack([score[active], scores]), np.hstack([row[active], found])
-            top = np.argpartition(-both, k - 1, axis=1)[:, :k]
-            top = np.take_along_axis(top, np.argsort(-np.take_along_axis(both, top, axis=1), axis=1, kind="stable"), axis=1)
+            top = _best(both, rows, least_ids, k)
             score[active], row[active] = np.take_along_axis(both, top, axis=1), np.take_along_axis(rows, top, axis=1)
     return best_score, best_row
 

@@ -173,6 +173,27 @@ def test_main_text_of_careless_pages(page, want):
     assert html_text.main_text(page, LEARNED) == "\n\n".join(want)
 
 
+#: As the pages teach them: tags that were never met weigh nothing.
+UNMET = html_text.Weights(LEARNED.tags, scale=8.0, marks=LEARNED.marks)
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    # quotation marks where they do not belong
+    (f"<article><p title=it's>{STORY}</p><p>it's {STORY}</p></article>", [STORY, f"it's {STORY}"]),
+    (f"<article><p class=x\">{STORY}</p><p title=\"a\"b\">{STORY}</p><p title=\"never closed>{STORY}</article>", [STORY, STORY, STORY]),
+    (f"<article><p title='a > b' data-x = y/z hidden>{STORY}</p><br/><img src=a.png / ><p = >{STORY}</p></article>", [STORY, STORY]),
+    # tags that no page taught
+    ("<article>" + "".join(f"<ul><li>w{k} x{k}</ul>" for k in range(30)) + "</article>", [f"w{k} x{k}" for k in range(30)]),
+    ("<article><table>" + "".join(f"<tr><td>a{k}</td><td>b{k}</td></tr>" for k in range(40)) + "</table></article>", [f"{c}{k}" for k in range(40) for c in "ab"]),
+    # comments of any length, in the article and outside, and nothing else
+    (f"<article><p>{STORY}</p><section class=comments>" + f"<p>{STORY}" * 9 + "</section></article>", [STORY]),
+    (f"<body><article><p>{STORY}</p></article><section class='reader comments'>" + f"<p>{STORY}" * 9 + "</section></body>", [STORY]),
+    (f"<body><div class=sidebar>{STORY}</div><div class=ad>{STORY}</div></body>", []),
+])
+def test_no_text_is_lost_and_no_markup_or_comment_kept(page, want):
+    assert html_text.main_text(page, UNMET) == "\n\n".join(want)
+
+
 def test_what_is_apart_is_learned(spark):
     page = "<body><div class='teaser'>see {0} too</div><article><h1>T</h1><p>{1}</p><div class='promo'>{1}</div></article><div class='x-rail'>other {0}</div></body>"
     pages = spark.createDataFrame([(i, "u", page.format(i, STORY)) for i in range(200)], "page_id long, url string, html string")
@@ -192,6 +213,28 @@ def test_best_run_against_all_runs():
         assert sum(scores[first:last]) == max(0.0, *(sum(scores[i:j]) for i in range(12) for j in range(i + 1, 13)))
 
 
+def test_equal_scores_go_to_smaller_ids_wherever_all_are_searched(spark):
+    rng = np.random.default_rng(3)
+    data = rng.integers(0, 3, (600, 4)).astype(float)
+    data[:, 0] += 1
+    data[300:] = [1.0, 1.0, 1.0, 1.0]
+    order = rng.permutation(600).tolist()
+    rows = [(i, data[i].tolist(), 1, "x") for i in order]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int, score string").repartition(3)
+    found = {}
+    for r in neighbours.nearest(frame, frame.where("vec_id % 20 = 0"), k=20, settings=neighbours.Settings(chance=1 - 1e-12)).collect():
+        found.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    for q in range(0, 600, 20):
+        score = data @ data[q]
+        want = sorted((-score[i], i) for i in range(600) if i != q)[:20]
+        assert sorted(found[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(want)]
+
+
+def test_a_tag_without_an_end_is_given_up_quickly():
+    assert html_text.main_text("<p " + "a" * 200_000, LEARNED) == "<p " + "a" * 200_000
+    assert html_text.main_text("<p a=\"" * 20_000, LEARNED)
+
+
 def test_extraction_of_a_table(spark):
     pages = spark.read.parquet(f"{FOLDER}/pages.parquet")
     more = pages.union(spark.createDataFrame([(None, None, None), (1, "u", "")], pages.schema))

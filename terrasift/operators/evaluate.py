@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from terrasift.sources.scratch import cut_lineage, drop_scratch
 
-from .masks import components, mask_runs
+from .masks import filled_components, mask_runs
 
 SMOOTH = 1e-6
 
@@ -164,12 +164,13 @@ def multiclass_dice_loss(scores: DataFrame, columns: list[str], label: Column) -
     return scores.agg((1 - reduce(lambda a, b: a + b, sums) / len(sums)).alias("dice_loss"))
 
 
-def eval_objects(mask: DataFrame, min_pixels: int = 2) -> DataFrame:
-    """Components of truth and prediction with side and confidence 1, as runs: (side, sample_id, class_id, comp, row, c0, c1)."""
+def eval_objects(mask: DataFrame, min_area: float = 8.0) -> DataFrame:
+    """Objects of truth and prediction with side and confidence 1, as runs: (side, sample_id, class_id, comp, row, c0, c1, pixels, area).
+
+    Holes are filled, and only objects whose contour has min_area count (see masks.filled_components).
+    """
     truth, pred = mask_runs(mask, "gt").withColumn("side", F.lit("truth")), mask_runs(mask, "pred").withColumn("side", F.lit("pred"))
-    both = components(truth.unionByName(pred), ("side", "class_id"))
-    size = F.sum(F.col("c1") - F.col("c0")).over(Window.partitionBy("side", "sample_id", "class_id", "comp"))
-    return both.withColumn("pixels", size).where(F.col("pixels") >= min_pixels).withColumn("confidence", F.lit(1.0))
+    return filled_components(truth.unionByName(pred), min_area, ("side", "class_id")).withColumn("confidence", F.lit(1.0))
 
 
 def object_iou(objects: DataFrame) -> DataFrame:

@@ -257,11 +257,12 @@ def bad_mask_values(mask: DataFrame, value: str, allowed: list[int]) -> DataFram
     return mask.join(F.broadcast(ids), value, "left_anti").groupBy("sample_id", value).agg(F.count("*").alias("n"))
 
 
-def _touching(line: np.ndarray, c0: np.ndarray, c1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of runs, sorted by line and column, in neighbouring lines whose column ranges, widened by one, meet."""
-    width = int(c1.max()) + 2
-    low = np.searchsorted(line * width + c1, (line + 1) * width + c0, "left")
-    high = np.searchsorted(line * width + c0, (line + 1) * width + c1, "right")
+def _touching(line: np.ndarray, c0: np.ndarray, c1: np.ndarray, reach: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of runs, sorted by line and column, in neighbouring lines whose column ranges meet, widened by one if reach is 1."""
+    width = int(c1.max()) + 2 if len(c1) else 2
+    sides = ("left", "right") if reach else ("right", "left")
+    low = np.searchsorted(line * width + c1, (line + 1) * width + c0, sides[0])
+    high = np.searchsorted(line * width + c0, (line + 1) * width + c1, sides[1])
     n = np.maximum(high - low, 0)
     first = np.repeat(np.arange(len(line)), n)
     return first, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
@@ -282,24 +283,29 @@ def _least_reached(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
+def _labelled(table: pa.Table, by: tuple[str, ...]) -> tuple[np.ndarray, ...]:
+    """(order, kind, row, c0, c1, run, comp) of a sample's runs: sorted by kind, row and column, numbered from 1 within their kind."""
+    row, c0, c1 = (table[c].to_numpy().astype(np.int64) for c in ("row", "c0", "c1"))
+    kind = np.zeros(len(row), np.int64)
+    for c in by:
+        kind = kind * (table.num_rows + 1) + np.unique(table[c].to_numpy(zero_copy_only=False), return_inverse=True)[1]
+    kind = np.unique(kind, return_inverse=True)[1]
+    order = np.lexsort((c0, row, kind))
+    row, c0, c1, kind = row[order], c0[order], c1[order], kind[order]
+    line = kind * (row.max() + 2) + row
+    first = np.flatnonzero(np.r_[True, kind[1:] != kind[:-1]])[kind]  # a kind's first run
+    comp = _least_reached(len(row), *_touching(line, c0, c1)) - first + 1
+    return order, kind, row, c0, c1, np.arange(len(row)) - first + 1, comp
+
+
 def components(runs: DataFrame, by: tuple[str, ...] = ("class_id",)) -> DataFrame:
     """Runs with run, their number by row and column, and comp, the least run of their 8-connected component, within sample and by.
 
     One shuffle by sample; a sample's mask, at most 4096 x 4096 pixels here, is the work of one group.
     """
     def label(table: pa.Table) -> pa.Table:
-        row, c0, c1 = (table[c].to_numpy().astype(np.int64) for c in ("row", "c0", "c1"))
-        kind = np.zeros(len(row), np.int64)
-        for c in by:
-            kind = kind * (table.num_rows + 1) + np.unique(table[c].to_numpy(zero_copy_only=False), return_inverse=True)[1]
-        kind = np.unique(kind, return_inverse=True)[1]
-        order = np.lexsort((c0, row, kind))
-        row, c0, c1, kind = row[order], c0[order], c1[order], kind[order]
-        line = kind * (row.max() + 2) + row
-        first = np.flatnonzero(np.r_[True, kind[1:] != kind[:-1]])[kind]  # a kind's first run
-        comp = _least_reached(len(row), *_touching(line, c0, c1)) - first + 1
-        out = table.take(pa.array(order))
-        out = out.append_column("run", pa.array((np.arange(len(row)) - first + 1).astype(np.int32)))
+        order, *_, run, comp = _labelled(table, by)
+        out = table.take(pa.array(order)).append_column("run", pa.array(run.astype(np.int32)))
         return out.append_column("comp", pa.array(comp.astype(np.int32)))
 
     schema = ", ".join(f"`{n}` {t}" for n, t in runs.dtypes)
@@ -315,44 +321,89 @@ def mask_components(runs: DataFrame, min_pixels: int = 1) -> DataFrame:
     return rows.where(F.col("pixels") >= min_pixels).withColumn("cy", F.col("_y") / F.col("pixels")).withColumn("cx", F.col("_x") / F.col("pixels")).drop("_y", "_x")
 
 
-def _filled(pixels: np.ndarray) -> np.ndarray:
-    """The pixels and their holes: what a step-by-step walk over the other pixels from outside does not reach."""
-    free = np.pad(~pixels, 1, constant_values=True)
-    reached = np.zeros_like(free)
-    reached[0] = True
-    while True:
-        grown = reached.copy()
-        for axis in (0, 1):
-            for way in (1, -1):
-                moved = np.roll(grown, way, axis)  # the frame is free, so what comes round the edge is reached anyhow
-                grown |= moved & free
-        if (grown == reached).all():
-            return ~reached[1:-1, 1:-1]
-        reached = grown
+def fill_holes(own: np.ndarray, row: np.ndarray, c0: np.ndarray, c1: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs (own, row, c0, c1) of objects without holes, and the holes' runs, from runs sorted by own (numbers from 0), row and column.
 
+    The gaps between an object's runs of one row are joined to gaps of neighbouring rows that share a column (4-connected);
+    those that reach past the ends of a neighbouring row, or the first or last row, are outside, the others holes.
+    """
+    line = own * (int(row.max()) + 3) + row + 1
+    same = line[1:] == line[:-1]
+    lines, head = np.unique(line, return_index=True)
+    left, right = c0[head], c1[np.r_[head[1:], len(line)] - 1]
+    at = np.flatnonzero(same & (c0[1:] > c1[:-1]))
+    g_line, g0, g1 = line[at], c1[at], c0[at + 1]
+    outside = np.zeros(len(at), bool)
+    for step in (-1, 1):
+        place = np.minimum(np.searchsorted(lines, g_line + step), len(lines) - 1)
+        outside |= (lines[place] != g_line + step) | (g0 < left[place]) | (g1 > right[place])
+    label = _least_reached(len(at), *_touching(g_line, g0, g1, 0))
+    open_labels = np.zeros(len(at), bool)
+    open_labels[label[outside]] = True
+    hole = ~open_labels[label] if len(at) else np.zeros(0, bool)
+    holes = tuple(c[hole] for c in (own[at], row[at], g0, g1))
+    # a hole's run lies between two runs, so all three are one
+    parted = ~same
+    parted[at[~hole]] = True
+    begins = np.flatnonzero(np.r_[True, parted])
+    return own[begins], row[begins], c0[begins], c1[np.r_[begins[1:], len(line)] - 1], holes
+
+
+def outline_areas(own: np.ndarray, row: np.ndarray, c0: np.ndarray, c1: np.ndarray) -> np.ndarray:
+    """Area inside the contour through pixel centres of each object, from its filled runs.
+
+    A square of four neighbouring centres counts 1 if all belong to the object and 1/2 if three do: counted from the
+    columns that runs of neighbouring rows share.
+    """
+    a, b = _touching(own * (int(row.max()) + 2) + row, c0, c1)
+    four = np.maximum(np.minimum(c1[a], c1[b]) - np.maximum(c0[a], c0[b]) - 1, 0)
 
-def outline_area(pixels: np.ndarray) -> float:
-    """Area inside the outer contour through pixel centres: squares of four neighbours count 1 if all belong, 1/2 if three do."""
-    four = sum(pixels[a:pixels.shape[0] - 1 + a, b:pixels.shape[1] - 1 + b].astype(np.int8) for a in (0, 1) for b in (0, 1))
-    return float((four == 4).sum() + (four == 3).sum() / 2)
+    def two_and_more(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Squares with two centres in run x and at least one in run y."""
+        return np.maximum(np.minimum(c1[x] - 1, c1[y]) - np.maximum(c0[x], c0[y] - 1), 0)
 
+    area = four + (two_and_more(a, b) - four + two_and_more(b, a) - four) / 2
+    return np.bincount(own[a], area, int(own.max()) + 1)
 
-def mask_objects(runs: DataFrame, min_area: float = 8.0) -> DataFrame:
-    """(sample_id, class_id, comp, filled, area): components whose contour, without holes, has min_area; filled counts its pixels."""
-    def measure(table: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        frame = table.select(["class_id", "comp", "row", "c0", "c1"]).to_pandas()
-        for (class_id, comp), part in frame.groupby(["class_id", "comp"]):
-            top, left = part["row"].min(), part["c0"].min()
-            pixels = np.zeros((part["row"].max() - top + 1, part["c1"].max() - left), bool)
-            for row, c0, c1 in zip(part["row"] - top, part["c0"] - left, part["c1"] - left):
-                pixels[row, c0:c1] = True
-            pixels = _filled(pixels)
-            out.append((class_id, comp, int(pixels.sum()), outline_area(pixels)))
-        columns = list(zip(*out))
-        sample = table["sample_id"].combine_chunks().take(pa.array(np.zeros(len(out), np.int64)))
-        return pa.table({"sample_id": sample, **{n: pa.array(c, t) for n, c, t in zip(("class_id", "comp", "filled", "area"), columns, (pa.int32(), pa.int32(), pa.int64(), pa.float64()))}})
 
-    kind = dict(runs.dtypes)["sample_id"]
-    found = components(runs).groupBy("sample_id").applyInArrow(measure, f"sample_id {kind}, class_id int, comp int, filled long, area double")
-    return found.where(F.col("area") >= min_area)
+def filled_components(runs: DataFrame, min_area: float = 8.0, by: tuple[str, ...] = ("class_id",)) -> DataFrame:
+    """Objects of a mask as runs (sample_id, by, comp, row, c0, c1) with their holes filled, pixels (filled) and area (of the contour).
+
+    Objects are 8-connected components with a contour area of min_area at least; one that lies in a hole of another of its
+    kind is part of that one's inside and no object. Work and memory of a sample grow with its runs, not with its pixels.
+    """
+    def fill(table: pa.Table) -> pa.Table:
+        order, kind, row, c0, c1, _, comp = _labelled(table, by)
+        _, own = np.unique(kind * (len(row) + 1) + comp, return_inverse=True)
+        by_own = np.lexsort((c0, row, own))
+        f_own, f_row, f_c0, f_c1, holes = fill_holes(*(c[by_own] for c in (own, row, c0, c1)))
+        pixels = np.bincount(f_own, f_c1 - f_c0).astype(np.int64)
+        area = outline_areas(f_own, f_row, f_c0, f_c1)
+        # runs of the same kind inside a hole belong to objects within
+        example = np.zeros(int(own.max()) + 1, np.int64)
+        example[own] = np.arange(len(own))
+        line, width = kind * (row.max() + 2) + row, int(c1.max()) + 2
+        h_own, h_row, h0, h1 = holes
+        h_line = kind[example[h_own]] * (row.max() + 2) + h_row
+        low, high = (np.searchsorted(line * width + c0, h_line * width + c) for c in (h0, h1))
+        n = np.maximum(high - low, 0)
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+        nested = np.zeros(len(pixels), bool)
+        nested[own[within]] = True
+        kept = (area[f_own] >= min_area) & ~nested[f_own]
+        of = example[f_own[kept]]
+        out = table.select(["sample_id", *by]).take(pa.array(order[of]))
+        columns = {"comp": comp[of].astype(np.int32), "row": f_row[kept].astype(np.int32), "c0": f_c0[kept].astype(np.int32), "c1": f_c1[kept].astype(np.int32), "pixels": pixels[f_own[kept]], "area": area[f_own[kept]]}
+        for name, values in columns.items():
+            out = out.append_column(name, pa.array(values))
+        return out
+
+    kinds = dict(runs.dtypes)
+    keys = ", ".join(f"`{c}` {kinds[c]}" for c in ("sample_id", *by))
+    return runs.where("c1 > c0").groupBy("sample_id").applyInArrow(fill, f"{keys}, comp int, row int, c0 int, c1 int, pixels long, area double")
+
+
+def mask_objects(runs: DataFrame, min_area: float = 8.0) -> DataFrame:
+    """(sample_id, class_id, comp, filled, area): objects of filled_components, filled counts their pixels."""
+    found = filled_components(runs, min_area)
+    return found.groupBy("sample_id", "class_id", "comp").agg(F.first("pixels").alias("filled"), F.first("area").alias("area"))

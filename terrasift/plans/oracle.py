@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from terrasift.sources.views import with_views
 
 # pieces that several statements share
@@ -97,9 +99,18 @@ def _components(value: str, suffix: str) -> str:
     return s.replace("px.*", f"px{suffix}.*").replace("from reach group", f"from reach{suffix} group").replace("from nb union", f"from nb{suffix} union")
 
 
-_EVAL = f"""{_components('gt', '_t')}, {_components('pred', '_p')},
-tc as (select * from (select *, count(*) over (partition by sample_id, comp) as pixels from comp_t) where pixels>=2),
-pc as (select * from (select *, count(*) over (partition by sample_id, comp) as pixels from comp_p) where pixels>=2)"""
+# objects: components with their holes, which four-neighbour steps from outside do not reach; those inside a hole of their kind go
+_OBJECTS = """big_t as (select sample_id, class_id, comp from comp_t group by all having count(*)>=4),
+bg_t as (select sample_id, comp, r, c from big_t cross join range(-1,9) x(r) cross join range(-1,9) y(c) anti join comp_t t on t.sample_id=big_t.sample_id and t.comp=big_t.comp and t.row=r and t.col=c),
+out_t(sample_id, comp, r, c) as (select sample_id, comp, -1::bigint, -1::bigint from big_t
+ union select b.sample_id, b.comp, b.r, b.c from out_t o cross join (values (0,1),(0,-1),(1,0),(-1,0)) d(dr,dc) join bg_t b on b.sample_id=o.sample_id and b.comp=o.comp and b.r=o.r+d.dr and b.c=o.c+d.dc),
+hole_t as (select sample_id, class_id, comp, r, c from bg_t join big_t using (sample_id, comp) anti join out_t using (sample_id, comp, r, c)),
+full_t as (select sample_id, class_id, comp, row, col from comp_t union all select sample_id, class_id, comp, r::int, c::int from hole_t),
+win_t as (select sample_id, comp, row-dr as r, col-dc as c, count(*) as n from full_t cross join (values (0,0),(0,1),(1,0),(1,1)) d(dr,dc) group by 1,2,3,4),
+fine_t as (select sample_id, comp from win_t group by 1,2 having sum(case n when 4 then 1 when 3 then 0.5 else 0 end)>=8),
+in_t as (select distinct t.sample_id, t.comp from comp_t t join hole_t h on t.sample_id=h.sample_id and t.class_id=h.class_id and t.row=h.r and t.col=h.c and t.comp<>h.comp),
+tc as (select *, count(*) over (partition by sample_id, comp) as pixels from full_t semi join fine_t using (sample_id, comp) anti join in_t using (sample_id, comp))"""
+_EVAL = ", ".join([_components("gt", "_t"), _components("pred", "_p"), _OBJECTS, re.sub(r"_t\b", "_p", _OBJECTS).replace("tc as", "pc as")])
 _PAIRS = f"""{_EVAL},
 inter as (select p.sample_id, p.class_id, p.comp as p, t.comp as t, count(*)/(any_value(p.pixels)+any_value(t.pixels)-count(*)) as iou from pc p join tc t using (sample_id, class_id, row, col) group by 1,2,3,4),
 cen as (select sample_id, class_id, comp as p, floor(avg(row)+0.5)::int as row, floor(avg(col)+0.5)::int as col from pc group by 1,2,3),
@@ -369,6 +380,7 @@ SQL: dict[str, str] = {
  select round(1-((2*sum(case when y=1 then p1 else 0 end)+1e-6)/(sum(p1)+count(*) filter (y=1)+1e-6)+(2*sum(case when y=2 then p2 else 0 end)+1e-6)/(sum(p2)+count(*) filter (y=2)+1e-6))/2,6) as dice_loss from x""",
     "mask_components": f"""with recursive {_components('gt', '')} select sample_id, class_id, count(*) as pixels, min(row) as r0, min(col) as c0, max(row) as r1, max(col) as c1, round(avg(row),6) as cy, round(avg(col),6) as cx
  from comp group by sample_id, class_id, comp""",
+    "mask_objects": f"""with recursive {_components('gt', '_t')}, {_OBJECTS} select sample_id, class_id, comp as first_pixel, pixels as filled from (select distinct sample_id, class_id, comp, pixels from tc)""",
     "eval_objects": f"""with recursive {_EVAL} select 'truth' as side, class_id, count(distinct (sample_id, comp)) as n, count(*) as pixels from tc group by 2 union all
  select 'pred', class_id, count(distinct (sample_id, comp)), count(*) from pc group by 2""",
     "object_iou": f"with recursive {_PAIRS} select class_id, count(*) as n, count(*) filter (hit) as hits, round(sum(iou),4) as iou from cand group by 1",

@@ -789,7 +789,9 @@ def object_iou(mask: DataFrame) -> DataFrame:
 
 @query("fx_mask")
 def mask_objects(mask: DataFrame) -> DataFrame:
-    return masks.mask_objects(masks.mask_runs(mask, "gt"), 1.0)
+    found = masks.filled_components(masks.mask_runs(mask, "gt"))
+    first = F.min(F.col("row") * 8 + F.col("c0")).alias("first_pixel")
+    return found.groupBy("sample_id", "class_id", "comp").agg(first, F.first("pixels").alias("filled")).drop("comp")
 
 
 def _counts(mask: DataFrame) -> DataFrame:

@@ -354,3 +354,66 @@ def test_holes_stay_and_collections_open_to_any_depth(spark):
     rows = parts.select("*", G.polygon_area(F.col("rings")).alias("area"), G.inside_polygon(F.col("rings"), F.lit(1.5), F.lit(1.5)).alias("in_hole")).orderBy("feature_idx", "part_id").collect()
     assert [r.part_type for r in rows] == ["Point"] * 6 + ["Polygon"] * 2 and [r.part_id for r in rows] == [*range(7), 0]
     assert all(r.area == 15 and r.n_holes == 1 and not r.in_hole for r in rows[6:])
+
+
+def plain_objects(pixels):
+    """(filled pixels, contour area) of the outermost 8-connected components, by walks over the grid."""
+    import numpy as np
+
+    h, w = pixels.shape
+    left = {(r, c) for r in range(h) for c in range(w) if pixels[r, c]}
+
+    def walk(start, allowed, steps):
+        seen, todo = {start}, [start]
+        while todo:
+            r, c = todo.pop()
+            for dr, dc in steps:
+                n = (r + dr, c + dc)
+                if n in allowed and n not in seen:
+                    seen.add(n)
+                    todo.append(n)
+        return seen
+
+    four = [(0, 1), (0, -1), (1, 0), (-1, 0)]
+    found = []
+    grid = {(r, c) for r in range(-1, h + 1) for c in range(-1, w + 1)}
+    while left:
+        own = walk(next(iter(left)), left, four + [(1, 1), (1, -1), (-1, 1), (-1, -1)])
+        left -= own
+        found.append((own, grid - walk((-1, -1), grid - own, four)))
+    out = []
+    for own, full in found:
+        if any(other is not own and own <= more - other for other, more in found):
+            continue
+        squares = np.array([sum((r + a, c + b) in full for a in (0, 1) for b in (0, 1)) for r in range(-1, h) for c in range(-1, w)])
+        out.append((len(full), float((squares == 4).sum() + (squares == 3).sum() / 2)))
+    return sorted(out)
+
+
+def test_objects_from_runs_equal_walks_over_the_pixels(spark):
+    rng = np.random.default_rng(6)
+    grids = {i: rng.random((rng.integers(1, 14), rng.integers(1, 16))) < p for i, p in enumerate(np.linspace(0.3, 0.9, 40))}
+    nested = np.zeros((17, 17), bool)
+    for k in range(0, 9, 2):
+        nested[k:17 - k, k:17 - k] = True
+        nested[k + 1:16 - k, k + 1:16 - k] = False
+    grids[100] = nested
+    rows = [(i, int(r), int(c), 1) for i, g in grids.items() for r, c in zip(*np.nonzero(g))]
+    runs = masks.mask_runs(spark.createDataFrame(rows, "sample_id int, row int, col int, v int"), "v").repartition(3)
+    found = {}
+    for r in masks.mask_objects(runs, 0.0).collect():
+        found.setdefault(r.sample_id, []).append((r.filled, r.area))
+    assert {i: sorted(v) for i, v in found.items()} == {i: want for i, g in grids.items() if (want := plain_objects(g))}
+    assert found[100] == [(17 * 17, 256.0)]
+
+
+def test_a_long_winding_object_is_linear_work(spark):
+    import time
+
+    n = 1201
+    runs = [(1, r, 0, n, 1) if r % 2 == 0 else (1, r, 0 if r % 4 == 1 else n - 1, 1 if r % 4 == 1 else n, 1) for r in range(n)]
+    frame = spark.createDataFrame(runs, "sample_id int, row int, c0 int, c1 int, class_id int").coalesce(1)
+    masks.mask_objects(frame).collect()
+    start = time.time()
+    [found] = masks.mask_objects(frame).collect()
+    assert found.filled == sum(r[3] - r[2] for r in runs) and time.time() - start < 5

@@ -363,7 +363,7 @@ def outline_areas(own: np.ndarray, row: np.ndarray, c0: np.ndarray, c1: np.ndarr
         return np.maximum(np.minimum(c1[x] - 1, c1[y]) - np.maximum(c0[x], c0[y] - 1), 0)
 
     area = four + (two_and_more(a, b) - four + two_and_more(b, a) - four) / 2
-    return np.bincount(own[a], area, int(own.max()) + 1)
+    return np.bincount(own[a], area, int(own.max()) + 1).astype(np.float64)
 
 
 def filled_components(runs: DataFrame, min_area: float = 8.0, by: tuple[str, ...] = ("class_id",)) -> DataFrame:

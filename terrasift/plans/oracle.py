@@ -138,6 +138,10 @@ pd as (select *, least(greatest(ceil(x-w*(1-dy/h)-0.5),0),size)::int as a, least
 pe as (select * replace (cut and c>b as cut) from pd),
 runs as (select * from (select sample_id, ord, class_id, 2*w*h as area, row::int as row, a as c0, case when cut then b else d end as c1 from pe
  union all select sample_id, ord, class_id, 2*w*h, row::int, c, d from pe where cut) where c1>c0)"""
+_RASTER = """whole as (select floor(tile_id/4)::bigint as raster_id from (select distinct tile_id from fx_blocks) group by 1 having count(*)=4),
+every as (select raster_id, raster_id*4+k as tile_id, band, idx from whole cross join range(4) a(k) cross join range(2) b(band) cross join range(256) c(idx)),
+ras as (select raster_id, e.band, floor(e.tile_id%4/2)::bigint*16+floor(e.idx/16)::bigint as row, e.tile_id%2*16+e.idx%16 as col, v from every e left join fx_blocks x on x.tile_id=e.tile_id and x.band=e.band and x.idx=e.idx)"""
+_WINDOWS = "win as (select raster_id, raster_id%5*4+8 as size, raster_id*7%31-4 as r0, raster_id*11%29-3 as c0 from whole)"
 _PAINT = """cells as (select sample_id, row, unnest(range(c0,c1)) as col, class_id, area, ord from runs {where}),
 best as (select sample_id, row, col, arg_max(class_id, {order}) as class_id from cells group by 1,2,3)
 select sample_id, row, class_id, count(*) as pixels from best group by 1,2,3"""
@@ -295,6 +299,20 @@ SQL: dict[str, str] = {
     "pad_patch": """with w as (select tile_id, band, floor(idx/16)-tile_id%5 as r, idx%16-tile_id%7 as c, v from fx_blocks where floor(idx/16)>=tile_id%5 and floor(idx/16)<tile_id%5+tile_id%4+3 and idx%16>=tile_id%7
  and idx%16<tile_id%7+tile_id%3+4) select k.tile_id, k.band, a.r::bigint as r, b.c::bigint as c, coalesce(w.v,0) as v from (select distinct tile_id, band from w) k cross join range(8) a(r) cross join range(8) b(c)
  left join w on k.tile_id=w.tile_id and k.band=w.band and a.r=w.r and b.c=w.c""",
+    "tile_quality_grid": f"""with {_RASTER}, g(x0) as (values (0),(12)), p as (select raster_id, a.x0, b.x0 as y0, band, row, col, v from ras join g a on col>=a.x0 and col<a.x0+20 join g b on row>=b.x0 and row<b.x0+20),
+ f as (select raster_id, x0, y0, count(*) filter (ok)/count(*) as valid_fraction from (select raster_id, x0, y0, row, col, bool_or(v is not null) as ok from p group by all) group by 1,2,3),
+ s as (select raster_id, x0, y0, stddev_pop(v) as std, quantile_cont(v,0.02) as p2, quantile_cont(v,0.98) as p98 from p group by 1,2,3),
+ j as (select raster_id, x0, y0, valid_fraction, case when valid_fraction>=0.35 then std end as std, case when valid_fraction>=0.35 then p2 end as p2, case when valid_fraction>=0.35 then p98 end as p98 from f join s using (raster_id, x0, y0))
+ select raster_id, x0, y0, round(valid_fraction,6) as valid_fraction, round(std,6) as std, round(p2,6) as p2, round(p98,6) as p98, round(p98-p2,6) as contrast, coalesce(std>=5 and p98-p2>=10,false) as passed from j""",
+    "read_blocks": f"with {_RASTER}, {_WINDOWS} select raster_id, band, row-greatest(r0,0) as r, col-greatest(c0,0) as c, v from ras join win using (raster_id) where row>=r0 and row<r0+size and col>=c0 and col<c0+size",
+    "pad_windows": f"""with {_RASTER}, {_WINDOWS}, k as (select raster_id, r0, c0, unnest(range(size)) as r, size from win), l as (select *, unnest(range(size)) as c from k)
+ select l.raster_id, b.band, l.r, l.c, coalesce(v,0) as v from l cross join (values (0),(1)) b(band) left join ras on ras.raster_id=l.raster_id and ras.band=b.band and ras.row=l.r0+l.r and ras.col=l.c0+l.c""",
+    "resize_nearest_mixed": """with t as (select sample_id, sample_id%4+5 as h, sample_id%5+4 as w, row, col, gt from fx_mask) select sample_id, r, c, gt::double as v from t join range(6) a(r) on t.row=floor(r*h/6) join range(6) b(c) on t.col=floor(c*w/6)
+ where row<h and col<w""",
+    "resize_bilinear_mixed": """with t as (select sample_id, sample_id%4+5 as h, sample_id%5+4 as w, row, col, gt from fx_mask), y as (select distinct h, r, unnest([greatest(floor((r+0.5::double)*h/6-0.5),0), least(floor((r+0.5::double)*h/6-0.5)+1,h-1)]) as s,
+  unnest([1-((r+0.5::double)*h/6-0.5-floor((r+0.5::double)*h/6-0.5)), (r+0.5::double)*h/6-0.5-floor((r+0.5::double)*h/6-0.5)]) as f, unnest([0,1]) as k from t cross join range(6) a(r)),
+ x as (select distinct w, c, unnest([greatest(floor((c+0.5::double)*w/6-0.5),0), least(floor((c+0.5::double)*w/6-0.5)+1,w-1)]) as s, unnest([1-((c+0.5::double)*w/6-0.5-floor((c+0.5::double)*w/6-0.5)), (c+0.5::double)*w/6-0.5-floor((c+0.5::double)*w/6-0.5)]) as f, unnest([0,1]) as k
+  from t cross join range(6) b(c)) select sample_id, r, c, round(sum(gt*y.f*x.f),6) as v from t join y on t.h=y.h and t.row=y.s join x on t.w=x.w and t.col=x.s group by 1,2,3""",
     "empty_rasters": "select tile_id, band, count(case when tile_id%11<>0 then v end) as n_valid, count(*) as n, count(case when tile_id%11<>0 then v end)=0 as empty from fx_blocks group by 1,2",
     "patch_hook": "select sample_id, idx, abs(logit1) as logit1 from fx_scores",
     "value_counts": f"with {_REG} select modality, count(*) as n from reg group by 1",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from terrasift.functions import geometry as G
 from terrasift.functions import names as N
+from terrasift.operators import blocks as tiled
 from terrasift.operators import build, curation, evaluate, labels, ledger, masks, raster, registry, sampling, spatial
 from terrasift.operators.validity import repair, validity
 from terrasift.sources import files
@@ -521,6 +522,76 @@ def pad_patch(blocks: DataFrame) -> DataFrame:
     return raster.pad_patch(raster.read_window(blocks, _windows(blocks)), 8, ["tile_id", "band"])
 
 
+BLOCK = 16
+
+
+def _raster_blocks(blocks: DataFrame) -> DataFrame:
+    """Four stored tiles as the blocks of one raster of 32 x 32 pixels."""
+    t = F.col("tile_id")
+    held = F.map_from_entries(F.collect_list(F.struct(F.col("idx").cast("int"), "v")))
+    grouped = blocks.groupBy("tile_id", "band").agg(held.alias("m"))
+    grouped = grouped.withColumn("values", F.transform(F.sequence(F.lit(0), F.lit(BLOCK * BLOCK - 1)), lambda i: F.try_element_at("m", i)))
+    return grouped.select(F.floor(t / 4).alias("raster_id"), "band", F.floor(t % 4 / 2).cast("int").alias("brow"), (t % 2).cast("int").alias("bcol"), "values")
+
+
+def _whole_rasters(blocks: DataFrame) -> DataFrame:
+    full = blocks.select("tile_id").distinct().groupBy(F.floor(F.col("tile_id") / 4).alias("raster_id")).agg(F.count("*").alias("n")).where("n = 4")
+    return full.select("raster_id", F.lit(32).alias("width"), F.lit(32).alias("height"), F.lit(20).alias("tile"))
+
+
+@query("fx_blocks")
+def tile_quality_grid(blocks: DataFrame) -> DataFrame:
+    """Quality of overlapping tiles of 20 pixels, which cross the blocks of 16."""
+    rasters = _whole_rasters(blocks)
+    windows = tiled.tile_windows(spatial.tile_grid(rasters), rasters)
+    found = tiled.window_quality(tiled.read_windows(_raster_blocks(blocks), windows, BLOCK), ["raster_id", "x0", "y0"])
+    return found.select("raster_id", "x0", "y0", *r6("valid_fraction", "std", "p2", "p98", "contrast"), "passed")
+
+
+def _mixed_windows(blocks: DataFrame) -> DataFrame:
+    """A window of its own size for every raster, most of which reach past the raster's corner."""
+    k = F.col("raster_id")
+    size = (k % 5 * 4 + 8).alias("crop_size")
+    rows = _whole_rasters(blocks).select("raster_id", size, (k * 7 % 31 - 4).alias("r0"), (k * 11 % 29 - 3).alias("c0"))
+    row0, col0 = F.greatest("r0", F.lit(0)), F.greatest("c0", F.lit(0))
+    return rows.select(
+        "raster_id", "crop_size", row0.alias("row0"), col0.alias("col0"), (F.least(F.col("r0") + F.col("crop_size"), F.lit(32)) - row0).alias("h"),
+        (F.least(F.col("c0") + F.col("crop_size"), F.lit(32)) - col0).alias("w"), (row0 - F.col("r0")).alias("top"), (col0 - F.col("c0")).alias("left"))
+
+
+@query("fx_blocks")
+def read_blocks(blocks: DataFrame) -> DataFrame:
+    windows = _mixed_windows(blocks).select("raster_id", "row0", "col0", "h", "w")
+    slices = tiled.read_windows(_raster_blocks(blocks), windows, BLOCK)
+    return slices.select("raster_id", "band", "r", "c", F.posexplode("values").alias("k", "v")).select("raster_id", "band", "r", (F.col("c") + F.col("k")).alias("c"), "v")
+
+
+@query("fx_blocks")
+def pad_windows(blocks: DataFrame) -> DataFrame:
+    windows = _mixed_windows(blocks)
+    slices = tiled.read_windows(_raster_blocks(blocks), windows.select("raster_id", "row0", "col0", "h", "w"), BLOCK)
+    rows = tiled.padded_rows(slices, windows, ["raster_id"], [0, 1])
+    return rows.select("raster_id", "band", "r", F.posexplode("values").alias("c", "v"))
+
+
+def _mixed_patches(mask: DataFrame) -> DataFrame:
+    """Rows of masks of 5 to 8 rows and 4 to 8 columns."""
+    h, w = (F.col("sample_id") % 4 + 5).cast("int"), (F.col("sample_id") % 5 + 4).cast("int")
+    values = F.transform(F.array_sort(F.collect_list(F.struct("col", "gt"))), lambda x: x["gt"].cast("double"))
+    rows = mask.where((F.col("row") < h) & (F.col("col") < w)).groupBy("sample_id", "row").agg(values.alias("values"))
+    return rows.select("sample_id", h.alias("h"), w.alias("w"), F.col("row").alias("r"), "values")
+
+
+@query("fx_mask")
+def resize_nearest_mixed(mask: DataFrame) -> DataFrame:
+    return tiled.resize_nearest(_mixed_patches(mask), 6).select("sample_id", "r", F.posexplode("values").alias("c", "v"))
+
+
+@query("fx_mask")
+def resize_bilinear_mixed(mask: DataFrame) -> DataFrame:
+    return tiled.resize_bilinear(_mixed_patches(mask), 6).select("sample_id", "r", F.posexplode("values").alias("c", "v")).select("sample_id", "r", "c", *r6("v"))
+
+
 @query("fx_blocks")
 def empty_rasters(blocks: DataFrame) -> DataFrame:
     return raster.empty_rasters(blocks.withColumn("v", F.when(F.col("tile_id") % 11 != 0, F.col("v"))))

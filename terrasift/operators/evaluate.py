@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from terrasift.sources.scratch import cut_lineage, drop_scratch
 
 from .masks import filled_components, mask_runs
+from .sampling import ranked
 
 SMOOTH = 1e-6
 
@@ -71,9 +72,9 @@ def fg_iou_per_sample(mask: DataFrame, class_ids: list[int]) -> DataFrame:
 
 
 def batch_mean_vs_sample_mean(scores: DataFrame, batch: int = 8, logit: str = "logit1") -> DataFrame:
-    """The mean of batch means and the mean over samples of Dice; batches are runs of sample ids."""
+    """The mean of batch means and the mean over samples of Dice; a batch holds so many samples next to each other in order of their ids."""
     s = binary_sums(scores, sigmoid(F.col(logit)), 0.5).withColumn("dice", dice(F.col("inter"), F.col("n_pred"), F.col("n_true")))
-    per = s.groupBy(F.floor(F.col("sample_id") / batch).alias("b")).agg(F.avg("dice").alias("m"), F.sum("dice").alias("s"), F.count("*").alias("n"))
+    per = ranked(s, ["sample_id"], "_place").groupBy(F.floor(F.col("_place") / batch).alias("b")).agg(F.avg("dice").alias("m"), F.sum("dice").alias("s"), F.count("*").alias("n"))
     return per.agg(F.avg("m").alias("batch_mean"), (F.sum("s") / F.sum("n")).alias("sample_mean"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from terrasift.functions import geometry as G
 
-from .grid import box_pairs
+from .grid import box_pairs, levels_of
 
 Box = tuple[Column, Column, Column, Column]
 
@@ -38,22 +38,24 @@ def _used_box(fallback: Callable[[], Box]) -> Box:
     return tuple(F.when(F.col("used_crs_fallback"), new).otherwise(old) for new, old in zip(fallback(), _own_box()))
 
 
-def _meets(box: Box) -> Column:
-    """The box meets the raster's bounds."""
-    cx, cy, hw, hh = box
-    return (
-        (cx - hw <= F.col("x_left") + F.col("width") * F.col("px")) & (cx + hw >= F.col("x_left"))
-        & (cy - hh <= F.col("y_top")) & (cy + hh >= F.col("y_top") - F.col("height") * F.col("px")))
+def _bounds() -> tuple[Column, Column, Column, Column]:
+    """A raster's bounds."""
+    return F.col("x_left"), F.col("y_top") - F.col("height") * F.col("px"), F.col("x_left") + F.col("width") * F.col("px"), F.col("y_top")
 
 
 def _pairs(objects: DataFrame, rasters: DataFrame, box: Callable[[], Box], exact: Column | None) -> DataFrame:
-    """Objects and rasters of one layer that meet: by their boxes, then, given exact rings, by those."""
-    r = rasters.select("raster_id", "region_id", "modality", "file_ord", "px", "width", "height", "x_left", "y_top", *[c for c in ("raster_epsg",) if c in rasters.columns])
-    pairs = objects.join(r, ["region_id", "modality"]).where(_meets(box()))
-    if exact is not None:
-        right, low = F.col("x_left") + F.col("width") * F.col("px"), F.col("y_top") - F.col("height") * F.col("px")
-        pairs = pairs.where(G.meets_rectangle(exact, F.col("x_left"), low, right, F.col("y_top")))
-    return pairs
+    """Objects and rasters of one layer that meet: by their boxes on a grid, then, given exact rings, by those.
+
+    Where the box follows from the raster's own system (raster_epsg), objects first take each of their layer's systems.
+    """
+    r = rasters.select("region_id", "modality", "raster_id", "file_ord", "px", "width", "height", "x_left", "y_top", *[c for c in ("raster_epsg",) if c in rasters.columns])
+    on = ["region_id", "modality"]
+    if "raster_epsg" in r.columns:
+        objects = objects.join(r.select(*on, "raster_epsg").distinct(), on)
+        objects, r, on = objects.withColumn("_epsg", F.coalesce("raster_epsg", F.lit(-1))), r.withColumn("_epsg", F.coalesce("raster_epsg", F.lit(-1))).drop("raster_epsg"), [*on, "_epsg"]
+    cx, cy, hw, hh = box()
+    pairs = box_pairs(objects, (cx - hw, cy - hh, cx + hw, cy + hh), r, _bounds(), on, levels_of(r, _bounds()))
+    return pairs if exact is None else pairs.where(G.meets_rectangle(exact, *_bounds()))
 
 
 def _exact(objects: DataFrame, fallback: bool) -> Column | None:
@@ -66,8 +68,8 @@ def match_rasters(objects: DataFrame, rasters: DataFrame, fallback: Callable[[],
     """(object_id, raster_id, used_crs_fallback): the first raster that an object meets; only if none, the first after reprojection.
 
     fallback gives the box in the raster's system; the default reprojects from epsg to raster_epsg. Objects with a column
-    ring are held exactly against the raster's bounds after their boxes. The equi-join is on region and modality, of which each has
-    a few rasters.
+    ring are held exactly against the raster's bounds after their boxes. Boxes meet bounds on a grid within region and modality, so a
+    layer may have any number of rasters; of those met the first in file order is kept by an aggregate.
     """
     def first(pairs: DataFrame, used: bool) -> DataFrame:
         best = pairs.groupBy("object_id").agg(F.min_by("raster_id", "file_ord").alias("raster_id"))

@@ -149,6 +149,8 @@ _SM = "(exp({k})/(exp(logit1)+exp(logit2)+exp(logit3)))"
 
 SQL: dict[str, str] = {
     "geojson_features": "select object_id, case object_id%4 when 0 then 'Polygon' when 1 then 'MultiPolygon' when 2 then 'Point' else 'GeometryCollection' end as geom_type, class_name from fx_objects where object_id%17<>0",
+    "geojson_lines": """select object_id, case when object_id%17=0 then null else case object_id%4 when 0 then 'Polygon' when 1 then 'MultiPolygon' when 2 then 'Point' else 'GeometryCollection' end end as geom_type,
+ case when object_id%17<>0 then class_name end as class_name, case when object_id%17=0 then 'unreadable' end as reason from fx_objects""",
     "region_crs": "select region_id, region, regexp_extract(crs_urn,'EPSG::([0-9]+)',1)::int as epsg from fx_regions",
     "discover_regions": """with t as (select *, coalesce(contains(lower(sub_folder),'разметка'),false) as mk, translate(lower(sub_folder),'сор','cop') as f from fx_tree),
  m as (select *, case when mk then null when contains(f,'li') then 'Li' when contains(f,'ae') then 'Ae' when contains(f,'ае') then 'Ae' when contains(f,'sp') then 'SpOr' when contains(f,'or') then 'Or' end as m from t)
@@ -379,7 +381,7 @@ SQL: dict[str, str] = {
     "class_dice_iou": f"with {_CS.replace('{ks}', '[0,1,2,3,4,5]')} select class_id, round(avg({_DICE}),6) as dice, round(avg({_IOU}),6) as iou from cs group by 1",
     "fg_iou_per_sample": f"with {_CS.replace('{ks}', '[1,2,3,4,5]')} select sample_id, round(avg(i/nullif(p+t-i,0)),6) as fg_iou from cs group by 1",
     "batch_mean_vs_sample_mean": f"""with s as (select sample_id, count(*) filter ({_sig('logit1')}>0.5 and target=1) as i, count(*) filter ({_sig('logit1')}>0.5) as p, sum(target)::bigint as t from fx_scores group by 1),
- d as (select sample_id, {_DICE} as d from s), b as (select floor(sample_id/8) as b, avg(d) as m from d group by 1) select round((select avg(m) from b),6) as batch_mean, round((select avg(d) from d),6) as sample_mean""",
+ d as (select sample_id, {_DICE} as d from s), b as (select floor(k/8) as b, avg(d) as m from (select d, row_number() over (order by sample_id)-1 as k from d) group by 1) select round((select avg(m) from b),6) as batch_mean, round((select avg(d) from d),6) as sample_mean""",
     "confusion": f"with {_CM.replace('{hi}', '4')} select * from cm",
     "confusion_normalized": f"with {_CM.replace('{hi}', '5')} select gt, pred, n, round(n/greatest(sum(n) over (partition by gt),1),6) as share from cm",
     "class_metrics": f"""with {_CM.replace('{hi}', '5')}, s as (select k as class_id, coalesce(sum(n) filter (gt=k and pred=k),0)::bigint as tp, coalesce(sum(n) filter (gt<>k and pred=k),0)::bigint as fp,

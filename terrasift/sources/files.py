@@ -30,6 +30,35 @@ def read_features(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
 
 
+def read_feature_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(file, text) of layers with one feature a line, of any size: tasks read parts of a file. A record separator before a feature goes."""
+    lines = spark.read.text(paths).select(F.input_file_name().alias("file"), F.regexp_replace("value", "^\x1e", "").alias("text"))
+    return lines.where("trim(text) <> ''")
+
+
+def parse_feature_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(features, rejected) of rows with a column text that holds one feature each.
+
+    features has geom_type, coordinates and geometries as text, properties (all of them, as a map of texts) and class_name, as
+    parse_features gives them; rejected has text and reason: unreadable, or no_geometry for a null or empty one. Null texts are unreadable.
+    """
+    schema = f"geometry struct<{_GEOMETRY}>, properties map<string,string>, _corrupt_record string"
+    parsed = lines.withColumn("_f", F.from_json("text", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
+    filled = F.coalesce(F.col("_f.geometry.coordinates"), F.col("_f.geometry.geometries"), F.lit("[]")) != "[]"
+    reason = F.when(F.col("_f").isNull() | F.col("_f._corrupt_record").isNotNull(), "unreadable").when(F.col("_f.geometry").isNull() | ~filled, "no_geometry")
+    judged = parsed.withColumn("reason", reason)
+    own = [c for c in lines.columns if c != "text"]
+    features = judged.where("reason IS NULL").select(
+        *own, F.col("_f.geometry.type").alias("geom_type"), F.col("_f.geometry.coordinates").alias("coordinates"), F.col("_f.geometry.geometries").alias("geometries"),
+        F.col("_f.properties").alias("properties"), F.col("_f.properties")["class_name"].alias("class_name"))
+    return features, judged.where("reason IS NOT NULL").select(*own, "text", "reason")
+
+
+def to_feature_lines(objects: DataFrame) -> DataFrame:
+    """(object_id, text): the features of to_feature_text one a row, those cut short as they are."""
+    return to_feature_text(objects).select("object_id", F.regexp_replace("text", r'^\{"features":\[|\]\}$', "").alias("text"))
+
+
 def to_feature_text(objects: DataFrame) -> DataFrame:
     """(object_id, text): each object as a FeatureCollection; every 17th text is cut short and so unreadable.
 
@@ -55,7 +84,7 @@ def to_feature_text(objects: DataFrame) -> DataFrame:
 
 
 def parse_features(texts: DataFrame) -> DataFrame:
-    """Features of rows with a column text: feature_idx, geom_type, coordinates and geometries as text, class_name.
+    """Features of rows with a column text: feature_idx, geom_type, coordinates and geometries as text, properties (a map of texts), class_name.
 
     Unreadable texts go, and features without a geometry or with an empty one. One file may mix types.
     """
@@ -64,7 +93,7 @@ def parse_features(texts: DataFrame) -> DataFrame:
     filled = F.coalesce(F.col("_f.geometry.coordinates"), F.col("_f.geometry.geometries"), F.lit("[]")) != "[]"
     return rows.where(F.col("_f.geometry").isNotNull() & filled).select(
         *[c for c in texts.columns if c != "text"], "feature_idx", F.col("_f.geometry.type").alias("geom_type"), F.col("_f.geometry.coordinates").alias("coordinates"),
-        F.col("_f.geometry.geometries").alias("geometries"), F.col("_f.properties")["class_name"].alias("class_name"))
+        F.col("_f.geometry.geometries").alias("geometries"), F.col("_f.properties").alias("properties"), F.col("_f.properties")["class_name"].alias("class_name"))
 
 
 _RINGS = "array<array<array<double>>>"

@@ -417,3 +417,37 @@ def test_a_long_winding_object_is_linear_work(spark):
     start = time.time()
     [found] = masks.mask_objects(frame).collect()
     assert found.filled == sum(r[3] - r[2] for r in runs) and time.time() - start < 5
+
+
+def test_layers_of_many_rasters_match_as_by_brute_force(spark):
+    import random
+
+    rnd = random.Random(9)
+    rasters = [(i, 1, "Li", i, 0.5, 400, 300, rnd.uniform(0, 9000), rnd.uniform(0, 9000)) for i in range(1500)]
+    objects = [(i, 1, "Li", rnd.uniform(0, 9000), rnd.uniform(0, 9000), rnd.uniform(1, 40), rnd.uniform(1, 40)) for i in range(800)]
+    r = spark.createDataFrame(rasters, "raster_id long, region_id int, modality string, file_ord int, px double, width int, height int, x_left double, y_top double")
+    o = spark.createDataFrame(objects, "object_id long, region_id int, modality string, cx double, cy double, hw double, hh double")
+    want = {}
+    for i, _, _, cx, cy, hw, hh in objects:
+        for k, *_, px, w, h, x, y in rasters:
+            if cx - hw <= x + w * px and cx + hw >= x and cy - hh <= y and cy + hh >= y - h * px:
+                want.setdefault(i, k)
+    nowhere = lambda: (F.lit(-1e6), F.lit(-1e6), F.lit(1.0), F.lit(1.0))
+    found = spatial.match_rasters(o, r, nowhere).collect()
+    assert {x.object_id: x.raster_id for x in found} == want and len(found) == len(want)
+    assert spatial.match_layer(o, r, nowhere).count() == sum(
+        cx - hw <= x + w * px and cx + hw >= x and cy - hh <= y and cy + hh >= y - h * px for _, _, _, cx, cy, hw, hh in objects for _, *_, px, w, h, x, y in rasters)
+
+
+def test_layers_of_one_feature_a_line_read_as_whole_files(spark, tmp_path):
+    features = [
+        {"type": "Feature", "geometry": {"type": "Point", "coordinates": [k, 2]}, "properties": {"class_name": f"c{k}", "depth": k, "note": None}} for k in range(5)]
+    (tmp_path / "whole.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": features}))
+    broken = ['{"type": "Feature", "geometry"', json.dumps({"type": "Feature", "geometry": None, "properties": {}}), json.dumps({"geometry": {"type": "Polygon", "coordinates": []}})]
+    (tmp_path / "lines.geojsonl").write_text("\n".join(["\x1e" + json.dumps(f) for f in features] + ["", *broken]))
+    whole = files.parse_features(files.read_features(spark, f"{tmp_path}/whole.geojson"))
+    lines, rejected = files.parse_feature_lines(files.read_feature_lines(spark, f"{tmp_path}/lines.geojsonl"))
+    columns = ["geom_type", "coordinates", "geometries", "properties", "class_name"]
+    assert sorted(map(str, lines.select(columns).collect())) == sorted(map(str, whole.select(columns).collect()))
+    assert lines.where("class_name = 'c3'").collect()[0].properties["depth"] == "3"
+    assert sorted(r.reason for r in rejected.collect()) == ["no_geometry", "no_geometry", "unreadable"]

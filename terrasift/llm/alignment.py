@@ -19,7 +19,7 @@ from .common import bound_batches, cut_lineage
 from .token_models import UNIT, ByteModel, PieceModel, load
 
 #: Units whose alignment a Python worker remembers, twice: those met since the memory was last full, and those met before it.
-UNITS_KEPT = 150_000
+UNITS_KEPT = 250_000
 #: Longer units are aligned again each time they are met.
 UNIT_CHARS = 64
 #: Units that may be encoded as one text: they begin with the white space of a cut and end with other characters that decode alike.

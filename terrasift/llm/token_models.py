@@ -13,8 +13,14 @@ import numpy as np
 _CUT_SPACE = " \n"
 _OTHER_SPACE = "".join(map(chr, (0x9, 0xB, 0xC, 0xD, 0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
 
-#: A unit: white space, then other characters, cut only between a character that is no white space and white space.
-UNIT = re.compile(rf"[{_CUT_SPACE}]*[^{_CUT_SPACE}]+(?:(?<=[{_OTHER_SPACE}])[{_CUT_SPACE}]+[^{_CUT_SPACE}]*)*|[{_CUT_SPACE}]+")
+#: Marks that are units of their own behind a letter and before white space, so that a word is one unit wherever it stands.
+_MARKS = ".,;:!?"
+_LETTER = r"[^\W\d_]"
+
+#: A unit: white space and other characters, cut only between a character that is no white space and white space, and at such marks.
+UNIT = re.compile(
+    rf"[{_CUT_SPACE}]*(?:[^{_CUT_SPACE}{_MARKS}]+|[{_MARKS}]+(?![{_CUT_SPACE}{_MARKS}]|\Z)|(?<!{_LETTER})(?<![{_MARKS}])[{_MARKS}]+|(?<=[{_OTHER_SPACE}])[{_CUT_SPACE}]+)+"
+    rf"|[{_MARKS}]+|[{_CUT_SPACE}]+")
 
 _SPACE = chr(0x2581)
 
@@ -43,7 +49,7 @@ class ByteModel:
         for token, n in described["model"]["vocab"].items():
             self.token_bytes[n] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
         before = described.get("pre_tokenizer") or {}
-        #: The byte-level pattern never joins a character that is no white space to white space behind it.
+        #: The byte-level pattern never joins white space to another character before it, nor a mark to a letter or digit before it.
         self.cuts_at_space = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not described.get("normalizer")
 
     def encode(self, texts: list[str]) -> list[tuple[list[int], list[tuple[int, int]]]]:
@@ -94,7 +100,7 @@ class PieceModel:
                     self.inner.update(a + b for a, b in zip(piece.piece, piece.piece[1:]))
         self.proven = bpe and self.identity
         space = {_SPACE, "\n"}
-        self.cuts_at_space = self.proven and not any(p[1] in space and p[0] not in space for p in self.inner)
+        self.cuts_at_space = self.proven and not any(p[1] in space and p[0] not in space or p[1] in _MARKS and p[0].isalpha() for p in self.inner)
 
     def stable(self, left: str, right: str) -> bool:
         """Whether every encoding of a text has a token boundary between these characters, and none of its sides sees the other."""

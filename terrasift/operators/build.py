@@ -15,8 +15,9 @@ def segmentation_samples(windows: DataFrame, layer: DataFrame, on: list[str], cl
 
     windows: sample_id, on, crop_size, c0, r0, px, x_left, y_top; layer: on, ord, class_id (null: not labelled), area, rings, cx, cy, hw, hh.
     reason is no_polygons, no_labelled_polygon or empty_mask for samples to be left out, else null. masks.paint of the
-    same pairs gives the masks themselves, see segmentation_masks. Pairs are written once to the shared folder.
+    same pairs gives the masks themselves, see segmentation_masks. Windows, pairs and masks are written once to the shared folder.
     """
+    windows = cut_lineage(windows.select("sample_id", *on, "crop_size", "c0", "r0", "px", "x_left", "y_top"))
     pairs = cut_lineage(spatial.window_pairs(windows, layer, on).select("sample_id", "crop_size", "ord", "class_id", "area", "rings"))
     painted = cut_lineage(segmentation_masks(pairs, rule))
     samples = windows.select("sample_id", "crop_size")

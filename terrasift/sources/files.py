@@ -139,6 +139,8 @@ def explode_parts(features: DataFrame, collections: bool = True) -> DataFrame:
     Multi-polygons fall into polygons, and collections, unless collections is false, into the parts of their members at any depth; other types
     and empty parts give no row.
     """
+    if collections:
+        features = cut_lineage(features)  # read twice below, parsed once
     own = [c for c in features.columns if c not in ("coordinates", "geometries", "geom_type")]
     parts = _parts(F.col("geom_type"), F.col("coordinates"))
     rows = features.select(*own, "geom_type", F.posexplode(parts).alias("part_id", "_p"))

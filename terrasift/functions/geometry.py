@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -72,12 +72,24 @@ def _half_plane(axis: str, bound: Column, sign: int):
 
 
 def clip(r: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-    """The part of a convex ring inside a rectangle, one half plane after the other."""
+    """The part of a ring inside a rectangle, one half plane after the other.
+
+    Of a concave ring that falls apart, the parts hang together by edges that run twice along the rectangle's border: the area is
+    right, and spatial.clip_parts gives the parts.
+    """
     for axis, bound, sign in (("x", x0, 1), ("x", x1, -1), ("y", y0, 1), ("y", y1, -1)):
         r = F.flatten(F.transform(edges(r), _half_plane(axis, bound, sign)))
     return r
 
 
+def clip_passes(rows: DataFrame, column: str, x0: Column, y0: Column, x1: Column, y1: Column) -> DataFrame:
+    """rows with every ring of an array-of-rings column clipped, a projection for each half plane; rings that lie outside go."""
+    for axis, bound, sign in (("x", x0, 1), ("x", x1, -1), ("y", y0, 1), ("y", y1, -1)):
+        cut = F.transform(column, lambda r: F.flatten(F.transform(edges(r), _half_plane(axis, bound, sign))))
+        rows = rows.withColumn(column, F.filter(cut, lambda r: F.size(r) > 2))
+    return rows
+
+
 # Fixed values of WGS 84 and of the transverse Mercator series of order 3.
 _A, _F, _K0 = 6378137.0, 1 / 298.257223563, 0.9996
 _N = _F / (2 - _F)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from terrasift.functions import geometry as G
 
 from .grid import box_pairs, levels_of
+from .validity import split_even_odd
 
 Box = tuple[Column, Column, Column, Column]
 
@@ -199,12 +200,65 @@ def box_labels(hits: DataFrame, min_area: int = 80) -> DataFrame:
         (w / tile).alias("w"), (h / tile).alias("h"))
 
 
-def labelled_tiles(objects: DataFrame, rasters: DataFrame, fallback: Callable[[], Box] = utm_box) -> DataFrame:
-    """Box labels of all objects over the tile grid: layer match, tile grid, tile join, labels."""
+def clip_parts(hits: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, part_id, ring, holes): the parts of polygons within their tile, for hits with rings, x0, y0 and tile in pixels of the raster.
+
+    keys tell the hits apart. Rings are clipped as columns; only where two edges lie on one border of the tile can the rest have
+    fallen apart (concave shapes, cut holes), and only these are traced by the even-odd rule. Polygons are valid; null
+    and empty ones, and those that only touch the tile, have no part.
+    """
+    x0, y0 = F.col("x0").cast("double"), F.col("y0").cast("double")
+    x1, y1 = x0 + F.col("tile"), y0 + F.col("tile")
+    rings = F.transform("rings", lambda r: F.transform(r, lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y"))))
+    rows = G.clip_passes(hits.where("size(rings) > 0").withColumn("rings", rings), "rings", x0, y0, x1, y1)
+    lines = F.flatten(F.transform("rings", G.edges))
+
+    def along(a: str, b: str, bound: Column) -> Column:
+        return F.size(F.filter(lines, lambda e: (e[a] == bound) & (e[b] == bound)))
+
+    whole = F.greatest(along("x", "u", x0), along("x", "u", x1), along("y", "v", y0), along("y", "v", y1)) < 2
+    rows = rows.where("size(rings) > 0").withColumn("_whole", whole)
+    ring = F.col("rings")[0]
+    one = rows.where(F.col("_whole") & (G.area(ring) > 0))
+    one = one.select(*keys, F.lit(0).alias("part_id"), ring.alias("ring"), F.slice("rings", F.lit(2), F.size("rings") - 1).alias("holes"))
+    return one.unionByName(split_even_odd(rows.where("NOT _whole").select(*keys, "rings"), keys))
+
+
+def used_rings() -> Column:
+    """The rings (columns rings, epsg, raster_epsg) in the raster's system: reprojected where the match used the fallback."""
+    moved = F.transform("rings", lambda r: G.reproject_ring(r, F.col("epsg"), F.col("raster_epsg")))
+    return F.when(F.col("used_crs_fallback"), moved).otherwise(F.col("rings"))
+
+
+def part_labels(hits: DataFrame, rings: Callable[[], Column] = used_rings, min_area: int = 80) -> DataFrame:
+    """box_labels of every part that a tile cuts from the polygons of hits (tile_objects), one row a part.
+
+    rings gives the polygons (array of rings) in the raster's system; the default reads columns rings, epsg and raster_epsg.
+    (object_id, raster_id, x0, y0) tells hits apart.
+    """
+    keys = ["object_id", "raster_id", "x0", "y0"]
+    px = F.col("px")
+    moved = F.transform(rings(), lambda r: F.transform(r, lambda p: F.struct(((p["x"] - F.col("x_left")) / px).alias("x"), ((F.col("y_top") - p["y"]) / px).alias("y"))))
+    rows = hits.withColumn("rings", moved).select(*keys, "modality", "class_name", "tile", "rings")
+    about = ["modality", "class_name", "tile"]
+    parts = clip_parts(rows, [*keys, *about])
+    box = G.box(F.col("ring"))
+    bounds = [F.floor(v).cast("long").alias(n) for v, n in zip(box, ("c0", "r0", "c1", "r1"))]
+    return box_labels(parts.select(*keys, *about, *bounds), min_area)
+
+
+def labelled_tiles(
+    objects: DataFrame, rasters: DataFrame, fallback: Callable[[], Box] = utm_box, rings: Callable[[], Column] | None = None,
+) -> DataFrame:
+    """Box labels of all objects over the tile grid: layer match, tile grid, tile join, labels.
+
+    With rings (see part_labels; used_rings is its default) every clipped part has a box of its own, without it the object's box is cut.
+    """
     sized = with_stride(choose_tile_size(rasters))
     pairs = match_layer(objects, rasters, fallback)
     matched = pairs.join(objects, "object_id").join(sized.drop("region_id", "region", "modality"), "raster_id")
-    return box_labels(tile_objects(pixel_box(matched, fallback), tile_grid(choose_tile_size(rasters))))
+    hits = tile_objects(pixel_box(matched, fallback), tile_grid(choose_tile_size(rasters)))
+    return box_labels(hits) if rings is None else part_labels(hits, rings)
 
 
 def _object_box() -> tuple[Column, Column, Column, Column]:

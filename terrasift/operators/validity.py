@@ -1,14 +1,43 @@
-"""Validity of rings."""
+"""Validity of rings, and their parts by the even-odd rule."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections import defaultdict
 
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrasift.functions.geometry import area, edges
+from terrasift.functions.geometry import area, edges, perimeter, polygon_box
+
+from .grid import box_pairs
+
+#: Rings of up to so many points compare their edges within the row; those of longer rings meet on a grid. Both give the same.
+SHORT = 64
+
+EDGE = ("j", "i", "n", "x", "y", "u", "v")  # number of the ring and of the edge in it, edges of the ring, both ends
+
+RINGS = "array<array<struct<x:double,y:double>>>"
+
+
+def _keys(key: str | list[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def _clean(r: Column) -> Column:
+    """A ring of doubles without points equal to the one before, so that no edge is a point."""
+    r = F.transform(r, lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y")))
+    return F.filter(r, lambda p, i: p != F.get(r, F.when(i == 0, F.size(r) - 1).otherwise(i - 1)))
+
+
+def _numbered(rings: Column) -> Column:
+    """Edges of all rings: array<struct<j, i, n, x, y, u, v>> with the ring's number and number of edges."""
+    def of_ring(r: Column, j: Column) -> Column:
+        return F.transform(edges(r), lambda e, i: F.struct(
+            j.alias("j"), i.alias("i"), F.size(r).alias("n"), e["x"].alias("x"), e["y"].alias("y"), e["u"].alias("u"), e["v"].alias("v")))
+
+    return F.flatten(F.transform(rings, of_ring))
 
 
 def _side(a: Column, x: Column, y: Column) -> Column:
@@ -17,62 +46,236 @@ def _side(a: Column, x: Column, y: Column) -> Column:
 
 
 def _cross(a: Column, b: Column) -> Column:
-    apart = (_side(a, b["x"], b["y"]) * _side(a, b["u"], b["v"]) < 0) & (_side(b, a["x"], a["y"]) * _side(b, a["u"], a["v"]) < 0)
-    return apart
-
-
-def validity(rows: DataFrame, key: str = "object_id") -> DataFrame:
-    """Adds enough_points, has_area, self_crossing and valid for rows (key, ring); edges are compared within their ring."""
-    e = F.transform(edges(F.col("ring")), lambda x, i: F.struct(i.alias("i"), x["x"].alias("x"), x["y"].alias("y"), x["u"].alias("u"), x["v"].alias("v")))
-    flagged = rows.withColumn("_e", e)
-    crossing = F.exists("_e", lambda a: F.exists("_e", lambda b: (a["i"] < b["i"]) & _cross(a, b)))
-    flagged = flagged.withColumn("enough_points", F.size("ring") >= 3).withColumn("has_area", area(F.col("ring")) > 0).withColumn("self_crossing", crossing)
-    return flagged.withColumn("valid", F.col("enough_points") & F.col("has_area") & ~F.col("self_crossing")).drop("_e")
-
-
-Ring = list[tuple[float, float]]
-
-
-def _first_crossing(r: Ring) -> tuple[int, int, tuple[float, float]] | None:
-    """(i, j, point): the first two edges that cross inside both, and where."""
-    for i, (ax, ay) in enumerate(r):
-        bx, by = r[(i + 1) % len(r)]
-        for j in range(i + 2, len(r) - (i == 0)):
-            (cx, cy), (dx, dy) = r[j], r[(j + 1) % len(r)]
-            turn = (bx - ax) * (dy - cy) - (by - ay) * (dx - cx)
-            if turn:
-                s = ((cx - ax) * (dy - cy) - (cy - ay) * (dx - cx)) / turn
-                t = ((cx - ax) * (by - ay) - (cy - ay) * (bx - ax)) / turn
-                if 0 < s < 1 and 0 < t < 1:
-                    return i, j, (ax + s * (bx - ax), ay + s * (by - ay))
-    return None
-
-
-def untangled(r: Ring) -> list[Ring]:
-    """Rings without crossings: a ring is cut in two where its edges cross, and parts without area go."""
-    todo, out = [[p for k, p in enumerate(r) if p != r[k - 1]]], []
-    while todo:
-        part = todo.pop()
-        crossing = _first_crossing(part)
-        if crossing:
-            i, j, point = crossing
-            todo += [[point, *part[j + 1:], *part[:i + 1]], [point, *part[i + 1:j + 1]]]
-        elif len(part) > 2 and abs(sum(x * part[k - 1][1] - part[k - 1][0] * y for k, (x, y) in enumerate(part))) > 0:
-            out.append(part)
-    return out
-
-
-def repair(rows: DataFrame, key: str = "object_id") -> DataFrame:
-    """(key, part_id, ring): the parts of each ring after repair; a valid ring is its only part, one without area has none."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[], [], []]
-            for at, ring in enumerate(batch.column(1).to_pylist()):
-                for k, part in enumerate(untangled([(p["x"], p["y"]) for p in ring])):
-                    for column, value in zip(out, (at, k, [{"x": x, "y": y} for x, y in part])):
-                        column.append(value)
-            kind = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.int32()), pa.array(out[2], kind)], [key, "part_id", "ring"])
-
-    ring = F.transform("ring", lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y"))).alias("ring")
-    return rows.where("ring IS NOT NULL").select(key, ring).mapInArrow(run, f"`{key}` {dict(rows.dtypes)[key]}, part_id int, ring array<struct<x:double,y:double>>")
+    """Whether the edges cross inside both."""
+    return (_side(a, b["x"], b["y"]) * _side(a, b["u"], b["v"]) < 0) & (_side(b, a["x"], a["y"]) * _side(b, a["u"], a["v"]) < 0)
+
+
+def _inside(a: Column, x: Column, y: Column) -> Column:
+    """Whether the point lies on edge a, but at none of its ends."""
+    boxed = x.between(F.least(a["x"], a["u"]), F.greatest(a["x"], a["u"])) & y.between(F.least(a["y"], a["v"]), F.greatest(a["y"], a["v"]))
+    end = ((x == a["x"]) & (y == a["y"])) | ((x == a["u"]) & (y == a["v"]))
+    return boxed & ~end & (_side(a, x, y) == 0)
+
+
+def _touch(a: Column, b: Column) -> Column:
+    """Whether the edges share a point other than a crossing and the one that neighbours share by order."""
+    def same(p: Column, x: str, y: str, q: Column, u: str, v: str) -> Column:
+        return (p[x] == q[u]) & (p[y] == q[v])
+
+    on = _inside(a, b["x"], b["y"]) | _inside(a, b["u"], b["v"]) | _inside(b, a["x"], a["y"]) | _inside(b, a["u"], a["v"])
+    ends = [same(a, *p, b, *q) for p in (("x", "y"), ("u", "v")) for q in (("x", "y"), ("u", "v"))]
+    apart = F.abs(a["i"] - b["i"])
+    neighbours = (a["j"] == b["j"]) & ((apart == 1) | (apart == a["n"] - 1))
+    twice = (ends[0] & ends[3]) | (ends[1] & ends[2])
+    return on | twice | (~neighbours & (ends[0] | ends[1] | ends[2] | ends[3]))
+
+
+def _before(a: Column, b: Column) -> Column:
+    return (a["j"] < b["j"]) | ((a["j"] == b["j"]) & (a["i"] < b["i"]))
+
+
+def edge_pairs(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, a, b): pairs of edges of one row of (keys, rings) whose boxes meet, each pair once; keys are unique.
+
+    Edges meet on the hierarchical grid, in a unit that makes a ring's mean edge as long as its finest cell, so that rings of
+    any size and system spread over many cells.
+    """
+    unit = 32 * F.aggregate("rings", F.lit(0), lambda s, r: s + F.size(r)) / F.aggregate("rings", F.lit(0.0), lambda s, r: s + perimeter(r))
+    each = rows.select(*keys, unit.alias("_unit"), F.inline(_numbered(F.col("rings"))))
+    box = [f(p, q) * F.col("_unit") for f in (F.least, F.greatest) for p, q in (("x", "u"), ("y", "v"))]
+    sides = [each.select(*keys, *[F.col(c).alias(f"_{side}_{c}") for c in EDGE], *[v.alias(f"_{side}{k}") for k, v in enumerate(box)]) for side in "ab"]
+    pairs = box_pairs(sides[0], tuple(F.col(f"_a{k}") for k in range(4)), sides[1], tuple(F.col(f"_b{k}") for k in range(4)), keys)
+    pairs = pairs.select(*keys, *[F.struct(*[F.col(f"_{side}_{c}").alias(c) for c in EDGE]).alias(side) for side in "ab"])
+    return pairs.where(_before(F.col("a"), F.col("b")))
+
+
+def _flags(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of (keys, rings, ...) with self_crossing and self_touching."""
+    long = F.aggregate("rings", F.lit(0), lambda s, r: s + F.size(r)) > SHORT
+
+    def some(test) -> Column:
+        return F.exists("_e", lambda a: F.exists("_e", lambda b: _before(a, b) & test(a, b)))
+
+    short = rows.where(~long).withColumn("_e", _numbered(F.col("rings")))
+    short = short.withColumn("self_crossing", some(_cross)).withColumn("self_touching", some(_touch)).drop("_e")
+    a, b = F.col("a"), F.col("b")
+    found = edge_pairs(rows.where(long).select(*keys, "rings"), keys).groupBy(*keys).agg(F.bool_or(_cross(a, b)).alias("self_crossing"), F.bool_or(_touch(a, b)).alias("self_touching"))
+    return short.unionByName(rows.where(long).join(found, keys, "left").fillna(False, ["self_crossing", "self_touching"]))
+
+
+def validity(rows: DataFrame, key: str | list[str] = "object_id") -> DataFrame:
+    """Adds enough_points, has_area, self_crossing, self_touching and valid to rows (key, ring, ...); key is unique and not null.
+
+    A ring touches itself where an end of an edge lies on another edge than its neighbours, and where it goes back along an
+    edge (a spike). Points that repeat the one before and a last point equal to the first count once. Of a null ring all flags are null.
+    """
+    keys = _keys(key)
+    whole = rows.where("ring IS NOT NULL").withColumn("rings", F.array(_clean(F.col("ring"))))
+    flagged = _flags(whole, keys)
+    ring = F.col("rings")[0]
+    flagged = flagged.withColumn("enough_points", F.size(ring) >= 3).withColumn("has_area", area(ring) > 0)
+    flagged = flagged.withColumn("valid", F.col("enough_points") & F.col("has_area") & ~F.col("self_crossing") & ~F.col("self_touching")).drop("rings")
+    return flagged.unionByName(rows.where("ring IS NULL"), allowMissingColumns=True)
+
+
+Point = tuple[float, float]
+
+
+def _signed(r: list[Point]) -> float:
+    (a, b) = r[0]
+    return sum((r[k - 1][0] - a) * (y - b) - (x - a) * (r[k - 1][1] - b) for k, (x, y) in enumerate(r)) / 2
+
+
+def _odd_left(p: Point, q: Point, lines: list[tuple[Point, Point]]) -> bool:
+    """Whether the place just left of the middle of p -> q is inside, by the lines above it (beside it, for an upright line)."""
+    t = 0 if abs(q[0] - p[0]) >= abs(q[1] - p[1]) else 1
+    m, h = (p[t] + q[t]) / 2, (p[1 - t] + q[1 - t]) / 2
+    above = 0
+    for a, b in lines:
+        if (a[t] <= m) != (b[t] <= m) and {a, b} != {p, q}:
+            above += a[1 - t] + (m - a[t]) / (b[t] - a[t]) * (b[1 - t] - a[1 - t]) > h
+    on_that_side = (q[t] > p[t]) == (t == 0)  # left of a line to the right is above it, left of a line upwards is beside it, to the left
+    return above % 2 == (1 if on_that_side else 0)
+
+
+def even_odd_parts(lines: list[tuple[Point, Point]]) -> list[tuple[list[Point], list[list[Point]]]]:
+    """(outline, holes) of every region inside closed lines that meet at their ends only, by the even-odd rule.
+
+    Outlines turn left. Going round a region always by the next line clockwise keeps to it, so regions that touch in a
+    point are apart. Time grows with the lines, and with the lines times the groups of them that hang together.
+    """
+    around: dict[Point, list[Point]] = defaultdict(list)
+    for p, q in lines:
+        around[p].append(q)
+        around[q].append(p)
+    after: dict[tuple[Point, Point], Point] = {}
+    for p, ends in around.items():
+        ends.sort(key=lambda q: math.atan2(q[1] - p[1], q[0] - p[0]))
+        after.update({(q, p): ends[k - 1] for k, q in enumerate(ends)})
+    walk_of: dict[tuple[Point, Point], int] = {}
+    walks: list[list[Point]] = []
+    for start in after:
+        if start not in walk_of:
+            walk, step = [], start
+            while step not in walk_of:
+                walk_of[step] = len(walks)
+                walk.append(step[0])
+                step = (step[1], after[step])
+            walks.append(walk)
+    odd: dict[int, bool] = {}
+    for seed in range(len(walks)):
+        if seed in odd:
+            continue
+        odd[seed], todo = _odd_left(walks[seed][0], walks[seed][1], lines), [seed]
+        while todo:
+            at = todo.pop()
+            for k, q in enumerate(walks[at]):
+                other = walk_of[q, walks[at][k - 1]]
+                if other not in odd:
+                    odd[other] = not odd[at]
+                    todo.append(other)
+    loops: list[list[Point]] = []
+    for at, walk in enumerate(walks):
+        if not odd[at]:
+            continue
+        stack: list[Point] = []
+        seen: set[Point] = set()
+        for p in walk:  # a walk that comes back to a point holds a loop of its own: a hole that touches its outline
+            if p in seen:
+                loop = [p]
+                while stack[-1] != p:
+                    seen.discard(stack[-1])
+                    loop.append(stack.pop())
+                loops.append(loop[:1] + loop[:0:-1])
+            else:
+                stack.append(p)
+                seen.add(p)
+        loops.append(stack)
+    loops = [s for s in map(_straight, loops) if len(s) > 2]
+    outlines = sorted((r for r in loops if _signed(r) > 0), key=min)
+    parts: list[tuple[list[Point], list[list[Point]]]] = [(r, []) for r in outlines]
+    for hole in (r for r in loops if _signed(r) < 0):
+        middle = ((hole[0][0] + hole[1][0]) / 2, (hole[0][1] + hole[1][1]) / 2)
+        holders = [(_signed(r), k) for k, (r, _) in enumerate(parts) if _holds(r, middle)]
+        if holders:
+            parts[min(holders)[1]][1].append(hole)
+    return parts
+
+
+def _straight(r: list[Point]) -> list[Point]:
+    """The ring without points that lie straight between their neighbours."""
+    return [p for k, p in enumerate(r) if (p[0] - r[k - 1][0]) * (r[(k + 1) % len(r)][1] - p[1]) != (p[1] - r[k - 1][1]) * (r[(k + 1) % len(r)][0] - p[0])]
+
+
+def _holds(r: list[Point], p: Point) -> bool:
+    return sum((r[k - 1][1] > p[1]) != (y > p[1]) and p[0] < (r[k - 1][0] - x) * (p[1] - y) / (r[k - 1][1] - y) + x for k, (x, y) in enumerate(r)) % 2 == 1
+
+
+def split_even_odd(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, part_id, ring, holes): the regions of rows (keys, rings) by the even-odd rule over all rings; keys are unique.
+
+    Edges are cut where they meet (pairs from edge_pairs), pieces that lie on each other an even number of times go, as both of
+    their sides are alike, and what is left of one row bounds its regions. A row's pieces are one group, as its rings were one value.
+    Crossings are rounded to 2**-30 of the rings' extent, so that lines through one point meet in one.
+    """
+    rows = rows.withColumn("rings", F.transform("rings", _clean))
+    a, b = F.col("a"), F.col("b")
+    x0, y0, x1, y1 = polygon_box(F.col("rings"))
+    grain = F.greatest(x1 - x0, y1 - y0) * 2.0**-30
+    each = rows.select(*keys, grain.alias("_grain"), F.inline(_numbered(F.col("rings"))))
+    turn = (a["u"] - a["x"]) * (b["v"] - b["y"]) - (a["v"] - a["y"]) * (b["u"] - b["x"])
+    s = ((b["x"] - a["x"]) * (b["v"] - b["y"]) - (b["y"] - a["y"]) * (b["u"] - b["x"])) / turn
+
+    def point(x: Column, y: Column) -> Column:
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    def cut(edge: Column, at: Column, exact: bool) -> Column:
+        return F.struct(edge["j"].alias("j"), edge["i"].alias("i"), at.alias("p"), F.lit(exact).alias("exact"))
+
+    crossing = point(a["x"] + s * (a["u"] - a["x"]), a["y"] + s * (a["v"] - a["y"]))
+    cuts = F.array(
+        *[F.when(_cross(a, b), cut(e, crossing, False)) for e in (a, b)],
+        *[F.when(_inside(e, o[x], o[y]), cut(e, point(o[x], o[y]), True)) for e, o in ((a, b), (b, a)) for x, y in (("x", "y"), ("u", "v"))])
+    found = edge_pairs(rows.select(*keys, "rings"), keys).select(*keys, F.explode(F.filter(cuts, lambda c: c.isNotNull())).alias("c"))
+    found = found.groupBy(*keys, F.col("c.j").alias("j"), F.col("c.i").alias("i")).agg(F.collect_list(F.struct("c.p", "c.exact")).alias("cuts"))
+    cut_edges = each.join(found, [*keys, "j", "i"], "left")
+
+    def rounded(v: Column) -> Column:
+        return F.round(v / F.col("_grain")) * F.col("_grain")
+
+    none = F.array().cast("array<struct<p:struct<x:double,y:double>,exact:boolean>>")
+    x, y, u, v = (F.col(c) for c in "xyuv")
+    places = F.transform(F.coalesce("cuts", none), lambda c: F.when(c["exact"], c["p"]).otherwise(point(rounded(c["p"]["x"]), rounded(c["p"]["y"]))))
+    along = F.transform(places, lambda p: F.struct(((p["x"] - x) * (u - x) + (p["y"] - y) * (v - y)).alias("t"), p.alias("p")))
+    path = F.concat(F.array(point(x, y)), F.transform(F.array_sort(along), lambda c: c["p"]), F.array(point(u, v)))
+    lines = F.zip_with(F.slice("path", F.lit(1), F.size("path") - 1), F.slice("path", F.lit(2), F.size("path") - 1), lambda p, q: F.struct(F.least(p, q).alias("p"), F.greatest(p, q).alias("q")))
+    pieces = cut_edges.select(*keys, path.alias("path")).select(*keys, F.explode(lines).alias("l")).where("l.p <> l.q")
+    odd = pieces.groupBy(*keys, "l").agg(F.count("*").alias("n")).where("n % 2 = 1").select(*keys, *[F.col(f"l.{p}.{c}").alias(f"_{p}{c}") for p in "pq" for c in "xy"])
+    kinds = dict(rows.dtypes)
+    columns = [*keys, "part_id", "ring", "holes"]
+
+    def trace(group: pd.DataFrame) -> pd.DataFrame:
+        lines = [((px, py), (qx, qy)) for px, py, qx, qy in group[["_px", "_py", "_qx", "_qy"]].sort_values(["_px", "_py", "_qx", "_qy"]).itertuples(index=False)]
+        own = [group[k].iloc[0] for k in keys]
+
+        def points(r: list[Point]) -> list[dict]:
+            return [{"x": x, "y": y} for x, y in r]
+
+        out = [(*own, k, points(ring), [points(h) for h in holes]) for k, (ring, holes) in enumerate(even_odd_parts(lines))]
+        return pd.DataFrame(out, columns=columns)
+
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    return odd.groupBy(*keys).applyInPandas(trace, f"{schema}, part_id int, ring array<struct<x:double,y:double>>, holes {RINGS}")
+
+
+def repair(rows: DataFrame, key: str | list[str] = "object_id") -> DataFrame:
+    """(key, part_id, ring, holes): the parts of each ring of rows (key, ring) by the even-odd rule.
+
+    A valid ring is its only part, one without area has none, nor has a null ring. Places that a ring winds round twice are
+    outside; parts touch each other in points at most; spikes go. key is unique and not null.
+    """
+    keys = _keys(key)
+    flagged = validity(rows.select(*keys, "ring"), keys)
+    whole = flagged.where("valid").select(*keys, F.lit(0).alias("part_id"), _clean(F.col("ring")).alias("ring"), F.array().cast(RINGS).alias("holes"))
+    tangled = flagged.where("enough_points AND NOT valid").select(*keys, F.array("ring").alias("rings"))
+    return whole.unionByName(split_even_odd(tangled, keys))

@@ -266,6 +266,22 @@ SQL: dict[str, str] = {
  k as (select object_id, raster_id, greatest(a,0) as col0, greatest(b,0) as row0, least(a+w,width) as c1, least(b+h,height) as r1 from j)
  select object_id, raster_id, col0, row0, c1-col0 as w, r1-row0 as h from k where c1>col0 and r1>row0""",
     "box_labels": f"""with {_ALL_LABELS} select object_id, raster_id, x0, y0, x1, y1, x2, y2, edge, round((x1+x2)/2/tile,6) as xc, round((y1+y2)/2/tile,6) as yc, round((x2-x1)/tile,6) as w, round((y2-y1)/tile,6) as h from lab""",
+    "part_labels": f"""with {_LAYER}, {_SIZED}, {_GRID}, {_BOX},
+ placed as (select h.object_id, h.raster_id, h.x0, h.y0, h.tile, (o.cx-case when p.used_crs_fallback then 5000000.0::double else 0 end) as ux, o.cy, o.hw, o.hh, s.x_left, s.y_top, s.px
+ from hits h join fx_objects o using (object_id) join layered p on p.object_id=h.object_id and p.raster_id=h.raster_id join sized s on s.raster_id=h.raster_id),
+ pieces as (select *, 'base' as piece, (ux-hw-x_left)/px as xa, (ux+hw-x_left)/px as xb, (y_top-cy)/px as ya, (y_top-(cy-hh))/px as yb from placed
+ union all select *, 'left', (ux-hw-x_left)/px, (ux-hw/2-x_left)/px, (y_top-(cy+hh))/px, (y_top-cy)/px from placed
+ union all select *, 'right', (ux+hw/2-x_left)/px, (ux+hw-x_left)/px, (y_top-(cy+hh))/px, (y_top-cy)/px from placed),
+ cut as (select object_id, raster_id, x0, y0, tile, piece, greatest(xa,x0) as xa, least(xb,x0+tile) as xb, greatest(ya,y0) as ya, least(yb,y0+tile) as yb from pieces),
+ held as (select *, bool_or(piece='base') over (partition by object_id, raster_id, x0, y0) as joined from cut where xa<xb and ya<yb),
+ boxes as (select object_id, raster_id, x0, y0, tile, floor(min(xa))::bigint as c0, floor(max(xb))::bigint as c1, floor(min(ya))::bigint as r0, floor(max(yb))::bigint as r1
+ from held group by object_id, raster_id, x0, y0, tile, case when joined then 'all' else piece end),
+ lab as (select *, (x1<=0 or y1<=0 or x2>=tile-1 or y2>=tile-1) as edge from (select object_id, raster_id, x0, y0, tile,
+ least(greatest(c0-x0,0),tile-1) as x1, least(greatest(r0-y0,0),tile-1) as y1, least(greatest(c1-x0,0),tile-1) as x2, least(greatest(r1-y0,0),tile-1) as y2 from boxes)
+ where x2-x1>1 and y2-y1>1 and (x2-x1)*(y2-y1)>=80)
+ select object_id, raster_id, x0, y0, x1, y1, x2, y2, edge, round((x1+x2)/2/tile,6) as xc, round((y1+y2)/2/tile,6) as yc, round((x2-x1)/tile,6) as w, round((y2-y1)/tile,6) as h from lab""",
+    "repair_stars": """select object_id, case object_id%3 when 2 then 2 else 1 end as n_parts, case object_id%3 when 0 then 1 else 0 end as n_holes,
+ round(case object_id%3 when 0 then 3*hw*hh when 1 then 4*hw*hh else 2*hw*hh end, 3) as area from fx_objects""",
     "flagship": f"with {_ALL_LABELS} select modality, class_name, edge, count(*) as n_boxes from lab group by 1,2,3",
     "parse_labels": f"with {_PARSED} select image, case cls when 3 then 2 else cls end as cls, xc, yc, w, h from pl where cls in (0,1,3)",
     "bad_boxes": f"with {_PARSED} select image, count(*) as n_boxes, count(*) filter (not coalesce({_VALID},false)) as n_bad from pl group by 1",

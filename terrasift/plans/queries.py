@@ -369,6 +369,32 @@ def box_labels(objects: DataFrame, rasters: DataFrame) -> DataFrame:
     return out.select("object_id", "raster_id", "x0", "y0", "x1", "y1", "x2", "y2", "edge", *r6("xc", "yc", "w", "h"))
 
 
+def _u_shapes() -> object:
+    """Rings shaped like a U in the raster's system: a base below and an arm at either side."""
+    cx, _, w, h = (F.when(F.col("used_crs_fallback"), moved).otherwise(F.col(own)) for moved, own in zip(_same_zone(), ("cx", "cy", "hw", "hh")))
+    y = F.col("cy")
+    return F.array(G.ring((cx - w, y - h), (cx + w, y - h), (cx + w, y + h), (cx + w / 2, y + h), (cx + w / 2, y), (cx - w / 2, y), (cx - w / 2, y + h), (cx - w, y + h)))
+
+
+@query("fx_objects", "fx_rasters")
+def part_labels(objects: DataFrame, rasters: DataFrame) -> DataFrame:
+    out = spatial.labelled_tiles(objects, rasters, _same_zone, _u_shapes)
+    return out.select("object_id", "raster_id", "x0", "y0", "x1", "y1", "x2", "y2", "edge", *r6("xc", "yc", "w", "h"))
+
+
+@query("fx_objects")
+def repair_stars(objects: DataFrame) -> DataFrame:
+    x, y, w, h = F.col("cx"), F.col("cy"), F.col("hw"), F.col("hh")
+    # a closed path that winds round the middle square twice: two overlapping squares, or with a spike
+    twice = G.ring((x - w, y - h), (x + w, y - h), (x + w, y + h), (x - w, y + h), (x - w, y - h), (x - w / 2, y - h / 2), (x + w / 2, y - h / 2), (x + w / 2, y + h / 2), (x - w / 2, y + h / 2), (x - w / 2, y - h / 2))
+    spike = G.ring((x - w, y - h), (x + w, y - h), (x + w, y), (x + 3 * w, y), (x + w, y), (x + w, y + h), (x - w, y + h))
+    corner = G.ring((x - w, y - h), (x, y - h), (x, y), (x + w, y), (x + w, y + h), (x, y + h), (x, y), (x - w, y))
+    ring = F.when(F.col("object_id") % 3 == 0, twice).when(F.col("object_id") % 3 == 1, spike).otherwise(corner)
+    parts = repair(objects.select("object_id", ring.alias("ring")))
+    area = G.area(F.col("ring")) - F.aggregate("holes", F.lit(0.0), lambda s, r: s + G.area(r))
+    return parts.groupBy("object_id").agg(F.count("*").alias("n_parts"), F.sum(F.size("holes")).alias("n_holes"), F.round(F.sum(area), 3).alias("area"))
+
+
 @query("fx_objects", "fx_rasters")
 def flagship(objects: DataFrame, rasters: DataFrame) -> DataFrame:
     return spatial.labelled_tiles(objects, rasters, _same_zone).groupBy("modality", "class_name", "edge").agg(F.count("*").alias("n_boxes"))

@@ -247,15 +247,88 @@ def test_a_cluster_without_a_shared_folder_is_an_error():
         scratch.scratch_dir(Session)
 
 
-def test_rings_that_cross_themselves_fall_into_parts():
-    def area(r):
-        return abs(sum(x * r[k - 1][1] - r[k - 1][0] * y for k, (x, y) in enumerate(r))) / 2
-
-    star = [(np.cos(4 * np.pi * k / 5), np.sin(4 * np.pi * k / 5)) for k in range(5)]
-    parts = validity.untangled(star)
-    assert len(parts) >= 2 and all(validity._first_crossing(p) is None for p in parts)
-    assert validity.untangled([(0, 0), (1, 0), (2, 0)]) == [] and validity.untangled([(0, 0), (2, 0), (2, 0), (2, 2)]) == [[(0, 0), (2, 0), (2, 2)]]
-    assert sorted(map(area, validity.untangled([(0, 0), (4, 4), (4, 0), (0, 4)]))) == [4.0, 4.0]
+def _ring_area(r):
+    return abs(sum(x * r[k - 1][1] - r[k - 1][0] * y for k, (x, y) in enumerate(r))) / 2
+
+
+def _even_odd_pixels(rings, size, per=10):
+    """Area by the even-odd rule, from the middles of small squares."""
+    n = 0
+    for a in range(int(size * per)):
+        for b in range(int(size * per)):
+            x, y = (a + 0.5) / per, (b + 0.5) / per
+            n += sum((r[k - 1][1] > y) != (v > y) and x < (r[k - 1][0] - u) * (y - v) / (r[k - 1][1] - v) + u for r in rings for k, (u, v) in enumerate(r)) % 2
+    return n / per**2
+
+
+ODD_RINGS = {
+    0: [(np.cos(4 * np.pi * k / 5), np.sin(4 * np.pi * k / 5)) for k in range(5)],
+    1: [(0, 0), (1, 0), (2, 0)],
+    2: [(0, 0), (2, 0), (2, 0), (2, 2), (0, 0)],
+    3: [(0, 0), (4, 4), (4, 0), (0, 4)],
+    4: [(0, 0), (4, 0), (4, 4), (8, 4), (4, 4), (0, 4)],  # a spike
+    5: [(0, 0), (4, 0), (4, 4), (2, 0), (0, 4)],  # touches its lower edge
+    6: [(0, 0), (6, 0), (6, 6), (3, 6), (3, 4), (2, 2), (4, 2), (3, 4), (3, 6), (0, 6)],  # a slit to a hole
+    7: [(0, 0), (2, 0), (2, 2), (2, 2), (4, 2), (4, 4), (2, 4), (2, 2), (0, 2)],  # two squares that share a corner
+    8: [(0, 0), (4, 0), (4, 4), (0, 4)],
+    9: [], 10: None, 11: [(1, 1)],
+}
+
+
+def _point_rows(rings):
+    return [(k, None if r is None else [(float(x), float(y)) for x, y in r]) for k, r in rings.items()]
+
+
+def test_rings_fall_into_parts_by_the_even_odd_rule(spark):
+    schema = "object_id long, ring array<struct<x:double,y:double>>"
+    rows = spark.createDataFrame(_point_rows(ODD_RINGS), schema)
+    flags = {r.object_id: (r.self_crossing, r.self_touching, r.valid) for r in validity.validity(rows).collect()}
+    assert flags[0] == flags[3] == (True, False, False) and flags[8] == flags[2] == (False, False, True) and flags[10] == (None, None, None)
+    assert all(flags[k] == (False, True, False) for k in (4, 5, 6, 7)) and not flags[1][2] and not flags[9][2] and not flags[11][2]
+    parts = {}
+    for r in validity.repair(rows).collect():
+        parts.setdefault(r.object_id, []).append(_ring_area(r.ring) - sum(map(_ring_area, r.holes)))
+    want = {0: [0.1551] * 5, 2: [2], 3: [4, 4], 4: [16], 5: [4, 4], 6: [34], 7: [4, 4], 8: [16]}
+    assert {k: sorted(round(float(a), 4) for a in v) for k, v in parts.items()} == want
+    assert abs(sum(parts[0]) - 0.7757) < 0.0001  # 1.12 within the outline, less what it winds round twice
+
+
+def test_long_tangled_rings_equal_pixels_and_short_ones(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(7)
+    rings = {k: [(rnd.randint(0, 12), rnd.randint(0, 12)) for _ in range(rnd.choice([5, 9, 14]))] for k in range(8)}
+    rows = spark.createDataFrame(_point_rows(rings), "object_id long, ring array<struct<x:double,y:double>>")
+    short = {r.object_id: r for r in validity.validity(rows).collect()}
+    monkeypatch.setattr(validity, "SHORT", 3)
+    assert {r.object_id: r for r in validity.validity(rows).collect()} == short
+    found = dict.fromkeys(rings, 0.0)
+    for r in validity.repair(rows).collect():
+        found[r.object_id] += _ring_area(r.ring) - sum(map(_ring_area, r.holes))
+        assert len(set(r.ring)) == len(r.ring)
+    for k, ring in rings.items():
+        assert abs(found[k] - _even_odd_pixels([ring], 12)) < 1.5, k
+
+
+def test_shapes_cut_by_a_tile_give_a_box_for_each_part(spark):
+    u = [(2, 2), (30, 2), (30, 30), (20, 30), (20, 10), (12, 10), (12, 30), (2, 30)]
+    ell = [(2, 2), (30, 2), (30, 10), (10, 10), (10, 30), (2, 30)]
+    frame, hole = [(2, 2), (30, 2), (30, 30), (2, 30)], [(8, 8), (24, 8), (24, 24), (8, 24)]
+    shapes = {1: [u], 2: [ell], 3: [frame, hole], 4: [[(16, 0), (32, 16), (16, 32), (0, 16)]], 5: [[(40, 0), (80, 0), (40, 80)]], 6: None, 7: []}
+    tiles = [(k, 0, 16, 16, 16) for k in shapes] + [(1, 0, 0, 64, 64), (3, 0, 16, 0, 8), (4, 0, 16, 0, 8), (5, 0, 64, 64, 8), (2, 0, 12, 12, 16)]
+    rows = [(k, x0, y0, tile, None if shapes[k] is None else [[(float(x), float(y)) for x, y in r] for r in shapes[k]]) for k, _, x0, y0, tile in tiles]
+    hits = spark.createDataFrame(rows, "object_id long, x0 long, y0 long, tile long, rings array<array<struct<x:double,y:double>>>")
+    found = {}
+    for r in spatial.clip_parts(hits, ["object_id", "x0", "y0", "tile"]).collect():
+        box = min(p.x for p in r.ring), min(p.y for p in r.ring), max(p.x for p in r.ring), max(p.y for p in r.ring)
+        found.setdefault((r.object_id, r.x0, r.y0), []).append((*box, _ring_area(r.ring) - sum(map(_ring_area, r.holes))))
+    assert {k: sorted(v) for k, v in found.items()} == {
+        (1, 16, 16): [(20, 16, 30, 30, 140)], (3, 16, 16): [(16, 16, 30, 30, 132)], (3, 16, 0): [(16, 2, 24, 8, 48)],
+        (4, 16, 16): [(16, 16, 32, 32, 128)], (4, 16, 0): [(16, 0, 24, 8, 32)],
+    }
+    wide = hits.where("object_id IN (1, 2)").select("object_id", F.lit(0).alias("x0"), F.lit(16).alias("y0"), F.lit(64).alias("tile"), "rings").distinct()
+    cut = sorted((r.object_id, min(p.x for p in r.ring), max(p.x for p in r.ring)) for r in spatial.clip_parts(wide, ["object_id", "x0", "y0", "tile"]).collect())
+    assert cut == [(1, 2, 12), (1, 20, 30), (2, 2, 10)]
 
 
 def test_boxes_meet_as_by_brute_force_whatever_their_size(spark):

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrasift.functions import geometry as G
+from terrasift.sources.scratch import cut_lineage
 
 from .grid import box_pairs, levels_of
 from .validity import split_even_odd
@@ -217,7 +218,7 @@ def clip_parts(hits: DataFrame, keys: list[str]) -> DataFrame:
         return F.size(F.filter(lines, lambda e: (e[a] == bound) & (e[b] == bound)))
 
     whole = F.greatest(along("x", "u", x0), along("x", "u", x1), along("y", "v", y0), along("y", "v", y1)) < 2
-    rows = rows.where("size(rings) > 0").withColumn("_whole", whole)
+    rows = cut_lineage(rows.where("size(rings) > 0").select(*keys, "rings", whole.alias("_whole")))
     ring = F.col("rings")[0]
     one = rows.where(F.col("_whole") & (G.area(ring) > 0))
     one = one.select(*keys, F.lit(0).alias("part_id"), ring.alias("ring"), F.slice("rings", F.lit(2), F.size("rings") - 1).alias("holes"))

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrasift.functions.geometry import area, edges, perimeter, polygon_box
+from terrasift.sources.scratch import cut_lineage
 
 from .grid import box_pairs
 
@@ -26,9 +28,9 @@ def _keys(key: str | list[str]) -> list[str]:
 
 
 def _clean(r: Column) -> Column:
-    """A ring of doubles without points equal to the one before, so that no edge is a point."""
-    r = F.transform(r, lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y")))
-    return F.filter(r, lambda p, i: p != F.get(r, F.when(i == 0, F.size(r) - 1).otherwise(i - 1)))
+    """A ring of doubles without points equal to the one after, so that no edge is a point."""
+    moves = F.filter(edges(r), lambda e: (e["x"] != e["u"]) | (e["y"] != e["v"]))
+    return F.transform(moves, lambda e: F.struct(e["x"].cast("double").alias("x"), e["y"].cast("double").alias("y")))
 
 
 def _numbered(rings: Column) -> Column:
@@ -96,11 +98,12 @@ def _flags(rows: DataFrame, keys: list[str]) -> DataFrame:
     def some(test) -> Column:
         return F.exists("_e", lambda a: F.exists("_e", lambda b: _before(a, b) & test(a, b)))
 
+    rest = cut_lineage(rows.where(long))
     short = rows.where(~long).withColumn("_e", _numbered(F.col("rings")))
     short = short.withColumn("self_crossing", some(_cross)).withColumn("self_touching", some(_touch)).drop("_e")
     a, b = F.col("a"), F.col("b")
-    found = edge_pairs(rows.where(long).select(*keys, "rings"), keys).groupBy(*keys).agg(F.bool_or(_cross(a, b)).alias("self_crossing"), F.bool_or(_touch(a, b)).alias("self_touching"))
-    return short.unionByName(rows.where(long).join(found, keys, "left").fillna(False, ["self_crossing", "self_touching"]))
+    found = edge_pairs(rest.select(*keys, "rings"), keys).groupBy(*keys).agg(F.bool_or(_cross(a, b)).alias("self_crossing"), F.bool_or(_touch(a, b)).alias("self_touching"))
+    return short.unionByName(rest.join(found, keys, "left").fillna(False, ["self_crossing", "self_touching"]))
 
 
 def validity(rows: DataFrame, key: str | list[str] = "object_id") -> DataFrame:
@@ -110,12 +113,13 @@ def validity(rows: DataFrame, key: str | list[str] = "object_id") -> DataFrame:
     edge (a spike). Points that repeat the one before and a last point equal to the first count once. Of a null ring all flags are null.
     """
     keys = _keys(key)
+    rows = rows.withColumnRenamed("rings", "_own_rings")  # a column of the caller
     whole = rows.where("ring IS NOT NULL").withColumn("rings", F.array(_clean(F.col("ring"))))
     flagged = _flags(whole, keys)
     ring = F.col("rings")[0]
     flagged = flagged.withColumn("enough_points", F.size(ring) >= 3).withColumn("has_area", area(ring) > 0)
     flagged = flagged.withColumn("valid", F.col("enough_points") & F.col("has_area") & ~F.col("self_crossing") & ~F.col("self_touching")).drop("rings")
-    return flagged.unionByName(rows.where("ring IS NULL"), allowMissingColumns=True)
+    return flagged.unionByName(rows.where("ring IS NULL"), allowMissingColumns=True).withColumnRenamed("_own_rings", "rings")
 
 
 Point = tuple[float, float]
@@ -215,10 +219,10 @@ def split_even_odd(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, part_id, ring, holes): the regions of rows (keys, rings) by the even-odd rule over all rings; keys are unique.
 
     Edges are cut where they meet (pairs from edge_pairs), pieces that lie on each other an even number of times go, as both of
-    their sides are alike, and what is left of one row bounds its regions. A row's pieces are one group, as its rings were one value.
+    their sides are alike, and what is left of one row bounds its regions. A row's pieces are one value, as its rings were.
     Crossings are rounded to 2**-30 of the rings' extent, so that lines through one point meet in one.
     """
-    rows = rows.withColumn("rings", F.transform("rings", _clean))
+    rows = cut_lineage(rows.select(*keys, F.transform("rings", _clean).alias("rings")))
     a, b = F.col("a"), F.col("b")
     x0, y0, x1, y1 = polygon_box(F.col("rings"))
     grain = F.greatest(x1 - x0, y1 - y0) * 2.0**-30
@@ -250,22 +254,27 @@ def split_even_odd(rows: DataFrame, keys: list[str]) -> DataFrame:
     path = F.concat(F.array(point(x, y)), F.transform(F.array_sort(along), lambda c: c["p"]), F.array(point(u, v)))
     lines = F.zip_with(F.slice("path", F.lit(1), F.size("path") - 1), F.slice("path", F.lit(2), F.size("path") - 1), lambda p, q: F.struct(F.least(p, q).alias("p"), F.greatest(p, q).alias("q")))
     pieces = cut_edges.select(*keys, path.alias("path")).select(*keys, F.explode(lines).alias("l")).where("l.p <> l.q")
-    odd = pieces.groupBy(*keys, "l").agg(F.count("*").alias("n")).where("n % 2 = 1").select(*keys, *[F.col(f"l.{p}.{c}").alias(f"_{p}{c}") for p in "pq" for c in "xy"])
-    kinds = dict(rows.dtypes)
-    columns = [*keys, "part_id", "ring", "holes"]
-
-    def trace(group: pd.DataFrame) -> pd.DataFrame:
-        lines = [((px, py), (qx, qy)) for px, py, qx, qy in group[["_px", "_py", "_qx", "_qy"]].sort_values(["_px", "_py", "_qx", "_qy"]).itertuples(index=False)]
-        own = [group[k].iloc[0] for k in keys]
-
-        def points(r: list[Point]) -> list[dict]:
-            return [{"x": x, "y": y} for x, y in r]
-
-        out = [(*own, k, points(ring), [points(h) for h in holes]) for k, (ring, holes) in enumerate(even_odd_parts(lines))]
-        return pd.DataFrame(out, columns=columns)
+    odd = pieces.groupBy(*keys, "l").agg(F.count("*").alias("n")).where("n % 2 = 1")
+    bounds = odd.groupBy(*keys).agg(F.array_sort(F.collect_list("l")).alias("lines"))
+    kind = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
+
+    def points(r: list[Point]) -> list[dict]:
+        return [{"x": x, "y": y} for x, y in r]
+
+    def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple] = []
+            for at, lines in enumerate(batch.column(len(keys))):
+                pairs = [((e["p"]["x"], e["p"]["y"]), (e["q"]["x"], e["q"]["y"])) for e in lines.as_py()]
+                found += [(at, k, points(ring), [points(h) for h in holes]) for k, (ring, holes) in enumerate(even_odd_parts(pairs))]
+            at, *made = zip(*found) if found else ([], [], [], [])
+            own = [batch.column(k).take(pa.array(at, pa.int64())) for k in range(len(keys))]
+            made = [pa.array(v, t) for v, t in zip(made, (pa.int32(), kind, pa.list_(kind)))]
+            yield pa.RecordBatch.from_arrays([*own, *made], [*keys, "part_id", "ring", "holes"])
 
+    kinds = dict(rows.dtypes)
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
-    return odd.groupBy(*keys).applyInPandas(trace, f"{schema}, part_id int, ring array<struct<x:double,y:double>>, holes {RINGS}")
+    return bounds.mapInArrow(trace, f"{schema}, part_id int, ring array<struct<x:double,y:double>>, holes {RINGS}")
 
 
 def repair(rows: DataFrame, key: str | list[str] = "object_id") -> DataFrame:
@@ -275,7 +284,7 @@ def repair(rows: DataFrame, key: str | list[str] = "object_id") -> DataFrame:
     outside; parts touch each other in points at most; spikes go. key is unique and not null.
     """
     keys = _keys(key)
-    flagged = validity(rows.select(*keys, "ring"), keys)
+    flagged = cut_lineage(validity(rows.select(*keys, "ring"), keys))
     whole = flagged.where("valid").select(*keys, F.lit(0).alias("part_id"), _clean(F.col("ring")).alias("ring"), F.array().cast(RINGS).alias("holes"))
     tangled = flagged.where("enough_points AND NOT valid").select(*keys, F.array("ring").alias("rings"))
     return whole.unionByName(split_even_odd(tangled, keys))

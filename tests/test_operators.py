@@ -293,6 +293,13 @@ def test_rings_fall_into_parts_by_the_even_odd_rule(spark):
     assert abs(sum(parts[0]) - 0.7757) < 0.0001  # 1.12 within the outline, less what it winds round twice
 
 
+def test_no_rings_and_columns_of_the_caller(spark):
+    rows = spark.createDataFrame([(1, [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0)], "mine", 3)], "object_id long, ring array<struct<x:double,y:double>>, rings string, n int")
+    assert validity.validity(rows).select("rings", "n", "valid").first() == ("mine", 3, True)
+    assert validity.validity(rows.limit(0)).count() == 0 and validity.repair(rows.limit(0)).count() == 0
+    assert [(r.object_id, len(r.ring), r.holes) for r in validity.repair(rows).collect()] == [(1, 3, [])]
+
+
 def test_long_tangled_rings_equal_pixels_and_short_ones(spark, monkeypatch):
     import random
 

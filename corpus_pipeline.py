@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrasift.llm import line_dedup, mixing, packing, quality_rules, simhash
+from terrasift.llm import line_dedup, mixing, packing, quality_rules, similar
 from terrasift.llm.common import cut_lineage
 
 
@@ -26,10 +26,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that of the smallest id.
 
-    Groups are those of operator 1: 3-word SimHashes at most 3 bits apart. Texts without a word are one group; a group without
-    any id keeps the document of the smallest text hash; of rows equal in id and text one stays.
+    Near duplicates share 0.8 or more of their 5-word shingles (Jaccard, exact); groups are what links of such pairs reach.
+    Texts without a word are one group; a group without any id keeps the document of the smallest text hash; of rows equal
+    in id and text one stays.
     """
-    return simhash.deduplicate(docs)
+    return similar.deduplicate(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

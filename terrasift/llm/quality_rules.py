@@ -40,6 +40,8 @@ class Limits:
     min_words: int = 50  # texts of fewer words are not judged by common words
     common_words: int = 50  # words in a language's reference
     max_word_chars: int = 8  # longer words are not common words
+    min_docs: int = 20  # other documents that a language needs to be judged by its own reference
+    main_share: float = 0.01  # share of the documents that makes a language a main one; so there are at most 100
     prior_docs: float = 5.0  # documents of all languages that a language's character classes are mixed with
 
 
@@ -179,8 +181,9 @@ def _with_row_of(docs: DataFrame, table: DataFrame, lang_col: str, id_col: str |
 
 
 def references(docs: DataFrame, limits: Limits = Limits(), *, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(lang, words, by_words, by_classes) for every language key that has a word: the sums of its documents' histograms.
+    """(lang, n, words, by_words, by_classes) for every language key that has a word: the sums of its documents' histograms.
 
+    n is the number of the documents in the sums.
     Every document with a word counts alike. Only texts of the same words in the same order (see plain_words) count
     once, or one text with thousands of copies would pull its language towards itself; near copies that differ in a word
     count each. To the classes of a language those of limits.prior_docs average documents of all languages are added, so
@@ -233,61 +236,95 @@ def references(docs: DataFrame, limits: Limits = Limits(), *, text_col: str = "t
     prior = F.array(*[F.lit(float(x)) for x in limits.prior_docs * every / max(1.0, every.sum())])
     arrays = total.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("h")).select("lang", F.col("h.v").alias("h"))
     classes = F.zip_with(F.slice("h", 1, N_CLASSES), prior, lambda a, b: a + b)
-    arrays = arrays.select("lang", F.slice("h", N_CLASSES + 1, limits.common_words + 2).alias("by_words"), classes.alias("by_classes"))
-    return arrays.join(lists.withColumnRenamed("lang", "_lang"), F.col("lang") == F.col("_lang"), "left").select("lang", "words", "by_words", "by_classes")
+    n = F.round(F.aggregate(F.slice("h", 1, N_CLASSES), F.lit(0.0), lambda a, x: a + x)).cast("long")
+    arrays = arrays.select("lang", n.alias("n"), F.slice("h", N_CLASSES + 1, limits.common_words + 2).alias("by_words"), classes.alias("by_classes"))
+    return arrays.join(lists.withColumnRenamed("lang", "_lang"), F.col("lang") == F.col("_lang"), "left").select("lang", "n", "words", "by_words", "by_classes")
 
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def judge(text: str | None, reference: Reference, limits: Limits) -> tuple:
-    """The five base counts, base_failed, kept, class_distance and word_distance of a text."""
+def _without(total: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """A reference without a document's own share, which was added up as 32-bit floats."""
+    return np.maximum(total - (own / own.sum()).astype(np.float32), 0.0)
+
+
+def distances(text: str, reference: Reference, leave_out: bool = False) -> tuple[float, float]:
+    """(word distance, class distance); with leave_out the text is part of the reference and is taken out of it first."""
+    places, by_words, by_classes = reference
+    words, classes = word_histogram(text, places), class_counts(text)
+    if leave_out and words.sum():
+        by_words, by_classes = _without(by_words, words), _without(by_classes, classes)
+    return distance(words, by_words), distance(classes, by_classes) if text else 1.0
+
+
+def judge(text: str | None, by: list[Reference], limits: Limits, leave_out: bool = False) -> tuple:
+    """The five base counts, base_failed, kept, class_distance and word_distance of a text, by the reference nearest in words."""
     text = text or ""
     n_words, word_chars, n_symbols, dup_lines, repeated = base_counts(text)
     base_failed = n_words < 50 or 100 * repeated > 50 * n_words
-    places, by_words, by_classes = reference
-    by_class = distance(class_counts(text), by_classes) if text else 1.0
-    by_word = distance(word_histogram(text, places), by_words)
+    by_word, by_class = min(distances(text, r, leave_out) for r in by)
     bad = (len(text) >= limits.min_chars and by_class > limits.class_distance) or (n_words >= limits.min_words and by_word > limits.word_distance)
     return n_words, word_chars, n_symbols, dup_lines, repeated, base_failed, not base_failed and not bad, by_class, by_word
 
 
+def _reference(row: dict) -> Reference:
+    if row["by_words"] is None:
+        return NOTHING
+    return {w.encode(): k for k, w in enumerate(row["words"] or ())}, np.array(row["by_words"]), np.array(row["by_classes"])
+
+
+def main_references(known: DataFrame, limits: Limits) -> list[Reference]:
+    """The references of more than limits.min_docs documents that hold limits.main_share of all at least, by language."""
+    total = known.agg(F.sum("n")).first()[0] or 0
+    rows = known.where((F.col("n") > limits.min_docs) & (F.col("n") >= limits.main_share * total)).orderBy("lang").collect()
+    return [_reference(r.asDict()) for r in rows]
+
+
 def apply_rules(
     docs: DataFrame, limits: Limits = Limits(), *, text_col: str = "text", lang_col: str = "lang", reference: DataFrame | None = None,
 ) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, class_distance and word_distance.
 
-    Columns of these names are replaced. The references are taken from docs itself unless given. A document is judged by
-    its language's reference, which the document itself is part of, so a language of few documents is judged leniently;
-    documents without a language are judged by all of their like. A null text counts as empty: all counts 0,
+    Columns of these names are replaced. The references are taken from docs itself unless given (columns as of references).
+    A document is judged by its language's reference without the document itself, so that none vouches for itself (of texts
+    of the same words, which count once, each is taken out). A language of fewer than limits.min_docs other documents has
+    no reference of its own: its documents are judged by the nearest of the main languages, so a text under a wrong or
+    unheard-of language is judged as what it is, and texts of a truly different, rare language go. Where a table has no
+    main language either, each is judged by its own, itself included. Documents without a language are one. A null text counts as empty: all counts 0,
     base_failed, distances 1. Ties, repeated rows and ids play no part; an empty table gives an empty result. Whole
     texts are read, one at a time.
     """
     bound_batches(docs.sparkSession)
     made = [*MEASURES, "base_failed", "kept", "class_distance", "word_distance"]
     known = cut_lineage(references(docs, limits, text_col=text_col, lang_col=lang_col)) if reference is None else reference
+    own_docs, main = reference is None, main_references(known, limits)
     columns = [c for c in docs.columns if c not in made or c in (text_col, lang_col)]
     packed = docs.select(F.struct(*columns).alias("_row"), F.col(lang_col).alias("_language"), F.xxhash64(text_col).alias("_salt_by"))
-    own = _with_row_of(packed, known, "_language", "_salt_by").select("_row.*", F.col("_lang").alias("_key"), F.struct("words", "by_words", "by_classes").alias("_ref"))
+    own = _with_row_of(packed, known, "_language", "_salt_by").select("_row.*", F.col("_lang").alias("_key"), F.struct("n", "words", "by_words", "by_classes").alias("_ref"))
     types = [*[pa.int64()] * 5, pa.bool_(), pa.bool_(), pa.float64(), pa.float64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, Reference] = {}
+        held: dict[str, tuple[list[Reference], bool]] = {}
 
-        def reference_of(key: str, row: pa.StructScalar) -> Reference:
+        def reference_of(key: str, row: pa.StructScalar) -> tuple[list[Reference], bool]:
+            """References of a language, and whether its documents are taken out of them."""
             if key not in held:
                 if len(held) >= LANGUAGES_HELD:
                     held.clear()
                 r = row.as_py()
-                held[key] = NOTHING if r["by_words"] is None else (
-                    {w.encode(): k for k, w in enumerate(r["words"] or ())}, np.array(r["by_words"]), np.array(r["by_classes"]))
+                own = (r["n"] or 0) > limits.min_docs
+                held[key] = ([_reference(r)] if own or not main else main, own and own_docs)
             return held[key]
 
         for batch in batches:
             table = pa.Table.from_batches([batch]).select(columns)
             refs = batch.column(batch.num_columns - 1)
             keys = batch.column(batch.num_columns - 2).to_pylist()
-            rows = [judge(text.as_py(), reference_of(key, refs[at]), limits) for at, (text, key) in enumerate(zip(batch.column(text_col), keys))]
+            rows = []
+            for at, (text, key) in enumerate(zip(batch.column(text_col), keys)):
+                by, leave_out = reference_of(key, refs[at])
+                rows.append(judge(text.as_py(), by, limits, leave_out))
             for name, kind, values in zip(made, types, zip(*rows) if rows else [[]] * len(made)):
                 table = table.append_column(name, pa.array(values, kind))
             yield from table.to_batches()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +23,11 @@ CELL_PART = 8192
 _HASHED_TOGETHER = 65_536
 
 
-def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
-    """64-bit SimHash of the word shingles of a text; 0 without words."""
+def shingle_hashes(text: str | None, shingle: int = 3, seed: int = 42) -> Iterator[np.ndarray]:
+    """The hashes of all word shingles of a text in blocks, repeats included; none without words."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return
     n = max(1, len(words) - shingle + 1)
     joined = b" ".join(words)
     starts = [0]
@@ -35,14 +35,25 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
         starts.append(starts[-1] + len(w) + 1)
     last = min(shingle, len(words))
     digest = xxhash.xxh64_intdigest
-    counts = np.zeros(64, np.int64)
     for at in range(0, n, _HASHED_TOGETHER):
         end = min(n, at + _HASHED_TOGETHER)
-        hashes = np.array([digest(joined[i:j - 1], seed) for i, j in zip(starts[at:end], starts[at + last:end + last])], ">u8")
-        counts += np.unpackbits(hashes.view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+        yield np.array([digest(joined[i:j - 1], seed) for i, j in zip(starts[at:end], starts[at + last:end + last])], np.uint64)
+
+
+def simhash(blocks: Iterable[np.ndarray]) -> int:
+    """64 bits, each set if it is set in over half the hashes; 0 without hashes."""
+    n, counts = 0, np.zeros(64, np.int64)
+    for hashes in blocks:
+        n += len(hashes)
+        counts += np.unpackbits(hashes.astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 
+def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
+    """64-bit SimHash of the word shingles of a text; 0 without words."""
+    return simhash(shingle_hashes(text, shingle, seed))
+
+
 def with_fingerprint(docs: DataFrame, *, text_col: str = "text", shingle: int = 3, out_col: str = "fp") -> DataFrame:
     """docs with the fingerprint as a signed long in out_col."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +214,6 @@ def deduplicate(docs: DataFrame, most: int = 3, *, id_col: str = "doc_id", text_
     Of rows that share an id but not a text the one with the smallest text hash stays. A component without any id keeps
     the row with the smallest text hash.
     """
-    key = [F.col("_dedup_id"), F.col("_dedup_hash")]
     own = docs.select("*", F.col(id_col).cast("long").alias("_dedup_id"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("_dedup_hash"))
     narrow = own.select("_dedup_id", "_dedup_hash", F.col(text_col).alias("text")).select(F.struct("_dedup_id", "_dedup_hash").alias("k"), "text")
     prints = cut_lineage(with_fingerprint(narrow, shingle=shingle).select("k", "fp"))
@@ -212,8 +222,17 @@ def deduplicate(docs: DataFrame, most: int = 3, *, id_col: str = "doc_id", text_
     linked = nodes.join(parts, nodes["fp"] == parts["node"], "left")
     firsts = linked.groupBy(F.coalesce("component", "fp").alias("c")).agg(F.min("least").alias("_k"))
     firsts = firsts.select(F.col("_k.k._dedup_id").alias("_first_id"), F.col("_k.k._dedup_hash").alias("_first_hash")).distinct()
-    on = key[0].eqNullSafe(F.col("_first_id")) & (key[1] == F.col("_first_hash"))
-    stays = own.join(firsts, on, "left_semi")
-    once = stays.select(F.struct(*docs.columns).alias("_row"), *key)
-    kept = once.groupBy("_dedup_id", "_dedup_hash").agg(F.first("_row").alias("_row"))
+    return stay(own, firsts, docs.columns, text_col)
+
+
+def stay(own: DataFrame, firsts: DataFrame, columns: list[str], text_col: str) -> DataFrame:
+    """The rows of own whose (_dedup_id, _dedup_hash) is in firsts (_first_id, _first_hash), one for each such pair.
+
+    Of rows equal in id and text that of the least hash of its other columns stays, so reruns agree.
+    """
+    on = F.col("_dedup_id").eqNullSafe(F.col("_first_id")) & (F.col("_dedup_hash") == F.col("_first_hash"))
+    others = [c for c in columns if c != text_col]
+    rank = F.xxhash64(F.to_json(F.struct(*others), {"ignoreNullFields": "false"})) if others else F.lit(0)
+    once = own.join(firsts, on, "left_semi").select(F.struct(*columns).alias("_row"), "_dedup_id", "_dedup_hash", rank.alias("_rank"))
+    kept = once.groupBy("_dedup_id", "_dedup_hash").agg(F.min_by("_row", "_rank").alias("_row"))
     return kept.select("_row.*")

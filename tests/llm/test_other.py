@@ -14,6 +14,8 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
+from pyspark.sql import functions as F
+
 from terrasift.llm import classifier, html_text, mixing, neighbours, packing, quality_rules, sharding
 from terrasift.llm.queries import QUERIES
 from terrasift.llm.sql import ORACLE_SQL
@@ -103,9 +105,9 @@ def test_distances_and_verdicts_against_brute_force(spark):
         text = " ".join(rng.choice([w, w.title(), w + ","]) for w in words)
         rows.append((i, text if i % 9 else "".join(rng.choice("#$%^ 0123456789~") for _ in range(400)), lang))
     rows += [(90, rows[1][1].upper(), rows[1][2]), (91, None, "en"), (92, "", None), (93, "!!!", "new")]
-    limits = quality_rules.Limits(class_distance=0.2, word_distance=0.3)
+    limits = quality_rules.Limits(class_distance=0.2, word_distance=0.3, min_docs=15, main_share=0.3)
     found = {r.doc_id: r for r in quality_rules.apply_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string"), limits).collect()}
-    common, words, classes = {}, {}, {}
+    common, words, classes, n = {}, {}, {}, Counter()
     for lang in {r[2] for r in rows}:
         texts = [t for _, t, x in rows if x == lang and t]
         counts = Counter(w for t in texts for w in re.sub(r'[.,;:!?"()]', " ", t.lower()).split() if len(w) <= 8 and w.isalpha())
@@ -113,23 +115,47 @@ def test_distances_and_verdicts_against_brute_force(spark):
         once = {tuple(re.sub(r'[.,;:!?"()]', " ", t.lower()).split()): t for t in sorted(texts, key=lambda t: -zlib.crc32(t.encode()))}
         words[lang], classes[lang] = Counter(), Counter()
         for key, t in once.items():
+            n[lang] += bool(key)
             if key:
                 for total, h in ((words[lang], plain_histogram(t, common[lang])), (classes[lang], Counter(map(plain_class, t)))):
                     total.update({k: v / sum(h.values()) for k, v in h.items()})
     every = sum(classes.values(), Counter())
+    prior = {k: limits.prior_docs * v / sum(every.values()) for k, v in every.items()}
+    main = [k for k in n if n[k] > 15 and n[k] >= 0.3 * sum(n.values())]
+    assert 1 <= len(main) < len([k for k in n if n[k] > 15]) < len(n)
+
+    def plain_distances(text, lang, leave_out):
+        own_words, own_classes = plain_histogram(text, common[lang]), Counter(map(plain_class, text))
+        by_words, by_classes = Counter(words[lang]), Counter(classes[lang])
+        if words[lang]:
+            by_classes.update(prior)
+        if leave_out and own_words:
+            for total, own in ((by_words, own_words), (by_classes, own_classes)):
+                total.subtract({k: v / sum(own.values()) for k, v in own.items()})
+        return plain_distance(own_words, {k: max(v, 0) for k, v in by_words.items()}), plain_distance(own_classes, {k: max(v, 0) for k, v in by_classes.items()})
+
     for doc, text, lang in rows:
         r, text = found[doc], text or ""
-        prior = {k: limits.prior_docs * v / sum(every.values()) for k, v in every.items()}
-        mixed = Counter(classes[lang])
-        mixed.update(prior)
-        by_class = plain_distance(Counter(map(plain_class, text)), mixed if words[lang] else {})
-        by_word = plain_distance(plain_histogram(text, common[lang]), words[lang])
+        by_word, by_class = plain_distances(text, lang, True) if n[lang] > 15 else min(plain_distances(text, k, False) for k in main)
         assert abs(r.class_distance - by_class) < 1e-4 and abs(r.word_distance - by_word) < 1e-4, (doc, r, by_class, by_word)
         bad = (len(text) >= limits.min_chars and by_class > limits.class_distance) or (r.n_words >= limits.min_words and by_word > limits.word_distance)
         assert r.kept == (not r.base_failed and not bad)
     assert {r.kept for r in found.values() if not r.base_failed} == {True, False}
 
 
+@pytest.mark.parametrize("n_copies", [1, 40])
+def test_junk_goes_whatever_its_language(spark, n_copies):
+    rng = random.Random(8)
+    junk = " ".join("".join(rng.choice("bcdfgjkqvwxz") for _ in range(rng.randint(3, 9))) for _ in range(150))
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    good = docs.where("lang = 'en'").orderBy("doc_id").first().text
+    rows = [(-1 - k, junk, lang) for k, lang in enumerate([None, "xx", "yy", "en"] + ["xx"] * n_copies)]
+    found = quality_rules.apply_rules(docs.union(spark.createDataFrame(rows, docs.schema)))
+    assert [r.kept for r in found.where("doc_id < 0").collect()] == [False] * len(rows)
+    alone = docs.union(spark.createDataFrame([(-1, good + " indeed", "zz")], docs.schema))
+    assert quality_rules.apply_rules(alone).where("doc_id = -1").first().kept == quality_rules.apply_rules(docs).where(F.col("text") == good).first().kept
+
+
 def test_quality_rules_follow_the_labels(spark):
     found = QUERIES["op2_quality_rules"](spark, "/root/testdata/sf0.01").where("NOT base_failed")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from terrasift.functions import geometry as G
 from terrasift.functions import names as N
-from terrasift.operators import curation, evaluate, ledger, masks, registry, sampling, spatial, validity
+from terrasift.operators import curation, evaluate, labels, ledger, masks, registry, sampling, spatial, validity
 from terrasift.sources import files, scratch
 
 
@@ -531,3 +531,12 @@ def test_layers_of_one_feature_a_line_read_as_whole_files(spark, tmp_path):
     assert sorted(map(str, lines.select(columns).collect())) == sorted(map(str, whole.select(columns).collect()))
     assert lines.where("class_name = 'c3'").collect()[0].properties["depth"] == "3"
     assert sorted(r.reason for r in rejected.collect()) == ["no_geometry", "no_geometry", "unreadable"]
+
+
+
+def test_clipping_names_its_ring_once(spark):
+    rows = spark.createDataFrame([(0.0, 0.0)], "cx double, cy double")
+    ring = G.ring((F.col("cx") + 2, F.col("cy")), (F.col("cx"), F.col("cy") + 2), (F.col("cx") - 2, F.col("cy")))
+    rows = rows.select(G.clip(ring, F.lit(0.0), F.lit(0.0), F.lit(9.0), F.lit(9.0)).alias("ring"))
+    assert {(p.x, p.y) for p in rows.first().ring} == {(0.0, 0.0), (2.0, 0.0), (0.0, 2.0)}
+    assert rows._jdf.queryExecution().analyzed().toString().count("(cx#") <= 6

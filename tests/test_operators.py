@@ -540,3 +540,18 @@ def test_clipping_names_its_ring_once(spark):
     rows = rows.select(G.clip(ring, F.lit(0.0), F.lit(0.0), F.lit(9.0), F.lit(9.0)).alias("ring"))
     assert {(p.x, p.y) for p in rows.first().ring} == {(0.0, 0.0), (2.0, 0.0), (0.0, 2.0)}
     assert rows._jdf.queryExecution().analyzed().toString().count("(cx#") <= 6
+
+
+
+def test_a_touching_corner_far_from_the_origin_is_met(spark):
+    # the box's corner lies on the hole's edge, which coordinates of millions round to either side of it
+    k = 594552
+    w, h, dx, dy = 6.0 + k * 31 % 40, 6.0 + k * 17 % 30, k % 97 - 48, k * 7 % 89 - 44
+    assert round((abs(dx) + 10) * h + (abs(dy) + 10) * w, 9) == round(0.9 * w * h, 9)
+    places = [(20000.0 * r + k * 7919 % 6000 + far, 6000000.0 + k * 104729 % 4000) for r in range(25) for far in (0, 5_000_000)]
+    x, y = F.col("x"), F.col("y")
+    outer, hole = (G.ring((x + w * s, y), (x, y + h * s), (x - w * s, y), (x, y - h * s)) for s in (1.0, 0.9))
+    met = G.polygon_meets_rectangle(F.array(outer, hole), x + dx - 10, y + dy - 10, x + dx + 10, y + dy + 10)
+    inner = G.polygon_meets_rectangle(F.array(outer, hole), x - 0.4, y - 0.4, x + 0.4, y + 0.4)
+    rows = spark.createDataFrame(places, "x double, y double").select(met.alias("m"), inner.alias("i")).collect()
+    assert all(r.m and not r.i for r in rows)

@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 
 def parse_labels(lines: DataFrame, remap: dict[int, int] | None = None) -> DataFrame:
     """(image, cls, xc, yc, w, h) of the lines with exactly five tokens; with remap only its classes, renamed."""
-    t = F.split(F.trim("line"), " +")
-    rows = lines.where(F.size(t) == 5).select(
-        "image", t[0].try_cast("int").alias("cls"), *[t[k + 1].try_cast("double").alias(c) for k, c in enumerate(("xc", "yc", "w", "h"))])
+    def read(t: Column) -> Column:
+        return F.struct(t[0].try_cast("int").alias("cls"), *[t[k + 1].try_cast("double").alias(c) for k, c in enumerate(("xc", "yc", "w", "h"))])
+
+    # a generator: filters on its columns stay above it, so that a line is split once, not once in every condition
+    tokens = F.filter(F.array(F.split(F.trim("line"), " +")), lambda t: F.size(t) == 5)
+    rows = lines.select("image", F.inline(F.transform(tokens, read)))
     if remap is not None:
         new = F.element_at(F.create_map(*[F.lit(x) for kv in remap.items() for x in kv]), F.col("cls"))
         rows = rows.withColumn("cls", new).where("cls IS NOT NULL")
@@ -33,7 +36,7 @@ def bad_boxes(boxes: DataFrame) -> DataFrame:
 def format_labels(boxes: DataFrame, images: DataFrame) -> DataFrame:
     """(image, text): its boxes as sorted lines with six decimals; the empty text for images without boxes."""
     line = F.format_string("%d %.6f %.6f %.6f %.6f", "cls", "xc", "yc", "w", "h")
-    text = boxes.groupBy("image").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("text"))
+    text = boxes.groupBy("image").agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("text"))
     return images.select("image").distinct().join(text, "image", "left").select("image", F.coalesce("text", F.lit("")).alias("text"))
 
 

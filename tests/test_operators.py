@@ -562,3 +562,12 @@ def test_a_policy_that_leaves_no_box_has_no_row(spark):
     boxes = spark.createDataFrame([(1, 0, 0, True), (1, 0, 0, False), (1, 768, 0, True)], "raster_id int, x0 int, y0 int, edge boolean")
     found = {r.policy: (r.n, r.n_tiles) for r in curation.policy_counts(boxes).collect()}
     assert found == {"boxes": (1, 1), "keep": (3, 2)}
+
+
+
+def test_conditions_on_boxes_do_not_split_lines_again(spark):
+    lines = spark.createDataFrame([(1, " 0 0.5  0.5 0.25 0.25 "), (1, "x 0.5 0.5 0.25 0.25"), (2, "0 0.5 0.5 0.25"), (3, "0 a 0.5 0.25 0.25"), (4, None)], "image int, line string")
+    parsed = labels.parse_labels(lines)
+    assert sorted((r.image, str(r.cls), r.xc) for r in parsed.where("xc IS NOT NULL").collect()) == [(1, "0", 0.5), (1, "None", 0.5)]
+    for frame in (labels.decode_boxes(parsed.where(labels.valid_box())), labels.zoom_extent(labels.decode_boxes(parsed.where(labels.valid_box())))):
+        assert frame._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1

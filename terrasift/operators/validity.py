@@ -6,6 +6,7 @@ import math
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from .grid import box_pairs
 
 #: Rings of up to so many points compare their edges within the row; those of longer rings meet on a grid. Both give the same.
 SHORT = 64
+#: Pairs of edges of short rings that a task compares at once.
+PAIRS = 500_000
 
 EDGE = ("j", "i", "n", "x", "y", "u", "v")  # number of the ring and of the edge in it, edges of the ring, both ends
 
@@ -93,7 +96,7 @@ def edge_pairs(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def _flags(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of (keys, rings, ...) with self_crossing and self_touching."""
-    long = F.aggregate("rings", F.lit(0), lambda s, r: s + F.size(r)) > SHORT
+    long = _is_long()
 
     def some(test) -> Column:
         return F.exists("_e", lambda a: F.exists("_e", lambda b: _before(a, b) & test(a, b)))
@@ -215,14 +218,144 @@ def _holds(r: list[Point], p: Point) -> bool:
     return sum((r[k - 1][1] > p[1]) != (y > p[1]) and p[0] < (r[k - 1][0] - x) * (p[1] - y) / (r[k - 1][1] - y) + x for k, (x, y) in enumerate(r)) % 2 == 1
 
 
+Edges = tuple[np.ndarray, ...]
+
+
+def _ends_cut(a: Edges, b: Edges) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """_cross(a, b), _inside for both ends of b on a and of a on b, and equality of their ends, for arrays of edges (x, y, u, v)."""
+    def side(e: Edges, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.sign((e[2] - e[0]) * (y - e[1]) - (e[3] - e[1]) * (x - e[0]))
+
+    def inside(e: Edges, x: np.ndarray, y: np.ndarray, turn: np.ndarray) -> np.ndarray:
+        boxed = (x >= np.minimum(e[0], e[2])) & (x <= np.maximum(e[0], e[2])) & (y >= np.minimum(e[1], e[3])) & (y <= np.maximum(e[1], e[3]))
+        return boxed & (turn == 0) & ~(((x == e[0]) & (y == e[1])) | ((x == e[2]) & (y == e[3])))
+
+    turns = [side(a, b[0], b[1]), side(a, b[2], b[3]), side(b, a[0], a[1]), side(b, a[2], a[3])]
+    crossed = (turns[0] * turns[1] < 0) & (turns[2] * turns[3] < 0)
+    within = [inside(e, o[k], o[k + 1], turns[t]) for t, (e, o, k) in enumerate(((a, b, 0), (a, b, 2), (b, a, 0), (b, a, 2)))]
+    return crossed, within, [(a[k] == b[m]) & (a[k + 1] == b[m + 1]) for k in (0, 2) for m in (0, 2)]
+
+
+def _short_parts(rings: pa.ListArray, keep_valid: bool) -> Iterator[tuple[int, list[tuple[list[Point], list[list[Point]]]]]]:
+    """(row, parts) of rows of clean short rings, by the same rules as the tables of split_even_odd; keep_valid: a single valid ring is its part."""
+    n_rings, inner = rings.value_lengths().to_numpy(), rings.flatten()
+    n, points = inner.value_lengths().to_numpy(), inner.flatten()
+    x, y = points.field("x").to_numpy(), points.field("y").to_numpy()
+    start = np.cumsum(n) - n
+    ring = np.repeat(np.arange(len(n)), n)
+    after = np.arange(len(x)) + 1
+    after[(start + n - 1)[n > 0]] = start[n > 0]
+    edge = (x, y, x[after], y[after])
+    row = np.repeat(np.arange(len(n_rings)), n_rings)[ring]
+    i = np.arange(len(x)) - start[ring]
+    stop = np.searchsorted(row, row, side="right")
+    more = stop - np.arange(len(x)) - 1  # edges of the row behind this one
+    first = np.searchsorted(row, np.arange(len(n_rings) + 1))
+    total = np.r_[0, np.cumsum(more)][first]
+    extent = np.zeros(len(n))
+    if len(x):
+        extent[n > 0] = np.maximum(*[np.maximum.reduceat(c, start[n > 0]) - np.minimum.reduceat(c, start[n > 0]) for c in (x, y)])
+    r = 0
+    while r < len(n_rings):
+        until = max(int(np.searchsorted(total, total[r] + PAIRS, side="right")) - 1, r + 1)
+        own = slice(first[r], first[until])
+        a = np.repeat(np.arange(own.start, own.stop), more[own])
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(more[own]) - more[own], more[own])
+        ea, eb = (tuple(c[k] for c in edge) for k in (a, b))
+        crossed, within, same = _ends_cut(ea, eb)
+        apart = np.abs(i[a] - i[b])
+        neighbours = (ring[a] == ring[b]) & ((apart == 1) | (apart == n[ring[a]] - 1))
+        touched = np.logical_or.reduce(within) | (same[0] & same[3]) | (same[1] & same[2]) | (~neighbours & np.logical_or.reduce(same))
+        tangled = np.zeros(until - r, bool)
+        tangled[row[a[crossed | touched]] - r] = True
+        # cuts: crossings are rounded, ends of other edges are not
+        (ax, ay, au, av), (bx, by, bu, bv) = (tuple(c[crossed] for c in e) for e in (ea, eb))
+        s = ((bx - ax) * (bv - by) - (by - ay) * (bu - bx)) / ((au - ax) * (bv - by) - (av - ay) * (bu - bx))
+        outer = np.minimum((np.cumsum(n_rings) - n_rings)[row[a[crossed]]], len(n) - 1)
+        grain = extent[outer] * 2.0**-30
+
+        def rounded(v: np.ndarray) -> np.ndarray:
+            return np.sign(v) * np.floor(np.abs(v / grain) + 0.5) * grain
+
+        px, py = rounded(ax + s * (au - ax)), rounded(ay + s * (av - ay))
+        cuts = [(a[crossed], px, py), (b[crossed], px, py)]
+        cuts += [(e[hit], o[k][hit], o[k + 1][hit]) for hit, (e, o, k) in zip(within, ((a, eb, 0), (a, eb, 2), (b, ea, 0), (b, ea, 2)))]
+        at, px, py = (np.concatenate(c) for c in zip(*cuts))
+        t = (px - x[at]) * (edge[2][at] - x[at]) + (py - y[at]) * (edge[3][at] - y[at])
+        all_own = np.arange(own.start, own.stop)
+        of = np.concatenate((all_own, at, all_own))
+        t = np.concatenate((np.full(len(all_own), -np.inf), t, np.full(len(all_own), np.inf)))
+        px, py = np.concatenate((x[own], px, edge[2][own])), np.concatenate((y[own], py, edge[3][own]))
+        order = np.lexsort((py, px, t, of))
+        of, px, py = of[order], px[order], py[order]
+        piece = np.flatnonzero((of[1:] == of[:-1]) & ((px[1:] != px[:-1]) | (py[1:] != py[:-1])))
+        flip = (px[piece] > px[piece + 1]) | ((px[piece] == px[piece + 1]) & (py[piece] > py[piece + 1]))
+        low, high = np.where(flip, piece + 1, piece), np.where(flip, piece, piece + 1)
+        lines = np.stack((row[of[piece]].astype(float), px[low], py[low], px[high], py[high]))
+        lines = lines[:, np.lexsort(lines[::-1])]
+        head = np.flatnonzero(np.r_[True, (lines[:, 1:] != lines[:, :-1]).any(0)]) if lines.shape[1] else np.zeros(0, int)
+        lines = lines[:, head[np.diff(np.r_[head, lines.shape[1]]) % 2 == 1]]
+        bounds = np.searchsorted(lines[0], np.arange(r, until + 1))
+        flat = lines[1:].T.tolist()
+        for k in range(r, until):
+            p, q = first[k], first[k + 1]
+            if keep_valid and not tangled[k - r] and q - p >= 3:
+                own_ring = list(zip(x[p:q].tolist(), y[p:q].tolist()))
+                if _signed(own_ring):
+                    yield k, [(own_ring, [])]
+            elif bounds[k - r] < bounds[k - r + 1] and (not keep_valid or q - p >= 3):
+                yield k, even_odd_parts([((e[0], e[1]), (e[2], e[3])) for e in flat[bounds[k - r]:bounds[k - r + 1]]])
+        r = until
+
+
+def _ring_arrays(rings: list[list[Point]]) -> pa.ListArray:
+    flat = np.array([p for r in rings for p in r], float).reshape(-1, 2)
+    points = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(flat[:, k])) for k in (0, 1)], ["x", "y"])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rings)]), pa.int32()), points)
+
+
+def _part_columns(found: list[tuple[int, list[tuple[list[Point], list[list[Point]]]]]], own: list[pa.Array], keys: list[str]) -> pa.RecordBatch:
+    """A batch (keys, part_id, ring, holes) of rows and their parts."""
+    at = pa.array([k for k, parts in found for _ in parts], pa.int64())
+    number = pa.array([m for _, parts in found for m in range(len(parts))], pa.int32())
+    outlines = _ring_arrays([r for _, parts in found for r, _ in parts])
+    ends = pa.array(np.cumsum([0, *[len(h) for _, parts in found for _, h in parts]]), pa.int32())
+    holes = pa.ListArray.from_arrays(ends, _ring_arrays([h for _, parts in found for _, holes in parts for h in holes]))
+    return pa.RecordBatch.from_arrays([*[c.take(at) for c in own], number, outlines, holes], [*keys, "part_id", "ring", "holes"])
+
+
+def _parts_schema(rows: DataFrame, keys: list[str]) -> str:
+    kinds = dict(rows.dtypes)
+    return ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", part_id int, ring array<struct<x:double,y:double>>, holes {RINGS}"
+
+
+def _split_short(rows: DataFrame, keys: list[str], keep_valid: bool = False) -> DataFrame:
+    """(keys, part_id, ring, holes) of rows (keys, rings) of clean rings of at most SHORT points together, without a shuffle."""
+    def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield _part_columns(list(_short_parts(batch.column(len(keys)), keep_valid)), batch.columns[:len(keys)], keys)
+
+    return rows.select(*keys, "rings").mapInArrow(trace, _parts_schema(rows, keys))
+
+
+def _is_long() -> Column:
+    return F.aggregate("rings", F.lit(0), lambda s, r: s + F.size(r)) > SHORT
+
+
 def split_even_odd(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, part_id, ring, holes): the regions of rows (keys, rings) by the even-odd rule over all rings; keys are unique.
 
-    Edges are cut where they meet (pairs from edge_pairs), pieces that lie on each other an even number of times go, as both of
+    Rows of at most SHORT points are cut and traced where they lie. Of the others edges are cut where they meet (pairs from edge_pairs), pieces that lie on each other an even number of times go, as both of
     their sides are alike, and what is left of one row bounds its regions. A row's pieces are one value, as its rings were.
     Crossings are rounded to 2**-30 of the rings' extent, so that lines through one point meet in one.
     """
     rows = cut_lineage(rows.select(*keys, F.transform("rings", _clean).alias("rings")))
+    return _split_short(rows.where(~_is_long()), keys).unionByName(_split_long(rows.where(_is_long()), keys))
+
+
+def _split_long(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """split_even_odd of clean rings through tables of edges, for rings of any length."""
     a, b = F.col("a"), F.col("b")
     x0, y0, x1, y1 = polygon_box(F.col("rings"))
     grain = F.greatest(x1 - x0, y1 - y0) * 2.0**-30
@@ -256,25 +389,15 @@ def split_even_odd(rows: DataFrame, keys: list[str]) -> DataFrame:
     pieces = cut_edges.select(*keys, path.alias("path")).select(*keys, F.explode(lines).alias("l")).where("l.p <> l.q")
     odd = pieces.groupBy(*keys, "l").agg(F.count("*").alias("n")).where("n % 2 = 1")
     bounds = odd.groupBy(*keys).agg(F.array_sort(F.collect_list("l")).alias("lines"))
-    kind = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
-
-    def points(r: list[Point]) -> list[dict]:
-        return [{"x": x, "y": y} for x, y in r]
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: list[tuple] = []
+            found = []
             for at, lines in enumerate(batch.column(len(keys))):
-                pairs = [((e["p"]["x"], e["p"]["y"]), (e["q"]["x"], e["q"]["y"])) for e in lines.as_py()]
-                found += [(at, k, points(ring), [points(h) for h in holes]) for k, (ring, holes) in enumerate(even_odd_parts(pairs))]
-            at, *made = zip(*found) if found else ([], [], [], [])
-            own = [batch.column(k).take(pa.array(at, pa.int64())) for k in range(len(keys))]
-            made = [pa.array(v, t) for v, t in zip(made, (pa.int32(), kind, pa.list_(kind)))]
-            yield pa.RecordBatch.from_arrays([*own, *made], [*keys, "part_id", "ring", "holes"])
+                found.append((at, even_odd_parts([((e["p"]["x"], e["p"]["y"]), (e["q"]["x"], e["q"]["y"])) for e in lines.as_py()])))
+            yield _part_columns(found, batch.columns[:len(keys)], keys)
 
-    kinds = dict(rows.dtypes)
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
-    return bounds.mapInArrow(trace, f"{schema}, part_id int, ring array<struct<x:double,y:double>>, holes {RINGS}")
+    return bounds.mapInArrow(trace, _parts_schema(rows, keys))
 
 
 def repair(rows: DataFrame, key: str | list[str] = "object_id") -> DataFrame:
@@ -284,7 +407,9 @@ def repair(rows: DataFrame, key: str | list[str] = "object_id") -> DataFrame:
     outside; parts touch each other in points at most; spikes go. key is unique and not null.
     """
     keys = _keys(key)
-    flagged = cut_lineage(validity(rows.select(*keys, "ring"), keys))
-    whole = flagged.where("valid").select(*keys, F.lit(0).alias("part_id"), _clean(F.col("ring")).alias("ring"), F.array().cast(RINGS).alias("holes"))
+    clean = cut_lineage(rows.where("ring IS NOT NULL").select(*keys, F.array(_clean(F.col("ring"))).alias("rings")))
+    short = _split_short(clean.where(~_is_long()), keys, keep_valid=True)
+    flagged = cut_lineage(validity(clean.where(_is_long()).select(*keys, F.col("rings")[0].alias("ring")), keys))
+    whole = flagged.where("valid").select(*keys, F.lit(0).alias("part_id"), "ring", F.array().cast(RINGS).alias("holes"))
     tangled = flagged.where("enough_points AND NOT valid").select(*keys, F.array("ring").alias("rings"))
-    return whole.unionByName(split_even_odd(tangled, keys))
+    return short.unionByName(whole).unionByName(split_even_odd(tangled, keys))

@@ -533,16 +533,6 @@ def test_layers_of_one_feature_a_line_read_as_whole_files(spark, tmp_path):
     assert sorted(r.reason for r in rejected.collect()) == ["no_geometry", "no_geometry", "unreadable"]
 
 
-
-def test_clipping_names_its_ring_once(spark):
-    rows = spark.createDataFrame([(0.0, 0.0)], "cx double, cy double")
-    ring = G.ring((F.col("cx") + 2, F.col("cy")), (F.col("cx"), F.col("cy") + 2), (F.col("cx") - 2, F.col("cy")))
-    rows = rows.select(G.clip(ring, F.lit(0.0), F.lit(0.0), F.lit(9.0), F.lit(9.0)).alias("ring"))
-    assert {(p.x, p.y) for p in rows.first().ring} == {(0.0, 0.0), (2.0, 0.0), (0.0, 2.0)}
-    assert rows._jdf.queryExecution().analyzed().toString().count("(cx#") <= 6
-
-
-
 def test_a_touching_corner_far_from_the_origin_is_met(spark):
     # the box's corner lies on the hole's edge, which coordinates of millions round to either side of it
     k = 594552
@@ -557,13 +547,19 @@ def test_a_touching_corner_far_from_the_origin_is_met(spark):
     assert all(r.m and not r.i for r in rows)
 
 
-
 def test_a_policy_that_leaves_no_box_has_no_row(spark):
     boxes = spark.createDataFrame([(1, 0, 0, True), (1, 0, 0, False), (1, 768, 0, True)], "raster_id int, x0 int, y0 int, edge boolean")
     found = {r.policy: (r.n, r.n_tiles) for r in curation.policy_counts(boxes).collect()}
     assert found == {"boxes": (1, 1), "keep": (3, 2)}
 
 
+def test_clipping_names_its_ring_once(spark):
+    rows = spark.createDataFrame([(0.0, 0.0)], "cx double, cy double")
+    ring = G.ring((F.col("cx") + 2, F.col("cy")), (F.col("cx"), F.col("cy") + 2), (F.col("cx") - 2, F.col("cy")))
+    rows = rows.select(G.clip(ring, F.lit(0.0), F.lit(0.0), F.lit(9.0), F.lit(9.0)).alias("ring"))
+    assert {(p.x, p.y) for p in rows.first().ring} == {(0.0, 0.0), (2.0, 0.0), (0.0, 2.0)}
+    assert rows._jdf.queryExecution().analyzed().toString().count("(cx#") <= 6
+
 
 def test_conditions_on_boxes_do_not_split_lines_again(spark):
     lines = spark.createDataFrame([(1, " 0 0.5  0.5 0.25 0.25 "), (1, "x 0.5 0.5 0.25 0.25"), (2, "0 0.5 0.5 0.25"), (3, "0 a 0.5 0.25 0.25"), (4, None)], "image int, line string")
@@ -571,3 +567,22 @@ def test_conditions_on_boxes_do_not_split_lines_again(spark):
     assert sorted((r.image, str(r.cls), r.xc) for r in parsed.where("xc IS NOT NULL").collect()) == [(1, "0", 0.5), (1, "None", 0.5)]
     for frame in (labels.decode_boxes(parsed.where(labels.valid_box())), labels.zoom_extent(labels.decode_boxes(parsed.where(labels.valid_box())))):
         assert frame._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+def test_short_rings_are_cut_within_their_row_as_long_ones_on_the_grid(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rings = [[(float(a), float(b)) for a, b in rng.integers(0, 9, (int(rng.integers(0, 12)), 2)) + (5_000_000, 6_000_000)] for _ in range(60)] + [None]
+    rows = spark.createDataFrame(list(enumerate(rings)), "object_id long, ring array<struct<x:double,y:double>>")
+
+    def parts(frame):
+        one = lambda r: tuple(sorted((round(p.x, 6), round(p.y, 6)) for p in r))
+        return sorted((r.object_id, one(r.ring), tuple(sorted(map(one, r.holes)))) for r in frame.collect())
+
+    met = []
+    edge_pairs = validity.edge_pairs
+    monkeypatch.setattr(validity, "edge_pairs", lambda rows, keys: met.append(rows.count()) or edge_pairs(rows, keys))
+    short = parts(validity.repair(rows))
+    assert not any(met)  # no short ring goes through a shuffle
+    monkeypatch.setattr(validity, "SHORT", -1)
+    assert short == parts(validity.repair(rows)) and len(short) > 60
+    assert any(met)

@@ -597,3 +597,35 @@ def test_conditions_on_clipped_rings_stay_above_the_clipping(spark, monkeypatch)
     found = {r.k: len(r.ring) for r in spatial.clip_parts(rows.repartition(2), ["k"]).collect()}
     assert found == {1: 4, 2: 4}  # the third only touches its tile
     assert max(map(len, plans)) < 12_000  # 14,102 where the condition named every pass again
+
+
+def test_copies_are_gathered_in_bounded_lists(spark, monkeypatch):
+    rows = [(k % 3 if k % 7 else None, None if k == 11 else k) for k in range(60)]
+    frame = spark.createDataFrame(rows, "place int, id long")
+    whole = spatial.gathered(frame, "id").collect()
+    assert len(whole) == 4
+    monkeypatch.setattr(spatial, "MEMBERS", 3)
+    parts = spatial.gathered(frame, "id").collect()
+    assert max(len(r.id) for r in parts) < 20 and len(parts) > 10
+    for found in (whole, parts):
+        assert sorted(((r.place, i) for r in found for i in r.id), key=str) == sorted(rows, key=str)
+
+
+def test_window_pairs_joins_copies_once(spark, monkeypatch):
+    from terrasift.plans import queries
+
+    met = []
+
+    def counted(windows, objects, on):
+        pairs = plain(windows, objects, on)
+        met.append(pairs.count())
+        return pairs
+
+    plain = spatial.window_pairs
+    monkeypatch.setattr(spatial, "window_pairs", counted)
+    # twenty objects each in two places 30 metres apart; ids of one residue, so that sizes agree
+    objects = spark.createDataFrame([(5 * k, 1, "Li", 100.0 + 30 * (k % 2), 50.0, 6.0, 8.0) for k in range(40)], "object_id long, region_id int, modality string, cx double, cy double, hw double, hh double")
+    found = queries.window_pairs(objects).collect()
+    assert met == [4]
+    assert sorted((r.sample_id, r.object_id) for r in found) == [(5 * a, 5 * b) for a in range(40) for b in range(40)]
+    assert {((r.object_id - r.sample_id) % 10, r.x0 - 52 in (0, 60, -60)) for r in found} == {(0, True), (5, True)}

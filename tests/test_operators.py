@@ -629,3 +629,46 @@ def test_window_pairs_joins_copies_once(spark, monkeypatch):
     assert met == [4]
     assert sorted((r.sample_id, r.object_id) for r in found) == [(5 * a, 5 * b) for a in range(40) for b in range(40)]
     assert {((r.object_id - r.sample_id) % 10, r.x0 - 52 in (0, 60, -60)) for r in found} == {(0, True), (5, True)}
+
+
+def test_windows_are_counted_on_a_canvas_cut_into_squares(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(8)
+    runs = [(s, row, c, c + rnd.randint(1, 4), rnd.randint(1, 3)) for s in (1, 2) for row in range(20) for c in (0, 5, 11, 17, 24) if rnd.random() < 0.7]
+    windows = [(k, 1 + k % 3, rnd.randint(0, 20), rnd.randint(0, 15), rnd.randint(1, 12)) for k in range(30)]
+    want = {}
+    for k, s, c, r, size in windows:
+        for canvas, row, c0, c1, kind in runs:
+            if canvas == s and r <= row < r + size and min(c1, c + size) > max(c0, c):
+                want[k, kind] = want.get((k, kind), 0) + min(c1, c + size) - max(c0, c)
+    monkeypatch.setattr(masks, "CROSSINGS", 7)
+    for square in (8, 2048):
+        monkeypatch.setattr(masks, "SQUARE", square)
+        found = masks.window_pixels(spark.createDataFrame(runs, "sample_id long, row int, c0 int, c1 int, class_id int"), spark.createDataFrame(windows, "sample_id long, canvas long, c0 long, r0 long, crop_size long"))
+        assert {(r.sample_id, r.class_id): r.pixels for r in found.collect()} == want
+
+
+def test_samples_paint_an_object_once_for_all_windows_and_copies(spark, monkeypatch):
+    from terrasift.operators import build
+
+    painted = []
+
+    def counted(polygons, *args, **kwargs):
+        painted.append(polygons.count())
+        return plain(polygons, *args, **kwargs)
+
+    plain = masks.polygon_runs
+    monkeypatch.setattr(masks, "polygon_runs", counted)
+    ring = [[dict(x=float(x), y=float(y)) for x, y in ((10, 10), (20, 10), (20, 20), (10, 20))]]
+    layer = [(1, k, kind, 100.0, ring, 15.0, 15.0, 5.0, 5.0) for k, kind in ((1, 1), (2, None), (4, 2), (3, 1), (5, None))]
+    layer = spark.createDataFrame(layer, "k int, ord long, class_id int, area double, rings array<array<struct<x:double,y:double>>>, cx double, cy double, hw double, hh double")
+    windows = [(s, k, 8, c0, 6, 1.0, 0.0, 30.0) for s, k, c0 in [(i, 1, i % 8 - 2) for i in range(40)] + [(40, 1, 50), (41, None, 0)]]
+    windows = spark.createDataFrame(windows, "sample_id long, k int, crop_size int, c0 int, r0 int, px double, x_left double, y_top double")
+    rows = {r.sample_id: r for r in build.segmentation_samples(windows, layer, ["k"], [1, 2]).collect()}
+    assert painted == [1] and set(rows) == set(range(42))
+    for s in range(40):
+        n = 4 * max(0, s % 8 + 6 - 10)
+        assert (rows[s].pixels_1, rows[s].pixels_2, rows[s].pixels_bg) == (0, n, 64 - n)
+        assert (rows[s].n_objects, rows[s].classes, rows[s].reason) == ((5, "2", None) if n else (5, "", "empty_mask") if s % 8 == 4 else (0, "", "no_polygons"))
+    assert (rows[40].reason, rows[41].reason) == ("no_polygons",) * 2

@@ -672,3 +672,34 @@ def test_samples_paint_an_object_once_for_all_windows_and_copies(spark, monkeypa
         assert (rows[s].pixels_1, rows[s].pixels_2, rows[s].pixels_bg) == (0, n, 64 - n)
         assert (rows[s].n_objects, rows[s].classes, rows[s].reason) == ((5, "2", None) if n else (5, "", "empty_mask") if s % 8 == 4 else (0, "", "no_polygons"))
     assert (rows[40].reason, rows[41].reason) == ("no_polygons",) * 2
+
+
+@pytest.mark.parametrize("rule", ["small", "last"])
+def test_polygons_are_painted_as_their_runs_are_without_shuffling_runs(spark, monkeypatch, rule):
+    import random
+
+    from terrasift.plans import queries
+
+    rnd = random.Random(5)
+
+    def diamond(x, y, w, h):
+        return [dict(x=x + w, y=y), dict(x=x, y=y + h), dict(x=x - w, y=y), dict(x=x, y=y - h)]
+
+    rows = []
+    for k in range(80):
+        x, y, w, h = rnd.uniform(-5, 60), rnd.uniform(-9, 60), rnd.uniform(0.1, 30), rnd.uniform(0.1, 30)
+        rows.append((rnd.choice([None, 1, 2]), k, rnd.randint(0, 2), float(rnd.randint(1, 6)), None if k == 3 else [diamond(x, y, w, h), diamond(x, y, w / 2, h / 2)][:1 + k % 2], rnd.choice([16, 50])))
+    shapes = spark.createDataFrame(rows, f"sample_id long, ord long, class_id int, area double, rings {masks.POINTS}, crop_size int").repartition(3)
+    want = sorted(map(tuple, masks.paint(masks.polygon_runs(shapes), rule).collect()), key=str)
+    pixels = {}
+    for s, row, c0, c1, kind in want:
+        pixels[s, row, kind] = pixels.get((s, row, kind), 0) + c1 - c0
+    for band, crossings in ((128, 1_000_000), (16, 1_000_000), (128, 30), (7, 5)):
+        monkeypatch.setattr(masks, "BAND", band)
+        monkeypatch.setattr(masks, "CROSSINGS", crossings)
+        assert sorted(map(tuple, masks.paint_polygons(shapes, rule).collect()), key=str) == want
+        assert {(r.sample_id, r.row, r.class_id): r.pixels for r in masks.paint_polygons(shapes, rule, sums=True).collect()} == pixels
+    # the registered query sends polygons, not runs or sums of runs, through a shuffle
+    objects = spark.createDataFrame([(k, 9.0, 9.0) for k in range(8)], "object_id long, hw double, hh double")
+    plan = (queries.paint_last_wins if rule == "last" else queries.paint_small_wins)(objects)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1

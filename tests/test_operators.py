@@ -631,6 +631,22 @@ def test_window_pairs_joins_copies_once(spark, monkeypatch):
     assert {((r.object_id - r.sample_id) % 10, r.x0 - 52 in (0, 60, -60)) for r in found} == {(0, True), (5, True)}
 
 
+def test_windows_that_span_a_ring_along_one_axis_need_no_exact_test(spark, monkeypatch):
+    diamond = [dict(x=x, y=y) for x, y in ((12.0, 0.0), (0.0, 8.0), (-12.0, 0.0), (0.0, -8.0))]
+    holed = [dict(x=x * 0.9, y=y * 0.9) for x, y in ((12.0, 0.0), (0.0, 8.0), (-12.0, 0.0), (0.0, -8.0))]
+    layer = spark.createDataFrame([(1, 7, 0.0, 0.0, 12.0, 8.0, [diamond, holed]), (1, 8, 0.0, 0.0, 12.0, 8.0, [diamond[:2]])], "k int, ord long, cx double, cy double, hw double, hh double, rings array<array<struct<x:double,y:double>>>")
+    # about the ring, over its right and upper side, at its border, over its corner, far from it
+    windows = [(1, 40.0, -20.0, 20.0), (2, 40.0, 5.0, 20.0), (3, 30.0, -15.0, 35.0), (4, 30.0, 12.0, 15.0), (5, 20.0, 10.0, 26.0), (6, 20.0, 3.0, 23.0), (7, 9.0, 40.0, 4.0)]
+    frame = spark.createDataFrame([(k, 1, int(size), 0, 0, 1.0, x, y) for k, size, x, y in windows], "sample_id long, k int, crop_size int, c0 int, r0 int, px double, x_left double, y_top double")
+
+    def found():
+        return sorted((r.sample_id, r.ord) for r in spatial.window_pairs(frame, layer, ["k"]).collect() if r.ord == 7)
+
+    assert found() == [(k, 7) for k in (1, 2, 3, 4, 6)]
+    monkeypatch.setattr(spatial.G, "polygon_meets_rectangle", lambda *args: F.lit(False))
+    assert found() == [(k, 7) for k in (1, 2, 3, 4)]
+
+
 def test_windows_are_counted_on_a_canvas_cut_into_squares(spark, monkeypatch):
     import random
 
